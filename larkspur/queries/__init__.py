@@ -2,5 +2,8 @@
 
 from larkspur.queries.registry import ORACLES, QUERIES  # noqa: F401
 from larkspur.queries import (  # noqa: F401
+    aggregates,
+    relational,
+    sources,
     telemetry,
 )
