@@ -20,6 +20,15 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once per row.
+
+    A lambda that names an outer expression would compute it again for every
+    element; bound as a lambda variable it is computed a single time.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column | str) -> Column:
     """Remove leading and trailing whitespace of any kind."""
     return F.regexp_replace(_col(c), r"(?U)^\s+|\s+$", "")
@@ -88,9 +97,13 @@ def ngrams(items: Column, n: int) -> Column:
     """Blank-joined runs of ``n`` neighbouring array elements."""
     if n == 1:
         return items
-    last = F.size(items) - n
-    starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(items, i + 1, n), " "))
+
+    def grams(array: Column) -> Column:
+        last = F.size(array) - n
+        starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(array, i + 1, n), " "))
+
+    return let(items, grams)
 
 
 def contains_any(c: Column | str, needles: list[str]) -> Column:

@@ -3,6 +3,7 @@
 from larkspur.queries.registry import ORACLES, QUERIES  # noqa: F401
 from larkspur.queries import (  # noqa: F401
     aggregates,
+    documents,
     relational,
     sources,
     telemetry,
