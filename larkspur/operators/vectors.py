@@ -1,11 +1,23 @@
-"""Vectors: similarity search, index layout and maintenance."""
+"""Vectors: embedding, exact and approximate search, index layout and upkeep."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.feature import IDF, HashingTF, Normalizer
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from larkspur.functions.similarity import cosine
+from larkspur.functions import text as tx
+from larkspur.functions.similarity import NORM_EPSILON, cosine
+from larkspur.operators import topk
 
 
 def adjacent_distance(df: DataFrame, position: str, vector: str, keys: list[str] | None = None) -> DataFrame:
@@ -19,3 +31,223 @@ def adjacent_distance(df: DataFrame, position: str, vector: str, keys: list[str]
     return df.join(before, [*keys, position]).withColumn(
         "distance", 1 - cosine(F.col("_before"), F.col(vector))
     ).drop("_before")
+
+
+def centroids(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """Mean vector per key, summed element by element with map-side combine."""
+    parts = df.select(key, F.posexplode(F.col(vector).cast("array<double>")).alias("pos", "x"))
+    means = parts.groupBy(key, "pos").agg(F.avg("x").alias("x"))
+    ordered = F.sort_array(F.collect_list(F.struct("pos", "x")))
+    return means.groupBy(key).agg(F.transform(ordered, lambda p: p["x"]).alias(vector))
+
+
+@dataclass(frozen=True)
+class TextEmbedder:
+    """Hashed TF-IDF vectors of unit length; one model for index and queries."""
+
+    model: PipelineModel
+
+    @classmethod
+    def fit(cls, df: DataFrame, text: str, dim: int = 256) -> TextEmbedder:
+        staged = df.select(tx.tokens(text).alias("_tokens"))
+        pipeline = Pipeline(
+            stages=[
+                HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=dim),
+                IDF(inputCol="_tf", outputCol="_idf"),
+                Normalizer(inputCol="_idf", outputCol="_unit"),
+            ]
+        )
+        return cls(pipeline.fit(staged))
+
+    def embed(self, df: DataFrame, text: str, out: str = "embedding") -> DataFrame:
+        """Add the vector column; NULL text gives NULL."""
+        staged = df.withColumn("_tokens", F.coalesce(tx.tokens(text), F.array().cast("array<string>")))
+        vectors = self.model.transform(staged).withColumn(
+            out, F.when(F.col(text).isNotNull(), vector_to_array("_unit", "float32"))
+        )
+        return vectors.drop("_tokens", "_tf", "_idf", "_unit")
+
+
+def unit_rows(matrix: np.ndarray) -> np.ndarray:
+    return matrix / (np.linalg.norm(matrix, axis=1, keepdims=True) + NORM_EPSILON)
+
+
+@dataclass(frozen=True)
+class VectorScorer:
+    """Scores record batches (id, vector) against a matrix of query vectors."""
+
+    queries: np.ndarray
+    metric: str
+
+    def __call__(self, batch: pa.RecordBatch) -> Iterator[tuple[slice, np.ndarray]]:
+        dim = self.queries.shape[1]
+        matrix = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+        if self.metric == "cosine":
+            matrix = unit_rows(matrix)
+        rows = max(topk.CELLS_PER_STEP // len(self.queries), 1)
+        for start in range(0, len(matrix), rows):
+            step = slice(start, start + rows)
+            yield step, matrix[step] @ self.queries.T
+
+
+def search(
+    corpus: DataFrame,
+    queries: DataFrame,
+    k: int,
+    item: str = "vec_id",
+    vector: str = "embedding",
+    query_key: str = "query_id",
+    query_vector: str = "query_vector",
+    metric: str = "cosine",
+) -> DataFrame:
+    """Exact top-k: (query, item, score, rank), best first, ties by item id.
+
+    Filter the corpus before the call to search a part of it.  ``metric`` is
+    ``cosine`` or ``dot``.
+    """
+    if metric not in ("cosine", "dot"):
+        raise ValueError(f"unknown metric {metric!r}")
+    asked = queries.where(F.col(query_vector).isNotNull()).select(query_key, query_vector)
+    first = asked.first()
+    dim = len(first[query_vector]) if first else 1
+    good = corpus.where(F.col(vector).isNotNull()).withColumn(
+        vector,
+        F.when(F.size(vector) == dim, F.col(vector)).otherwise(
+            F.raise_error(F.lit(f"corpus vectors must have {dim} elements"))
+        ),
+    )
+
+    def scorer(rows):
+        matrix = np.asarray([r[query_vector] for r in rows], dtype=np.float64)
+        return VectorScorer(unit_rows(matrix) if metric == "cosine" else matrix, metric)
+
+    blocks = topk.query_blocks(asked, query_key, row_bytes=8 * dim)
+    return topk.scan_top_k(good, item, vector, blocks, query_key, queries.schema[query_key].dataType, scorer, k)
+
+
+def lookup_join(rows: DataFrame, key: str, vector: str, corpus: DataFrame, item: str, corpus_vector: str, k: int) -> DataFrame:
+    """Each row with the ordered ids of its k best corpus items."""
+    asked = rows.select(F.col(key).alias("_key"), F.col(vector).alias("_vector"))
+    hits = search(corpus, asked, k, item, corpus_vector, "_key", "_vector")
+    ordered = F.sort_array(F.collect_list(F.struct("rank", item)))
+    lists = hits.groupBy("_key").agg(F.transform(ordered, lambda h: h[item]).alias("matches"))
+    return rows.join(lists.withColumnRenamed("_key", key), key, "left")
+
+
+def sweep_k(hits: DataFrame, ks: list[int]) -> DataFrame:
+    """One ranked list cut at several depths; ``hits`` must reach the deepest."""
+    return hits.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks]))).where(F.col("rank") <= F.col("k"))
+
+
+@dataclass(frozen=True)
+class CellIndex:
+    """An inverted-file index: cell centres and the corpus rows with their cell."""
+
+    centres: np.ndarray
+    rows: DataFrame
+    item: str
+    vector: str
+
+    def write(self, path: str) -> CellIndex:
+        """Store the rows in one folder per cell, so a search reads probed cells only.
+
+        Rows spread over tasks by id and cell, so a crowded cell becomes many files.
+        """
+        spread = self.rows.repartition(F.col("cell"), F.pmod(F.xxhash64(self.item), F.lit(8)))
+        spread.write.mode("overwrite").partitionBy("cell").parquet(path)
+        return CellIndex(self.centres, self.rows.sparkSession.read.parquet(path), self.item, self.vector)
+
+
+def nearest_cells(centres: np.ndarray, vectors: np.ndarray, cells: int) -> np.ndarray:
+    scores = unit_rows(vectors) @ centres.T
+    return np.argsort(-scores, axis=1, kind="stable")[:, :cells]
+
+
+def build_cell_index(corpus: DataFrame, item: str, vector: str, cells: int = 16, seed: int = 7) -> CellIndex:
+    """Cluster the vectors into cells (cosine k-means) and label every row.
+
+    Centres are trained on a hash sample of up to 256 rows per cell; the
+    assignment covers all rows, map-only.
+    """
+    kept = corpus.where(F.col(vector).isNotNull())
+    total = kept.count()
+    keep_of_million = max(int(1_000_000 * min(1.0, 256.0 * cells / max(total, 1))), 1)
+    sample = kept.where(F.pmod(F.xxhash64(item), F.lit(1_000_000)) < keep_of_million)
+    unit = sample.select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
+    means = KMeans(k=cells, seed=seed, distanceMeasure="cosine", maxIter=15).fit(unit)
+    centres = unit_rows(np.asarray([list(c) for c in means.clusterCenters()]))
+    shared = corpus.sparkSession.sparkContext.broadcast(centres)
+    schema = T.StructType([*kept.schema.fields, T.StructField("cell", T.IntegerType())])
+    place = kept.columns.index(vector)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = batch.column(place).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            cell = nearest_cells(shared.value, flat.reshape(batch.num_rows, -1), 1)[:, 0] if batch.num_rows else []
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(cell, pa.int32())], names=[*batch.schema.names, "cell"]
+            )
+
+    return CellIndex(centres, kept.mapInArrow(assign, schema), item, vector)
+
+
+@dataclass(frozen=True)
+class CellScorer:
+    """Scores each row only against the queries that probe its cell."""
+
+    queries: np.ndarray
+    probes: np.ndarray  # (queries, nprobe)
+
+    def __call__(self, batch: pa.RecordBatch) -> Iterator[tuple[slice, np.ndarray]]:
+        cells = batch.column(1).field("cell").to_numpy(zero_copy_only=False)
+        dim = self.queries.shape[1]
+        matrix = batch.column(1).field("vector").flatten().to_numpy(zero_copy_only=False)
+        matrix = unit_rows(matrix.astype(np.float64).reshape(-1, dim))
+        rows = max(topk.CELLS_PER_STEP // len(self.queries), 1)
+        for start in range(0, len(matrix), rows):
+            step = slice(start, start + rows)
+            scores = np.full((len(matrix[step]), len(self.queries)), -np.inf)
+            for cell in np.unique(cells[step]):
+                mine = np.flatnonzero(cells[step] == cell)
+                asked = np.flatnonzero((self.probes == cell).any(axis=1))
+                if len(asked):
+                    scores[np.ix_(mine, asked)] = matrix[step][mine] @ self.queries[asked].T
+            yield step, scores
+
+
+def search_cells(
+    index: CellIndex, queries: DataFrame, k: int, nprobe: int = 4,
+    query_key: str = "query_id", query_vector: str = "query_vector",
+) -> DataFrame:
+    """Approximate top-k: only the ``nprobe`` cells nearest to each query are read."""
+    asked = queries.where(F.col(query_vector).isNotNull()).select(query_key, query_vector)
+    dim = index.centres.shape[1]
+    blocks = list(topk.query_blocks(asked, query_key, row_bytes=8 * dim))
+    probed = set()
+
+    def scorer(rows):
+        matrix = unit_rows(np.asarray([r[query_vector] for r in rows], dtype=np.float64))
+        return CellScorer(matrix, nearest_cells(index.centres, matrix, nprobe))
+
+    for block in blocks:
+        probed.update(int(c) for c in np.unique(scorer(block).probes))
+    rows = index.rows.where(F.col("cell").isin(sorted(probed))).select(
+        index.item, F.struct(F.col("cell"), F.col(index.vector).alias("vector")).alias("_row")
+    )
+    query_type = queries.schema[query_key].dataType
+    return topk.scan_top_k(rows, index.item, "_row", iter(blocks), query_key, query_type, scorer, k)
+
+
+def recall_at_k(exact: DataFrame, approximate: DataFrame, query_key: str, item: str) -> DataFrame:
+    """Share of the exact hits that the approximate search found, per query."""
+    found = approximate.select(query_key, item, F.lit(1).alias("_found"))
+    return exact.join(found, [query_key, item], "left").groupBy(query_key).agg(
+        (F.count("_found") / F.count("*")).alias("recall")
+    )
+
+
+def storage_cost(rows: DataFrame, dims: list[int]) -> DataFrame:
+    """Vectors stored and bytes needed (4 per element) for several dimensions."""
+    counted = rows.agg(F.count("*").alias("vectors"))
+    each = counted.withColumn("dim", F.explode(F.array(*[F.lit(d) for d in dims])))
+    return each.withColumn("bytes", F.col("vectors") * F.col("dim") * 4)

@@ -5,6 +5,7 @@ from larkspur.queries import (  # noqa: F401
     aggregates,
     documents,
     relational,
+    retrieval,
     sources,
     telemetry,
 )
