@@ -4,8 +4,11 @@ from larkspur.queries.registry import ORACLES, QUERIES  # noqa: F401
 from larkspur.queries import (  # noqa: F401
     aggregates,
     documents,
+    enrichment,
+    governance,
     relational,
     retrieval,
+    semantic,
     sources,
     telemetry,
 )
