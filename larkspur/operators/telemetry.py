@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.functions import text as tx
 from larkspur.operators.aggregates import daily_percentiles
-from larkspur.operators.windows import sigma_flag, trailing_baseline
+from larkspur.operators.enrichment import classify, sentiment, summarize
+from larkspur.operators.evaluation import token_support
+from larkspur.operators.guard import toxic_words
+from larkspur.operators.windows import latest_by_key, period_measures, sigma_flag, trailing_baseline
+from larkspur.sources.changes import merge_records
 
 OPS = {
     "=": lambda c, v: c == v,
@@ -25,7 +30,7 @@ def requests_from_events(events: DataFrame) -> DataFrame:
     the JSON property ``k``, the topic is the event type and its error type
     sets status and thumbs.
     """
-    k = F.get_json_object("props", "$.k").cast("bigint")
+    k = F.get_json_object("props", "$.k").try_cast("bigint")
     return events.select(
         F.concat(F.lit("req-"), F.col("event_id").cast("string")).alias("request_id"),
         "event_id",
@@ -245,8 +250,6 @@ def usage(requests: DataFrame, keys: list[str], period: Column, name: str = "per
 
 def budget_alerts(spend: DataFrame, keys: list[str], period: str, value: str, cap: float) -> DataFrame:
     """Running spend per key against its cap, over per-period totals."""
-    from larkspur.operators.windows import period_measures
-
     run = period_measures(spend, value, period, keys, 7)
     return run.withColumn("over_budget", F.col("running_total") >= cap)
 
@@ -280,25 +283,55 @@ def session_rollup(turns: DataFrame) -> DataFrame:
     )
 
 
-def request_metrics(requests: DataFrame, turns: DataFrame, enrich) -> DataFrame:
-    """The per-request contract table: telemetry joined with its texts, enriched.
+def with_texts(requests: DataFrame, turns: DataFrame) -> DataFrame:
+    """Requests with the first question and the first answer of their conversation.
 
-    ``enrich`` adds topic, sentiment and summary columns in the same
-    projection; requests without a question are left out.
+    Requests without a question are left out.
     """
+
+    def first_of(role: str) -> Column:
+        mine = F.col("role") == role
+        return F.min_by(F.when(mine, F.col("text")), F.when(mine, F.col("turn")))
+
     texts = turns.groupBy(F.col("conv_id").alias("event_id")).agg(
-        F.min_by(F.when(F.col("role") == "user", F.col("text")),
-                 F.when(F.col("role") == "user", F.col("turn"))).alias("user_question"),
-        F.min_by(F.when(F.col("role") == "assistant", F.col("text")),
-                 F.when(F.col("role") == "assistant", F.col("turn"))).alias("agent_response"),
+        first_of("user").alias("user_question"), first_of("assistant").alias("agent_response")
+    )
+    return requests.join(texts.where(F.col("user_question").isNotNull()), "event_id")
+
+
+def request_metrics(
+    rows: DataFrame, topics: dict[str, list[str]], positive: list[str], negative: list[str], toxic: list[str],
+    summary_words: int = 20,
+) -> DataFrame:
+    """The 16-column contract: one row per request, every metric a column.
+
+    Scores, topic, mood and summary are added in one pass over the rows.
+    """
+    question, answer = F.col("user_question"), F.col("agent_response")
+    staged = rows.withColumns({"_in": tx.word_count(question), "_out": F.coalesce(tx.word_count(answer), F.lit(0))})
+    return staged.select(
+        "request_id", "ts", "user_question", "agent_response", "latency_ms",
+        F.col("_in").cast("bigint").alias("input_tokens"),
+        F.col("_out").cast("bigint").alias("output_tokens"),
+        (F.col("_in") + F.col("_out")).cast("bigint").alias("total_tokens"),
+        "status",
+        token_support(question, answer).alias("relevance"),
+        F.when(answer.isNotNull(), F.when(toxic_words(answer, toxic) > 0, 0.0).otherwise(1.0)).alias("safety"),
+        token_support(answer, question).alias("groundedness"),
+        "user_feedback",
+        classify(question, topics, other="Other").alias("topic"),
+        sentiment(question, positive, negative).alias("sentiment"),
+        summarize(summary_words)(answer).alias("answer_summary"),
     )
-    joined = requests.join(texts.where(F.col("user_question").isNotNull()), "event_id")
-    return enrich(joined)
+
+
+def curate_failures(metrics: DataFrame, dataset: DataFrame, question: str = "user_question") -> DataFrame:
+    """Questions of failing requests appended to an evaluation set as its next version."""
+    asked = failing(metrics).select(F.col(question).alias("question"))
+    return merge_records(dataset, asked, ["question"])
 
 
 def attach_feedback(requests: DataFrame, feedback: DataFrame, key: str = "request_id", order: str = "ts") -> DataFrame:
     """Left join of requests with the latest feedback on each."""
-    from larkspur.operators.windows import latest_by_key
-
     latest = latest_by_key(feedback, [key], [F.col(order)])
     return requests.join(latest.drop(order), key, "left")

@@ -5,10 +5,12 @@ from larkspur.queries import (  # noqa: F401
     aggregates,
     documents,
     enrichment,
+    evaluation,
     governance,
     relational,
     retrieval,
     semantic,
     sources,
+    streams,
     telemetry,
 )
