@@ -42,8 +42,7 @@ def order_statistic(df: DataFrame, keys: list[str], value: str, p: float, name:
     if keys:
         joined = keyed.join(bounds, keys)
     else:
-        # one bounds row: a scalar subquery in join form
-        joined = keyed.join(F.broadcast(bounds))
+        joined = keyed.withColumns({c: bounds.select(c).scalar() for c in ("_rank", "_low", "_high")})
     counts = (
         joined.where(F.col(value) <= F.col("_high"))
         .withColumn("_v", F.when(F.col(value) >= F.col("_low"), F.col(value)))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from larkspur.functions import text as tx
 from larkspur.functions.similarity import jaccard
 from larkspur.operators.skew import join_hot_keys
+from larkspur.operators.windows import top_k
 
 # Element types that never belong in the flattened text.
 NOISE_ELEMENT_TYPES = ["page_number", "page_footer", "page_header"]
@@ -313,13 +314,18 @@ def assemble_context(
 ) -> DataFrame:
     """Per query, the leading hits whose running token count fits the budget.
 
-    Hits are joined in rank order; the first hit that does not fit ends the list.
+    Hits are joined in rank order; the first hit that does not fit ends the
+    list.  Empty hits are skipped, so every hit costs at least one token and
+    no more than ``budget`` hits per query can matter; the ranking keeps only
+    those before anything is gathered.
     """
-    w = Window.partitionBy(query).orderBy(rank).rowsBetween(Window.unboundedPreceding, 0)
-    sized = ranked.withColumn("_used", F.sum(tx.word_count(content)).over(w)).where(F.col("_used") <= budget)
-    ordered = F.sort_array(F.collect_list(F.struct(F.col(rank).alias("r"), F.col(content).alias("c"))))
-    return sized.groupBy(query).agg(
-        F.array_join(F.transform(ordered, lambda x: x["c"]), separator).alias("context"),
+    sized = ranked.select(query, F.col(rank).alias("_r"), F.col(content).alias("_c"), tx.word_count(content).alias("_n"))
+    leading = top_k(sized.where(F.col("_n") > 0), [query], [F.col("_r")], budget, "_place")
+    w = Window.partitionBy(query).orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
+    fitting = leading.withColumn("_used", F.sum("_n").over(w)).where(F.col("_used") <= budget)
+    ordered = F.sort_array(F.collect_list(F.struct("_place", "_c")))
+    return fitting.groupBy(query).agg(
+        F.array_join(F.transform(ordered, lambda x: x["_c"]), separator).alias("context"),
         F.count("*").alias("hits_used"),
         F.max("_used").alias("tokens_used"),
     )

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from larkspur.functions import text as tx
@@ -57,6 +57,39 @@ def text_index(df: DataFrame, item: str, text: str) -> DataFrame:
     return df.where(F.col(text).isNotNull()).select(item, tx.tokens(text).alias("tokens"))
 
 
+QUERY_BYTES = 64 * 1024  # room for the terms of one query when blocks are fetched
+
+
+def blocks_by_terms(blocks: Iterator[list[Row]]) -> Iterator[list[Row]]:
+    """Split blocks so that each term-by-query weight matrix stays within the block size."""
+    for rows in blocks:
+        part, terms = [], set()
+        for r in rows:
+            grown = terms | set(r["_terms"])
+            if part and 8 * len(grown) * (len(part) + 1) > topk.BLOCK_BYTES:
+                yield part
+                part, grown = [], set(r["_terms"])
+            part, terms = [*part, r], grown
+        if part:
+            yield part
+
+
+EVERY_DOCUMENT = ""  # no token is empty, so this marks the row that counts all documents
+
+
+def term_statistics(index: DataFrame, terms: list[str]) -> DataFrame:
+    """Documents per term, and the document count with total length, in one pass.
+
+    Only the distinct query terms of a document leave the row, and counts
+    combine on the map side, so a term that every document has costs no more.
+    """
+    vocabulary = index.sparkSession.createDataFrame([(t,) for t in [EVERY_DOCUMENT, *terms]], "term string")
+    own = F.array_append(F.array_distinct("tokens"), F.lit(EVERY_DOCUMENT))
+    found = index.select(F.size("tokens").alias("_n"), F.explode(own).alias("term")).join(F.broadcast(vocabulary), "term")
+    length = F.sum(F.when(F.col("term") == EVERY_DOCUMENT, F.col("_n")))
+    return found.groupBy("term").agg(F.count("*").alias("df"), length.alias("length"))
+
+
 def keyword_search(
     index: DataFrame, queries: DataFrame, k: int, item: str = "doc_id", query_key: str = "query_id",
     query_text: str = "query_text",
@@ -67,34 +100,22 @@ def keyword_search(
     documents per query term (pre-aggregated), one scores documents in place.
     """
     asked = queries.select(query_key, F.array_distinct(tx.tokens(query_text)).alias("_terms"))
-    stats = index.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("mean")).first()
-    documents, mean_length = stats["n"], stats["mean"] or 1.0
-    average = asked.agg(F.avg(F.size("_terms"))).first()[0] or 1.0
     query_type = queries.schema[query_key].dataType
-    # a block's weight matrix has one cell per (term, query): bound both sides together
-    per_query = int(8 * average * 400) + 1
 
     def scorer(rows):
         terms = sorted({term for r in rows for term in r["_terms"]})
         place = {term: i for i, term in enumerate(terms)}
-        vocabulary = index.sparkSession.createDataFrame([(term,) for term in terms], "term string")
-        counted = (
-            index.select(F.explode(F.array_distinct("tokens")).alias("term"))
-            .join(F.broadcast(vocabulary), "term")
-            .groupBy("term")
-            .agg(F.count("*").alias("df"))
-            .collect()  # one row per query term of this block
-        )
-        idf = np.zeros(len(terms))
-        for r in counted:
-            idf[place[r["term"]]] = np.log1p((documents - r["df"] + 0.5) / (r["df"] + 0.5))
+        counted = {r["term"]: r for r in term_statistics(index, terms).collect()}  # one row per query term
+        every = counted.get(EVERY_DOCUMENT)
+        documents, mean_length = (every["df"], every["length"] / every["df"]) if every else (0, 1.0)
         weights = np.zeros((len(terms), len(rows)))
         for q, r in enumerate(rows):
             for term in r["_terms"]:
-                weights[place[term], q] = idf[place[term]]
-        return Bm25Scorer(terms, weights, mean_length)
+                df = counted[term]["df"] if term in counted else 0
+                weights[place[term], q] = np.log1p((documents - df + 0.5) / (df + 0.5))
+        return Bm25Scorer(terms, weights, mean_length or 1.0)
 
-    blocks = topk.query_blocks(asked, query_key, per_query)
+    blocks = blocks_by_terms(topk.query_blocks(asked, query_key, QUERY_BYTES))
     return topk.scan_top_k(index, item, "tokens", blocks, query_key, query_type, scorer, k)
 
 
@@ -128,9 +149,13 @@ def rerank(
 
     ``scorer`` maps two token columns to a score column; a Pandas function fits.
     """
-    pairs = hits.select(query_key, item, F.col("rank").alias("rank_before")).join(
-        queries.select(query_key, tx.tokens(query_text).alias("_q")), query_key
-    ).join(corpus.select(item, tx.tokens(text).alias("_p")), item)
+    # texts are split after the join: only recalled passages are
+    pairs = (
+        hits.select(query_key, item, F.col("rank").alias("rank_before"))
+        .join(queries.select(query_key, F.col(query_text).alias("_qt")), query_key)
+        .join(corpus.select(item, F.col(text).alias("_pt")), item)
+        .select(query_key, item, "rank_before", tx.tokens("_qt").alias("_q"), tx.tokens("_pt").alias("_p"))
+    )
     scored = pairs.withColumn("rerank_score", F.round(scorer(F.col("_q"), F.col("_p")), topk.SCORE_DIGITS)).drop("_q", "_p")
     order = [F.col("rerank_score").desc(), F.col("rank_before")]
     return top_k(scored, [query_key], order, n, "rank_after").withColumn(

@@ -60,13 +60,20 @@ class BestPerQuery:
 
 
 def query_blocks(queries: DataFrame, key: str, row_bytes: int) -> Iterator[list[Row]]:
-    """The query rows in blocks of at most about ``BLOCK_BYTES``."""
-    total = queries.count()
+    """The query rows in blocks of about ``BLOCK_BYTES``; nothing is left out.
+
+    A query table that fits one block is read once.  A larger one is split by
+    a hash of its ids, and each block is fetched when it is needed.
+    """
     block_rows = max(BLOCK_BYTES // max(row_bytes, 1), 1)
-    blocks = max(math.ceil(total / block_rows), 1)
+    rows = queries.limit(block_rows + 1).collect()
+    if len(rows) <= block_rows:
+        if rows:
+            yield rows
+        return
+    blocks = math.ceil(queries.count() / block_rows)
     for block in range(blocks):
-        part = queries.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == block) if blocks > 1 else queries
-        rows = part.limit(2 * block_rows + 1).collect()
+        rows = queries.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == block).limit(2 * block_rows + 1).collect()
         if len(rows) > 2 * block_rows:
             raise ValueError(f"query ids in {key} are not unique enough to form blocks")
         if rows:

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import IDF, HashingTF, Normalizer
@@ -68,10 +69,20 @@ class TextEmbedder:
         return vectors.drop("_tokens", "_tf", "_idf", "_unit")
 
 
+VECTOR_BYTES = 8 * 1024  # room for one query vector of up to 1,024 elements
+
+
 def unit_rows(matrix: np.ndarray) -> np.ndarray:
     return matrix / (np.linalg.norm(matrix, axis=1, keepdims=True) + NORM_EPSILON)
 
 
+def dense(lists: pa.ListArray, dim: int) -> np.ndarray:
+    """A list column as a matrix; every vector must have ``dim`` elements."""
+    if not pc.all(pc.equal(pc.list_value_length(lists), dim), min_count=0).as_py():
+        raise ValueError(f"every vector must have {dim} elements")
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+
+
 @dataclass(frozen=True)
 class VectorScorer:
     """Scores record batches (id, vector) against a matrix of query vectors."""
@@ -81,7 +92,7 @@ class VectorScorer:
 
     def __call__(self, batch: pa.RecordBatch) -> Iterator[tuple[slice, np.ndarray]]:
         dim = self.queries.shape[1]
-        matrix = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+        matrix = dense(batch.column(1), dim)
         if self.metric == "cosine":
             matrix = unit_rows(matrix)
         rows = max(topk.CELLS_PER_STEP // len(self.queries), 1)
@@ -108,20 +119,13 @@ def search(
     if metric not in ("cosine", "dot"):
         raise ValueError(f"unknown metric {metric!r}")
     asked = queries.where(F.col(query_vector).isNotNull()).select(query_key, query_vector)
-    first = asked.first()
-    dim = len(first[query_vector]) if first else 1
-    good = corpus.where(F.col(vector).isNotNull()).withColumn(
-        vector,
-        F.when(F.size(vector) == dim, F.col(vector)).otherwise(
-            F.raise_error(F.lit(f"corpus vectors must have {dim} elements"))
-        ),
-    )
+    good = corpus.where(F.col(vector).isNotNull())
 
     def scorer(rows):
         matrix = np.asarray([r[query_vector] for r in rows], dtype=np.float64)
         return VectorScorer(unit_rows(matrix) if metric == "cosine" else matrix, metric)
 
-    blocks = topk.query_blocks(asked, query_key, row_bytes=8 * dim)
+    blocks = topk.query_blocks(asked, query_key, VECTOR_BYTES)
     return topk.scan_top_k(good, item, vector, blocks, query_key, queries.schema[query_key].dataType, scorer, k)
 
 
@@ -182,8 +186,7 @@ def build_cell_index(corpus: DataFrame, item: str, vector: str, cells: int = 16,
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat = batch.column(place).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            cell = nearest_cells(shared.value, flat.reshape(batch.num_rows, -1), 1)[:, 0] if batch.num_rows else []
+            cell = nearest_cells(shared.value, dense(batch.column(place), shared.value.shape[1]), 1)[:, 0]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(cell, pa.int32())], names=[*batch.schema.names, "cell"]
             )
@@ -201,8 +204,7 @@ class CellScorer:
     def __call__(self, batch: pa.RecordBatch) -> Iterator[tuple[slice, np.ndarray]]:
         cells = batch.column(1).field("cell").to_numpy(zero_copy_only=False)
         dim = self.queries.shape[1]
-        matrix = batch.column(1).field("vector").flatten().to_numpy(zero_copy_only=False)
-        matrix = unit_rows(matrix.astype(np.float64).reshape(-1, dim))
+        matrix = unit_rows(dense(batch.column(1).field("vector"), dim))
         rows = max(topk.CELLS_PER_STEP // len(self.queries), 1)
         for start in range(0, len(matrix), rows):
             step = slice(start, start + rows)
@@ -221,8 +223,7 @@ def search_cells(
 ) -> DataFrame:
     """Approximate top-k: only the ``nprobe`` cells nearest to each query are read."""
     asked = queries.where(F.col(query_vector).isNotNull()).select(query_key, query_vector)
-    dim = index.centres.shape[1]
-    blocks = list(topk.query_blocks(asked, query_key, row_bytes=8 * dim))
+    blocks = list(topk.query_blocks(asked, query_key, VECTOR_BYTES))
     probed = set()
 
     def scorer(rows):

@@ -10,6 +10,19 @@ TABLE_NAMES = (
     "conversations",
 )
 
+# tables whose rows are long texts: work per row is high, so few scan tasks are slow
+TEXT_TABLES = ("documents", "pages")
+
+
+def spread_small_scan(df: DataFrame) -> DataFrame:
+    """Spread the rows when the scan has fewer tasks than the session has cores.
+
+    A file with a single row group is read by one task.  Large tables have far
+    more splits than cores and pass through unchanged, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
 
 class Tables:
     """Resolve table names to DataFrames: ``t.orders`` or ``t["orders"]``."""
@@ -26,7 +39,8 @@ class Tables:
 
     def __getitem__(self, name: str) -> DataFrame:
         if self.directory is not None:
-            return self.spark.read.parquet(self.path(name))
+            rows = self.spark.read.parquet(self.path(name))
+            return spread_small_scan(rows) if name in TEXT_TABLES else rows
         return self.spark.table(f"{self.schema}.{name}" if self.schema else name)
 
     def __getattr__(self, name: str) -> DataFrame:
