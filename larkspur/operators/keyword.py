@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import text as tx
 from larkspur.operators import topk
+from larkspur.operators.skew import broadcast_if_small
 from larkspur.operators.windows import top_k
 
 # The published BM25 and rank-fusion constants.
@@ -132,29 +133,42 @@ def fuse_ranks(dense: DataFrame, sparse: DataFrame, query_key: str, item: str, k
 
 
 def pair_score(query_tokens: Column, passage_tokens: Column) -> Column:
-    """Word-set F1 plus half the share of query bigrams found in the passage."""
+    """Word-set F1 plus half the share of query bigrams found in the passage.
+
+    A bigram occurs when its two tokens stand side by side in the blank-joined
+    passage, so the passage's own bigrams are never built.
+    """
     q, p = F.array_distinct(query_tokens), F.array_distinct(passage_tokens)
     shared = F.size(F.array_intersect(q, p)).cast("double")
     f1 = F.coalesce(2.0 * shared / F.nullif(F.size(q) + F.size(p), F.lit(0)), F.lit(0.0))
-    q2, p2 = F.array_distinct(tx.ngrams(query_tokens, 2)), F.array_distinct(tx.ngrams(passage_tokens, 2))
-    bonus = F.coalesce(F.size(F.array_intersect(q2, p2)) / F.nullif(F.size(q2), F.lit(0)), F.lit(0.0))
+    passage = F.concat(F.lit(" "), F.array_join(passage_tokens, " "), F.lit(" "))
+    bigrams = F.array_distinct(tx.ngrams(query_tokens, 2))
+    found = tx.let(
+        passage, lambda t: F.size(F.filter(bigrams, lambda g: F.contains(t, F.concat(F.lit(" "), g, F.lit(" ")))))
+    )
+    bonus = F.coalesce(found / F.nullif(F.size(bigrams), F.lit(0)), F.lit(0.0))
     return f1 + 0.5 * bonus
 
 
 def rerank(
     hits: DataFrame, queries: DataFrame, corpus: DataFrame, query_key: str, query_text: str, item: str, text: str, n: int,
-    scorer=pair_score,
+    depth: int = 50, scorer=pair_score,
 ) -> DataFrame:
-    """Rescore the recalled hits pair by pair and keep the best ``n``.
+    """Rescore the first ``depth`` hits pair by pair and keep the best ``n``.
 
     ``scorer`` maps two token columns to a score column; a Pandas function fits.
+    The hits number at most queries times depth: when that fits, they are
+    broadcast and the corpus texts stay where they are.
     """
+    asked = queries.select(query_key, F.col(query_text).alias("_qt"))
+    size = queries.agg(F.count("*").alias("rows"), F.avg(F.octet_length(query_text)).alias("bytes")).first()
+    recalled = (
+        hits.where(F.col("rank") <= depth).select(query_key, item, F.col("rank").alias("rank_before")).join(asked, query_key)
+    )
+    recalled = broadcast_if_small(recalled, size["rows"] * depth, int(size["bytes"] or 0) + 64)
     # texts are split after the join: only recalled passages are
-    pairs = (
-        hits.select(query_key, item, F.col("rank").alias("rank_before"))
-        .join(queries.select(query_key, F.col(query_text).alias("_qt")), query_key)
-        .join(corpus.select(item, F.col(text).alias("_pt")), item)
-        .select(query_key, item, "rank_before", tx.tokens("_qt").alias("_q"), tx.tokens("_pt").alias("_p"))
+    pairs = corpus.select(item, F.col(text).alias("_pt")).join(recalled, item).select(
+        query_key, item, "rank_before", tx.tokens("_qt").alias("_q"), tx.tokens("_pt").alias("_p")
     )
     scored = pairs.withColumn("rerank_score", F.round(scorer(F.col("_q"), F.col("_p")), topk.SCORE_DIGITS)).drop("_q", "_p")
     order = [F.col("rerank_score").desc(), F.col("rank_before")]
@@ -183,11 +197,12 @@ def documents_containing(
         passage, F.col(passage_text).alias("_passage"), F.when(F.size(w) >= 3, inner).otherwise(too_short).alias("_inner")
     )
     keyed = keyed.select(passage, "_passage", F.size("_inner").alias("_size"), F.array_join("_inner", " ").alias("_anchor"))
-    sizes = [r["_size"] for r in keyed.select("_size").distinct().collect()]  # at most five values
+    size = keyed.groupBy("_size").agg(F.count("*").alias("rows"), F.avg(F.octet_length("_passage")).alias("bytes")).collect()
     split = documents.select(F.col(doc), F.col(text).alias("_text"), tx.words(text).alias("_w"))
     found = None
-    for n in sizes:
-        wanted = keyed.where(F.col("_size") == n)
+    for group in size:  # at most five word counts
+        n = group["_size"]
+        wanted = broadcast_if_small(keyed.where(F.col("_size") == n), group["rows"], int(2 * group["bytes"]) + 64)
         anchors = split.select(doc, "_text", F.explode(F.array_distinct(tx.ngrams(F.col("_w"), n))).alias("_anchor"))
         hit = anchors.join(wanted, "_anchor").where(F.contains("_text", "_passage")).select(passage, doc)
         found = hit if found is None else found.union(hit)

@@ -8,6 +8,18 @@ from pyspark.sql import functions as F
 HOT_SHARES = 10_000  # a key is hot when it holds at least 1/10,000 of all rows
 
 
+BROADCAST_BYTES = 64 * 1024 * 1024  # most that a checked broadcast may hold
+
+
+def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
+    """Mark ``df`` for broadcast when its known size fits; otherwise leave the choice to Spark.
+
+    Spark plans from file sizes and would shuffle the large side before it
+    learns that the other one is tiny; here the row count is known beforehand.
+    """
+    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
+
+
 def join_hot_keys(
     left: DataFrame,
     right: DataFrame,

@@ -196,6 +196,7 @@ GOLD = "gold AS (SELECT b.item_id AS query_id, d.doc_id FROM benchmark b JOIN do
 
 
 def gold_pairs(t):
+    """Documents that contain a benchmark passage are its relevant documents."""
     return kw.documents_containing(t.documents, t.benchmark).withColumnRenamed("item_id", "query_id")
 
 
