@@ -237,8 +237,8 @@ PRICE_IN, PRICE_OUT = 0.003, 0.015
 
 def token_cost(rows: Column, input_tokens: Column, output_tokens: Column, price_in: float = PRICE_IN, price_out: float = PRICE_OUT) -> Column:
     """Batch cost from a row count and mean tokens per row, rounded to cents."""
-    cost = rows * input_tokens / 1000 * price_in + rows * output_tokens / 1000 * price_out
-    return F.round(cost, 2)
+    thousands = rows.cast("double") / 1000
+    return F.round(thousands * input_tokens * price_in + thousands * output_tokens * price_out, 2)
 
 
 def cost_report(df: DataFrame, text: str, output_tokens: int, lean_share: float) -> DataFrame:

@@ -116,7 +116,7 @@ def keyword_search(
                 weights[place[term], q] = np.log1p((documents - df + 0.5) / (df + 0.5))
         return Bm25Scorer(terms, weights, mean_length or 1.0)
 
-    blocks = blocks_by_terms(topk.query_blocks(asked, query_key, QUERY_BYTES))
+    blocks = blocks_by_terms(topk.query_blocks(asked, QUERY_BYTES))
     return topk.scan_top_k(index, item, "tokens", blocks, query_key, query_type, scorer, k)
 
 

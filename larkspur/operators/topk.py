@@ -9,7 +9,6 @@ of any size is answered in full, block after block.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -59,11 +58,11 @@ class BestPerQuery:
         self.query, self.score, self.item = self.query[kept], self.score[kept], self.item[kept]
 
 
-def query_blocks(queries: DataFrame, key: str, row_bytes: int) -> Iterator[list[Row]]:
+def query_blocks(queries: DataFrame, row_bytes: int) -> Iterator[list[Row]]:
     """The query rows in blocks of about ``BLOCK_BYTES``; nothing is left out.
 
-    A query table that fits one block is read once.  A larger one is split by
-    a hash of its ids, and each block is fetched when it is needed.
+    A query table that fits one block is read once.  A larger one streams to
+    the driver partition by partition, one block at a time.
     """
     block_rows = max(BLOCK_BYTES // max(row_bytes, 1), 1)
     rows = queries.limit(block_rows + 1).collect()
@@ -71,13 +70,14 @@ def query_blocks(queries: DataFrame, key: str, row_bytes: int) -> Iterator[list[
         if rows:
             yield rows
         return
-    blocks = math.ceil(queries.count() / block_rows)
-    for block in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == block).limit(2 * block_rows + 1).collect()
-        if len(rows) > 2 * block_rows:
-            raise ValueError(f"query ids in {key} are not unique enough to form blocks")
-        if rows:
+    rows = []
+    for row in queries.toLocalIterator():
+        rows.append(row)
+        if len(rows) == block_rows:
             yield rows
+            rows = []
+    if rows:
+        yield rows
 
 
 def scan_top_k(

@@ -125,7 +125,7 @@ def search(
         matrix = np.asarray([r[query_vector] for r in rows], dtype=np.float64)
         return VectorScorer(unit_rows(matrix) if metric == "cosine" else matrix, metric)
 
-    blocks = topk.query_blocks(asked, query_key, VECTOR_BYTES)
+    blocks = topk.query_blocks(asked, VECTOR_BYTES)
     return topk.scan_top_k(good, item, vector, blocks, query_key, queries.schema[query_key].dataType, scorer, k)
 
 
@@ -223,7 +223,7 @@ def search_cells(
 ) -> DataFrame:
     """Approximate top-k: only the ``nprobe`` cells nearest to each query are read."""
     asked = queries.where(F.col(query_vector).isNotNull()).select(query_key, query_vector)
-    blocks = list(topk.query_blocks(asked, query_key, VECTOR_BYTES))
+    blocks = list(topk.query_blocks(asked, VECTOR_BYTES))
     probed = set()
 
     def scorer(rows):

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from larkspur.session import ship_package
+
 TABLE_NAMES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
     "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -28,6 +30,7 @@ class Tables:
     """Resolve table names to DataFrames: ``t.orders`` or ``t["orders"]``."""
 
     def __init__(self, spark: SparkSession, directory: str | None = None, schema: str | None = None):
+        ship_package(spark)
         self.spark = spark
         self.directory = directory.rstrip("/") if directory else None
         self.schema = schema
