@@ -24,6 +24,7 @@ from larkspur.functions.similarity import cosine
 from larkspur.operators.guard import mask_entities
 from larkspur.operators.skew import join_hot_keys
 from larkspur.operators.vectors import TextEmbedder
+from larkspur.session import work_dir
 
 OTHER = "other"
 
@@ -252,15 +253,23 @@ def cost_report(df: DataFrame, text: str, output_tokens: int, lean_share: float)
 
 
 def train_classifier(labelled: DataFrame, text: str, label: str, features: int = 4096) -> PipelineModel:
-    """Hashed TF-IDF and logistic regression; apply the model with ``predict``."""
+    """Hashed TF-IDF and logistic regression; apply the model with ``predict``.
+
+    The model is stored in the shared folder and read back: the stored form
+    holds the weights only, without the training frame that a fitted model
+    keeps a hold of and would send to every task.
+    """
     staged = labelled.select(tx.tokens(text).alias("_tokens"), F.col(label).cast("double").alias("label"))
-    return Pipeline(
+    fitted = Pipeline(
         stages=[
             HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=features),
             IDF(inputCol="_tf", outputCol="features"),
             LogisticRegression(maxIter=20, regParam=0.01),
         ]
     ).fit(staged)
+    path = work_dir(labelled.sparkSession, "classifier")
+    fitted.save(path)
+    return PipelineModel.load(path)
 
 
 def predict(model: PipelineModel, df: DataFrame, text: str) -> DataFrame:
