@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.session import cut_lineage
+
 
 def daily_percentiles(
     df: DataFrame, day: Column, value: str, percentiles: dict[str, float], extra: list[Column] | None = None
@@ -21,28 +23,23 @@ def order_statistic(df: DataFrame, keys: list[str], value: str, p: float, name:
     only the rows inside the bracket are grouped by value and ranked, and the
     rows below it are counted.  The bracket holds a fixed small share of the
     rows, equal values fold into one row, and so no task sees a whole key.
+
+    The brackets (one row per key) are stored first: their size is then known,
+    and Spark broadcasts them instead of shuffling the rows by key.
     """
     slack, accuracy = 0.005, 10_000
     low, high = max(p - slack, 0.0), min(p + slack, 1.0)
-    clean = df.where(F.col(value).isNotNull())
+    clean = df.where(F.col(value).isNotNull()).select(*keys, value)
     bounds = clean.groupBy(*keys).agg(
-        F.count("*").alias("_n"),
-        F.percentile_approx(value, low, accuracy).alias("_low"),
-        F.percentile_approx(value, high, accuracy).alias("_high"),
-        F.min(value).alias("_min"),
-        F.max(value).alias("_max"),
-    )
-    bounds = bounds.select(
-        *keys,
-        F.floor(F.lit(p) * (F.col("_n") - 1)).alias("_rank"),
-        F.when(F.lit(low) <= 0.0, F.col("_min")).otherwise(F.col("_low")).alias("_low"),
-        F.when(F.lit(high) >= 1.0, F.col("_max")).otherwise(F.col("_high")).alias("_high"),
+        F.floor(F.lit(p) * (F.count("*") - 1)).alias("_rank"),
+        (F.min(value) if low <= 0.0 else F.percentile_approx(value, low, accuracy)).alias("_low"),
+        (F.max(value) if high >= 1.0 else F.percentile_approx(value, high, accuracy)).alias("_high"),
     )
-    keyed = clean.select(*keys, value)
     if keys:
-        joined = keyed.join(bounds, keys)
+        joined = clean.join(cut_lineage(bounds), keys)
     else:
-        joined = keyed.withColumns({c: bounds.select(c).scalar() for c in ("_rank", "_low", "_high")})
+        only = bounds.first()
+        joined = clean.withColumns({c: F.lit(only[c]) for c in ("_rank", "_low", "_high")})
     counts = (
         joined.where(F.col(value) <= F.col("_high"))
         .withColumn("_v", F.when(F.col(value) >= F.col("_low"), F.col(value)))

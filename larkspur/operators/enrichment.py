@@ -24,7 +24,7 @@ from larkspur.functions.similarity import cosine
 from larkspur.operators.guard import mask_entities
 from larkspur.operators.skew import join_hot_keys
 from larkspur.operators.vectors import TextEmbedder
-from larkspur.session import work_dir
+from larkspur.session import cut_lineage, work_dir
 
 OTHER = "other"
 
@@ -171,15 +171,18 @@ def parse_results(results: DataFrame, key: str, ddl: str) -> tuple[DataFrame, Da
 def infer_distinct(df: DataFrame, key: str, text: str, fn: Callable[[str], str]) -> DataFrame:
     """Score each distinct normalized text once and give every row its answer.
 
-    Copies collapse before the function runs; the way back spreads the rows of
-    a text that very many rows share.
+    Copies collapse before the function runs and its answers are stored in the
+    shared folder, so no plan step calls it again.  The way back spreads the
+    rows of a text that very many rows share.
     """
     keyed = df.where(F.col(text).isNotNull()).select(
         key, F.sha2(tx.normalized(text), 256).alias("_h"), tx.normalized(text).alias("_text")
     )
-    once = keyed.groupBy("_h").agg(F.first("_text").alias("_text"), F.count("*").alias("_copies"))
-    answers = batch_infer(once, "_h", "_text", fn).join(once.select("_h", "_copies"), "_h")
-    return join_hot_keys(keyed.select(key, "_h"), answers, "_h", "_copies", [F.col(key)]).select(key, "result")
+    once = keyed.groupBy("_h").agg(F.first("_text").alias("_text"))
+    answers = cut_lineage(batch_infer(once, "_h", "_text", fn))
+    copies = keyed.groupBy("_h").agg(F.count("*").alias("_copies"))
+    weighted = answers.join(copies, "_h")
+    return join_hot_keys(keyed.select(key, "_h"), weighted, "_h", "_copies", [F.col(key)], weights=copies).select(key, "result")
 
 
 def check_contract(c: Column | str, keys: list[str]) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions import text as tx
+from larkspur.operators.skew import join_hot_keys
 
 # Markers in the order they are tested, and the length limits.
 INJECTION_MARKERS = [
@@ -247,9 +248,14 @@ def licence_intake(df: DataFrame, text: str) -> DataFrame:
 
 
 def propagate_licence(lineage: DataFrame, sources: DataFrame, derived: str, source: str) -> DataFrame:
-    """Each derived item with the strictest licence among its sources."""
+    """Each derived item with the strictest licence among its sources.
+
+    A source that very many items derive from is spread over tasks.
+    """
+    uses = lineage.groupBy(source).agg(F.count("*").alias("_uses"))
+    rated = uses.join(sources.select(source, "license_rank", "license_type"), source)
+    joined = join_hot_keys(lineage.select(derived, source), rated, source, "_uses", [F.col(derived)], weights=uses)
     strict = F.max(F.struct("license_rank", "license_type"))
-    joined = lineage.join(sources.select(source, "license_rank", "license_type"), source)
     return joined.groupBy(derived).agg(strict.alias("_s")).select(derived, "_s.license_type", "_s.license_rank")
 
 

@@ -27,6 +27,7 @@ def join_hot_keys(
     weight: str,
     spread: list[Column],
     how: str = "inner",
+    weights: DataFrame | None = None,
 ) -> DataFrame:
     """Equi-join ``left`` with ``right`` (unique by ``key``), hot keys spread.
 
@@ -35,21 +36,19 @@ def join_hot_keys(
     list is small whatever the data size and is the only thing broadcast.
     Left rows of a hot key get one of S salts from a hash of ``spread``; the
     matching right rows are repeated S times.  All other keys join as usual.
+
+    Give ``weights`` (key and weight) when ``right`` is costly to compute, so
+    that finding the hot keys does not evaluate it again.
     """
-    spark = left.sparkSession
-    salts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
-    total = right.agg(F.sum(weight).alias("total")).scalar()
-    is_hot = F.col(weight) * HOT_SHARES >= total
-    hot = right.where(is_hot & (F.col(weight) > salts)).select(key, F.lit(True).alias("_hot"))
-    salted_left = left.join(F.broadcast(hot), key, "left").withColumn(
-        "_salt",
-        F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")).otherwise(0),
-    ).drop("_hot")
+    known = (right if weights is None else weights).select(key, weight)
+    salts = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
+    total = known.agg(F.sum(weight).alias("total")).scalar()
+    is_hot = (F.col(weight) * HOT_SHARES >= total) & (F.col(weight) > salts)
+    hot = known.where(is_hot).select(key, F.lit(True).alias("_hot"))
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")).otherwise(0)
+    salted_left = left.join(F.broadcast(hot), key, "left").withColumn("_salt", salt).drop("_hot")
     every_salt = F.sequence(F.lit(0), F.lit(salts - 1))
     salted_right = right.withColumn(
-        "_salt",
-        F.explode(
-            F.when(is_hot & (F.col(weight) > salts), every_salt).otherwise(F.array(F.lit(0)))
-        ),
+        "_salt", F.explode(F.when(is_hot, every_salt).otherwise(F.array(F.lit(0))))
     )
     return salted_left.join(salted_right, [key, "_salt"], how).drop("_salt")

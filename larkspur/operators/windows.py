@@ -63,24 +63,23 @@ def last_turns(df: DataFrame, conversation: str, turn: str, keep: int) -> DataFr
     return kept.groupBy(conversation).agg(items.alias("history"))
 
 
-def running_total(
-    df: DataFrame, keys: list[str], slice_by: list[Column], order: list[Column], value: Column, name: str
+def running_totals(
+    df: DataFrame, keys: list[str], slice_by: list[Column], order: list[Column], values: dict[str, Column]
 ) -> DataFrame:
-    """Running total per key in two levels, so that no task holds a whole key.
+    """Running totals per key in two levels, so that no task holds a whole key.
 
     Rows are summed per (key, slice); the slice sums give each slice its offset
     and the detailed window runs inside one slice only.  ``slice_by`` must be
     a prefix of the row order in time (for example second, then tenth).
+    ``values`` maps result names to the summed expressions.
     """
     names = [f"_s{i}" for i in range(len(slice_by))]
-    rows = df.select("*", value.alias("_v"), *[c.alias(n) for n, c in zip(names, slice_by)])
-    sums = rows.groupBy(*keys, *names).agg(F.sum("_v").alias("_sum"))
+    rows = df.select("*", *[v.alias(n) for n, v in values.items()], *[c.alias(n) for n, c in zip(names, slice_by)])
+    sums = rows.groupBy(*keys, *names).agg(*[F.sum(n).alias(f"_sum_{n}") for n in values])
     before = Window.partitionBy(*keys).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.withColumn("_offset", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
-    inside = Window.partitionBy(*keys, *names).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        rows.withColumn("_part", F.sum("_v").over(inside))
-        .join(offsets, [*keys, *names])
-        .withColumn(name, F.col("_part") + F.col("_offset"))
-        .drop("_v", "_part", "_offset", *names)
+    offsets = sums.select(
+        *keys, *names, *[F.coalesce(F.sum(f"_sum_{n}").over(before), F.lit(0)).alias(f"_offset_{n}") for n in values]
     )
+    inside = Window.partitionBy(*keys, *names).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    joined = rows.withColumns({n: F.sum(n).over(inside) for n in values}).join(offsets, [*keys, *names])
+    return joined.select(*df.columns, *[(F.col(n) + F.col(f"_offset_{n}")).alias(n) for n in values])

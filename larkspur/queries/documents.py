@@ -189,6 +189,17 @@ def _(t):
     return out.withColumn("jaccard", F.round("jaccard", 6))
 
 
+@query("k7_similar_hits")
+def _(t):
+    """Keyword hits per benchmark question without near repeats of better hits."""
+    from larkspur.operators import keyword as kw
+
+    asked = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
+    hits = kw.keyword_search(kw.text_index(t.documents, "doc_id", "text"), asked, 20)
+    texts = hits.join(t.documents.select("doc_id", F.col("text").alias("content")), "doc_id")
+    return dc.drop_similar_hits(texts, "query_id", "rank", "content", 0.8).select("query_id", "doc_id", "rank")
+
+
 @query("k8_recursive_chunks")
 def _(t):
     return digest(rows_of(t, ch.recursive_chunks(1200, 200)("text")))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from larkspur.functions.times import instant, wall_clock
-from larkspur.operators.windows import running_total
+from larkspur.operators.windows import running_totals
 from larkspur.sources.writes import read_table
 from larkspur.streaming.changelog import ChangeLog
 from larkspur.streaming.ingest import start
@@ -30,18 +32,21 @@ def rate_limit(
         raise ValueError(f"unit must be one of {sorted(FINER)}")
     if calls is None and tokens is None:
         raise ValueError("give a limit of calls, of tokens or both")
-    out = requests.withColumn("_window", F.date_trunc(unit, ts))
-    order, slices = [F.col(ts), F.col(request_id)], [F.date_trunc(FINER[unit], F.col(ts))]
-    over = F.lit(False)
+    counted = {}
     if calls is not None:
-        out = running_total(out, [*keys, "_window"], slices, order, F.lit(1), "_calls")
-        over = over | (F.col("_calls") > calls)
+        counted["_calls"] = F.lit(1)
     if tokens is not None:
-        spent = F.coalesce(F.col(tokens_column), F.lit(0))
-        out = running_total(out, [*keys, "_window"], slices, order, spent, "_tokens")
-        over = over | (F.col("_tokens") > tokens)
-    coded = out.withColumn("response_code", F.when(over, 429).otherwise(200))
-    return coded.drop("_window", *(["_calls"] if calls is not None else []), *(["_tokens"] if tokens is not None else []))
+        counted["_tokens"] = F.coalesce(F.col(tokens_column), F.lit(0))
+    out = running_totals(
+        requests.withColumn("_window", F.date_trunc(unit, ts)),
+        [*keys, "_window"],
+        [F.date_trunc(FINER[unit], F.col(ts))],
+        [F.col(ts), F.col(request_id)],
+        counted,
+    )
+    limits = {"_calls": calls, "_tokens": tokens}
+    over = reduce(lambda a, b: a | b, [F.col(n) > limits[n] for n in counted])
+    return out.withColumn("response_code", F.when(over, 429).otherwise(200)).drop("_window", *counted)
 
 
 def limit_report(requests: DataFrame, keys: list[str], ts: str, calls: int, window: str = "1 minute") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from larkspur.operators import aggregates as agg
 from larkspur.operators import documents as dc
 from larkspur.operators.skew import join_hot_keys
-from larkspur.operators.windows import latest_by_key, running_total
+from larkspur.operators.windows import latest_by_key, running_totals
 from larkspur.streaming.requests import rate_limit
 
 
@@ -48,7 +48,7 @@ def test_running_total_in_slices(spark):
     rows = timed(spark)
     w = Window.partitionBy("key").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, 0)
     want = rows.select("id", F.sum("id").over(w).alias("total"))
-    got = running_total(rows, ["key"], [F.date_trunc("MINUTE", "ts")], [F.col("ts"), F.col("id")], F.col("id"), "total")
+    got = running_totals(rows, ["key"], [F.date_trunc("MINUTE", "ts")], [F.col("ts"), F.col("id")], {"total": F.col("id")})
     got = got.select("id", "total")
     assert got.exceptAll(want).isEmpty() and got.count() == 6000
 
