@@ -12,6 +12,7 @@ from larkspur.functions import text as tx
 from larkspur.functions.similarity import jaccard
 from larkspur.operators.skew import join_hot_keys
 from larkspur.operators.windows import top_k
+from larkspur.session import cut_lineage
 
 # Element types that never belong in the flattened text.
 NOISE_ELEMENT_TYPES = ["page_number", "page_footer", "page_header"]
@@ -169,8 +170,11 @@ def dedup_exact(df: DataFrame, id_column: str, text: str) -> DataFrame:
 
 
 def label_copies(df: DataFrame, id_column: str, text: str) -> DataFrame:
-    """Every row id with the id of the row it copies; a huge copy group is spread."""
-    keyed = df.select(id_column, F.sha2(tx.normalized(text), 256).alias("content_hash"))
+    """Every row id with the id of the row it copies; a huge copy group is spread.
+
+    Ids and hashes are stored first: the texts are read and hashed once.
+    """
+    keyed = cut_lineage(df.select(id_column, F.sha2(tx.normalized(text), 256).alias("content_hash")))
     groups = keyed.groupBy("content_hash").agg(
         F.min(id_column).alias("canonical_id"), F.count("*").alias("copies")
     )

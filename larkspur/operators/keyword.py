@@ -179,34 +179,31 @@ def rerank(
 
 def documents_containing(
     documents: DataFrame, passages: DataFrame, doc: str = "doc_id", text: str = "text", passage: str = "item_id",
-    passage_text: str = "text",
+    passage_text: str = "text", inline_limit: int = 5000,
 ) -> DataFrame:
     """(passage, document) pairs where the document text contains the passage.
 
-    Any document that contains a passage holds the passage's inner words as
-    whole words, one after the other.  The first five inner words of each
-    passage therefore serve as the join key and every match is then checked
-    with ``contains``.  Passages of fewer than three words have no inner word
-    and are refused.
+    A document that contains a passage holds the passage's inner words as
+    whole words.  The longest inner word is the join key, and every match is
+    then checked with ``contains``.  While the keys are few they also filter
+    the words inside the row, so only matching words are ever exploded.
+    Passages of fewer than three words have no inner word and are refused.
     """
-    length = 5
     w = tx.words(passage_text)
-    inner = F.slice(w, F.lit(2), F.greatest(F.least(F.size(w) - 2, F.lit(length)), F.lit(0)))
+    inner = F.slice(w, F.lit(2), F.greatest(F.size(w) - 2, F.lit(0)))
+    longest = F.aggregate(inner, F.lit(""), lambda best, x: F.when(F.length(x) > F.length(best), x).otherwise(best))
     too_short = F.raise_error(F.lit("a passage needs at least three words"))
     keyed = passages.select(
-        passage, F.col(passage_text).alias("_passage"), F.when(F.size(w) >= 3, inner).otherwise(too_short).alias("_inner")
+        passage, F.col(passage_text).alias("_passage"), F.when(longest != "", longest).otherwise(too_short).alias("_key")
     )
-    keyed = keyed.select(passage, "_passage", F.size("_inner").alias("_size"), F.array_join("_inner", " ").alias("_anchor"))
-    size = keyed.groupBy("_size").agg(F.count("*").alias("rows"), F.avg(F.octet_length("_passage")).alias("bytes")).collect()
-    split = documents.select(F.col(doc), F.col(text).alias("_text"), tx.words(text).alias("_w"))
-    found = None
-    for group in size:  # at most five word counts
-        n = group["_size"]
-        wanted = broadcast_if_small(keyed.where(F.col("_size") == n), group["rows"], int(2 * group["bytes"]) + 64)
-        anchors = split.select(doc, "_text", F.explode(F.array_distinct(tx.ngrams(F.col("_w"), n))).alias("_anchor"))
-        hit = anchors.join(wanted, "_anchor").where(F.contains("_text", "_passage")).select(passage, doc)
-        found = hit if found is None else found.union(hit)
-    return found
+    size = keyed.agg(F.count("*").alias("rows"), F.avg(F.octet_length("_passage")).alias("bytes")).first()
+    keys = [r["_key"] for r in keyed.select("_key").distinct().limit(inline_limit + 1).collect()]
+    found = F.array_distinct(tx.words(text))
+    if len(keys) <= inline_limit:
+        found = F.filter(found, lambda x: x.isin(keys))
+    wanted = broadcast_if_small(keyed, size["rows"], int(2 * (size["bytes"] or 0)) + 64)
+    candidates = documents.select(F.col(doc), F.col(text).alias("_text"), F.explode(found).alias("_key"))
+    return candidates.join(wanted, "_key").where(F.contains("_text", "_passage")).select(passage, doc)
 
 
 def retrieval_metrics(hits: DataFrame, gold: DataFrame, query_key: str, item: str, k: int) -> DataFrame:
