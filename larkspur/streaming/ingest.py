@@ -86,7 +86,7 @@ def declare_document_graph(dp, spark: SparkSession, landing: str, size: int = 12
     """
     from larkspur.sources.files import ingest_stream
 
-    @dp.table(name="docs_bronze", comment="Raw files with their provenance.")
+    @dp.table(name="docs_bronze", comment="Raw files with their provenance.", cluster_by=["source_path"])
     def docs_bronze():
         return ingest_stream(spark, landing)
 
@@ -102,7 +102,7 @@ def declare_document_graph(dp, spark: SparkSession, landing: str, size: int = 12
     def docs_text():
         return dc.document_text(spark.readStream.table("docs_parsed")).where(F.length("doc_text") > 0)
 
-    @dp.table(name="doc_chunks", comment="Chunks with ids and provenance.")
+    @dp.table(name="doc_chunks", comment="Chunks with ids and provenance.", cluster_by=["source_doc"])
     def doc_chunks():
         texts = spark.readStream.table("docs_text")
         return ch.chunk_rows(texts, "page_id", ch.recursive_chunks(size, overlap)(F.col("doc_text")))

@@ -17,6 +17,7 @@ def spark(tmp_path_factory):
         "tests", master="local[8]", shuffle_partitions=4,
         extra={
             "spark.ui.enabled": "false", "spark.driver.memory": "6g", "spark.ui.showConsoleProgress": "false",
+            "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")),
             "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
         },
     )

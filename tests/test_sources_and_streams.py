@@ -191,17 +191,38 @@ def test_limits_are_checked(spark):
         rq.rate_limit(events(spark), ["user_id"], "ts", "request_id", calls=1, unit="WEEK")
 
 
-def test_declared_graph_names_every_dataset(spark):
-    class Recorder:
-        names: list = []
-
-        def table(self, name, comment):
-            self.names.append(name)
-            return lambda fn: fn
-
-    recorder = Recorder()
-    ig.declare_document_graph(recorder, spark, "/landing")
-    assert recorder.names == ["docs_bronze", "docs_parsed", "docs_quarantine", "docs_text", "doc_chunks"]
+def test_declared_graph_runs_as_streams(spark, tmp_path):
+    """Declare against the real decorators, then run each declared flow once as a stream."""
+    from pyspark import pipelines as dp
+    from pyspark.pipelines.graph_element_registry import GraphElementRegistry, graph_element_registration_context
+
+    class Collect(GraphElementRegistry):
+        def __init__(self):
+            self.outputs, self.flows = [], []
+
+        def register_output(self, output):
+            self.outputs.append(output.name)
+
+        def register_flow(self, flow):
+            self.flows.append(flow)
+
+        def register_sql(self, sql_text, file_path):
+            raise AssertionError("no SQL files here")
+
+    landing = str(tmp_path / "landing")
+    drop(landing, 1), drop(landing, 2, closed=False), drop(landing, 3)
+    graph = Collect()
+    with graph_element_registration_context(graph):
+        ig.declare_document_graph(dp, spark, landing, size=20, overlap=5)
+    assert graph.outputs == ["docs_bronze", "docs_parsed", "docs_quarantine", "docs_text", "doc_chunks"]
+    for flow in graph.flows:
+        writer = flow.func().writeStream.option("checkpointLocation", str(tmp_path / flow.name))
+        writer.trigger(availableNow=True).toTable(flow.name).awaitTermination()
+    counts = {name: spark.table(name).count() for name in graph.outputs[:4]}
+    assert counts == {"docs_bronze": 3, "docs_parsed": 3, "docs_quarantine": 1, "docs_text": 2}
+    chunks = spark.table("doc_chunks")
+    assert chunks.columns == ["chunk_id", "content", "source_doc", "chunk_index", "ingested_at"]
+    assert chunks.select("source_doc").distinct().count() == 2
 
 
 def test_requests_survive_broken_properties(spark):
