@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkspur.functions import text as tx
-from larkspur.operators.skew import join_hot_keys
+from larkspur.operators.skew import BROADCAST_BYTES, join_hot_keys
 from larkspur.operators.windows import latest_by_key
+from larkspur.session import cut_lineage
 
 # Case-sensitive citation markers.
 CITATION_MARKERS = ["Fare Rules", "fare rules", "policy", "source", "§"]
@@ -156,26 +157,31 @@ def bleu(pairs: DataFrame, key: str, hypothesis: str, reference: str, orders: in
     )
 
 
+TERM_BYTES = 64  # room for one vocabulary entry in a broadcast
+
+
 def unigram_perplexity(documents: DataFrame, corpus: DataFrame, key: str, text: str) -> DataFrame:
     """Perplexity of each document under an add-one unigram model of the corpus.
 
-    Tokens are counted per document first, so a term joins once per document;
+    The term counts are stored first; their number decides the way back.  A
+    vocabulary that fits a checked broadcast is looked up token by token and
+    nothing but one sum per document is shuffled.  For a larger one, tokens
+    are counted per document, so that a term joins once per document, and
     terms that nearly every document has are spread by the hot-key join.
     """
-    def counts(df: DataFrame) -> DataFrame:
-        return df.select(key, F.explode(tx.tokens(text)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
-
-    model = counts(corpus).groupBy("term").agg(F.sum("tf").alias("cf"))
-    sizes = model.agg(F.sum("cf").alias("n"), F.count("*").alias("v"))
-    mine = counts(documents)
+    tokens = F.explode(tx.tokens(text)).alias("term")
+    model = cut_lineage(corpus.select(tokens).groupBy("term").agg(F.count("*").alias("cf")))
+    size = model.agg(F.sum("cf").alias("n"), F.count("*").alias("v")).first()
+    total = (size["n"] or 0) + size["v"] + 1
+    surprise = -F.log((F.coalesce("cf", F.lit(0)) + 1) / F.lit(total))
+    if size["v"] * TERM_BYTES <= BROADCAST_BYTES:
+        found = documents.select(key, tokens).join(F.broadcast(model), "term", "left")
+        return found.groupBy(key).agg(F.exp(F.avg(surprise)).alias("perplexity"))
+    mine = documents.select(key, tokens).groupBy(key, "term").agg(F.count("*").alias("tf"))
     # the weight is the number of (document, term) rows to be joined
-    weights = mine.groupBy("term").agg(F.count("*").alias("docs"))
-    terms = weights.join(model, "term", "left")
-    joined = join_hot_keys(mine, terms, "term", "docs", [F.col(key)])
-    probability = (F.coalesce("cf", F.lit(0)) + 1) / (sizes.select(F.col("n") + F.col("v") + 1).scalar())
-    return joined.groupBy(key).agg(
-        F.exp(-F.sum(F.col("tf") * F.log(probability)) / F.sum("tf")).alias("perplexity")
-    )
+    docs = mine.groupBy("term").agg(F.count("*").alias("docs"))
+    joined = join_hot_keys(mine, docs.join(model, "term", "left"), "term", "docs", [F.col(key)], weights=docs)
+    return joined.groupBy(key).agg(F.exp(F.sum(F.col("tf") * surprise) / F.sum("tf")).alias("perplexity"))
 
 
 def run_means(scores: DataFrame, run: str, scorers: list[str]) -> DataFrame:

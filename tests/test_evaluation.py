@@ -53,6 +53,16 @@ def test_perplexity_by_hand(spark):
     assert got[1] == pytest.approx((a * a * b) ** (-1 / 3)) and got[2] == pytest.approx(1 / c)
 
 
+def test_perplexity_paths_agree(spark, tables, monkeypatch):
+    def run():
+        out = ev.unigram_perplexity(tables.documents, tables.documents, "doc_id", "text")
+        return {r["doc_id"]: r["perplexity"] for r in out.collect()}
+
+    small = run()
+    monkeypatch.setattr(ev, "BROADCAST_BYTES", 0)
+    assert run() == pytest.approx(small)
+
+
 def means(spark, **scores):
     rows = [(run, scorer, value) for scorer, pair in scores.items() for run, value in zip(("v1", "v2"), pair) if value is not None]
     return spark.createDataFrame(rows, "run string, scorer string, mean double")
