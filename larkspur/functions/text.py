@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 TOKEN_PATTERN = r"[\p{L}\p{N}]+"
 SENTENCE_PATTERN = r"[^.!?]*[.!?]+|[^.!?]+"
 
+# Only a newline ends a line in the noise rules, so text with CRLF is cleaned too.
+NEWLINE_ONLY = "(?d)"
 # Noise rules of the cleaning step, in the order they apply.
 TAG_PATTERN = r"<[^>]+>"
 DISCLAIMER_PATTERN = r"(?i)this document is confidential.*?(\n|$)"
@@ -41,7 +43,7 @@ def tokens(c: Column | str) -> Column:
 
 def words(c: Column | str) -> Column:
     """Whitespace-separated words, case and punctuation kept."""
-    return F.filter(F.split(_col(c), r"\s+"), lambda w: w != "")
+    return F.filter(F.split(_col(c), r"(?U)\s+"), lambda w: w != "")
 
 
 def word_count(c: Column | str) -> Column:
@@ -67,9 +69,9 @@ def paragraphs(c: Column | str, pattern: str = r"\n\n+") -> Column:
 def remove_noise(c: Column | str) -> Column:
     """Drop tags, confidentiality lines, page marks and update stamps."""
     out = F.regexp_replace(_col(c), TAG_PATTERN, " ")
-    out = F.regexp_replace(out, DISCLAIMER_PATTERN, "")
+    out = F.regexp_replace(out, NEWLINE_ONLY + DISCLAIMER_PATTERN, "")
     out = F.regexp_replace(out, PAGE_MARK_PATTERN, "")
-    return F.regexp_replace(out, LAST_UPDATED_PATTERN, "")
+    return F.regexp_replace(out, NEWLINE_ONLY + LAST_UPDATED_PATTERN, "")
 
 
 def unique_lines(c: Column | str) -> Column:

@@ -305,12 +305,18 @@ def completeness(extracted: DataFrame, fields: list[Field]) -> DataFrame:
     )
 
 
-def expand_terms(c: Column | str, rules: dict[str, str]) -> Column:
-    """Replace whole-word terms by their expansion, rule by rule in order."""
-    out = F.col(c) if isinstance(c, str) else c
+def expand_terms(c: Column | str, rules: dict[str, str], whole_words: bool = False) -> Column:
+    """Trimmed text with each term replaced by its expansion, rule by rule in order.
+
+    Terms are literals that match anywhere, or only as whole words on request.
+    """
+    out = tx.strip(c)
+    if not whole_words:
+        return tx.substitute(out, rules)
     for term, expansion in rules.items():
-        out = F.regexp_replace(out, rf"\b{re.escape(term)}\b", expansion.replace("\\", "\\\\").replace("$", r"\$"))
-    return F.trim(out)
+        replacement = expansion.replace("\\", "\\\\").replace("$", r"\$")
+        out = F.regexp_replace(out, rf"\b{re.escape(term)}\b", replacement)
+    return out
 
 
 def assemble_context(

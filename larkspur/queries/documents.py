@@ -311,7 +311,17 @@ def _(t):
 @query("k20_expand_terms", r"""
 SELECT item_id, trim(regexp_replace(regexp_replace(text, '\bth\b', 'the', 'g'), '\bnd\b', 'and', 'g')) AS expanded FROM benchmark""")
 def _(t):
-    return t.benchmark.select("item_id", dc.expand_terms("text", {"th": "the", "nd": "and"}).alias("expanded"))
+    rules = {"th": "the", "nd": "and"}
+    return t.benchmark.select("item_id", dc.expand_terms("text", rules, whole_words=True).alias("expanded"))
+
+
+@query("k20_normalize_questions", r"""
+SELECT conv_id, turn, md5(replace(replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), ' th ', ' the '), 'tion', 'tions')) AS digest
+FROM conversations WHERE role = 'user'""")
+def _(t):
+    asked = t.conversations.where(F.col("role") == "user")
+    normal = dc.expand_terms("text", {" th ": " the ", "tion": "tions"})
+    return asked.select("conv_id", "turn", F.md5(normal).alias("digest"))
 
 
 @query("k21_context_budget", f"""

@@ -97,6 +97,25 @@ def _(t):
     return seeds.generate_bookings(ids, seeds.dim_flights(t.spark))
 
 
+@query("a7_yearly_bookings", """
+WITH b AS (SELECT o_orderkey AS i FROM orders),
+y AS (SELECT 'UA' || (i % 60 + 100) AS flight_id, 'C' || (i % 200) AS customer_id, CASE i % 4 WHEN 0 THEN 'Economy' WHEN 1 THEN 'Premium' WHEN 2 THEN 'Business' ELSE 'First' END AS fare_class,
+  CASE i % 3 WHEN 0 THEN 'direct' WHEN 1 THEN 'ota' ELSE 'agent' END AS channel, DATE '2025-01-01' + CAST(i % 360 AS INT) AS day,
+  200 + i % 4 * 350 + i % 10 * 15 + i % 5 * 22.5 AS revenue, CASE i % 5 WHEN 0 THEN 'booked' WHEN 4 THEN 'cancelled' ELSE 'flown' END AS status FROM b),
+c AS (SELECT 'C' || i AS customer_id, CASE i % 4 WHEN 0 THEN 'Blue' WHEN 1 THEN 'Silver' WHEN 2 THEN 'Gold' ELSE 'Platinum' END AS loyalty_tier FROM range(200) r(i))
+SELECT loyalty_tier, fare_class, channel, count(*) AS bookings, CAST(sum(revenue) AS DOUBLE) AS revenue FROM y JOIN c USING (customer_id)
+WHERE status <> 'cancelled' AND day >= DATE '2025-10-01' AND day < DATE '2026-01-01' GROUP BY 1, 2, 3""")
+def _(t):
+    """The larger star, one booking per order: the last quarter by tier, class and channel."""
+    bookings = seeds.generate_yearly_bookings(t.orders.select(F.col("o_orderkey").alias("id")))
+    people = seeds.generate_customers(t.spark.range(200))
+    quarter = (F.col("booking_date") >= "2025-10-01") & (F.col("booking_date") < "2026-01-01")
+    rows = bookings.where((F.col("status") != "cancelled") & quarter).join(people, "customer_id")
+    return rows.groupBy("loyalty_tier", "fare_class", "channel").agg(
+        F.count("*").alias("bookings"), F.sum(F.col("base_fare_usd") + F.col("ancillary_usd")).alias("revenue")
+    )
+
+
 @query("a8_create_or_replace", """
 SELECT lang, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents WHERE text IS NOT NULL GROUP BY 1""")
 def _(t):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The dimension rows of the airline example.
@@ -40,6 +40,14 @@ CUSTOMERS = [
 FARE_CLASSES = ["Economy", "Premium", "Business", "First"]
 CHANNELS = ["Direct", "OTA", "Agent", "Mobile"]
 CABIN_PREMIUM = [0, 130, 520, 1150]
+# Category lists of the larger booking star.
+TIERS = ["Blue", "Silver", "Gold", "Platinum"]
+SEGMENTS = ["Leisure", "Business"]
+HOME_COUNTRIES = ["USA", "UK", "Japan", "France", "Singapore"]
+ROUTES = ["JFK-LHR", "SFO-NRT", "JFK-CDG", "SIN-LHR", "SFO-SIN"]
+AIRCRAFT = ["B777", "A350", "B787"]
+SALES_CHANNELS = ["direct", "ota", "agent"]
+STATUSES = ["booked", "flown", "flown", "flown", "cancelled"]
 
 
 def dim_airports(spark: SparkSession) -> DataFrame:
@@ -62,6 +70,51 @@ def dim_customers(spark: SparkSession) -> DataFrame:
     return raw.withColumn("signup_date", F.col("signup_date").cast("date"))
 
 
+def _pick(values: list, index: Column) -> Column:
+    """The value at ``index`` modulo the length of the list."""
+    place = F.pmod(index, F.lit(len(values))) + 1
+    return F.element_at(F.array(*[F.lit(v) for v in values]), place.cast("int"))
+
+
+def generate_customers(ids: DataFrame, id_column: str = "id") -> DataFrame:
+    """One loyalty customer per id for the larger star."""
+    i = F.col(id_column)
+    return ids.select(
+        F.concat(F.lit("C"), i.cast("string")).alias("customer_id"), _pick(TIERS, i).alias("loyalty_tier"),
+        _pick(HOME_COUNTRIES, i).alias("home_country"), _pick(SEGMENTS, i).alias("segment"),
+    )
+
+
+def generate_flights(ids: DataFrame, id_column: str = "id") -> DataFrame:
+    """One flight per id for the larger star; the route gives both airports."""
+    i = F.col(id_column)
+    routed = ids.select(i.alias("_i"), _pick(ROUTES, i).alias("route_id"))
+    ends = F.split("route_id", "-")
+    return routed.select(
+        F.concat(F.lit("UA"), (F.col("_i") + 100).cast("string")).alias("flight_id"), "route_id",
+        ends.getItem(0).alias("origin_airport"), ends.getItem(1).alias("dest_airport"),
+        _pick(AIRCRAFT, F.col("_i")).alias("aircraft_type"),
+        (F.lit(3000) + F.col("_i") % 9 * 450).cast("int").alias("distance_miles"),
+        (F.col("_i") % 7 * 8).cast("int").alias("delay_minutes"),
+    )
+
+
+def generate_yearly_bookings(ids: DataFrame, id_column: str = "id", flights: int = 60, customers: int = 200) -> DataFrame:
+    """One booking per id over a year, for the larger star."""
+    i = F.col(id_column)
+    day = F.date_add(F.lit("2025-01-01").cast("date"), (i % 360).cast("int"))
+    return ids.select(
+        i.cast("bigint").alias("booking_id"),
+        F.concat(F.lit("UA"), (i % flights + 100).cast("string")).alias("flight_id"),
+        F.concat(F.lit("C"), (i % customers).cast("string")).alias("customer_id"),
+        _pick(ROUTES, i).alias("route_id"), day.alias("booking_date"), F.date_add(day, 21).alias("travel_date"),
+        _pick(FARE_CLASSES, i).alias("fare_class"), _pick(SALES_CHANNELS, i).alias("channel"),
+        (F.lit(200.0) + i % 4 * 350 + i % 10 * 15).cast("double").alias("base_fare_usd"),
+        (i % 5 * 22.5).cast("double").alias("ancillary_usd"), (i % 3 + 1).cast("int").alias("seats"),
+        _pick(STATUSES, i).alias("status"),
+    )
+
+
 def generate_bookings(ids: DataFrame, flights: DataFrame, id_column: str = "id") -> DataFrame:
     """One booking per id by modular arithmetic, route taken from its flight.
 
@@ -70,9 +123,6 @@ def generate_bookings(ids: DataFrame, flights: DataFrame, id_column: str = "id")
     """
     i = F.col(id_column)
 
-    def pick(values: list, index) -> F.Column:
-        return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
-
     def cycle(step: int, size: int):
         return F.pmod(i * step, F.lit(size))
 
@@ -80,10 +130,10 @@ def generate_bookings(ids: DataFrame, flights: DataFrame, id_column: str = "id")
         i.cast("bigint").alias("booking_id"),
         F.concat(F.lit("FL"), F.lpad((cycle(1, 8) + 1).cast("string"), 3, "0")).alias("flight_id"),
         F.concat(F.lit("CUST"), F.lpad((cycle(1, 10) + 1).cast("string"), 2, "0")).alias("customer_id"),
-        pick(FARE_CLASSES, cycle(1, 4)).alias("fare_class"),
-        pick(CHANNELS, cycle(3, 4)).alias("channel"),
+        _pick(FARE_CLASSES, i).alias("fare_class"),
+        _pick(CHANNELS, i * 3).alias("channel"),
         F.date_add(F.lit("2025-01-01").cast("date"), cycle(11, 150).cast("int")).alias("booking_date"),
-        (F.lit(90) + cycle(13, 18) * 22 + pick(CABIN_PREMIUM, cycle(1, 4))).cast("double").alias("base_fare_usd"),
+        (F.lit(90) + cycle(13, 18) * 22 + _pick(CABIN_PREMIUM, i)).cast("double").alias("base_fare_usd"),
         (cycle(7, 6) * 24.5).cast("double").alias("ancillary_usd"),
         (cycle(1, 3) + 1).cast("int").alias("seats"),
         F.when(cycle(1, 17) == 0, "cancelled").when(cycle(1, 3) == 0, "booked").otherwise("flown").alias("status"),

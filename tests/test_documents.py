@@ -171,4 +171,12 @@ def test_context_stops_at_the_budget(spark):
 
 
 def test_expand_terms(spark):
-    assert one(spark, " my BE fare, BE fares ", lambda c: dc.expand_terms(c, {"BE fare": "Basic Economy fare"})) == "my Basic Economy fare, BE fares"
+    rules = {"BE fare": "Basic Economy fare"}
+    text = " my BE fare, BE fares "
+    assert one(spark, text, lambda c: dc.expand_terms(c, rules)) == "my Basic Economy fare, Basic Economy fares"
+    assert one(spark, text, lambda c: dc.expand_terms(c, rules, True)) == "my Basic Economy fare, BE fares"
+
+
+def test_noise_rules_with_carriage_returns(spark):
+    text = "Last updated: 2026-03-01\r\nkeep\r\nThis document is confidential, all of it\r\nalso\r\nlast updated: x"
+    assert one(spark, text, tx.clean_text) == "keep\nalso"

@@ -112,6 +112,18 @@ def test_seed_counts_and_integrity(star):
     assert (first["flight_id"], first["customer_id"], first["status"], first["base_fare_usd"]) == ("FL001", "CUST01", "cancelled", 90.0)
 
 
+def test_larger_star_has_no_orphans(spark):
+    flights = seeds.generate_flights(spark.range(60))
+    customers = seeds.generate_customers(spark.range(200))
+    bookings = seeds.generate_yearly_bookings(spark.range(1500))
+    assert (flights.count(), customers.count(), bookings.count()) == (60, 200, 1500)
+    assert orphans(bookings, flights, "flight_id", "flight_id").isEmpty()
+    assert orphans(bookings, customers, "customer_id", "customer_id").isEmpty()
+    both = bookings.join(flights.select("flight_id", F.col("route_id").alias("r")), "flight_id")
+    assert both.where("route_id <> r").isEmpty()
+    assert bookings.where("status = 'cancelled'").count() == 300
+
+
 def test_view_totals_agree_at_every_grain(star):
     BOOKING_VIEW.validate(star)
     grand = BOOKING_VIEW.query(star, [], ["Total Revenue", "Booking Count", "Cancellation Rate"]).first()
