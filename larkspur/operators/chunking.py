@@ -194,13 +194,18 @@ def chunk_by_strategy(df: DataFrame, text: str, kind: str, strategies: dict[str,
 
 
 def chunk_rows(df: DataFrame, source_doc: str, chunks: Column | str = "chunks", ingested_at: Column | None = None) -> DataFrame:
-    """The chunk table: chunk_id, content, source_doc, chunk_index, ingested_at."""
+    """The chunk table: chunk_id, content, source_doc, chunk_index, ingested_at.
+
+    Arrays are exploded in the outer form and empty rows dropped after it:
+    for the plain form Spark would test the array's size first and so compute
+    the chunks twice.
+    """
     array = F.col(chunks) if isinstance(chunks, str) else chunks
     time = F.current_timestamp() if ingested_at is None else ingested_at
     rows = df.select(
         F.col(source_doc).cast("string").alias("source_doc"),
         time.alias("ingested_at"),
-        F.posexplode(array).alias("chunk_index", "content"),
+        F.posexplode_outer(array).alias("chunk_index", "content"),
     )
     return rows.where(F.length("content") > 0).select(
         tx.content_key("source_doc", "chunk_index").alias("chunk_id"),

@@ -82,6 +82,16 @@ def parse_pages(pages: DataFrame, id_column: str = "page_id", html: str = "html"
     )
 
 
+def element_rows(parsed: DataFrame, id_column: str) -> DataFrame:
+    """One row per element.
+
+    The outer form with a later filter: for the plain form Spark would test
+    the array's size beforehand and so parse every document twice.
+    """
+    rows = parsed.select(id_column, F.explode_outer("parsed.document.elements").alias("e"))
+    return rows.where(F.col("e").isNotNull()).select(id_column, "e.*")
+
+
 def to_variant(df: DataFrame, column: str = "parsed") -> DataFrame:
     """The parsed struct as one VARIANT value."""
     return df.withColumn(column, F.to_variant_object(F.col(column)))

@@ -110,8 +110,13 @@ def search_traces(
 
 
 def flatten_spans(traces: DataFrame) -> DataFrame:
-    """One row per span."""
-    return traces.select("trace_id", F.explode("spans").alias("s")).select("trace_id", "s.*")
+    """One row per span.
+
+    The outer form with a later filter: for the plain form Spark would test
+    ``size(spans) > 0`` beforehand and so compute the spans twice.
+    """
+    rows = traces.select("trace_id", F.explode_outer("spans").alias("s"))
+    return rows.where(F.col("s").isNotNull()).select("trace_id", "s.*")
 
 
 def exclusive_times(traces: DataFrame) -> DataFrame:

@@ -63,8 +63,7 @@ def _(t):
 
 @query("k1_parse_pages")
 def _(t):
-    parsed = dc.parse_pages(t.pages)
-    return parsed.select("page_id", F.explode("parsed.document.elements").alias("e")).select("page_id", "e.*")
+    return dc.element_rows(dc.parse_pages(t.pages), "page_id")
 
 
 @query("k1_page_titles", r"""
@@ -73,8 +72,8 @@ SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(
   '\s+', ' ', 'g')) AS title FROM pages WHERE regexp_extract(html, '<title>([^<]*)</title>', 1) <> ''""")
 def _(t):
     """The title element of every parsed page."""
-    elements = dc.parse_pages(t.pages).select("page_id", F.explode("parsed.document.elements").alias("e"))
-    return elements.where(F.col("e.type") == "title").select("page_id", F.col("e.content").alias("title"))
+    elements = dc.element_rows(dc.parse_pages(t.pages), "page_id")
+    return elements.where(F.col("type") == "title").select("page_id", F.col("content").alias("title"))
 
 
 @query("k2_flatten_elements", "SELECT doc_id, md5(lang || chr(10) || text) AS digest FROM documents")
@@ -126,11 +125,13 @@ def _(t):
 @query("k4_unique_lines", f"""
 WITH l AS (SELECT doc_id, generate_subscripts(a, 1) AS pos, unnest(a) AS line FROM (
   SELECT doc_id, {LINES.format(c='text')} AS a FROM documents)),
-f AS (SELECT doc_id, line, min(pos) AS pos FROM l GROUP BY 1, 2)
-SELECT doc_id, count(*) AS lines, md5(string_agg(line, chr(10) ORDER BY pos)) AS digest FROM f GROUP BY 1""")
+f AS (SELECT doc_id, line, min(pos) AS pos FROM l GROUP BY 1, 2),
+g AS (SELECT doc_id, count(*) AS n, string_agg(line, chr(10) ORDER BY pos) AS c FROM f GROUP BY 1)
+SELECT d.doc_id, coalesce(n, 0) AS lines, md5(coalesce(c, '')) AS digest FROM documents d LEFT JOIN g USING (doc_id)""")
 def _(t):
-    cleaned = t.documents.select("doc_id", tx.unique_lines("text").alias("c")).where(F.col("c") != "")
-    return cleaned.select("doc_id", F.size(F.split("c", "\n")).cast("bigint").alias("lines"), F.md5("c").alias("digest"))
+    cleaned = t.documents.select("doc_id", tx.unique_lines("text").alias("c"))
+    count = F.when(F.col("c") == "", 0).otherwise(F.size(F.split("c", "\n")))
+    return cleaned.select("doc_id", count.cast("bigint").alias("lines"), F.md5("c").alias("digest"))
 
 
 @query("k5_drop_boilerplate", f"""
