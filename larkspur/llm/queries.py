@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import bpe, token_counts
+from larkspur.llm import bpe, secret_scan, simhash, token_counts
 from larkspur.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,12 +35,27 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query("op3_secret_scan")
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(secret_scan.find_secrets(table(spark, sf_dir, "documents")))
+
+
 @query("op7_token_counts")
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
     return counted.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+@query("op9_simhash_groups")
+def op9_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grouped = simhash.near_duplicate_groups(table(spark, sf_dir, "documents"))
+    return grouped.select(
+        "doc_id",
+        simhash.hex_digits(F.col("fingerprint")).alias("fingerprint"),
+        F.col("component").alias("component_id"),
+    )
+
+
 @query("op10_bpe_round_trip")
 def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(vocabulary("byte_bpe_multi_50k.tiktoken"))
