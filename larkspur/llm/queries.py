@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import bpe, mixing, secret_scan, simhash, token_counts
+from larkspur.llm import bpe, language_id, mixing, secret_scan, simhash, token_counts
 from larkspur.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,15 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query("op1_language_id")
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(~language_id.learned_rows(F.col("doc_id")), F.lit(False))
+    return language_id.identify(docs, language_id.train(docs)).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score", "bits_per_char", "accepted"
+    )
+
+
 @query("op3_secret_scan")
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(secret_scan.find_secrets(table(spark, sf_dir, "documents")))
