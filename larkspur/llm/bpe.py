@@ -23,12 +23,14 @@ Decoding joins every id with the token-byte table, a fixed small vocabulary.
 from __future__ import annotations
 
 import base64
+import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -134,9 +136,19 @@ def encode(
     NULL text counts as empty and gives no ids; repeated rows and NULL keys come
     out as often as they went in; other columns of ``docs`` are not read.
     """
+    id_name = docs.schema[id_col].dataType.simpleString()
+    return _assembled(
+        docs, ranks, id_col, text_col, block_bytes, lambda batches: batches, f"id {id_name}, ids array<int>"
+    )
+
+
+def _assembled(
+    docs: DataFrame, ranks: dict[bytes, int], id_col: str, text_col: str, block_bytes: int,
+    finish: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema_out: str,
+) -> DataFrame:
+    """Encode; the task that puts texts together hands its (id, ids) batches to ``finish``."""
     spark = docs.sparkSession
-    id_type = docs.schema[id_col].dataType
-    id_name = id_type.simpleString()
+    id_name = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.spark_partition_id().alias("split"))
     classes = pattern_classes()
     part = _PART.format(id=id_name)
@@ -189,7 +201,8 @@ def encode(
             numbers, lengths, flats = [np.empty(0, np.uint32)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
             answers, place, check = None, None, 0
             for run in runs:
-                for row in run.to_pylist():
+                for i in range(run.num_rows):
+                    row = run.slice(i, 1).to_pylist()[0]
                     if row["part"] == 0:
                         number, length, flat = _unpack(row["data"], row["total"])
                         check += row["check"]
@@ -218,7 +231,7 @@ def encode(
     return (
         answers.unionAll(texts.mapInArrow(positions_of, part))
         .repartition("block").sortWithinPartitions("block", "part")
-        .mapInArrow(together, f"id {id_name}, ids array<int>")
+        .mapInArrow(lambda batches: finish(together(batches)), schema_out)
         .withColumnRenamed("id", id_col)
     )
 
@@ -311,19 +324,7 @@ def decode(
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(ids_col)
-            flat = table.take(ids.flatten())
-            if flat.null_count:
-                raise ValueError("an id is not in the vocabulary")
-            lengths = np.array([0 if n is None else n for n in pa.compute.list_value_length(ids).to_pylist()], np.int64)
-            ends = np.r_[0, np.cumsum(lengths)]
-            offsets = flat.cast(pa.large_binary()).buffers()[1]
-            byte_at = np.frombuffer(offsets, np.int64, len(flat) + 1)
-            data = flat.buffers()[2]
-            raw = memoryview(data) if data is not None else b""
-            nulls = ids.is_null().to_pylist()
-            texts = [
-                None if null else bytes(raw[byte_at[a]:byte_at[b]]) for a, b, null in zip(ends[:-1], ends[1:], nulls)
-            ]
+            texts = [None if n is None else bytes(raw) for n, raw in zip(_lengths(ids), _spelled(ids, table))]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(texts, pa.binary())], [*batch.schema.names, out_col]
             )
@@ -331,16 +332,48 @@ def decode(
     return encoded.mapInArrow(decoded, schema)
 
 
+def _lengths(ids: pa.ListArray) -> list[int | None]:
+    return pc.list_value_length(ids).to_pylist()
+
+
+def _spelled(ids: pa.ListArray, table: pa.Array) -> Iterator[memoryview]:
+    """Join every id with its bytes in ``table``; the bytes of each row stand together."""
+    flat = table.take(ids.flatten())
+    if flat.null_count:
+        raise ValueError("an id is not in the vocabulary")
+    ends = np.r_[0, np.cumsum([n or 0 for n in _lengths(ids)])].astype(np.int64)
+    flat = flat.cast(pa.large_binary())
+    _valid, offsets, data = flat.buffers()
+    at = np.frombuffer(offsets, np.int64)[flat.offset + ends].tolist()
+    raw = memoryview(data if data is not None else b"")
+    for a, b in zip(at, at[1:]):
+        yield raw[a:b]
+
+
 def digests(
-    docs: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", text_col: str = "text",
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """Encode, decode, and show each text by its number of ids and two SHA-256 digests."""
-    both = decode(encode(docs, ranks, id_col, text_col), ranks)
-    return both.select(
-        id_col,
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    """``id_col``, ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``: encode, decode the ids, digest both.
 
+    As ``decode(encode(...))`` with SHA-256 of the decimal ids joined by commas
+    and of the decoded bytes, but the ids do not leave the task.
+    """
+    id_name = docs.schema[id_col].dataType.simpleString()
+    table = token_bytes(ranks)
 
+    def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decimal = pa.array([b"%d," % i for i in range(len(table))], pa.binary())
+        for batch in batches:
+            ids = batch.column("ids")
+            listed = [hashlib.sha256(raw[:-1]).hexdigest() for raw in _spelled(ids, decimal)]
+            decoded = [hashlib.sha256(raw).hexdigest() for raw in _spelled(ids, table)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), pa.array(_lengths(ids), pa.int64()), pa.array(listed), pa.array(decoded)],
+                ["id", "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
+
+    return _assembled(
+        docs, ranks, id_col, text_col, block_bytes, digested,
+        f"id {id_name}, n_tokens long, ids_sha256 string, decoded_sha256 string",
+    )
