@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import ann, bpe, exact_topk, language_id, mixing, secret_scan, simhash, token_counts
+from larkspur.llm import ann, bpe, exact_topk, language_id, mixing, packing, secret_scan, simhash, token_counts
 from larkspur.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,6 +44,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op2_packed_ids")
+def op2_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = bpe.read_ranks(vocabulary("byte_bpe_50k.tiktoken"))
+    return packing.pack(table(spark, sf_dir, "documents"), ranks)
+
+
 @query("op3_secret_scan")
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(secret_scan.find_secrets(table(spark, sf_dir, "documents")))
@@ -67,13 +73,13 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP8_SQL = """
 WITH valid AS (
-  SELECT vec_id, list_transform(embedding, c -> CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS x
+  SELECT vec_id, list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS x
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, c -> c IS NULL OR NOT isfinite(c))) = 0
+    AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
 ), scored AS (
   SELECT q.vec_id AS query_id, v.vec_id,
-    CAST(list_sum(list_transform(range(1, len(q.x) + 1), i -> q.x[i] * v.x[i])) AS BIGINT) AS score
+    CAST(list_sum(list_transform(range(1, len(q.x) + 1), lambda i: q.x[i] * v.x[i])) AS BIGINT) AS score
   FROM valid q JOIN valid v ON q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id
 ), ranked AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
