@@ -11,24 +11,41 @@ from larkspur.sources import changes, files, seeds, writes
 from larkspur.operators import telemetry as tm
 
 
-@query("a1_binary_scan")
+PAGE_ROWS = "SELECT page_id, count(*) AS times, md5(html) AS digest FROM pages GROUP BY page_id, html"
+
+
+def page_files(t) -> str:
+    """The pages as text files, one JSON object per line."""
+    folder = work_dir(t.spark, "page-files")
+    t.pages.select(F.to_json(F.struct("page_id", "html"))).write.text(folder)
+    return folder
+
+
+def pages_in(binary):
+    """Page rows rebuilt from the contents of binary file rows."""
+    line = F.explode(F.split(F.decode("content", "utf-8"), "\n")).alias("line")
+    page = F.from_json("line", "page_id bigint, html string").alias("page")
+    rows = binary.select(line).where("line <> ''").select(page).select("page.*")
+    return rows.groupBy("page_id", "html").agg(F.count("*").alias("times")).select(
+        "page_id", "times", F.md5("html").alias("digest")
+    )
+
+
+@query("a1_binary_scan", PAGE_ROWS)
 def _(t):
-    scanned = files.read_binary(t.spark, t.directory, "*.parquet")
-    return scanned.select(F.element_at(F.split("path", "/"), -1).alias("file"), "length")
+    """Files scanned as bytes give every page back."""
+    return pages_in(files.read_binary(t.spark, page_files(t), "*.txt"))
 
 
-@query("a2_incremental_ingest")
+@query("a2_incremental_ingest", PAGE_ROWS)
 def _(t):
-    """Two runs over the same folder: the second finds nothing new."""
-    out, state = work_dir(t.spark, "bronze"), work_dir(t.spark, "bronze-state")
+    """Two runs over the same folder: the second finds nothing new, and the stored contents give every page once."""
+    landing, out, state = page_files(t), work_dir(t.spark, "bronze"), work_dir(t.spark, "bronze-state")
     for _run in range(2):
-        stream = files.ingest_stream(t.spark, t.directory, "*.parquet").select("source_path", "length", "ingested_at")
+        stream = files.ingest_stream(t.spark, landing, "*.txt")
         writer = stream.writeStream.format("parquet").option("checkpointLocation", state)
         writer.trigger(availableNow=True).start(out).awaitTermination()
-    bronze = t.spark.read.parquet(out)
-    return bronze.groupBy(F.element_at(F.split("source_path", "/"), -1).alias("file")).agg(
-        F.count("*").alias("times_ingested"), F.max("length").alias("length")
-    )
+    return pages_in(t.spark.read.parquet(out))
 
 
 @query("a3_file_provenance", "SELECT 'orders.parquet' AS source_file, count(*) AS n FROM orders")
@@ -60,15 +77,13 @@ BOOKINGS = """flights(flight_id, route_id, origin_airport, region) AS (VALUES
   ('FL004','DXB-SIN','DXB','EMEA'), ('FL005','SIN-NRT','SIN','APAC'), ('FL006','NRT-SFO','NRT','APAC'),
   ('FL007','SFO-LHR','SFO','AMER'), ('FL008','JFK-DXB','JFK','AMER')),
 bookings AS (
-  SELECT o_orderkey AS booking_id, 'FL' || lpad(CAST(o_orderkey % 8 + 1 AS VARCHAR), 3, '0') AS flight_id,
-    'CUST' || lpad(CAST(o_orderkey % 10 + 1 AS VARCHAR), 2, '0') AS customer_id,
-    CASE o_orderkey % 4 WHEN 0 THEN 'Economy' WHEN 1 THEN 'Premium' WHEN 2 THEN 'Business' ELSE 'First' END AS fare_class,
-    CASE o_orderkey * 3 % 4 WHEN 0 THEN 'Direct' WHEN 1 THEN 'OTA' WHEN 2 THEN 'Agent' ELSE 'Mobile' END AS channel,
-    CAST(DATE '2025-01-01' + CAST(o_orderkey * 11 % 150 AS INT) AS DATE) AS booking_date,
-    CAST(90 + o_orderkey * 13 % 18 * 22 + CASE o_orderkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 130 WHEN 2 THEN 520 ELSE 1150 END AS DOUBLE) AS base_fare_usd,
-    CAST(o_orderkey * 7 % 6 * 24.5 AS DOUBLE) AS ancillary_usd, CAST(o_orderkey % 3 + 1 AS BIGINT) AS seats,
-    CASE WHEN o_orderkey % 17 = 0 THEN 'cancelled' WHEN o_orderkey % 3 = 0 THEN 'booked' ELSE 'flown' END AS status
-  FROM orders)"""
+  SELECT k AS booking_id, printf('FL%03d', k * 5 % 8 + 1) AS flight_id, printf('CUST%02d', k * 3 % 10 + 1) AS customer_id,
+    ['Economy', 'Premium', 'Business', 'First'][k * 7 % 4 + 1] AS fare_class,
+    ['Direct', 'OTA', 'Agent', 'Mobile'][k * 3 % 4 + 1] AS channel,
+    CAST(DATE '2025-01-01' + CAST(k * 17 % 365 AS INT) AS DATE) AS booking_date,
+    80 + k * 19 % 64 * 12.5::DOUBLE AS base_fare_usd, k * 4 % 13 * 7.5::DOUBLE AS ancillary_usd, k * 2 % 5 + 1 AS seats,
+    ['flown', 'flown', 'booked', 'flown', 'cancelled', 'flown', 'booked'][k * 2 % 7 + 1] AS status
+  FROM (SELECT o_orderkey AS k FROM orders))"""
 
 
 @query("a6_inline_rows", """
@@ -89,30 +104,35 @@ def _(t):
 @query("a7_booking_generator", f"""
 WITH {BOOKINGS}
 SELECT booking_id, b.flight_id, customer_id, route_id, CAST(booking_date AS VARCHAR) AS booking_date,
-       CAST(booking_date + CAST(14 + booking_id % 30 AS INT) AS VARCHAR) AS travel_date,
-       fare_class, channel, base_fare_usd, ancillary_usd, seats, status
+       CAST(booking_date + CAST(10 + booking_id * 9 % 40 AS INT) AS VARCHAR) AS travel_date,
+       fare_class, channel, base_fare_usd, ancillary_usd, CAST(seats AS BIGINT) AS seats, status
 FROM bookings b JOIN flights f ON b.flight_id = f.flight_id""")
 def _(t):
     ids = t.orders.select(F.col("o_orderkey").alias("id"))
-    return seeds.generate_bookings(ids, seeds.dim_flights(t.spark))
-
-
-@query("a7_yearly_bookings", """
-WITH b AS (SELECT o_orderkey AS i FROM orders),
-y AS (SELECT 'UA' || (i % 60 + 100) AS flight_id, 'C' || (i % 200) AS customer_id, CASE i % 4 WHEN 0 THEN 'Economy' WHEN 1 THEN 'Premium' WHEN 2 THEN 'Business' ELSE 'First' END AS fare_class,
-  CASE i % 3 WHEN 0 THEN 'direct' WHEN 1 THEN 'ota' ELSE 'agent' END AS channel, DATE '2025-01-01' + CAST(i % 360 AS INT) AS day,
-  200 + i % 4 * 350 + i % 10 * 15 + i % 5 * 22.5 AS revenue, CASE i % 5 WHEN 0 THEN 'booked' WHEN 4 THEN 'cancelled' ELSE 'flown' END AS status FROM b),
-c AS (SELECT 'C' || i AS customer_id, CASE i % 4 WHEN 0 THEN 'Blue' WHEN 1 THEN 'Silver' WHEN 2 THEN 'Gold' ELSE 'Platinum' END AS loyalty_tier FROM range(200) r(i))
-SELECT loyalty_tier, fare_class, channel, count(*) AS bookings, CAST(sum(revenue) AS DOUBLE) AS revenue FROM y JOIN c USING (customer_id)
-WHERE status <> 'cancelled' AND day >= DATE '2025-10-01' AND day < DATE '2026-01-01' GROUP BY 1, 2, 3""")
-def _(t):
-    """The larger star, one booking per order: the last quarter by tier, class and channel."""
-    bookings = seeds.generate_yearly_bookings(t.orders.select(F.col("o_orderkey").alias("id")))
-    people = seeds.generate_customers(t.spark.range(200))
-    quarter = (F.col("booking_date") >= "2025-10-01") & (F.col("booking_date") < "2026-01-01")
-    rows = bookings.where((F.col("status") != "cancelled") & quarter).join(people, "customer_id")
-    return rows.groupBy("loyalty_tier", "fare_class", "channel").agg(
-        F.count("*").alias("bookings"), F.sum(F.col("base_fare_usd") + F.col("ancillary_usd")).alias("revenue")
+    return seeds.bookings(ids, seeds.dim_flights(t.spark))
+
+
+MEMBERS = {
+    "level": seeds.Cycle(("none", "bronze", "silver"), 2),
+    "joined": seeds.Days("2020-01-01", 1000, 7),
+}
+
+
+@query("a7_yearly_bookings", f"""
+WITH {BOOKINGS}, members AS (SELECT c_custkey AS member_id, ['none', 'bronze', 'silver'][c_custkey * 2 % 3 + 1] AS level FROM customer),
+owned AS (SELECT b.*, o_custkey FROM bookings b JOIN orders ON booking_id = o_orderkey)
+SELECT quarter(booking_date) AS quarter, level, fare_class, channel, count(*) AS bookings, sum(base_fare_usd + ancillary_usd) AS income,
+  count(*) FILTER (WHERE status = 'cancelled') AS cancelled
+FROM owned LEFT JOIN members ON o_custkey = member_id GROUP BY 1, 2, 3, 4""")
+def _(t):
+    """A year of bookings, one per order, by quarter, level of the member, class and channel."""
+    members = seeds.generate(t.customer.select(F.col("c_custkey").alias("id")), "member_id", MEMBERS)
+    made = seeds.generate(t.orders.select(F.col("o_orderkey").alias("id")), "booking_id", seeds.BOOKING_COLUMNS)
+    owners = t.orders.select(F.col("o_orderkey").alias("booking_id"), F.col("o_custkey").alias("member_id"))
+    rows = made.join(owners, "booking_id").join(members, "member_id", "left")
+    return rows.groupBy(F.quarter("booking_date").cast("bigint").alias("quarter"), "level", "fare_class", "channel").agg(
+        F.count("*").alias("bookings"), F.sum(F.col("base_fare_usd") + F.col("ancillary_usd")).alias("income"),
+        F.count_if(F.col("status") == "cancelled").alias("cancelled"),
     )
 
 
