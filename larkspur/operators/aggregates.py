@@ -29,33 +29,37 @@ def order_statistic(df: DataFrame, keys: list[str], value: str, p: float, name:
     """
     slack, accuracy = 0.005, 10_000
     low, high = max(p - slack, 0.0), min(p + slack, 1.0)
-    clean = df.where(F.col(value).isNotNull()).select(*keys, value)
-    bounds = clean.groupBy(*keys).agg(
+    # one struct of keys: a NULL key is a key like any other
+    clean = df.where(F.col(value).isNotNull()).select(F.struct(*keys).alias("_key") if keys else F.lit(0).alias("_key"), value)
+    bounds = clean.groupBy("_key").agg(
         F.floor(F.lit(p) * (F.count("*") - 1)).alias("_rank"),
         (F.min(value) if low <= 0.0 else F.percentile_approx(value, low, accuracy)).alias("_low"),
         (F.max(value) if high >= 1.0 else F.percentile_approx(value, high, accuracy)).alias("_high"),
     )
     if keys:
-        joined = clean.join(cut_lineage(bounds), keys)
+        joined = clean.join(cut_lineage(bounds), "_key")
     else:
         only = bounds.first()
+        if only is None:
+            return clean.select(F.max(value).alias(name))
         joined = clean.withColumns({c: F.lit(only[c]) for c in ("_rank", "_low", "_high")})
     counts = (
         joined.where(F.col(value) <= F.col("_high"))
         .withColumn("_v", F.when(F.col(value) >= F.col("_low"), F.col(value)))
-        .groupBy(*keys, "_rank", "_v")
+        .groupBy("_key", "_rank", "_v")
         .agg(F.count("*").alias("_c"))
     )
-    w = Window.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first())
+    w = Window.partitionBy("_key").orderBy(F.col("_v").asc_nulls_first())
     upto = counts.withColumn("_upto", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     hit = upto.where((F.col("_upto") > F.col("_rank")) & F.col("_v").isNotNull())
-    return hit.groupBy(*keys).agg(F.min("_v").alias(name))
+    found = hit.groupBy("_key").agg(F.min("_v").alias(name))
+    return found.select(*[F.col(f"_key.{k}").alias(k) for k in keys], name)
 
 
 def share_of_total(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Total per key and its percentage of the grand total."""
-    totals = df.groupBy(*keys).agg(F.sum(value).alias("total"))
-    grand = df.agg(F.sum(value).alias("grand")).scalar()
+    """Total per key and its percentage of the grand total, which is summed from the stored totals."""
+    totals = cut_lineage(df.groupBy(*keys).agg(F.sum(value).alias("total")))
+    grand = totals.agg(F.sum("total").alias("grand")).scalar()
     return totals.withColumn("pct", F.round(F.lit(100.0) * F.col("total") / grand, 1))
 
 

@@ -21,6 +21,7 @@ NOISE_ELEMENT_TYPES = ["page_number", "page_footer", "page_header"]
 ENTITIES = {
     "&nbsp;": " ", "&copy;": "©", "&middot;": "·", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&",
 }
+INLINE_BYTES = 1 << 20  # boilerplate lines that a plan may carry
 REGION_MARK, TYPE_MARK = "\u0001", "\u0002"
 BLOCK_TAGS = "h[1-6]|p|div|li|ul|ol|table|tr|td|th|br|section|article|blockquote|pre"
 
@@ -105,15 +106,9 @@ def flatten_elements(elements: Column, noise: list[str] | None = None) -> Column
 
 
 def flatten_variant(column: str = "parsed", noise: list[str] | None = None) -> Column:
-    """The same for a VARIANT document."""
-    names = ", ".join(f"'{n}'" for n in (NOISE_ELEMENT_TYPES if noise is None else noise))
-    return F.expr(
-        f"""concat_ws('\n', transform(
-              filter(variant_get({column}, '$.document.elements', 'array<variant>'),
-                     e -> variant_get(e, '$.type', 'string') IS NULL
-                          OR variant_get(e, '$.type', 'string') NOT IN ({names})),
-              e -> variant_get(e, '$.content', 'string')))"""
-    )
+    """The same for a VARIANT document: its elements are cast once, then flattened alike."""
+    elements = F.variant_get(F.col(column), "$.document.elements", "array<struct<type: string, content: string>>")
+    return flatten_elements(elements, noise)
 
 
 def document_text(parsed: DataFrame) -> DataFrame:
@@ -142,15 +137,18 @@ def boilerplate_lines(df: DataFrame, id_column: str, text: str, min_doc_fraction
     return per_line.where(F.col("documents") >= F.lit(min_doc_fraction) * total)
 
 
-def drop_boilerplate(df: DataFrame, id_column: str, text: str, min_doc_fraction: float, inline_limit: int = 5000) -> DataFrame:
+def drop_boilerplate(df: DataFrame, id_column: str, text: str, min_doc_fraction: float) -> DataFrame:
     """Remove boilerplate lines from every document, order of the rest kept.
 
-    A short list of lines becomes a hash-set test inside the row, so texts are
-    never shuffled.  A longer list takes an anti-join of exploded lines.
+    Lines whose measured size fits become a hash-set test inside the row, so
+    texts are not shuffled; a larger list takes an anti-join of exploded lines.
+    Both give the same: a document that loses every line keeps an empty text, a
+    NULL text stays NULL.
     """
-    frequent = boilerplate_lines(df, id_column, text, min_doc_fraction).select("line")
-    known = [r["line"] for r in frequent.limit(inline_limit + 1).collect()]
-    if len(known) <= inline_limit:
+    frequent = cut_lineage(boilerplate_lines(df, id_column, text, min_doc_fraction).select("line"))
+    size = frequent.agg(F.sum(F.octet_length("line") + 64)).first()[0] or 0
+    if size <= INLINE_BYTES:
+        known = [r["line"] for r in frequent.collect()]
         kept = tx.lines(text)
         if known:
             kept = F.filter(kept, lambda x: ~x.isin(known))
@@ -160,21 +158,30 @@ def drop_boilerplate(df: DataFrame, id_column: str, text: str, min_doc_fraction:
     left = exploded.join(frequent, "line", "left_anti")
     ordered = F.sort_array(F.collect_list(F.struct("_pos", "line")))
     joined = F.array_join(F.transform(ordered, lambda x: x["line"]), "\n")
-    texts = left.groupBy(id_column).agg(joined.alias(text))
-    return df.select(id_column, *rest).join(texts, id_column, "left").withColumn(
-        text, F.coalesce(F.col(text), F.lit(""))
+    texts = left.groupBy(id_column).agg(joined.alias("_kept"))
+    return df.select(id_column, *rest, F.col(text).isNull().alias("_none")).join(texts, id_column, "left").withColumn(
+        text, F.when(~F.col("_none"), F.coalesce("_kept", F.lit("")))
     ).select(*df.columns)
 
 
+def _copy_key(id_column: str, text: str) -> Column:
+    """Rows with this key are copies; a NULL text is a copy of nothing but its own id."""
+    digest = F.sha2(tx.normalized(text), 256)
+    return F.struct(digest.alias("content_hash"), F.when(digest.isNull(), F.col(id_column)).alias("own"))
+
+
 def exact_groups(df: DataFrame, id_column: str, text: str) -> DataFrame:
-    """One row per distinct normalized text: hash, smallest id, number of copies."""
-    return df.groupBy(F.sha2(tx.normalized(text), 256).alias("content_hash")).agg(
+    """One row per distinct normalized text: hash, smallest id, number of copies.
+
+    NULL texts are no copies of each other and have a NULL hash.
+    """
+    return df.groupBy(_copy_key(id_column, text).alias("_key")).agg(
         F.min(id_column).alias("canonical_id"), F.count("*").alias("copies")
-    )
+    ).select("_key.content_hash", "canonical_id", "copies")
 
 
 def dedup_exact(df: DataFrame, id_column: str, text: str) -> DataFrame:
-    """The first row of every group of equal texts.  The join is on unique ids."""
+    """The first row of every group of equal texts, and every row without text.  The join is on unique ids."""
     keep = exact_groups(df, id_column, text).select(F.col("canonical_id").alias(id_column))
     return df.join(keep, id_column, "left_semi")
 
@@ -182,26 +189,34 @@ def dedup_exact(df: DataFrame, id_column: str, text: str) -> DataFrame:
 def label_copies(df: DataFrame, id_column: str, text: str) -> DataFrame:
     """Every row id with the id of the row it copies; a huge copy group is spread.
 
-    Ids and hashes are stored first: the texts are read and hashed once.
+    Ids and hashes are stored first: the texts are read and hashed once.  A
+    NULL text copies nothing but itself.
     """
-    keyed = cut_lineage(df.select(id_column, F.sha2(tx.normalized(text), 256).alias("content_hash")))
-    groups = keyed.groupBy("content_hash").agg(
-        F.min(id_column).alias("canonical_id"), F.count("*").alias("copies")
-    )
-    return join_hot_keys(keyed, groups, "content_hash", "copies", [F.col(id_column)])
+    keyed = cut_lineage(df.select(id_column, _copy_key(id_column, text).alias("_key")))
+    groups = keyed.groupBy("_key").agg(F.min(id_column).alias("canonical_id"), F.count("*").alias("copies"))
+    joined = join_hot_keys(keyed, groups, "_key", "copies", [F.col(id_column)])
+    return joined.select(id_column, "_key.content_hash", "canonical_id", "copies")
+
 
+def dedup_paragraphs(df: DataFrame, id_column: str, text: str, separator: str = r"\n\n+") -> DataFrame:
+    """Text of each document with paragraphs kept only in the first document that has them.
 
-def dedup_paragraphs(df: DataFrame, id_column: str, text: str) -> DataFrame:
-    """Text of each document with paragraphs kept only in the first document that has them."""
-    pieces = df.select(id_column, F.posexplode(tx.lines(text)).alias("pos", "paragraph"))
+    Every id comes out: a document that keeps no paragraph has an empty text,
+    a NULL text stays NULL.
+    """
+    pieces = df.select(id_column, F.posexplode(tx.paragraphs(text, separator)).alias("pos", "paragraph"))
     first = pieces.groupBy(F.sha2(tx.normalized("paragraph"), 256).alias("h")).agg(
         F.min(F.struct(id_column, "pos", "paragraph")).alias("f")
     )
     ordered = F.sort_array(F.collect_list(F.struct("pos", "paragraph")))
-    return (
+    kept = (
         first.select("f.*")
         .groupBy(id_column)
-        .agg(F.array_join(F.transform(ordered, lambda x: x["paragraph"]), "\n").alias(text))
+        .agg(F.array_join(F.transform(ordered, lambda x: x["paragraph"]), "\n\n").alias("_kept"))
+    )
+    every = df.select(id_column, F.col(text).isNull().alias("_none"))
+    return every.join(kept, id_column, "left").select(
+        id_column, F.when(~F.col("_none"), F.coalesce("_kept", F.lit(""))).alias(text)
     )
 
 

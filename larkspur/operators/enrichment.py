@@ -285,8 +285,10 @@ def forecast(daily: DataFrame, series: str, day: str, value: str, horizon: int)
     """Per series: linear trend plus weekday effect, with a 95% residual band.
 
     The input is a daily aggregate, so all steps work on days.  Missing days
-    inside the observed range count as 0.
+    inside the observed range count as 0.  A NULL series is a series like any other.
     """
+    name, series = series, "_series"  # a struct, so that NULL equals NULL in the joins
+    daily = daily.select(F.struct(F.col(name).alias("name")).alias(series), day, value)
     span = daily.groupBy(series).agg(F.min(day).alias("_first"), F.max(day).alias("_last"))
     calendar = span.select(
         series, "_first", "_last", F.explode(F.sequence("_first", F.date_add("_last", horizon))).alias(day)
@@ -314,7 +316,7 @@ def forecast(daily: DataFrame, series: str, day: str, value: str, horizon: int)
     future = fitted.where(F.col(day) > F.col("_last")).join(residual, series)
     band = 1.96 * F.coalesce(F.col("_sd"), F.lit(0.0))
     return future.select(
-        series, day, "forecast", (F.col("forecast") - band).alias("lower"), (F.col("forecast") + band).alias("upper")
+        F.col(f"{series}.name").alias(name), day, "forecast", (F.col("forecast") - band).alias("lower"), (F.col("forecast") + band).alias("upper")
     )
 
 

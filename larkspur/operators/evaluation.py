@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
 
 import pandas as pd
@@ -85,39 +86,48 @@ def exact_match(a: Column | str, b: Column | str) -> Column:
     return F.when(_col(b).isNotNull(), (tx.normalized(a) == tx.normalized(b)).cast("double"))
 
 
-def _grams(pairs: DataFrame, key: str, hypothesis: str, reference: str, n: int) -> DataFrame:
-    """(key, gram, count in the hypothesis, count in the reference)."""
-    def side(column: str, mine: str, other: str) -> DataFrame:
-        grams = F.explode(tx.ngrams(tx.tokens(column), n)).alias("gram")
-        return pairs.select(key, grams).select(key, "gram", F.lit(1).alias(mine), F.lit(0).alias(other))
+def clipped_counts(hypothesis: list[str], reference: list[str], n: int) -> tuple[int, int, int]:
+    """N-grams in common (each as often as in the side that has fewer), in the hypothesis, in the reference."""
+    mine = Counter(zip(*(hypothesis[k:] for k in range(n))))
+    other = Counter(zip(*(reference[k:] for k in range(n))))
+    return (mine & other).total(), mine.total(), other.total()
 
-    both = side(hypothesis, "h", "r").unionByName(side(reference, "r", "h"))
-    return both.groupBy(key, "gram").agg(F.sum("h").alias("h"), F.sum("r").alias("r"))
+
+def _clipped(orders: tuple[int, ...]):
+    """Per row, the three counts of every order, as one array: nothing is exploded or shuffled."""
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def count(a: pd.Series, b: pd.Series) -> pd.Series:
+        sides = (([] if x is None else list(x), [] if y is None else list(y)) for x, y in zip(a, b))
+        return pd.Series([[c for n in orders for c in clipped_counts(x, y, n)] for x, y in sides])
+
+    return count
 
 
 def rouge_n(pairs: DataFrame, key: str, hypothesis: str, reference: str, n: int) -> DataFrame:
-    """ROUGE-N recall, precision and F1 per pair, from clipped n-gram counts."""
-    sums = _grams(pairs, key, hypothesis, reference, n).groupBy(key).agg(
-        F.sum(F.least("h", "r")).alias("o"), F.sum("h").alias("h"), F.sum("r").alias("r")
+    """ROUGE-N recall, precision and F1 per pair, from clipped n-gram counts; 0 without any n-gram."""
+    counted = pairs.select(key, _clipped((n,))(tx.tokens(hypothesis), tx.tokens(reference)).alias("_c"))
+    o, h, r = (F.col("_c")[i] for i in range(3))
+
+    def share(part: Column, whole: Column) -> Column:
+        return F.coalesce(part / F.nullif(whole, F.lit(0)), F.lit(0.0))
+
+    return counted.select(
+        key, share(o, r).alias("recall"), share(o, h).alias("precision"), share(2.0 * o, h + r).alias("f1")
     )
-    recall = F.coalesce(F.col("o") / F.nullif("r", F.lit(0)), F.lit(0.0))
-    precision = F.coalesce(F.col("o") / F.nullif("h", F.lit(0)), F.lit(0.0))
-    f1 = F.coalesce(2.0 * F.col("o") / F.nullif(F.col("h") + F.col("r"), F.lit(0)), F.lit(0.0))
-    scored = sums.select(key, recall.alias("recall"), precision.alias("precision"), f1.alias("f1"))
-    # texts without any n-gram have no rows above; they score 0
-    return pairs.select(key).join(scored, key, "left").na.fill(0.0, ["recall", "precision", "f1"])
 
 
 def lcs_length(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence, one row of the table at a time."""
-    row = [0] * (len(b) + 1)
+    """Length of the longest common subsequence, a row of the table at a time as the bits of one number."""
+    places: dict[str, int] = {}
+    for j, y in enumerate(b):
+        places[y] = places.get(y, 0) | 1 << j
+    every = (1 << len(b)) - 1
+    row = every  # a zero bit is a step up in the row
     for x in a:
-        corner = 0
-        for j, y in enumerate(b, 1):
-            above = row[j]
-            row[j] = corner + 1 if x == y else max(above, row[j - 1])
-            corner = above
-    return row[-1]
+        hits = row & places.get(x, 0)
+        row = ((row + hits) | (row - hits)) & every
+    return len(b) - row.bit_count()
 
 
 @F.pandas_udf(T.LongType())
@@ -134,27 +144,22 @@ def rouge_l(pairs: DataFrame, key: str, hypothesis: str, reference: str) -> Data
 
 
 def bleu(pairs: DataFrame, key: str, hypothesis: str, reference: str, orders: int = 4) -> DataFrame:
-    """Corpus BLEU: clipped precisions of order 1 to 4 over all pairs and the brevity penalty."""
-    counted = [
-        _grams(pairs, key, hypothesis, reference, n).agg(
-            F.sum(F.least("h", "r")).alias("clipped"), F.sum("h").alias("total")
-        ).withColumn("n", F.lit(n))
-        for n in range(1, orders + 1)
-    ]
-    precisions = reduce(DataFrame.unionByName, counted)
-    lengths = pairs.agg(
-        F.sum(F.size(tx.tokens(hypothesis))).alias("c"), F.sum(F.size(tx.tokens(reference))).alias("r")
-    )
-    logs = precisions.agg(
-        F.avg(F.log(F.col("clipped") / F.col("total"))).alias("mean_log"), F.min("clipped").alias("least")
-    )
-    sizes = lengths.select(
-        F.least(F.lit(0.0), 1.0 - F.col("r") / F.nullif("c", F.lit(0))).alias("penalty")
-    )
-    # both sides are single-row aggregates
-    return logs.select(
-        F.when(F.col("least") > 0, F.exp(sizes.scalar() + F.col("mean_log"))).otherwise(0.0).alias("bleu")
+    """Corpus BLEU: clipped precisions of order 1 to 4 over all pairs and the brevity penalty.
+
+    One pass: the counts of all orders are taken inside the row, only their
+    sums leave it.  0 if an order has no n-gram in common.
+    """
+    counts = _clipped(tuple(range(1, orders + 1)))(tx.tokens(hypothesis), tx.tokens(reference))
+    sums = pairs.select(counts.alias("_c")).agg(
+        *[F.sum(F.col("_c")[3 * n]).alias(f"clipped{n}") for n in range(orders)],
+        *[F.sum(F.col("_c")[3 * n + 1]).alias(f"total{n}") for n in range(orders)],
+        F.sum(F.col("_c")[2]).alias("reference"),
     )
+    logs = [F.log(F.col(f"clipped{n}") / F.col(f"total{n}")) for n in range(orders)]
+    least = F.least(*[F.col(f"clipped{n}") for n in range(orders)]) if orders > 1 else F.col("clipped0")
+    penalty = F.least(F.lit(0.0), 1.0 - F.col("reference") / F.nullif("total0", F.lit(0)))
+    mean_log = reduce(lambda a, b: a + b, logs) / orders
+    return sums.select(F.when(least > 0, F.exp(penalty + mean_log)).otherwise(0.0).alias("bleu"))
 
 
 TERM_BYTES = 64  # room for one vocabulary entry in a broadcast

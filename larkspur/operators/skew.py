@@ -35,7 +35,8 @@ def join_hot_keys(
     up to the left row count, so at most ``HOT_SHARES`` keys can be hot: that
     list is small whatever the data size and is the only thing broadcast.
     Left rows of a hot key get one of S salts from a hash of ``spread``; the
-    matching right rows are repeated S times.  All other keys join as usual.
+    matching right rows are repeated S times.  All other keys join as usual; a
+    NULL key is a key like any other.
 
     Give ``weights`` (key and weight) when ``right`` is costly to compute, so
     that finding the hot keys does not evaluate it again.
@@ -46,9 +47,14 @@ def join_hot_keys(
     is_hot = (F.col(weight) * HOT_SHARES >= total) & (F.col(weight) > salts)
     hot = known.where(is_hot).select(key, F.lit(True).alias("_hot"))
     salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")).otherwise(0)
-    salted_left = left.join(F.broadcast(hot), key, "left").withColumn("_salt", salt).drop("_hot")
+    hot = hot.withColumnRenamed(key, "_hot_key")
+    salted_left = (
+        left.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("_hot_key")), "left").withColumn("_salt", salt)
+        .drop("_hot", "_hot_key")
+    )
     every_salt = F.sequence(F.lit(0), F.lit(salts - 1))
     salted_right = right.withColumn(
-        "_salt", F.explode(F.when(is_hot, every_salt).otherwise(F.array(F.lit(0))))
-    )
-    return salted_left.join(salted_right, [key, "_salt"], how).drop("_salt")
+        "_right_salt", F.explode(F.when(is_hot, every_salt).otherwise(F.array(F.lit(0))))
+    ).withColumnRenamed(key, "_right_key")
+    same = F.col(key).eqNullSafe(F.col("_right_key")) & (F.col("_salt") == F.col("_right_salt"))
+    return salted_left.join(salted_right, same, how).drop("_salt", "_right_salt", "_right_key")

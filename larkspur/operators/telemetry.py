@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import text as tx
@@ -137,8 +137,8 @@ def exclusive_times(traces: DataFrame) -> DataFrame:
 def stage_profile(spans: DataFrame) -> DataFrame:
     """Mean exclusive time per span type, its share and the bottleneck flag."""
     means = spans.groupBy("span_type").agg(F.avg("exclusive_ms").alias("mean_ms"))
-    grand = means.agg(F.sum("mean_ms")).scalar()
-    top = means.agg(F.max("mean_ms")).scalar()
+    every = Window.partitionBy()  # one row per span type
+    grand, top = F.sum("mean_ms").over(every), F.max("mean_ms").over(every)
     return means.select(
         "span_type",
         F.round("mean_ms", 4).alias("mean_ms"),

@@ -71,15 +71,19 @@ def running_totals(
     Rows are summed per (key, slice); the slice sums give each slice its offset
     and the detailed window runs inside one slice only.  ``slice_by`` must be
     a prefix of the row order in time (for example second, then tenth).
-    ``values`` maps result names to the summed expressions.
+    ``values`` maps result names to the summed expressions.  NULL keys and
+    slices count like any other value.
     """
-    names = [f"_s{i}" for i in range(len(slice_by))]
-    rows = df.select("*", *[v.alias(n) for n, v in values.items()], *[c.alias(n) for n, c in zip(names, slice_by)])
-    sums = rows.groupBy(*keys, *names).agg(*[F.sum(n).alias(f"_sum_{n}") for n in values])
-    before = Window.partitionBy(*keys).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
+    # one struct of keys and slices: never NULL itself, and NULL fields in it are equal
+    rows = df.select(
+        "*", *[v.alias(n) for n, v in values.items()], F.struct(*keys).alias("_key"),
+        F.struct(*[c.alias(f"s{i}") for i, c in enumerate(slice_by)]).alias("_slice"),
+    )
+    sums = rows.groupBy("_key", "_slice").agg(*[F.sum(n).alias(f"_sum_{n}") for n in values])
+    before = Window.partitionBy("_key").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(
-        *keys, *names, *[F.coalesce(F.sum(f"_sum_{n}").over(before), F.lit(0)).alias(f"_offset_{n}") for n in values]
+        "_key", "_slice", *[F.coalesce(F.sum(f"_sum_{n}").over(before), F.lit(0)).alias(f"_offset_{n}") for n in values]
     )
-    inside = Window.partitionBy(*keys, *names).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    joined = rows.withColumns({n: F.sum(n).over(inside) for n in values}).join(offsets, [*keys, *names])
+    inside = Window.partitionBy("_key", "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    joined = rows.withColumns({n: F.sum(n).over(inside) for n in values}).join(offsets, ["_key", "_slice"])
     return joined.select(*df.columns, *[(F.col(n) + F.col(f"_offset_{n}")).alias(n) for n in values])

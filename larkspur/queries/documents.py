@@ -168,11 +168,13 @@ def _(t):
 
 @query("k6_dedup_paragraphs", f"""
 WITH l AS (SELECT doc_id, generate_subscripts(a, 1) AS pos, unnest(a) AS p FROM (SELECT doc_id, {LINES.format(c='text')} AS a FROM documents)),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY trim(regexp_replace(lower(p), '\\s+', ' ', 'g')) ORDER BY doc_id, pos) AS rn FROM l)
-SELECT doc_id, count(*) AS paragraphs, md5(string_agg(p, chr(10) ORDER BY pos)) AS digest FROM ranked WHERE rn = 1 GROUP BY 1""")
+ranked AS (SELECT *, row_number() OVER (PARTITION BY trim(regexp_replace(lower(p), '\\s+', ' ', 'g')) ORDER BY doc_id, pos) AS rn FROM l),
+kept AS (SELECT doc_id, string_agg(p, chr(10) || chr(10) ORDER BY pos) AS c FROM ranked WHERE rn = 1 GROUP BY 1)
+SELECT d.doc_id, CASE WHEN text IS NOT NULL THEN md5(coalesce(c, '')) END AS digest FROM documents d LEFT JOIN kept USING (doc_id)""")
 def _(t):
-    out = dc.dedup_paragraphs(t.documents, "doc_id", "text")
-    return out.select("doc_id", F.size(F.split("text", "\n")).alias("paragraphs"), F.md5("text").alias("digest"))
+    """Every document, its paragraphs (lines, in these texts) kept where they come first."""
+    out = dc.dedup_paragraphs(t.documents, "doc_id", "text", r"\n")
+    return out.select("doc_id", F.md5("text").alias("digest"))
 
 
 OVERLAPPING = exploded(windows(words("text"), 60, 30))

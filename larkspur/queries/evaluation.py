@@ -123,12 +123,12 @@ def _(t):
 
 
 @query("q8_bleu", f"""
-WITH {PAIRS}, {', '.join(gram_sql(n) for n in (1, 2))},
-p AS (SELECT sum(least(h, r)) AS clipped, sum(h) AS total FROM c1 UNION ALL SELECT sum(least(h, r)), sum(h) FROM c2),
+WITH {PAIRS}, {', '.join(gram_sql(n) for n in (1, 2, 3, 4))},
+p AS ({' UNION ALL '.join(f"SELECT sum(least(h, r)) AS clipped, sum(h) AS total FROM c{n}" for n in (1, 2, 3, 4))}),
 l AS (SELECT sum(len({tokens('answer')})) AS c, sum(len({tokens('question')})) AS r FROM pairs)
 SELECT round((SELECT CASE WHEN min(clipped) > 0 THEN exp(least(0.0::DOUBLE, 1 - (SELECT r / c FROM l)) + avg(ln(clipped / total))) ELSE 0 END FROM p), 8) AS bleu""")
 def _(t):
-    out = ev.bleu(answer_pairs(t), "pair_id", "answer", "question", orders=2)
+    out = ev.bleu(answer_pairs(t), "pair_id", "answer", "question")
     return out.select(F.round("bleu", 8).alias("bleu"))
 
 

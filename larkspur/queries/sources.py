@@ -64,7 +64,7 @@ def _(t):
 SELECT event_type, count(*) AS n, CAST(sum(user_id) AS BIGINT) AS user_sum FROM events GROUP BY 1""")
 def _(t):
     out, state = work_dir(t.spark, "copied"), work_dir(t.spark, "copied-state")
-    stream = files.table_stream(t.spark, t.directory, t.events.schema, "events.parquet")
+    stream = files.table_stream(t.spark, t.path("events"), t.events.schema)
     writer = stream.select("event_id", "user_id", "event_type").writeStream.format("parquet")
     writer.option("checkpointLocation", state).trigger(availableNow=True).start(out).awaitTermination()
     return t.spark.read.parquet(out).groupBy("event_type").agg(

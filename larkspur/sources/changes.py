@@ -11,19 +11,20 @@ from larkspur.operators.windows import latest_by_key
 def upsert(target: DataFrame, updates: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Merge updates into a target that is unique by key; the newest version wins.
 
-    Updates shrink to one row per key first.  The target is then joined once
-    with that smaller side, which Spark broadcasts when its size allows, so a
-    small batch does not shuffle a large table.
+    Updates shrink to one row per key first; one full outer join then decides
+    each key.  A NULL order value counts as oldest on both sides, equal ones go
+    to the update.  A NULL key equals no other key, as in MERGE: such rows of
+    either side stay.
     """
     rest = [c for c in target.columns if c not in keys]
     newest = latest_by_key(updates.select(*target.columns), keys, [F.col(order)])
-    packed = newest.select(*keys, F.struct(*rest).alias("_new"))
-    use_new = F.col("_new").isNotNull() & (F.col(f"_new.{order}") >= F.col(order))
-    merged = target.join(packed, keys, "left").select(
-        *keys, *[F.when(use_new, F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) for c in rest]
+    old = target.select(*keys, F.struct(*rest).alias("_old"))
+    both = old.join(newest.select(*keys, F.struct(*rest).alias("_new")), keys, "full_outer")
+    newer = F.coalesce(F.col(f"_new.{order}") >= F.col(f"_old.{order}"), F.col(f"_old.{order}").isNull())
+    winner = F.when(F.col("_new").isNull() | (F.col("_old").isNotNull() & ~newer), F.col("_old")).otherwise(F.col("_new"))
+    return both.withColumn("_row", winner).select(
+        *[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in target.columns]
     )
-    added = newest.join(target.select(*keys), keys, "left_anti")
-    return merged.select(*target.columns).unionByName(added.select(*target.columns))
 
 
 def delete_keys(target: DataFrame, deleted: DataFrame, keys: list[str]) -> DataFrame:

@@ -43,14 +43,24 @@ def ingest_stream(
     return with_provenance(reader.load(path))
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """Whether a stored table is a folder of part files (a single file otherwise)."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory()
+
+
 def table_stream(
-    spark: SparkSession, directory: str, schema: T.StructType, glob: str | None = None,
-    files_per_trigger: int | None = None,
+    spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int | None = None
 ) -> DataFrame:
-    """Stream the rows that arrive in a parquet table."""
+    """Stream the rows that arrive in a parquet table, a folder of part files or one file.
+
+    Part files in subfolders belong to the table too.  The file source reads
+    folders, so a single file is picked out of its own folder by name.
+    """
     reader = spark.readStream.schema(schema)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(files_per_trigger))
-    return reader.parquet(directory)
+    if is_folder(spark, path):
+        return reader.option("recursiveFileLookup", "true").parquet(path)
+    folder, _slash, name = path.rpartition("/")
+    return reader.option("pathGlobFilter", name).parquet(folder)

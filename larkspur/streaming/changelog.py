@@ -1,4 +1,4 @@
-"""A keyed table fed by micro-batches: append-only change files, latest row wins.
+"""Keyed tables fed by micro-batches: append-only change files, latest row wins or sums add up.
 
 Each micro-batch writes its own ``batch=<id>`` folder in overwrite mode, so a
 batch that is run again after a failure replaces its own files and nothing is
@@ -21,6 +21,7 @@ from larkspur.sources.writes import read_table
 class ChangeLog:
     path: str
     keys: tuple[str, ...]
+    order: str | None = None  # column that tells which version of a row is newer; NULL is oldest
 
     def append(self, rows: DataFrame, batch_id: int, op: str | None = None) -> None:
         """Store the rows of one batch; ``_op`` is ``put`` unless the rows carry it."""
@@ -32,15 +33,35 @@ class ChangeLog:
         return read_table(spark, self.path)
 
     def current(self, spark: SparkSession) -> DataFrame | None:
-        """One row per key: the newest change, deletions left out."""
+        """One row per key: the newest change, by ``order`` and then by batch, deletions left out."""
         changes = self.rows(spark)
         if changes is None:
             return None
-        newest = latest_by_key(changes, list(self.keys), [F.col("batch")])
+        order = [F.col(c) for c in (self.order, "batch") if c]
+        newest = latest_by_key(changes, list(self.keys), order)
         return newest.where(F.col("_op") != "delete").drop("_op", "batch")
 
     def compact(self, spark: SparkSession, path: str) -> DataFrame:
         """Write the current rows to a new folder as batch -1 of a fresh log."""
         rows = self.current(spark)
         rows.withColumn("_op", F.lit("put")).write.mode("overwrite").parquet(f"{path}/batch=-1")
-        return ChangeLog(path, self.keys).current(spark)
+        return ChangeLog(path, self.keys, self.order).current(spark)
+
+
+@dataclass(frozen=True)
+class TallyLog:
+    """Sums fed by micro-batches: every batch stores its own, readers add them up.
+
+    As in a change log, a batch that is run again replaces its own files.
+    """
+
+    path: str
+    keys: tuple[str, ...]
+    sums: tuple[str, ...]
+
+    def append(self, rows: DataFrame, batch_id: int) -> None:
+        rows.select(*self.keys, *self.sums).write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
+
+    def current(self, spark: SparkSession) -> DataFrame | None:
+        stored = read_table(spark, self.path)
+        return None if stored is None else stored.groupBy(*self.keys).agg(*[F.sum(c).alias(c) for c in self.sums])

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from larkspur.functions.times import instant, wall_clock
 from larkspur.operators.windows import running_totals
 from larkspur.sources.writes import read_table
-from larkspur.streaming.changelog import ChangeLog
+from larkspur.streaming.changelog import ChangeLog, TallyLog
 from larkspur.streaming.ingest import start
 
 # a window of each unit is counted in slices of the finer unit
@@ -60,36 +60,67 @@ def limit_report(requests: DataFrame, keys: list[str], ts: str, calls: int, wind
     )
 
 
-def run_update_stream(results: DataFrame, log: ChangeLog, state: str, every: str | None = None) -> StreamingQuery:
-    """Store the changed groups of a streaming aggregate; the newest value per key wins."""
+def refused_calls(tally: DataFrame, calls: int) -> DataFrame:
+    """The limit report from stored sums of calls and tokens."""
+    return tally.withColumn("refused", F.greatest(F.col("calls") - calls, F.lit(0)))
+
+
+def is_late(batch: DataFrame, batch_id: int, marks: str, ts: str, delay: str) -> Column:
+    """Rows older than the newest time of earlier batches less the delay; NULL times are not late.
+
+    ``marks`` stores the newest event time of each batch as one small row.
+    """
+    seen = read_table(batch.sparkSession, marks)
+    newest = None
+    if seen is not None:
+        newest = seen.where(F.col("batch") < batch_id).agg(F.max("newest")).first()[0]
+    if newest is None:
+        return F.lit(False)
+    return F.coalesce(F.col(ts) < F.lit(newest) - F.expr(f"INTERVAL {delay}"), F.lit(False))
+
+
+def mark(batch: DataFrame, batch_id: int, marks: str, ts: str) -> None:
+    batch.agg(F.max(ts).alias("newest")).write.mode("overwrite").parquet(f"{marks}/batch={batch_id}")
+
+
+def _run_tally(
+    requests: DataFrame, log: TallyLog, count: Callable[[DataFrame], DataFrame], late: str, marks: str, state: str,
+    ts: str, delay: str, every: str | None,
+) -> StreamingQuery:
+    """Store the sums of each batch; late rows and rows without a time go to the late table."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        log.append(batch, batch_id)
+        outside = is_late(batch, batch_id, marks, ts, delay) | F.col(ts).isNull()
+        log.append(count(batch.where(~outside)), batch_id)
+        batch.where(outside).write.mode("overwrite").parquet(f"{late}/batch={batch_id}")
+        mark(batch, batch_id, marks, ts)
 
-    writer = results.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", state)
-    writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
-    return writer.start()
+    return start(requests, state, write, every)
 
 
 def run_limit_stream(
-    requests: DataFrame, log: ChangeLog, state: str, keys: list[str], ts: str, calls: int,
+    requests: DataFrame, log: TallyLog, late: str, marks: str, state: str, keys: list[str], ts: str,
     window: str = "1 minute", delay: str = DEFAULT_DELAY, every: str | None = None,
 ) -> StreamingQuery:
-    """The limit report as a running table; state of closed windows is dropped."""
-    timed = instant(requests, ts).withWatermark(ts, delay)
-    report = limit_report(timed, keys, ts, calls, window)
-    return run_update_stream(report.withColumn("window_start", wall_clock(F.col("window_start"))), log, state, every)
+    """Calls and tokens per key and window as a running table; see ``refused_calls``.
+
+    Every row is counted once or is in the late table.
+    """
+    return _run_tally(
+        requests, log, lambda rows: limit_report(rows, keys, ts, 0, window), late, marks, state, ts, delay, every
+    )
 
 
 def run_daily_counts(
-    requests: DataFrame, log: ChangeLog, state: str, ts: str, rule: Column, delay: str = DEFAULT_DELAY,
-    every: str | None = None,
+    requests: DataFrame, log: TallyLog, late: str, marks: str, state: str, ts: str, rule: Column,
+    delay: str = DEFAULT_DELAY, every: str | None = None,
 ) -> StreamingQuery:
-    """Guard hits per day and rule as a running table."""
-    timed = instant(requests, ts).withWatermark(ts, delay)
-    daily = timed.groupBy(F.window(ts, "1 day").alias("_w"), rule.alias("rule")).agg(F.count("*").alias("hits"))
-    day = wall_clock(F.col("_w.start")).cast("date").alias("day")
-    return run_update_stream(daily.select(day, "rule", "hits"), log, state, every)
+    """Guard hits per day and rule as a running table; every row is counted once or is in the late table."""
+
+    def daily(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(F.to_date(ts).alias("day"), rule.alias("rule")).agg(F.count("*").alias("hits"))
+
+    return _run_tally(requests, log, daily, late, marks, state, ts, delay, every)
 
 
 def run_metrics_upsert(
@@ -98,22 +129,14 @@ def run_metrics_upsert(
 ) -> StreamingQuery:
     """Upsert requests by key; rows later than the delay go to the late table.
 
-    The newest event time of each finished batch is stored as one small row.
-    A row is late when it is older than the newest time of earlier batches
-    less the delay.
+    A log with ``order`` keeps the newest version of a row whatever the order
+    of arrival.  Rows without a time are never late.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        seen = read_table(spark, marks)
-        newest = None
-        if seen is not None:
-            newest = seen.where(F.col("batch") < batch_id).agg(F.max("newest")).first()[0]
-        is_late = F.lit(False)
-        if newest is not None:
-            is_late = F.col(ts) < F.lit(newest) - F.expr(f"INTERVAL {delay}")
-        log.append(batch.where(~is_late), batch_id)
-        batch.where(is_late).write.mode("overwrite").parquet(f"{late}/batch={batch_id}")
-        batch.agg(F.max(ts).alias("newest")).write.mode("overwrite").parquet(f"{marks}/batch={batch_id}")
+        late_rows = is_late(batch, batch_id, marks, ts, delay)
+        log.append(batch.where(~late_rows), batch_id)
+        batch.where(late_rows).write.mode("overwrite").parquet(f"{late}/batch={batch_id}")
+        mark(batch, batch_id, marks, ts)
 
     return start(requests, state, write, every)

@@ -62,11 +62,31 @@ def test_expectations_drop_and_count(spark):
     assert seen.get == {"rows_in": 3, "dropped_non_empty": 2}
 
 
-def test_boilerplate_paths_agree(spark, tables):
-    rows = tables.documents.select("doc_id", "text")
-    inline = dc.drop_boilerplate(rows, "doc_id", "text", 0.02).select("doc_id", F.md5("text").alias("d"))
-    joined = dc.drop_boilerplate(rows, "doc_id", "text", 0.02, inline_limit=0).select("doc_id", F.md5("text").alias("d"))
-    assert sorted(map(tuple, inline.collect())) == sorted(map(tuple, joined.collect()))
+def test_boilerplate_paths_agree(spark, tables, monkeypatch):
+    more = spark.createDataFrame([(10_000, None), (10_001, ""), (10_002, "only\nonly")], "doc_id long, text string")
+    common = spark.createDataFrame([(20_000 + i, "only\nown %d" % i) for i in range(20)], "doc_id long, text string")
+    rows = tables.documents.select("doc_id", "text").unionAll(more).unionAll(common)
+    inline = dc.drop_boilerplate(rows, "doc_id", "text", 0.02).collect()
+    monkeypatch.setattr(dc, "INLINE_BYTES", -1)
+    joined = dc.drop_boilerplate(rows, "doc_id", "text", 0.02).collect()
+    assert sorted(map(tuple, inline), key=lambda r: r[0]) == sorted(map(tuple, joined), key=lambda r: r[0])
+    got = {r.doc_id: r.text for r in inline}
+    assert (got[10_000], got[10_001], got[10_002], got[20_003]) == (None, "", "", "own 3")
+
+
+def test_rows_without_text_are_no_copies(spark):
+    rows = [(1, "A  b"), (2, "a b"), (3, None), (4, None), (None, None)]
+    df = spark.createDataFrame(rows, "id int, t string")
+    assert sorted((r.id, r.canonical_id, r.copies) for r in dc.label_copies(df, "id", "t").collect() if r.id) == [
+        (1, 1, 2), (2, 1, 2), (3, 3, 1), (4, 4, 1)
+    ]
+    assert dc.label_copies(df, "id", "t").count() == 5
+    assert sorted(r.id for r in dc.dedup_exact(df.where("id IS NOT NULL"), "id", "t").collect()) == [1, 3, 4]
+
+
+def test_paragraph_copies_leave_every_document(spark):
+    df = spark.createDataFrame([(1, "a\n\nb"), (2, "B\n\nc\nd"), (3, "a\n\n\nb"), (4, None)], "id int, t string")
+    assert sorted(map(tuple, dc.dedup_paragraphs(df, "id", "t").collect())) == [(1, "a\n\nb"), (2, "c\nd"), (3, ""), (4, None)]
 
 
 def test_similar_hits_keep_the_best_rank(spark):

@@ -11,7 +11,7 @@ from larkspur.sources import changes, files, writes
 from larkspur.streaming import index as ix
 from larkspur.streaming import ingest as ig
 from larkspur.streaming import requests as rq
-from larkspur.streaming.changelog import ChangeLog
+from larkspur.streaming.changelog import ChangeLog, TallyLog
 
 
 def rows(df, *columns):
@@ -169,19 +169,80 @@ def test_late_rows_go_to_the_late_table(spark, tmp_path):
 
 def test_limit_stream_equals_batch(spark, tmp_path):
     feed = str(tmp_path / "feed")
-    rowset = events(spark, *[(i, i % 3, i % 2) for i in range(60)])
+    rowset = events(spark, *[(i, i % 3 + 100 * (i // 30), i % 2) for i in range(60)])
     rowset.where("request_id < 30").coalesce(1).write.parquet(feed)
-    log = ChangeLog(str(tmp_path / "log"), ("window_start", "user_id"))
+    log = TallyLog(str(tmp_path / "log"), ("window_start", "user_id"), ("calls", "tokens"))
+    late, marks, state = (str(tmp_path / n) for n in ("late", "marks", "state"))
 
     def run():
         stream = files.table_stream(spark, feed, rowset.schema)
-        rq.run_limit_stream(stream, log, str(tmp_path / "state"), ["user_id"], "ts", 8).awaitTermination()
+        rq.run_limit_stream(stream, log, late, marks, state, ["user_id"], "ts").awaitTermination()
 
     run()
-    rowset.where("request_id >= 30").coalesce(1).write.mode("append").parquet(feed)
+    dated = rowset.where("request_id >= 30")
+    undated = events(spark, (70, 0, 1)).withColumn("ts", F.lit(None).cast("timestamp_ntz"))
+    behind = events(spark, (71, -90, 1))
+    dated.unionAll(undated).unionAll(behind).coalesce(1).write.mode("append").parquet(feed)
     run()
     columns = ("window_start", "user_id", "calls", "refused")
-    assert rows(log.current(spark), *columns) == rows(rq.limit_report(rowset, ["user_id"], "ts", 8), *columns)
+    got = rq.refused_calls(log.current(spark), 8)
+    assert rows(got, *columns) == rows(rq.limit_report(rowset, ["user_id"], "ts", 8), *columns)
+    assert rows(spark.read.parquet(late), "request_id") == [(70,), (71,)]
+
+
+def test_daily_counts_lose_no_row(spark, tmp_path):
+    feed = str(tmp_path / "feed")
+    events(spark, (1, 0, 1), (2, 3000, 2)).coalesce(1).write.parquet(feed)
+    log = TallyLog(str(tmp_path / "log"), ("day", "rule"), ("hits",))
+    late, marks, state = (str(tmp_path / n) for n in ("late", "marks", "state"))
+
+    def run():
+        stream = files.table_stream(spark, feed, events(spark).schema)
+        rq.run_daily_counts(stream, log, late, marks, state, "ts", F.col("user_id")).awaitTermination()
+
+    run()
+    events(spark, (3, 2990, 2), (4, 10, 1)).coalesce(1).write.mode("append").parquet(feed)
+    run()
+    assert log.current(spark).agg(F.sum("hits")).first()[0] == 3
+    assert rows(spark.read.parquet(late), "request_id") == [(4,)]
+
+
+def test_streams_read_folders_and_single_files(spark, tmp_path):
+    folder, single = str(tmp_path / "many"), str(tmp_path / "one")
+    spark.range(100).repartition(3).write.parquet(folder)
+    spark.range(7).coalesce(1).write.parquet(single)
+    name = next(n for n in os.listdir(single) if n.endswith(".parquet"))
+    for i, (path, n) in enumerate(((folder, 100), (os.path.join(single, name), 7))):
+        out = str(tmp_path / f"out{i}")
+        stream = files.table_stream(spark, path, spark.range(0).schema)
+        writer = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / f"state{i}"))
+        writer.trigger(availableNow=True).start(out).awaitTermination()
+        assert spark.read.parquet(out).count() == n
+
+
+def test_null_keys_and_times_are_counted(spark):
+    base = dt.datetime(2024, 1, 1)
+    given = [(1, base, "a"), (2, base, "a"), (3, base, None), (4, None, "a"), (5, None, None)]
+    df = spark.createDataFrame([(*r, 1) for r in given], "request_id int, ts timestamp_ntz, topic string, total_tokens bigint")
+    out = rq.rate_limit(df, ["topic"], "ts", "request_id", calls=1)
+    assert rows(out, "request_id", "response_code") == [(1, 200), (2, 429), (3, 200), (4, 200), (5, 200)]
+
+
+def test_upsert_with_null_order_and_keys(spark):
+    target = spark.createDataFrame([(1, "a", None), (2, "b", 5), (None, "c", 5)], "k int, v string, n int")
+    updates = spark.createDataFrame([(1, "new", 1), (2, "undated", None), (None, "other", 9), (3, "add", None)], "k int, v string, n int")
+    got = changes.upsert(target, updates, ["k"], "n")
+    assert sorted(map(tuple, got.select("k", "v").collect()), key=str) == sorted(
+        [(1, "new"), (2, "b"), (None, "c"), (None, "other"), (3, "add")], key=str
+    )
+
+
+def test_older_rows_of_later_batches_do_not_win(spark, tmp_path):
+    log = ChangeLog(str(tmp_path / "log"), ("request_id",), "ts")
+    log.append(events(spark, (1, 10, 1), (2, 10, 1)), 0)
+    undated = events(spark, (2, 0, 9)).withColumn("ts", F.lit(None).cast("timestamp_ntz"))
+    log.append(events(spark, (1, 5, 2), (3, 1, 1)).unionAll(undated), 1)
+    assert rows(log.current(spark), "request_id", "user_id") == [(1, 1), (2, 1), (3, 1)]
 
 
 def test_limits_are_checked(spark):
