@@ -8,13 +8,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions import text as tx
 from larkspur.operators import topk
 from larkspur.operators.skew import broadcast_if_small
 from larkspur.operators.windows import top_k
+from larkspur.session import cut_lineage
 
 # The published BM25 and rank-fusion constants.
 BM25_K1 = 1.2
@@ -58,66 +59,88 @@ def text_index(df: DataFrame, item: str, text: str) -> DataFrame:
     return df.where(F.col(text).isNotNull()).select(item, tx.tokens(text).alias("tokens"))
 
 
-QUERY_BYTES = 64 * 1024  # room for the terms of one query when blocks are fetched
-
-
-def blocks_by_terms(blocks: Iterator[list[Row]]) -> Iterator[list[Row]]:
-    """Split blocks so that each term-by-query weight matrix stays within the block size."""
-    for rows in blocks:
-        part, terms = [], set()
-        for r in rows:
-            grown = terms | set(r["_terms"])
-            if part and 8 * len(grown) * (len(part) + 1) > topk.BLOCK_BYTES:
-                yield part
-                part, grown = [], set(r["_terms"])
-            part, terms = [*part, r], grown
-        if part:
-            yield part
+def weight_blocks(rows: list) -> list[range]:
+    """Runs of query rows whose term-by-query weight matrix stays within the block size."""
+    blocks, start, terms = [], 0, set()
+    for i, r in enumerate(rows):
+        grown = terms.union(r["_terms"])
+        if i > start and 8 * len(grown) * (i - start + 1) > topk.BLOCK_BYTES:
+            blocks.append(range(start, i))
+            start, grown = i, set(r["_terms"])
+        terms = grown
+    return [*blocks, range(start, len(rows))]
 
 
 EVERY_DOCUMENT = ""  # no token is empty, so this marks the row that counts all documents
 
 
-def term_statistics(index: DataFrame, terms: list[str]) -> DataFrame:
-    """Documents per term, and the document count with total length, in one pass.
+def term_statistics(index: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """Documents per term of the vocabulary, and the document count with total length, in one pass.
 
     Only the distinct query terms of a document leave the row, and counts
     combine on the map side, so a term that every document has costs no more.
+    ``vocabulary`` (term) must be stored; it is broadcast if its measured size
+    allows.
     """
-    vocabulary = index.sparkSession.createDataFrame([(t,) for t in [EVERY_DOCUMENT, *terms]], "term string")
+    size = vocabulary.agg(F.count("*").alias("n"), F.sum(F.octet_length("term") + 48).alias("bytes")).first()
+    marks = index.sparkSession.createDataFrame([(EVERY_DOCUMENT,)], "term string")
+    wanted = vocabulary.unionAll(marks)
+    wanted = broadcast_if_small(wanted, 1, size["bytes"] or 0)
     own = F.array_append(F.array_distinct("tokens"), F.lit(EVERY_DOCUMENT))
-    found = index.select(F.size("tokens").alias("_n"), F.explode(own).alias("term")).join(F.broadcast(vocabulary), "term")
+    found = index.select(F.size("tokens").alias("_n"), F.explode(own).alias("term")).join(wanted, "term")
     length = F.sum(F.when(F.col("term") == EVERY_DOCUMENT, F.col("_n")))
     return found.groupBy("term").agg(F.count("*").alias("df"), length.alias("length"))
 
 
+def weighted_queries(index: DataFrame, asked: DataFrame, query_key: str) -> tuple[DataFrame, float]:
+    """Queries with the weight of each of their terms, and the mean document length.
+
+    The terms of all queries are counted in one pass over the index, whatever
+    the number of queries.
+    """
+    terms = asked.select(query_key, F.explode("_terms").alias("term"))
+    vocabulary = cut_lineage(terms.select("term").distinct())
+    counted = cut_lineage(term_statistics(index, vocabulary))
+    every = counted.where(F.col("term") == EVERY_DOCUMENT).first()
+    documents, mean_length = (every["df"], every["length"] / every["df"]) if every else (0, 1.0)
+    df = F.coalesce("df", F.lit(0))
+    weight = F.log1p((F.lit(documents) - df + 0.5) / (df + 0.5))
+    sizes = counted.agg(F.count("*").alias("n"), F.sum(F.octet_length("term") + 64).alias("bytes")).first()
+    joined = terms.join(broadcast_if_small(counted.select("term", "df"), 1, sizes["bytes"] or 0), "term", "left")
+    pairs = F.sort_array(F.collect_list(F.struct("term", weight.alias("weight"))))
+    weighted = joined.groupBy(query_key).agg(pairs.alias("_pairs"))
+    return weighted.select(
+        query_key, F.col("_pairs.term").alias("_terms"), F.col("_pairs.weight").alias("_weights")
+    ), mean_length or 1.0
+
+
 def keyword_search(
     index: DataFrame, queries: DataFrame, k: int, item: str = "doc_id", query_key: str = "query_id",
     query_text: str = "query_text",
 ) -> DataFrame:
     """BM25 top-k: (query, item, score, rank).
 
-    Two linear passes over the index and no shuffle of postings: one counts
-    documents per query term (pre-aggregated), one scores documents in place.
+    Two linear passes over the index and no shuffle of postings while the
+    queries fit one block: one counts documents per query term
+    (pre-aggregated), one scores documents in place.
     """
     asked = queries.select(query_key, F.array_distinct(tx.tokens(query_text)).alias("_terms"))
-    query_type = queries.schema[query_key].dataType
-
-    def scorer(rows):
-        terms = sorted({term for r in rows for term in r["_terms"]})
-        place = {term: i for i, term in enumerate(terms)}
-        counted = {r["term"]: r for r in term_statistics(index, terms).collect()}  # one row per query term
-        every = counted.get(EVERY_DOCUMENT)
-        documents, mean_length = (every["df"], every["length"] / every["df"]) if every else (0, 1.0)
-        weights = np.zeros((len(terms), len(rows)))
-        for q, r in enumerate(rows):
-            for term in r["_terms"]:
-                df = counted[term]["df"] if term in counted else 0
-                weights[place[term], q] = np.log1p((documents - df + 0.5) / (df + 0.5))
-        return Bm25Scorer(terms, weights, mean_length or 1.0)
-
-    blocks = blocks_by_terms(topk.query_blocks(asked, QUERY_BYTES))
-    return topk.scan_top_k(index, item, "tokens", blocks, query_key, query_type, scorer, k)
+    weighted, mean_length = weighted_queries(index, asked, query_key)
+
+    def scorers(rows):
+        made = []
+        for own in weight_blocks(rows):
+            terms = sorted({term for q in own for term in rows[q]["_terms"]})
+            place = {term: i for i, term in enumerate(terms)}
+            weights = np.zeros((len(terms), len(own)))
+            for column, q in enumerate(own):
+                for term, weight in zip(rows[q]["_terms"], rows[q]["_weights"]):
+                    weights[place[term], column] = weight
+            made.append((own, Bm25Scorer(terms, weights, mean_length)))
+        return made
+
+    size = F.aggregate("_terms", F.lit(64), lambda n, t: n + F.octet_length(t) + 64)
+    return topk.scan_top_k(index, item, "tokens", weighted, query_key, size, scorers, k)
 
 
 def fuse_ranks(dense: DataFrame, sparse: DataFrame, query_key: str, item: str, k: int) -> DataFrame:

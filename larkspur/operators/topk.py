@@ -1,26 +1,32 @@
-"""Exact top-k of a large corpus against blocks of queries, without a cross join.
+"""Exact top-k of a large corpus against a table of queries, without a cross join.
 
-The query side is taken in blocks of checked size and broadcast; the corpus is
-scanned once per block and never shuffled.  Every task keeps the best k items
-per query and emits only those; a ranking over the emitted rows finishes.
-A hot partition therefore costs scan time and nothing else, and a query table
-of any size is answered in full, block after block.
+The measured size of the query side decides.  Queries that fit one block are
+broadcast, the corpus is scanned in place and never shuffled.  A larger query
+table is cut into blocks and the corpus into parts; every pair of a block and a
+part meets in one task, by an equi-join on their numbers, and nothing passes
+through the driver.  The plan is the same for any number of blocks.
+
+Every task keeps the best k items per query and emits only those; a ranking over
+the emitted rows finishes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from larkspur.operators.windows import top_k
+from larkspur.session import cut_lineage
 
-BLOCK_BYTES = 64 * 1024 * 1024  # size limit of one broadcast query block
+BLOCK_BYTES = 64 * 1024 * 1024  # size limit of one block of queries
+PART_ROWS = 16_384  # corpus rows of a part, where queries come in blocks
+MOST_TASKS = 4_096  # corpus tasks of one scan: each emits up to k rows per query
 CELLS_PER_STEP = 4_000_000  # score cells held at a time in one task
 SCORE_DIGITS = 9  # equal items must tie exactly, so scores are rounded
 
@@ -58,77 +64,95 @@ class BestPerQuery:
         self.query, self.score, self.item = self.query[kept], self.score[kept], self.item[kept]
 
 
-def query_blocks(queries: DataFrame, row_bytes: int) -> Iterator[list[Row]]:
-    """The query rows in blocks of about ``BLOCK_BYTES``; nothing is left out.
+#: Scorers of a block: the queries that each one scores, and the function that turns a
+#: record batch (item, payload) into (row slice, score matrix) steps.
+Scorers = list[tuple[range, Callable[[pa.RecordBatch], Iterator[tuple[slice, np.ndarray]]]]]
 
-    A query table that fits one block is read once.  A larger one streams to
-    the driver partition by partition, one block at a time.
-    """
-    block_rows = max(BLOCK_BYTES // max(row_bytes, 1), 1)
-    rows = queries.limit(block_rows + 1).collect()
-    if len(rows) <= block_rows:
-        if rows:
-            yield rows
-        return
-    rows = []
-    for row in queries.toLocalIterator():
-        rows.append(row)
-        if len(rows) == block_rows:
-            yield rows
-            rows = []
-    if rows:
-        yield rows
+
+def _best_rows(
+    batches: Iterator[pa.RecordBatch], rows: list, query_key: str, scorers: Scorers, k: int, schema: pa.Schema
+) -> Iterator[pa.RecordBatch]:
+    """The best ``k`` items of the batches for every query row."""
+    kept = [BestPerQuery(len(own), k) for own, _score in scorers]
+    for batch in batches:
+        items = batch.column(0).to_numpy(zero_copy_only=False)
+        items = items.astype(str) if items.dtype == object else items
+        for best, (_own, score) in zip(kept, scorers):
+            for step, scores in score(batch):
+                best.add(items[step], np.round(scores, SCORE_DIGITS))
+    for best, (own, _score) in zip(kept, scorers):
+        if best.item is not None:
+            keys = [rows[own[q]][query_key] for q in best.query.tolist()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys, schema.field(0).type), pa.array(best.item, schema.field(1).type), pa.array(best.score)],
+                schema=schema,
+            )
 
 
 def scan_top_k(
     corpus: DataFrame,
     item: str,
     payload: str,
-    blocks: Iterator[list[Row]],
+    queries: DataFrame,
     query_key: str,
-    query_type: T.DataType,
-    make_scorer: Callable[[list[Row]], Callable[[pa.RecordBatch], Iterator[tuple[slice, np.ndarray]]]],
+    query_bytes: Column,
+    make_scorers: Callable[[list], Scorers],
     k: int,
 ) -> DataFrame:
-    """Rows (query id, item id, score, rank) of the best ``k`` items per query.
+    """Rows (query, item, score, rank) of the best ``k`` items per query.
 
-    ``make_scorer(rows)`` returns a picklable function that turns a record
-    batch (item, payload) into (row slice, score matrix) steps; a score of
-    minus infinity means no hit.
+    ``make_scorers`` runs where the scoring runs and gets the query rows of one
+    block; ``query_bytes`` is the size of a query row there.  A score of minus
+    infinity means no hit.  Ties go to the smaller item.
     """
-    spark = corpus.sparkSession
-    item_type = corpus.schema[item].dataType
-    schema = T.StructType(
-        [T.StructField("_q", T.LongType()), T.StructField(item, item_type), T.StructField("score", T.DoubleType())]
-    )
+    asked = cut_lineage(queries)
+    size = asked.agg(F.sum(query_bytes)).first()[0] or 0
+    blocks = -(-size // BLOCK_BYTES)
     rows = corpus.select(item, payload)
-    results = []
-    for block in blocks:
-        shared = spark.sparkContext.broadcast((make_scorer(block), len(block)))
-
-        def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            scorer, queries = shared.value
-            kept = BestPerQuery(queries, k)
-            for batch in batches:
-                items = batch.column(0).to_numpy(zero_copy_only=False)
-                items = items.astype(str) if items.dtype == object else items
-                for step, scores in scorer(batch):
-                    kept.add(items[step], np.round(scores, SCORE_DIGITS))
-            if kept.item is not None:
-                columns = [pa.array(kept.query), pa.array(kept.item), pa.array(kept.score)]
-                yield pa.RecordBatch.from_arrays(columns, names=["_q", item, "score"])
-
-        hits = rows.mapInArrow(best, schema)
-        ids = spark.createDataFrame(
-            [(i, r[query_key]) for i, r in enumerate(block)],
-            T.StructType([T.StructField("_q", T.LongType()), T.StructField(query_key, query_type)]),
-        )
-        ranked = top_k(hits, ["_q"], [F.col("score").desc(), F.col(item)], k)
-        results.append(ranked.join(ids, "_q").select(query_key, item, "score", "rank"))
-    if not results:
-        empty = T.StructType(
-            [T.StructField(query_key, query_type), T.StructField(item, item_type),
-             T.StructField("score", T.DoubleType()), T.StructField("rank", T.IntegerType())]
-        )
-        return spark.createDataFrame([], empty)
-    return reduce(DataFrame.unionByName, results)
+    out = T.StructType(
+        [asked.schema[query_key], T.StructField(item, corpus.schema[item].dataType), T.StructField("score", T.DoubleType())]
+    )
+    arrow = to_arrow_schema(out)
+    hits = (
+        _in_place(rows, asked, query_key, make_scorers, k, out, arrow) if blocks <= 1
+        else _by_parts(rows, item, asked, query_key, int(blocks), make_scorers, k, out, arrow)
+    )
+    return top_k(hits, [query_key], [F.col("score").desc(), F.col(item)], k)
+
+
+def _in_place(
+    rows: DataFrame, asked: DataFrame, query_key: str, make_scorers: Callable[[list], Scorers], k: int,
+    out: T.StructType, arrow: pa.Schema,
+) -> DataFrame:
+    shared = rows.sparkSession.sparkContext.broadcast([r.asDict() for r in asked.collect()])  # one block, measured
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = shared.value
+        if block:
+            yield from _best_rows(batches, block, query_key, make_scorers(block), k, arrow)
+
+    return rows.coalesce(MOST_TASKS).mapInArrow(best, out)
+
+
+def _by_parts(
+    rows: DataFrame, item: str, asked: DataFrame, query_key: str, blocks: int, make_scorers: Callable[[list], Scorers],
+    k: int, out: T.StructType, arrow: pa.Schema,
+) -> DataFrame:
+    parts = max(-(-rows.count() // PART_ROWS), 1)
+
+    def numbers(n: int) -> Column:
+        return F.sequence(F.lit(0), F.lit(n - 1))
+
+    part = F.pmod(F.xxhash64(item, F.monotonically_increasing_id()), F.lit(parts)).cast("int")
+    block = F.pmod(F.xxhash64(query_key, F.monotonically_increasing_id()), F.lit(blocks)).cast("int")
+    left = rows.withColumn("_part", part).withColumn("_block", F.explode(numbers(blocks)))
+    right = asked.withColumn("_block", block).withColumn("_part", F.explode(numbers(parts)))
+
+    def best(items: pa.Table, block_rows: pa.Table) -> pa.Table:
+        block = block_rows.to_pylist()
+        found = []
+        if block and items.num_rows:
+            found = list(_best_rows(iter(items.combine_chunks().to_batches()), block, query_key, make_scorers(block), k, arrow))
+        return pa.Table.from_batches(found, arrow)
+
+    return left.groupBy("_part", "_block").cogroup(right.groupBy("_part", "_block")).applyInArrow(best, out)

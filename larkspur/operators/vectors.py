@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from larkspur.functions import text as tx
 from larkspur.functions.similarity import NORM_EPSILON, cosine
 from larkspur.operators import topk
+from larkspur.session import cut_lineage
 
 
 def adjacent_distance(df: DataFrame, position: str, vector: str, keys: list[str] | None = None) -> DataFrame:
@@ -69,9 +70,6 @@ class TextEmbedder:
         return vectors.drop("_tokens", "_tf", "_idf", "_unit")
 
 
-VECTOR_BYTES = 8 * 1024  # room for one query vector of up to 1,024 elements
-
-
 def unit_rows(matrix: np.ndarray) -> np.ndarray:
     return matrix / (np.linalg.norm(matrix, axis=1, keepdims=True) + NORM_EPSILON)
 
@@ -121,12 +119,11 @@ def search(
     asked = queries.where(F.col(query_vector).isNotNull()).select(query_key, query_vector)
     good = corpus.where(F.col(vector).isNotNull())
 
-    def scorer(rows):
+    def scorers(rows):
         matrix = np.asarray([r[query_vector] for r in rows], dtype=np.float64)
-        return VectorScorer(unit_rows(matrix) if metric == "cosine" else matrix, metric)
+        return [(range(len(rows)), VectorScorer(unit_rows(matrix) if metric == "cosine" else matrix, metric))]
 
-    blocks = topk.query_blocks(asked, VECTOR_BYTES)
-    return topk.scan_top_k(good, item, vector, blocks, query_key, queries.schema[query_key].dataType, scorer, k)
+    return topk.scan_top_k(good, item, vector, asked, query_key, 8 * F.size(query_vector) + 64, scorers, k)
 
 
 def lookup_join(rows: DataFrame, key: str, vector: str, corpus: DataFrame, item: str, corpus_vector: str, k: int) -> DataFrame:
@@ -162,22 +159,25 @@ class CellIndex:
         return CellIndex(self.centres, self.rows.sparkSession.read.parquet(path), self.item, self.vector)
 
 
+MOST_CELLS = 65_536  # centres that every task holds
+
+
 def nearest_cells(centres: np.ndarray, vectors: np.ndarray, cells: int) -> np.ndarray:
     scores = unit_rows(vectors) @ centres.T
     return np.argsort(-scores, axis=1, kind="stable")[:, :cells]
 
 
-def build_cell_index(corpus: DataFrame, item: str, vector: str, cells: int = 16, seed: int = 7) -> CellIndex:
+def build_cell_index(corpus: DataFrame, item: str, vector: str, cells: int | None = None, seed: int = 7) -> CellIndex:
     """Cluster the vectors into cells (cosine k-means) and label every row.
 
-    Centres are trained on a hash sample of up to 256 rows per cell; the
-    assignment covers all rows, map-only.
+    Centres are trained on all vectors.  Without a number given, cells grow
+    with the square root of the rows, so a probe reads a smaller share of a
+    larger corpus.  The assignment is map-only.
     """
     kept = corpus.where(F.col(vector).isNotNull())
-    total = kept.count()
-    keep_of_million = max(int(1_000_000 * min(1.0, 256.0 * cells / max(total, 1))), 1)
-    sample = kept.where(F.pmod(F.xxhash64(item), F.lit(1_000_000)) < keep_of_million)
-    unit = sample.select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
+    if cells is None:
+        cells = min(max(int(kept.count() ** 0.5), 4), MOST_CELLS)
+    unit = kept.select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
     means = KMeans(k=cells, seed=seed, distanceMeasure="cosine", maxIter=15).fit(unit)
     centres = unit_rows(np.asarray([list(c) for c in means.clusterCenters()]))
     shared = corpus.sparkSession.sparkContext.broadcast(centres)
@@ -218,25 +218,35 @@ class CellScorer:
 
 
 def search_cells(
-    index: CellIndex, queries: DataFrame, k: int, nprobe: int = 4,
+    index: CellIndex, queries: DataFrame, k: int, nprobe: int | None = 4,
     query_key: str = "query_id", query_vector: str = "query_vector",
 ) -> DataFrame:
-    """Approximate top-k: only the ``nprobe`` cells nearest to each query are read."""
+    """Approximate top-k: only the ``nprobe`` cells nearest to each query are read (None: all, which is exact)."""
+    centres = index.centres
+    probes = len(centres) if nprobe is None else min(nprobe, len(centres))
     asked = queries.where(F.col(query_vector).isNotNull()).select(query_key, query_vector)
-    blocks = list(topk.query_blocks(asked, VECTOR_BYTES))
-    probed = set()
+    place = asked.columns.index(query_vector)
+    schema = T.StructType([*asked.schema.fields, T.StructField("_probes", T.ArrayType(T.IntegerType()))])
 
-    def scorer(rows):
-        matrix = unit_rows(np.asarray([r[query_vector] for r in rows], dtype=np.float64))
-        return CellScorer(matrix, nearest_cells(index.centres, matrix, nprobe))
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = nearest_cells(centres, dense(batch.column(place), centres.shape[1]), probes)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(near.tolist(), pa.list_(pa.int32()))], names=[*batch.schema.names, "_probes"]
+            )
 
-    for block in blocks:
-        probed.update(int(c) for c in np.unique(scorer(block).probes))
-    rows = index.rows.where(F.col("cell").isin(sorted(probed))).select(
+    probing = cut_lineage(asked.mapInArrow(choose, schema))
+    probed = probing.select(F.explode("_probes").alias("cell")).distinct().collect()  # at most one row per cell
+    rows = index.rows.where(F.col("cell").isin([r["cell"] for r in probed])).select(
         index.item, F.struct(F.col("cell"), F.col(index.vector).alias("vector")).alias("_row")
     )
-    query_type = queries.schema[query_key].dataType
-    return topk.scan_top_k(rows, index.item, "_row", iter(blocks), query_key, query_type, scorer, k)
+
+    def scorers(block):
+        matrix = unit_rows(np.asarray([r[query_vector] for r in block], dtype=np.float64))
+        return [(range(len(block)), CellScorer(matrix, np.asarray([r["_probes"] for r in block])))]
+
+    size = 8 * F.size(query_vector) + 4 * probes + 64
+    return topk.scan_top_k(rows, index.item, "_row", probing, query_key, size, scorers, k)
 
 
 def recall_at_k(exact: DataFrame, approximate: DataFrame, query_key: str, item: str) -> DataFrame:

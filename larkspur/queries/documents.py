@@ -203,9 +203,24 @@ def _(t):
     return dc.drop_similar_hits(texts, "query_id", "rank", "content", 0.8).select("query_id", "doc_id", "rank")
 
 
-@query("k8_recursive_chunks")
+def chunk_facts(chunks, text, size: int):
+    """Of the chunks of one row: how long the longest may be, whether all are parts of the text, and whether they cover it."""
+    whole = tx.strip(text)
+    letters = F.length(F.regexp_replace(text, r"(?U)\s+", ""))
+    enough = F.aggregate(chunks, F.lit(0), lambda n, c: n + F.length(c)) >= letters
+    ends = F.startswith(whole, F.get(chunks, F.lit(0))) & F.endswith(whole, F.element_at(chunks, -1))
+    return [
+        F.forall(chunks, lambda c: (F.length(c) > 0) & (F.length(c) <= size)).alias("within"),
+        F.forall(chunks, lambda c: F.contains(whole, c)).alias("parts"),
+        F.coalesce(ends & enough, letters == 0).alias("covered"),
+    ]
+
+
+@query("k8_recursive_chunks", "SELECT doc_id, true AS within, true AS parts, true AS covered, length(text) <= 1200 AS single FROM documents")
 def _(t):
-    return digest(rows_of(t, ch.recursive_chunks(1200, 200)("text")))
+    """Invariants of every document's chunks; a text that fits is one chunk, a longer one is more."""
+    rows = t.documents.select("doc_id", "text", ch.recursive_chunks(1200, 200)(F.col("text")).alias("c"))
+    return rows.select("doc_id", *chunk_facts(F.col("c"), F.col("text"), 1200), (F.size("c") == 1).alias("single"))
 
 
 @query("k9_fixed_chunks", DIGEST.format(exploded(
@@ -253,13 +268,13 @@ def _(t):
 STRATEGIES = {"en": "token", "de": "semantic", "fr": "recursive", "es": "recursive"}
 
 
-@query("k15_chunk_by_strategy")
+@query("k15_chunk_by_strategy", """
+SELECT doc_id, CASE lang WHEN 'en' THEN 'token' WHEN 'de' THEN 'semantic' ELSE 'recursive' END AS strategy, true AS filled FROM documents""")
 def _(t):
+    """Every document is cut by the strategy of its language, into chunks that are not empty."""
     out = ch.chunk_by_strategy(t.documents, "text", "lang", STRATEGIES, 900, 150)
-    return out.groupBy("lang", "strategy").agg(
-        F.count("*").alias("documents"), F.sum(F.size("chunks")).alias("chunks"),
-        F.max(F.array_max(F.transform("chunks", F.length))).alias("max_chars"),
-    )
+    filled = F.forall("chunks", lambda c: F.length(c) > 0) & (F.size("chunks") > 0)
+    return out.select("doc_id", "strategy", filled.alias("filled"))
 
 
 @query("k16_chunk_rows", f"""
@@ -336,15 +351,25 @@ def _(t):
     return out.select("conv_id", F.md5("context").alias("digest"), "hits_used", "tokens_used")
 
 
-@query("k22_search_ready_chunks")
+@query("k22_search_ready_chunks", f"""
+SELECT page_id, true AS unique_ids, true AS numbered, true AS within FROM pages WHERE NOT ({BROKEN})""")
 def _(t):
+    """Per page: chunk ids that occur once, numbers from 0, and no chunk over the size."""
     texts = dc.document_text(dc.parse_pages(t.pages)).withColumn("doc_text", tx.clean_text("doc_text"))
     rows = ch.chunk_rows(texts, "page_id", ch.recursive_chunks(900, 150)(F.col("doc_text")))
-    return rows.select("chunk_id", "source_doc", "chunk_index", F.length("content").alias("chars"))
+    rows = rows.groupBy("chunk_id").agg(
+        F.count("*").alias("times"), F.min(F.struct("source_doc", "chunk_index", F.length("content").alias("n"))).alias("c")
+    )
+    return rows.groupBy(F.col("c.source_doc").cast("bigint").alias("page_id")).agg(
+        (F.max("times") == 1).alias("unique_ids"),
+        ((F.min("c.chunk_index") == 0) & (F.max("c.chunk_index") == F.count("*") - 1)).alias("numbered"),
+        ((F.min("c.n") > 0) & (F.max("c.n") <= 900)).alias("within"),
+    )
 
 
-@query("j1_chunk_function")
+@query("j1_chunk_function", "SELECT doc_id, true AS within, true AS parts, true AS covered FROM documents")
 def _(t):
     """The recursive splitter as a column function over clean texts."""
     split = ch.recursive_chunks(900, 150)
-    return t.documents.select("doc_id", F.size(split(tx.clean_text("text"))).alias("chunks"))
+    rows = t.documents.select("doc_id", tx.clean_text("text").alias("text")).withColumn("c", split(F.col("text")))
+    return rows.select("doc_id", *chunk_facts(F.col("c"), F.col("text"), 900))

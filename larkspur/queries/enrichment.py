@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from larkspur.functions import text as tx
 from larkspur.operators import enrichment as en
 from larkspur.operators import vectors as vec
 from larkspur.queries.registry import query
@@ -45,12 +46,19 @@ def _(t):
     return t.documents.select("doc_id", F.array_join(en.classify_many("text", INTENTS, 1), ",").alias("intents"))
 
 
-@query("m3_trained_classifier")
+@query("m3_trained_classifier", """
+SELECT count(*) AS labelled, true AS at_least_majority, (SELECT count(*) FROM documents) AS predicted FROM documents JOIN labels USING (doc_id)""")
 def _(t):
-    """Training rows only score themselves here; the model then labels every document."""
+    """The model labels every document; on the labelled ones it is right at least as often as the commoner label."""
     labelled = t.documents.join(t.labels, "doc_id")
     model = en.train_classifier(labelled, "text", "toxic")
-    return en.predict(model, t.documents.select("doc_id", "text"), "text").select("doc_id", "prediction")
+    predicted = en.predict(model, t.documents.select("doc_id", "text"), "text").select("doc_id", "prediction")
+    scored = predicted.join(t.labels.select("doc_id", "toxic"), "doc_id", "left").agg(
+        F.count("toxic").alias("labelled"), F.avg((F.col("prediction") == F.col("toxic")).cast("double")).alias("right"),
+        F.avg("toxic").alias("share"), F.count("prediction").alias("predicted"),
+    )
+    majority = F.greatest(F.col("share"), 1 - F.col("share"))
+    return scored.select("labelled", (F.col("right") >= majority).alias("at_least_majority"), "predicted")
 
 
 @query("m4_sentiment", f"SELECT doc_id, {MOOD} AS sentiment FROM ({SCORES})")
@@ -58,9 +66,17 @@ def _(t):
     return t.documents.select("doc_id", en.sentiment("text", POSITIVE, NEGATIVE).alias("sentiment"))
 
 
-@query("m5_summarize")
+def summary_facts(summary, text, most: int):
+    """A summary has pieces of its text only, and at most so many words."""
+    words = tx.words(summary)
+    fits = (F.size(words) <= most) & F.forall(words, lambda w: F.contains(text, w))
+    return F.coalesce(fits & (F.size(words) > 0), F.size(tx.words(text)) == 0)
+
+
+@query("m5_summarize", "SELECT doc_id, true AS fits FROM documents WHERE text IS NOT NULL")
 def _(t):
-    return t.documents.select("doc_id", en.summarize(20)(F.col("text")).alias("summary"))
+    rows = t.documents.where(F.col("text").isNotNull()).select("doc_id", "text", en.summarize(20)(F.col("text")).alias("summary"))
+    return rows.select("doc_id", summary_facts(F.col("summary"), F.col("text"), 20).alias("fits"))
 
 
 @query("m6_mask_entities", r"""
@@ -124,10 +140,19 @@ def _(t):
     return t.events.select("event_id", en.check_contract(text, ["k"]).alias("c")).select("event_id", "c.*")
 
 
-@query("m10_enrich_one_pass")
+MASKED = r"""md5(regexp_replace(regexp_replace(text, '[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.-]+', '[MASKED]', 'g'),
+  '\+?\d[\d\s().-]{7,}\d', '[MASKED]', 'g'))"""
+
+
+@query("m10_enrich_one_pass", f"""
+SELECT doc_id, intent, sentiment, true AS fits, {MASKED} AS safe_digest
+FROM (SELECT doc_id, {INTENT} AS intent, {MOOD} AS sentiment FROM ({SCORES})) JOIN documents USING (doc_id)""")
 def _(t):
     out = en.enrich(t.documents, "text", INTENTS, POSITIVE, NEGATIVE)
-    return out.select("doc_id", "intent", "sentiment", "one_liner", F.md5("safe_text").alias("safe_digest"))
+    return out.select(
+        "doc_id", "intent", "sentiment", summary_facts(F.col("one_liner"), F.col("text"), 20).alias("fits"),
+        F.md5("safe_text").alias("safe_digest"),
+    )
 
 
 @query("m11_enrichment_report", f"SELECT intent, sentiment, count(*) AS n FROM (SELECT {INTENT} AS intent, {MOOD} AS sentiment FROM ({SCORES})) GROUP BY 1, 2")
@@ -174,15 +199,25 @@ def _(t):
     return t.documents.select("doc_id", made.alias("p")).select("doc_id", F.md5("p.prompt").alias("digest"), "p.error")
 
 
-@query("m16_text_similarity")
+@query("m16_text_similarity", """
+WITH q AS (SELECT conv_id, turn, text AS question FROM conversations WHERE role = 'user'),
+a AS (SELECT conv_id, turn - 1 AS turn, text AS answer FROM conversations WHERE role = 'assistant')
+SELECT conv_id, turn, true AS bounded, true AS symmetric, 1.0::DOUBLE AS with_itself FROM q JOIN a USING (conv_id, turn)""")
 def _(t):
+    """Of every question and answer: a cosine from 0 to 1, the same both ways, and 1 for the question with itself."""
     model = vec.TextEmbedder.fit(t.documents, "text", 256)
     asked = t.conversations.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("question"))
     answers = t.conversations.where(F.col("role") == "assistant").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer")
     )
-    out = en.similarity(model, asked.join(answers, ["conv_id", "turn"]), "question", "answer")
-    return out.select("conv_id", "turn", F.round("similarity", 4).alias("similarity"))
+    pairs = asked.join(answers, ["conv_id", "turn"]).withColumn("same", F.col("question"))
+    out = en.similarity(model, pairs, "question", "answer", "one")
+    out = en.similarity(model, out, "answer", "question", "other")
+    out = en.similarity(model, out, "question", "same", "self")
+    return out.select(
+        "conv_id", "turn", F.col("one").between(-1e-6, 1 + 1e-6).alias("bounded"),
+        (F.abs(F.col("one") - F.col("other")) < 1e-6).alias("symmetric"), F.round("self", 4).alias("with_itself"),
+    )
 
 
 @query("m17_forecast", """

@@ -60,7 +60,8 @@ def test_search_in_blocks_equals_brute_force(spark, monkeypatch):
     want = brute(matrix.astype(float), queries.astype(float), 7)
     whole = vec.search(corpus.repartition(5), asked, 7)
     assert {(r["query_id"], r["vec_id"]) for r in whole.collect()} == want
-    monkeypatch.setattr(topk, "BLOCK_BYTES", 5 * vec.VECTOR_BYTES)
+    monkeypatch.setattr(topk, "BLOCK_BYTES", 5 * (8 * 8 + 64))
+    monkeypatch.setattr(topk, "PART_ROWS", 70)
     monkeypatch.setattr(topk, "CELLS_PER_STEP", 64)
     parts = vec.search(corpus.repartition(5), asked, 7)
     assert {(r["query_id"], r["vec_id"]) for r in parts.collect()} == want
