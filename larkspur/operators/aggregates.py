@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.operators.windows import running_totals
 from larkspur.session import cut_lineage
 
+SLICES = 1_000  # of a bracket
+
 
 def daily_percentiles(
     df: DataFrame, day: Column, value: str, percentiles: dict[str, float], extra: list[Column] | None = None
@@ -21,8 +24,9 @@ def order_statistic(df: DataFrame, keys: list[str], value: str, p: float, name:
 
     Exact without a global sort.  A quantile sketch brackets the wanted rank;
     only the rows inside the bracket are grouped by value and ranked, and the
-    rows below it are counted.  The bracket holds a fixed small share of the
-    rows, equal values fold into one row, and so no task sees a whole key.
+    rows below it are counted.  The bracket holds a small share of the rows,
+    equal values fold into one row, and the counts are summed up slice by slice
+    of the bracket, so no task sees a whole key or a whole bracket.
 
     The brackets (one row per key) are stored first: their size is then known,
     and Spark broadcasts them instead of shuffling the rows by key.
@@ -46,11 +50,13 @@ def order_statistic(df: DataFrame, keys: list[str], value: str, p: float, name:
     counts = (
         joined.where(F.col(value) <= F.col("_high"))
         .withColumn("_v", F.when(F.col(value) >= F.col("_low"), F.col(value)))
-        .groupBy("_key", "_rank", "_v")
+        .groupBy("_key", "_rank", "_low", "_high", "_v")
         .agg(F.count("*").alias("_c"))
     )
-    w = Window.partitionBy("_key").orderBy(F.col("_v").asc_nulls_first())
-    upto = counts.withColumn("_upto", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    width = F.nullif(F.col("_high").cast("double") - F.col("_low").cast("double"), F.lit(0.0))
+    place = F.floor(F.lit(SLICES) * (F.col("_v").cast("double") - F.col("_low").cast("double")) / width)
+    slice_ = F.when(F.col("_v").isNull(), -1).otherwise(F.coalesce(place, F.lit(0)))
+    upto = running_totals(counts, ["_key"], [slice_], [F.col("_v").asc_nulls_first()], {"_upto": F.col("_c")})
     hit = upto.where((F.col("_upto") > F.col("_rank")) & F.col("_v").isNotNull())
     found = hit.groupBy("_key").agg(F.min("_v").alias(name))
     return found.select(*[F.col(f"_key.{k}").alias(k) for k in keys], name)

@@ -175,14 +175,13 @@ def infer_distinct(df: DataFrame, key: str, text: str, fn: Callable[[str], str])
     shared folder, so no plan step calls it again.  The way back spreads the
     rows of a text that very many rows share.
     """
-    keyed = df.where(F.col(text).isNotNull()).select(
-        key, F.sha2(tx.normalized(text), 256).alias("_h"), tx.normalized(text).alias("_text")
-    )
-    once = keyed.groupBy("_h").agg(F.first("_text").alias("_text"))
+    digest, given = F.sha2(tx.normalized(text), 256).alias("_h"), df.where(F.col(text).isNotNull())
+    keyed = cut_lineage(given.select(key, digest))
+    copies = cut_lineage(keyed.groupBy("_h").agg(F.count("*").alias("_copies")))
+    once = given.select(digest, tx.normalized(text).alias("_text")).groupBy("_h").agg(F.first("_text").alias("_text"))
     answers = cut_lineage(batch_infer(once, "_h", "_text", fn))
-    copies = keyed.groupBy("_h").agg(F.count("*").alias("_copies"))
     weighted = answers.join(copies, "_h")
-    return join_hot_keys(keyed.select(key, "_h"), weighted, "_h", "_copies", [F.col(key)], weights=copies).select(key, "result")
+    return join_hot_keys(keyed, weighted, "_h", "_copies", [F.col(key)], weights=copies).select(key, "result")
 
 
 def check_contract(c: Column | str, keys: list[str]) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import text as tx
 from larkspur.operators import topk
-from larkspur.operators.skew import broadcast_if_small
+from larkspur.operators.skew import broadcast_if_small, join_hot_keys
 from larkspur.operators.windows import top_k
 from larkspur.session import cut_lineage
 
@@ -200,33 +200,60 @@ def rerank(
     )
 
 
+SHORT_BYTES = 1 << 20  # passages without an inner word, which are looked up in every text
+
+
 def documents_containing(
     documents: DataFrame, passages: DataFrame, doc: str = "doc_id", text: str = "text", passage: str = "item_id",
-    passage_text: str = "text", inline_limit: int = 5000,
+    passage_text: str = "text",
 ) -> DataFrame:
     """(passage, document) pairs where the document text contains the passage.
 
     A document that contains a passage holds the passage's inner words as
-    whole words.  The longest inner word is the join key, and every match is
-    then checked with ``contains``.  While the keys are few they also filter
-    the words inside the row, so only matching words are ever exploded.
-    Passages of fewer than three words have no inner word and are refused.
+    whole words.  The inner word that the fewest documents have is the join
+    key; only ids go through that join, a key that very many documents have is
+    spread, and the text is fetched for surviving pairs, which ``contains``
+    checks.  Passages of one or two words have no inner word; they are looked
+    up in every text, up to 1 MB of them.
     """
-    w = tx.words(passage_text)
-    inner = F.slice(w, F.lit(2), F.greatest(F.size(w) - 2, F.lit(0)))
-    longest = F.aggregate(inner, F.lit(""), lambda best, x: F.when(F.length(x) > F.length(best), x).otherwise(best))
-    too_short = F.raise_error(F.lit("a passage needs at least three words"))
-    keyed = passages.select(
-        passage, F.col(passage_text).alias("_passage"), F.when(longest != "", longest).otherwise(too_short).alias("_key")
+    w = F.array_distinct(F.slice(tx.words(passage_text), F.lit(2), F.greatest(F.size(tx.words(passage_text)) - 2, F.lit(0))))
+    held = cut_lineage(
+        passages.where(F.col(passage_text).isNotNull()).select(passage, F.col(passage_text).alias("_passage"), w.alias("_inner"))
+    )
+    long = held.select(passage, "_passage", F.explode("_inner").alias("_key"))
+    vocabulary = cut_lineage(long.select("_key").distinct())
+    size = vocabulary.agg(F.sum(F.octet_length("_key") + 48)).first()[0] or 0
+    words = documents.select(doc, F.explode(F.array_distinct(tx.words(text))).alias("_key"))
+    known = broadcast_if_small(vocabulary, 1, size)
+    holders = cut_lineage(words.join(known, "_key", "left_semi"))
+    counts = cut_lineage(holders.groupBy("_key").agg(F.count("*").alias("_docs")))
+    # a word that no document has is the rarest: its passage is in none
+    rarest = (
+        long.join(counts, "_key", "left").groupBy(passage, "_passage")
+        .agg(F.min(F.struct(F.coalesce("_docs", F.lit(0)).alias("_docs"), "_key")).alias("_r"))
+        .select(passage, F.col("_r._key").alias("_key"), F.col("_r._docs").alias("_docs")).where("_docs > 0")
+    )
+    lists = rarest.groupBy("_key", "_docs").agg(F.collect_set(passage).alias("_ids"))
+    pairs = cut_lineage(
+        join_hot_keys(holders, lists, "_key", "_docs", [F.col(doc)]).select(doc, F.explode("_ids").alias(passage)).distinct()
+        .join(held.select(passage, "_passage"), passage)
     )
-    size = keyed.agg(F.count("*").alias("rows"), F.avg(F.octet_length("_passage")).alias("bytes")).first()
-    keys = [r["_key"] for r in keyed.select("_key").distinct().limit(inline_limit + 1).collect()]
-    found = F.array_distinct(tx.words(text))
-    if len(keys) <= inline_limit:
-        found = F.filter(found, lambda x: x.isin(keys))
-    wanted = broadcast_if_small(keyed, size["rows"], int(2 * (size["bytes"] or 0)) + 64)
-    candidates = documents.select(F.col(doc), F.col(text).alias("_text"), F.explode(found).alias("_key"))
-    return candidates.join(wanted, "_key").where(F.contains("_text", "_passage")).select(passage, doc)
+    bytes_ = pairs.agg(F.sum(F.octet_length("_passage") + 64)).first()[0] or 0
+    checked = documents.select(doc, F.col(text).alias("_text")).join(broadcast_if_small(pairs, 1, bytes_), doc)
+    found = checked.where(F.contains("_text", "_passage")).select(passage, doc)
+    return found.unionByName(_holding_short(documents, held.where(F.size("_inner") == 0), doc, text, passage)).distinct()
+
+
+def _holding_short(documents: DataFrame, short: DataFrame, doc: str, text: str, passage: str) -> DataFrame:
+    size = short.agg(F.sum(F.octet_length("_passage") + 64)).first()[0] or 0
+    if size > SHORT_BYTES:
+        raise ValueError("too many passages of one or two words")
+    kind = short.schema[passage].dataType.simpleString()
+    rows = [F.struct(F.lit(r[passage]).cast(kind).alias("id"), F.lit(r["_passage"]).alias("p")) for r in short.collect()]
+    if not rows:
+        return documents.select(F.lit(None).cast(kind).alias(passage), doc).where(F.lit(False))
+    hits = F.filter(F.array(*rows), lambda r: F.contains(F.col(text), r["p"]))
+    return documents.select(doc, F.explode(hits).alias("_hit")).select(F.col("_hit.id").alias(passage), doc)
 
 
 def retrieval_metrics(hits: DataFrame, gold: DataFrame, query_key: str, item: str, k: int) -> DataFrame:

@@ -76,14 +76,14 @@ def running_totals(
     """
     # one struct of keys and slices: never NULL itself, and NULL fields in it are equal
     rows = df.select(
-        "*", *[v.alias(n) for n, v in values.items()], F.struct(*keys).alias("_key"),
-        F.struct(*[c.alias(f"s{i}") for i, c in enumerate(slice_by)]).alias("_slice"),
+        "*", *[v.alias(n) for n, v in values.items()], F.struct(*keys).alias("_totals_key"),
+        F.struct(*[c.alias(f"s{i}") for i, c in enumerate(slice_by)]).alias("_totals_slice"),
     )
-    sums = rows.groupBy("_key", "_slice").agg(*[F.sum(n).alias(f"_sum_{n}") for n in values])
-    before = Window.partitionBy("_key").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("_totals_key", "_totals_slice").agg(*[F.sum(n).alias(f"_sum_{n}") for n in values])
+    before = Window.partitionBy("_totals_key").orderBy("_totals_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(
-        "_key", "_slice", *[F.coalesce(F.sum(f"_sum_{n}").over(before), F.lit(0)).alias(f"_offset_{n}") for n in values]
+        "_totals_key", "_totals_slice", *[F.coalesce(F.sum(f"_sum_{n}").over(before), F.lit(0)).alias(f"_offset_{n}") for n in values]
     )
-    inside = Window.partitionBy("_key", "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    joined = rows.withColumns({n: F.sum(n).over(inside) for n in values}).join(offsets, ["_key", "_slice"])
+    inside = Window.partitionBy("_totals_key", "_totals_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    joined = rows.withColumns({n: F.sum(n).over(inside) for n in values}).join(offsets, ["_totals_key", "_totals_slice"])
     return joined.select(*df.columns, *[(F.col(n) + F.col(f"_offset_{n}")).alias(n) for n in values])

@@ -124,3 +124,22 @@ def test_slices_show_hidden_regressions(spark):
     rows = spark.createDataFrame([("easy", 0.5, 1.0), ("easy", 0.5, 1.0), ("hard", 0.9, 0.6)], "band string, a double, b double")
     got = {r["band"]: r["regressed"] for r in ev.slice_report(rows, "band", "a", "b").collect()}
     assert got == {"easy": False, "hard": True}
+
+
+def test_common_subsequences_equal_the_table_method():
+    import random
+
+    rand = random.Random(4)
+    for _case in range(200):
+        a, b = ([rand.choice("abcd") for _ in range(rand.randint(0, 12))] for _side in range(2))
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        assert ev.lcs_length(a, b) == table[-1][-1]
+
+
+def test_clipped_counts_by_hand():
+    assert ev.clipped_counts("a b a b".split(), "a b c a".split(), 1) == (3, 4, 4)
+    assert ev.clipped_counts("a b a b".split(), "a b c a".split(), 2) == (1, 3, 3)
+    assert ev.clipped_counts([], "a".split(), 2) == (0, 0, 0)

@@ -120,8 +120,11 @@ def test_passages_inside_words_and_short_ones(spark):
     got = {tuple(r) for r in kw.documents_containing(docs, passages).collect()}
     assert got == {(9, 1), (8, 1), (8, 2)}
     short = spark.createDataFrame([(9, "red fox")], "item_id int, text string")
-    with pytest.raises(Exception, match="at least three words"):
-        kw.documents_containing(docs, short).collect()
+    assert {tuple(r) for r in kw.documents_containing(docs, short).collect()} == {(9, 1), (9, 2)}
+    hot = spark.range(3000).select("id", F.concat(F.lit("all the same words "), F.col("id"), F.lit(" end")).alias("text"))
+    common = spark.createDataFrame([(1, "l the same words 7 en"), (2, "the same words"), (3, "no such words here"), (4, None)], "item_id int, text string")
+    got = kw.documents_containing(hot, common, doc="id").groupBy("item_id").count().collect()
+    assert {tuple(r) for r in got} == {(1, 1), (2, 3000)}
 
 
 def test_rerank_moves_the_specific_clause_up(spark):
