@@ -8,6 +8,7 @@ come from the rules passed in, not from a language model.
 from __future__ import annotations
 
 import json
+import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -63,6 +64,20 @@ def classify(
     return F.when(text.isNotNull(), tx.let(label_scores(text, rules, token_array), best))
 
 
+def rules_from_descriptions(descriptions: dict[str, str], other: str = OTHER) -> dict[str, list[str]]:
+    """Keyword rules from labels with a short description each, for ``classify``.
+
+    Keywords are the label's own words and the description's, words of fewer
+    than four letters left out; the catch-all label has none.
+    """
+    rules = {}
+    for label, text in descriptions.items():
+        if label != other:
+            words = re.findall(r"\w+", f"{label} {text}".lower())
+            rules[label] = list(dict.fromkeys(w for w in words if len(w) >= 4))
+    return rules
+
+
 def classify_many(text: Column | str, rules: dict[str, list[str]], threshold: int = 0) -> Column:
     """Every label with more hits than the threshold, sorted."""
     text = F.col(text) if isinstance(text, str) else text
@@ -86,8 +101,6 @@ def sentiment(
 
 def summary_of(text: str, max_words: int) -> str:
     """Leading sentences by mean word frequency, in text order, cut at the word limit."""
-    import re
-
     sentences = [s.strip() for s in re.findall(r"[^.!?]*[.!?]+|[^.!?]+", text) if s.strip()]
     bags = [re.findall(r"\w+", s.lower()) for s in sentences]
     counts = Counter(word for bag in bags for word in bag)

@@ -212,11 +212,11 @@ def toxic_words(c: Column | str, lexicon: list[str]) -> Column:
 
 # Licence lines by pattern, with uses and restriction rank.
 LICENCES = [
-    # licence, pattern, allowed uses, disallowed uses, rank (higher is stricter)
-    ("cc-by-nc", r"CC BY-NC", "research", "commercial", 3),
-    ("gpl-3", r"GNU General Public License", "any", "closed redistribution", 2),
-    ("apache-2", r"Apache License", "any", "", 1),
-    ("mit", r"MIT License", "any", "", 1),
+    # licence, pattern, allowed uses, disallowed uses, rank (higher is stricter), what must be given with copies
+    ("cc-by-nc", r"CC BY-NC", "research", "commercial", 3, "name the author"),
+    ("gpl-3", r"GNU General Public License", "any", "closed redistribution", 2, "licence and source"),
+    ("apache-2", r"Apache License", "any", "", 1, "licence and notices"),
+    ("mit", r"MIT License", "any", "", 1, "licence text"),
 ]
 UNKNOWN_RANK = 4
 
@@ -227,10 +227,11 @@ def licence_of(c: Column | str) -> Column:
     return F.coalesce(*matched, F.lit("unknown"))
 
 
-def licence_intake(df: DataFrame, text: str) -> DataFrame:
-    """Add license_type, allowed_uses, disallowed_uses, restriction rank and route.
+def licence_intake(df: DataFrame, text: str, reviewed_by: str | None = None) -> DataFrame:
+    """Add license_type, allowed_uses, disallowed_uses, attribution, reviewer, restriction rank and route.
 
-    Restricted (non-commercial) and unknown licences go to quarantine.
+    Restricted (non-commercial) and unknown licences go to quarantine.  With
+    ``reviewed_by``, the column that names the reviewer, so do rows without one.
     """
     name = licence_of(text)
     staged = df.withColumn("license_type", name)
@@ -243,8 +244,13 @@ def licence_intake(df: DataFrame, text: str) -> DataFrame:
         staged.withColumn("allowed_uses", pick(2, "none"))
         .withColumn("disallowed_uses", pick(3, "all"))
         .withColumn("license_rank", pick(4, UNKNOWN_RANK))
+        .withColumn("attribution", pick(5, "unknown"))
+        .withColumn("reviewed_by", F.col(reviewed_by) if reviewed_by else F.lit(None).cast("string"))
     )
-    return staged.withColumn("route", F.when(F.col("license_rank") >= 3, "quarantine").otherwise("accepted"))
+    held = F.col("license_rank") >= 3
+    if reviewed_by:
+        held = held | F.col("reviewed_by").isNull()
+    return staged.withColumn("route", F.when(held, "quarantine").otherwise("accepted"))
 
 
 def propagate_licence(lineage: DataFrame, sources: DataFrame, derived: str, source: str) -> DataFrame:

@@ -19,6 +19,8 @@ from pyspark.sql import types as T
 from larkspur.functions import text as tx
 from larkspur.functions.similarity import NORM_EPSILON, cosine
 from larkspur.operators import topk
+from larkspur.operators.relational import where_equal, where_sql
+from larkspur.operators.skew import broadcast_if_small
 from larkspur.session import cut_lineage
 
 
@@ -126,6 +128,25 @@ def search(
     return topk.scan_top_k(good, item, vector, asked, query_key, 8 * F.size(query_vector) + 64, scorers, k)
 
 
+def search_rows(
+    corpus: DataFrame, queries: DataFrame, k: int, columns: list[str], where: dict | str | None = None,
+    item: str = "vec_id", vector: str = "embedding", query_key: str = "query_id", query_vector: str = "query_vector",
+    metric: str = "cosine",
+) -> DataFrame:
+    """Top-k hits with chosen columns of the corpus; the score comes last.
+
+    ``where`` filters the corpus before the search, by equality (dict) or by
+    SQL text.  The hits, at most queries times k, are joined back by item.
+    """
+    kept = corpus
+    if where is not None:
+        kept = where_equal(corpus, where) if isinstance(where, dict) else where_sql(corpus, where)
+    hits = cut_lineage(search(kept, queries, k, item, vector, query_key, query_vector, metric))
+    shown = kept.select(item, *[c for c in columns if c != item])
+    joined = shown.join(broadcast_if_small(hits, hits.count(), 64), item)
+    return joined.select(query_key, "rank", *columns, "score")
+
+
 def lookup_join(rows: DataFrame, key: str, vector: str, corpus: DataFrame, item: str, corpus_vector: str, k: int) -> DataFrame:
     """Each row with the ordered ids of its k best corpus items."""
     asked = rows.select(F.col(key).alias("_key"), F.col(vector).alias("_vector"))

@@ -186,6 +186,22 @@ class MetricView:
             *[F.expr(e).alias(n) for n, e in parts.items()]
         )
 
+    def answer(self, tables, slices: list[DataFrame], dims: list[str], measures: list[str], **rest) -> DataFrame:
+        """The same as ``query``, from the smallest stored slice that can answer, else from the source.
+
+        A slice with fewer dimensions is smaller; one fits if it holds every
+        dimension and measure asked for and can apply the ``where`` condition.
+        """
+        def grain(rows: DataFrame) -> int:
+            return sum("::" not in column for column in rows.columns)
+
+        for rows in sorted(slices, key=grain):
+            try:
+                return self.query(tables, dims, measures, slice_rows=rows, **rest)
+            except MetricViewError:
+                continue  # does not fit; an unanswerable question fails below
+        return self.query(tables, dims, measures, **rest)
+
     def unaggregated(self, tables, dims: list[str], columns: list[str]) -> DataFrame:
         """The joined rows with the dimensions and source columns, for storage."""
         picked = [self.dimension(d) for d in dims]

@@ -132,10 +132,12 @@ ranked AS (SELECT *, CASE license_type WHEN 'cc-by-nc' THEN 3 WHEN 'gpl-3' THEN
 @query("n10_licence_intake", f"""
 WITH {LICENCE} SELECT doc_id, license_type, CASE license_type WHEN 'cc-by-nc' THEN 'research' WHEN 'unknown' THEN 'none' ELSE 'any' END AS allowed_uses,
   CASE license_type WHEN 'cc-by-nc' THEN 'commercial' WHEN 'gpl-3' THEN 'closed redistribution' WHEN 'unknown' THEN 'all' ELSE '' END AS disallowed_uses,
-  CASE WHEN license_rank >= 3 THEN 'quarantine' ELSE 'accepted' END AS route FROM ranked""")
+  CASE license_type WHEN 'cc-by-nc' THEN 'name the author' WHEN 'gpl-3' THEN 'licence and source' WHEN 'apache-2' THEN 'licence and notices'
+    WHEN 'mit' THEN 'licence text' ELSE 'unknown' END AS attribution, source AS reviewed_by,
+  CASE WHEN license_rank >= 3 OR source IS NULL THEN 'quarantine' ELSE 'accepted' END AS route FROM ranked""")
 def _(t):
-    out = gd.licence_intake(t.documents, "text")
-    return out.select("doc_id", "license_type", "allowed_uses", "disallowed_uses", "route")
+    out = gd.licence_intake(t.documents, "text", reviewed_by="source")
+    return out.select("doc_id", "license_type", "allowed_uses", "disallowed_uses", "attribution", "reviewed_by", "route")
 
 
 @query("n11_licence_propagation", f"""
@@ -204,3 +206,21 @@ def _(t):
         F.col("o_orderstatus").alias("status"),
     )
     return gd.lookup_status(asked, records, ["custkey"])
+
+
+@query("j3_status_function", """
+SELECT DISTINCT o_custkey AS custkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, o_orderkey, o_orderstatus AS status
+FROM orders JOIN customer ON o_custkey = c_custkey""")
+def _(t):
+    """The SQL table function, called for every customer and day that has an order."""
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    t.orders.select(
+        F.col("o_custkey").cast("string").alias("number"), day.alias("day"), "o_orderkey", F.col("o_orderstatus").alias("status")
+    ).createOrReplaceTempView("status_records")
+    gd.register_status_function(t.spark, "status_records", "number", "day", {"o_orderkey": "BIGINT", "status": "STRING"})
+    asked = t.customer.select("c_custkey").join(t.orders, F.col("c_custkey") == F.col("o_custkey"))
+    asked.select(F.col("c_custkey").alias("custkey"), day.alias("day")).distinct().createOrReplaceTempView("status_asked")
+    return t.spark.sql(
+        "SELECT a.custkey, a.day, s.o_orderkey, s.status FROM status_asked a, "
+        "LATERAL get_status(CAST(a.custkey AS STRING), a.day) s"
+    )

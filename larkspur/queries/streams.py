@@ -21,7 +21,7 @@ from larkspur.sources import changes, files
 from larkspur.streaming import index as ix
 from larkspur.streaming import ingest as ig
 from larkspur.streaming import requests as rq
-from larkspur.streaming.changelog import ChangeLog, TallyLog
+from larkspur.streaming.changelog import ChangeLog, TallyLog, kept_short
 
 
 def stream_of(t, name: str):
@@ -101,7 +101,7 @@ def _(t):
 @query("i4_index_maintenance", """
 SELECT d.doc_id, 256::BIGINT AS dim FROM (SELECT doc_id::BIGINT AS doc_id FROM documents WHERE lang <> 'es') d""")
 def _(t):
-    """A first load, then a change batch that removes one language and edits another."""
+    """A first load, then a change batch that removes one language and edits another; the log is compacted."""
     old = t.documents.select("doc_id", "text")
     german = F.col("lang") == "de"
     new = t.documents.where(F.col("lang") != "es").select(
@@ -113,7 +113,8 @@ def _(t):
     ix.apply_changes(log, first, 0, model, "doc_id", "text", "seq")
     feed = changes.diff_snapshots(old, new, ["doc_id"], ["text"]).join(new, "doc_id", "left")
     ix.apply_changes(log, feed.withColumn("seq", F.lit(1)), 1, model, "doc_id", "text", "seq")
-    return log.current(t.spark).select("doc_id", F.size("embedding").cast("int").alias("dim"))
+    log = kept_short(log, t.spark, work_dir(t.spark, "index-compact"), most_batches=1)
+    return log.current(t.spark).select("doc_id", F.size("embedding").cast("bigint").alias("dim"))
 
 
 LIMITED = f"""

@@ -48,6 +48,15 @@ class ChangeLog:
         return ChangeLog(path, self.keys, self.order).current(spark)
 
 
+def kept_short(log: ChangeLog, spark: SparkSession, path: str, most_batches: int) -> ChangeLog:
+    """The log itself, or its compacted copy at ``path`` once it holds more than ``most_batches`` batches."""
+    stored = log.rows(spark)
+    if stored is None or stored.select("batch").distinct().count() <= most_batches:
+        return log
+    log.compact(spark, path)
+    return ChangeLog(path, log.keys, log.order)
+
+
 @dataclass(frozen=True)
 class TallyLog:
     """Sums fed by micro-batches: every batch stores its own, readers add them up.

@@ -164,3 +164,17 @@ def test_cost_formula(spark):
         en.token_cost(F.lit(2_000_000), F.lit(800), F.lit(150)).alias("lean"),
     ).first()
     assert (row["fat"], row["lean"]) == (33000.0, 9300.0)
+
+
+def test_labels_may_come_with_descriptions(spark):
+    rules = en.rules_from_descriptions({"baggage": "lost, delayed, or damaged luggage", "billing": "refunds, fare disputes", "other": "anything else"})
+    assert rules == {"baggage": ["baggage", "lost", "delayed", "damaged", "luggage"], "billing": ["billing", "refunds", "fare", "disputes"]}
+    df = spark.createDataFrame([("My luggage was damaged",), ("anything",), (None,)], "t string")
+    assert [r[0] for r in df.select(en.classify("t", rules)).collect()] == ["baggage", "other", None]
+
+
+def test_licences_name_what_copies_need_and_who_looked(spark):
+    df = spark.createDataFrame([(1, "MIT License", "ann"), (2, "MIT License", None), (3, "CC BY-NC", "ann")], "id int, t string, who string")
+    got = {r["id"]: (r["attribution"], r["reviewed_by"], r["route"]) for r in gd.licence_intake(df, "t", "who").collect()}
+    assert got == {1: ("licence text", "ann", "accepted"), 2: ("licence text", None, "quarantine"), 3: ("name the author", "ann", "quarantine")}
+    assert {r["route"] for r in gd.licence_intake(df, "t").where("id < 3").collect()} == {"accepted"}

@@ -148,3 +148,29 @@ def test_lookup_join_keeps_rows_without_vector(spark):
     corpus = spark.createDataFrame([(5, [1.0, 0.1]), (6, [0.0, 1.0])], "i int, e array<float>")
     got = {r["k"]: r["matches"] for r in vec.lookup_join(rows, "k", "v", corpus, "i", "e", 1).collect()}
     assert got == {1: [5], 2: None}
+
+
+def test_search_rows_filters_and_shows_columns(spark, tables):
+    corpus = tables.embeddings.withColumn("name", F.concat(F.lit("v"), F.col("vec_id").cast("string")))
+    asked = corpus.where("vec_id < 4").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    out = vec.search_rows(corpus, asked, 3, ["name", "label"], {"label": [1, 2]})
+    assert out.columns == ["query_id", "rank", "name", "label", "score"]
+    rows = out.collect()
+    assert len(rows) == 12 and {r["label"] for r in rows} <= {1, 2}
+    want = vec.search(corpus.where("label IN (1, 2)"), asked, 3).collect()
+    got = {(r["query_id"], r["rank"], r["name"]) for r in vec.search_rows(corpus, asked, 3, ["name"], "label IN (1, 2)").collect()}
+    assert got == {(r["query_id"], r["rank"], f"v{r['vec_id']}") for r in want}
+    with pytest.raises(ValueError):
+        vec.search_rows(corpus, asked, 3, ["name"], {"colour": 1})
+
+
+def test_queries_in_many_blocks_keep_one_plan(spark, monkeypatch):
+    matrix = np.random.default_rng(0).normal(size=(60, 4)).astype(np.float32)
+    corpus, asked = frames(spark, matrix, matrix)
+    monkeypatch.setattr(topk, "PART_ROWS", 25)
+
+    def plan(block_bytes):
+        monkeypatch.setattr(topk, "BLOCK_BYTES", block_bytes)
+        return vec.search(corpus, asked, 2)._jdf.queryExecution().optimizedPlan().toString().count("\n")
+
+    assert plan(300) == plan(3000)

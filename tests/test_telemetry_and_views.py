@@ -179,3 +179,24 @@ def test_casts_order_and_limit(star):
         star, ["Cabin"], ["Income"], order=["`Income` DESC"], limit=2, casts={"Income": "bigint"}
     )
     assert dict(out.dtypes)["Income"] == "bigint" and len(out.collect()) == 2
+
+
+def test_slices_are_picked_where_they_fit(star):
+    by_cabin = TRIPS.materialize(star, ["Cabin"], ["Income", "Trips"])
+    finer = TRIPS.materialize(star, ["Cabin", "Sold Through", "Sold On"], ["Income"])
+    other = TRIPS.materialize(star, ["Sold Through"], ["Trips"])
+    slices = [finer, other, by_cabin]
+
+    def same(dims, measures, **rest):
+        got = TRIPS.answer(star, slices, dims, measures, **rest)
+        want = TRIPS.query(star, dims, measures, **rest)
+        shown = [F.round(m, 4).alias(m) for m in measures]
+        assert sorted(map(str, got.select(*dims, *shown).collect())) == sorted(map(str, want.select(*dims, *shown).collect()))
+        return got._jdf.queryExecution().optimizedPlan().toString()
+
+    assert "customer_id" not in same(["Cabin"], ["Income", "Trips"])
+    same(["Cabin"], ["Income"], where="`Sold On` >= DATE '2025-06-01'")  # only the finer slice can apply it
+    same(["Departure Region"], ["Trips"])  # no slice has it
+    same(["Cabin"], ["Mean Fare"])  # cannot be added up
+    with pytest.raises(mv.MetricViewError):
+        TRIPS.answer(star, slices, ["Cabin"], ["Nope"])
