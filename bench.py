@@ -10,6 +10,7 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 
 HEADLINE = [
@@ -25,7 +26,9 @@ HEADLINE = [
     "c6_lookup_join", "l5_exact_top_k", "l9_keyword_search", "l10_hybrid_search", "l11_rerank",
     "l13_retrieval_metrics",
     # enrichment and evaluation
-    "m1_classify", "m10_enrich_one_pass", "q7_rouge_n", "q9_perplexity",
+    "m1_classify", "m10_enrich_one_pass", "q7_rouge_n", "q9_perplexity", "m5_summarize", "q8_bleu", "q17_bootstrap_interval",
+    # streams and stored cells
+    "i8_metrics_upsert", "l6_all_cells",
 ]
 
 
@@ -42,6 +45,7 @@ def main() -> None:
         "bench", master=f"local[{cpus}]", shuffle_partitions=int(cpus),
         extra={
             "spark.ui.enabled": "false", "spark.driver.memory": "16g", "spark.ui.showConsoleProgress": "false",
+            "spark.checkpoint.dir": tempfile.mkdtemp(prefix="larkspur-bench-"),
         },
     )
     spark.sparkContext.setLogLevel("ERROR")
