@@ -39,7 +39,7 @@ def main() -> None:
     chosen = sys.argv[1:] or HEADLINE
 
     from larkspur.queries import QUERIES
-    from larkspur.session import build_session
+    from larkspur.session import build_session, clear_work
 
     spark = build_session(
         "bench", master=f"local[{cpus}]", shuffle_partitions=int(cpus),
@@ -62,6 +62,7 @@ def main() -> None:
         "metric": "headline_total", "value": round(sum(seconds.values()), 4), "unit": "sec", "queries": seconds,
         "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"), "cpus": int(cpus), "runs": runs,
     }
+    clear_work(spark)
     spark.stop()
     print(json.dumps(line))
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 _shipped: set[str] = set()  # applications that have the package already
 _local_roots: list[str] = []  # one temporary folder per local-mode process
+_made: list[str] = []  # folders of this process under the work folder
 
 
 def build_session(
@@ -82,8 +83,25 @@ def work_root(spark: SparkSession) -> str:
 
 
 def work_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder path under the shared work folder (not yet created)."""
-    return f"{work_root(spark)}/{purpose}-{uuid.uuid4().hex}"
+    """A fresh folder path under the shared work folder (not yet created).
+
+    It belongs to this process until ``clear_work`` removes it.
+    """
+    _made.append(f"{work_root(spark)}/{purpose}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def clear_work(spark: SparkSession) -> int:
+    """Delete the intermediate folders of this process; the number of those that existed.
+
+    Call it when no DataFrame that reads them is needed any more, at the end of
+    a job at the latest.
+    """
+    removed = 0
+    while _made:
+        place = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        removed += bool(place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True))
+    return removed
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -63,6 +63,13 @@ def test_work_folder_follows_the_setting(spark):
     assert df.count() == 5 and df.columns == ["id", "x"]
 
 
+def test_intermediate_folders_are_removed(spark, monkeypatch):
+    monkeypatch.setattr(session, "_made", [])
+    kept, path = session.cut_lineage(spark.range(3)), session.work_dir(spark, "never-written")
+    assert kept.count() == 3 and path in session._made
+    assert session.clear_work(spark) == 1 and session._made == [] and session.clear_work(spark) == 0
+
+
 PAGE = "<html><head><title>T{0}</title></head><body><p>Text {0} one. Text two.</p>{1}"
 
 
