@@ -28,12 +28,13 @@ from larkspur.llm.pretokens import LETTER, pattern_classes
 from larkspur.session import cut_lineage
 
 ORDER = 5
-SAMPLE_DOCS = 400  # labelled rows per language that models and calibration are fitted on, at most
+SAMPLE_DOCS = 300  # labelled rows per language that models and calibration are fitted on, at most
 CALIBRATION_EVERY = 5  # every fifth of them calibrates
 LEAST_Z = 8.0  # how far from its language, in deviations, a text must be to be rejected
 SLACK_BITS = 2.0  # and in bits per character besides: about as many again as a text of its language needs
 UNKNOWN = "und"
-KEPT_GRAMS = 1_000_000  # scored n-grams a task remembers
+KEPT_GRAMS = 500_000  # scored n-grams a task remembers
+SLICE_BYTES = 1 << 19  # text scored at once: some 150 bytes of arrays per character
 _BREAK = "\ud800"
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -247,7 +248,7 @@ def train(
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = Letters(runs)
-        for batch in text_slices(batches, "text"):
+        for batch in text_slices(batches, "text", SLICE_BYTES):
             points, owner = letters(texts_of(batch, "text"))
             names, lang = np.unique(np.array(batch.column("lang").to_pylist())[owner], return_inverse=True)
             yield from _gram_batches(points, names, lang)
@@ -270,14 +271,15 @@ def _gram_batches(points: np.ndarray, names: np.ndarray, lang: np.ndarray) -> It
     for back in range(min(ORDER, len(points))):
         inside = np.arange(back, len(points)) - back >= start[back:]
         window[back:, ORDER - 1 - back] = np.where(inside, points[:len(points) - back], 0)
-    kept = points > 0
-    frame = pd.DataFrame({"lang": lang[kept], "gram": [row.tobytes() for row in window[kept]]})
-    table = frame.groupby(["lang", "gram"], as_index=False).size()
+    kept = np.flatnonzero(points)
+    codes, _values = pd.factorize(gram_hashes(points)[-1][kept] ^ (lang[kept].astype(np.uint64) * _M1))
+    first = np.empty(codes.max(initial=-1) + 1, np.int64)
+    first[codes[::-1]] = kept[::-1]
     yield pa.RecordBatch.from_arrays(
         [
-            pa.array(names[table["lang"].to_numpy()].tolist(), pa.string()),
-            pa.array(table["gram"].tolist(), pa.binary()),
-            pa.array(table["size"].to_numpy(), pa.int64()),
+            pa.array(names[lang[first]].tolist(), pa.string()),
+            pa.array([row.tobytes() for row in window[first]], pa.binary()),
+            pa.array(np.bincount(codes), pa.int64()),
         ],
         ["lang", "gram", "n"],
     )
@@ -288,7 +290,7 @@ def _calibrate(models: Models, held: DataFrame, sample: DataFrame, runs: list[tu
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(models, runs)
-        for batch in text_slices(batches, "text"):
+        for batch in text_slices(batches, "text", SLICE_BYTES):
             bits, n, letters = scorer.entropies(texts_of(batch, "text"))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("lang"), pa.array(bits.tolist(), pa.list_(pa.float64())), pa.array(n), pa.array(letters)],
@@ -332,7 +334,7 @@ def identify(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col:
 
     def decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(models, runs)
-        for batch in text_slices(batches, "text"):
+        for batch in text_slices(batches, "text", SLICE_BYTES):
             names, score, bits, accepted = scorer.decide(texts_of(batch, "text"))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array(names, pa.string()), pa.array(score), pa.array(bits), pa.array(accepted)],
@@ -354,7 +356,7 @@ def keep_accepted(docs: DataFrame, models: Models, text_col: str = "text") -> Da
 
     def accepted_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(models, runs)
-        for batch in text_slices(batches, text_col):
+        for batch in text_slices(batches, text_col, SLICE_BYTES):
             *_rest, accepted = scorer.decide(texts_of(batch, text_col))
             yield batch.filter(pa.array(accepted))
 
