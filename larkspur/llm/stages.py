@@ -23,7 +23,9 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Keep one document of each near-duplicate group: that with the smallest ``doc_id``, one row of it.
 
     ``docs`` must come from stored files, so that row numbers are the same in
-    both reads.  A NULL ``doc_id`` comes last in its group.
+    both reads.  A NULL ``doc_id`` comes last in its group.  The kept rows are
+    found by a merge join at every size: their numbers grow with the input, so
+    they are not broadcast, and the plan of a small run is that of a large one.
     """
     ship_package(spark)
     row = F.monotonically_increasing_id()
@@ -32,7 +34,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     kept = groups.where(F.col("key") == F.col("component")).select(F.col("key.row").alias("row"))
     kept = cut_lineage(kept)
     rows = docs.select(F.struct(*docs.columns).alias("document"), row.alias("row"))
-    return rows.join(kept, "row", "left_semi").select(
+    return rows.join(kept.hint("merge"), "row", "left_semi").select(
         *[F.col("document").getField(name).alias(name) for name in docs.columns]
     )
 
