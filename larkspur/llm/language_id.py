@@ -25,6 +25,7 @@ from pyspark.sql.window import Window
 
 from larkspur.llm.arrow import text_slices, texts_of
 from larkspur.llm.pretokens import LETTER, pattern_classes
+from larkspur.operators.skew import broadcast_if_small
 from larkspur.session import cut_lineage
 
 ORDER = 5
@@ -236,10 +237,10 @@ def train(
     labelled = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     labelled = labelled.where(learned_rows(F.col("id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     labelled = labelled.withColumn("draw", F.xxhash64("id"))
-    counts = labelled.groupBy("lang").count()
+    counts = cut_lineage(labelled.groupBy("lang").count())
     share = F.least(F.lit(1.0), F.lit(4.0 * sample_docs) / F.col("count"))
     few = (
-        labelled.join(F.broadcast(counts.select("lang", share.alias("share"))), "lang")  # one row per language
+        labelled.join(broadcast_if_small(counts.select("lang", share.alias("share")), counts.count(), 64), "lang")
         .where(F.shiftrightunsigned("draw", 33).cast("double") < F.col("share") * float(1 << 31))
     )
     turn = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "id"))
