@@ -204,23 +204,27 @@ def _(t):
 
 
 def chunk_facts(chunks, text, size: int):
-    """Of the chunks of one row: how long the longest may be, whether all are parts of the text, and whether they cover it."""
-    whole = tx.strip(text)
+    """Of the chunks of one row: none over the size, all of them parts of the text, and the text covered."""
     letters = F.length(F.regexp_replace(text, r"(?U)\s+", ""))
     enough = F.aggregate(chunks, F.lit(0), lambda n, c: n + F.length(c)) >= letters
-    ends = F.startswith(whole, F.get(chunks, F.lit(0))) & F.endswith(whole, F.element_at(chunks, -1))
-    return [
-        F.forall(chunks, lambda c: (F.length(c) > 0) & (F.length(c) <= size)).alias("within"),
-        F.forall(chunks, lambda c: F.contains(whole, c)).alias("parts"),
-        F.coalesce(ends & enough, letters == 0).alias("covered"),
-    ]
+
+    def facts(whole):  # the stripped text, bound once per row
+        ends = F.startswith(whole, F.get(chunks, F.lit(0))) & F.endswith(whole, F.element_at(chunks, -1))
+        return F.struct(
+            F.forall(chunks, lambda c: (F.length(c) > 0) & (F.length(c) <= size)).alias("within"),
+            F.forall(chunks, lambda c: F.contains(whole, c)).alias("parts"),
+            F.coalesce(ends & enough, letters == 0).alias("covered"),
+        )
+
+    return tx.let(tx.strip(text), facts)
 
 
 @query("k8_recursive_chunks", "SELECT doc_id, true AS within, true AS parts, true AS covered, length(text) <= 1200 AS single FROM documents")
 def _(t):
     """Invariants of every document's chunks; a text that fits is one chunk, a longer one is more."""
     rows = t.documents.select("doc_id", "text", ch.recursive_chunks(1200, 200)(F.col("text")).alias("c"))
-    return rows.select("doc_id", *chunk_facts(F.col("c"), F.col("text"), 1200), (F.size("c") == 1).alias("single"))
+    checked = rows.select("doc_id", chunk_facts(F.col("c"), F.col("text"), 1200).alias("f"), (F.size("c") == 1).alias("single"))
+    return checked.select("doc_id", "f.*", "single")
 
 
 @query("k9_fixed_chunks", DIGEST.format(exploded(
@@ -372,4 +376,4 @@ def _(t):
     """The recursive splitter as a column function over clean texts."""
     split = ch.recursive_chunks(900, 150)
     rows = t.documents.select("doc_id", tx.clean_text("text").alias("text")).withColumn("c", split(F.col("text")))
-    return rows.select("doc_id", *chunk_facts(F.col("c"), F.col("text"), 900))
+    return rows.select("doc_id", chunk_facts(F.col("c"), F.col("text"), 900).alias("f")).select("doc_id", "f.*")
