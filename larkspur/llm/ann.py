@@ -4,7 +4,9 @@ Centroids come from splitting a sample at medians until every part is small, so
 lists are balanced.  A vector goes to its nearest centroid and, if it lies near
 a boundary, to others too whose distance is nearly as small.  The centroids are
 searched by a best-first walk over their neighbour graph, held in memory; a
-query reads the lists whose centroid distance is within a ratio of the nearest.
+query reads the lists whose centroid distance is within a ratio of the nearest,
+up to a number that is measured on each table: some queries are answered by brute
+force, and the number grows until the lists read hold enough of those answers.
 Scores are exact inner products in double precision of the original vectors.
 
 Largest inner product becomes smallest distance by one more component that fills
@@ -30,7 +32,8 @@ LIST_ROWS = 256  # vectors of a posting list, about
 SAMPLE = 100_000  # vectors that centroids are fitted on, at most
 MAX_LISTS = 16_384  # centroids held by every task: a bound on what is sent
 COPIES, COPY_RATIO = 4, 1.15  # lists a vector may be in; how much farther the others may be
-PROBES, PROBE_RATIO = 48, 1.6  # lists a query may read; how much farther than the nearest
+PROBES, PROBE_RATIO = 48, 1.6  # lists a query may read, at least; how much farther than the nearest
+RECALL, RECALL_QUERIES = 0.95, 128  # share of exact answers that the lists read must hold; queries it is measured on
 GRAPH_DEGREE = 24
 LIST_PART = 4_096  # a list is dealt over tasks beyond so many vectors
 
@@ -54,9 +57,16 @@ class Centroids:
         self.entries = random.choice(n, min(n, max(16, int(np.sqrt(n)))), replace=False)
 
     def nearest(self, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k nearest centroids found and their squared distances, nearest first."""
+        """The k nearest centroids found and their squared distances, nearest first.
+
+        All are compared where a walk would compute as many distances.
+        """
         x = x.astype(np.float32)
         square = float(x @ x)
+        if 2 * k * GRAPH_DEGREE >= len(self.points):
+            far = self.squares - 2 * self.points @ x
+            order = np.argsort(far, kind="stable")[:k]
+            return order, np.maximum(far[order].astype(np.float64) + square, 0.0)
         seen = np.zeros(len(self.points), bool)
         far = self.squares[self.entries] - 2 * self.points[self.entries] @ x
         seen[self.entries] = True
@@ -122,7 +132,7 @@ def valid_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame
 
 def search(
     vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding",
-    probes: int = PROBES, probe_ratio: float = PROBE_RATIO,
+    probes: int = PROBES, probe_ratio: float = PROBE_RATIO, recall: float = RECALL,
 ) -> DataFrame:
     """``query_id``, ``rank`` (from 1), ``vec_id``, ``score`` (double): the nearest k other rows found.
 
@@ -130,7 +140,10 @@ def search(
     Rows with the query's own id are no candidates; repeated rows count once.
     Shorter vectors count as filled up with zeros.  Every vector is indexed; with
     at most k + 1 valid vectors every one is found.  ``probe_ratio`` and
-    ``probes`` trade reading for recall.
+    ``probes`` are where the search for a budget begins: the number of lists grows
+    with the table, so both are widened until the lists read hold the share
+    ``recall`` of the exact answers of ``RECALL_QUERIES`` queries, those of the
+    smallest hashes of their ids.
     """
     spark = vectors.sparkSession
     rows = cut_lineage(valid_vectors(vectors, id_col, vector_col).withColumn("asks", F.coalesce(is_query, F.lit(False))))
@@ -180,6 +193,12 @@ def search(
     sizes = {row["list"]: row["n"] for row in postings.groupBy("list").agg(F.count("*").alias("n")).collect()}  # MAX_LISTS rows
     parts = np.array([max(1, -(-sizes.get(i, 0) // LIST_PART)) for i in range(len(points))])
     first = np.cumsum(np.r_[0, parts])
+    questions = rows.where("asks").select("id", "x").distinct()
+    tried = questions.orderBy(F.xxhash64("id"), "id", "x").limit(RECALL_QUERIES).toArrow()
+    probes, probe_ratio = _budget(
+        stored, postings, points, tried.column("id").to_numpy(), _matrix(tried.column("x").to_pylist(), width),
+        k, probes, probe_ratio, recall,
+    )
 
     def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centroids = Centroids(points)
@@ -191,7 +210,7 @@ def search(
             part, who = [], []
             for i, row in enumerate(full):
                 own, far = centroids.nearest(row, probes)
-                own = own[np.sqrt(far) <= probe_ratio * np.sqrt(far[0]) + 1e-9]
+                own = own[_near(far, probe_ratio)]
                 for c in own.tolist():
                     part += range(first[c], first[c + 1])
                     who += [i] * parts[c]
@@ -232,19 +251,69 @@ def search(
                     yield from _list_answers(who.astype(np.int64), data[queries_here], ids, x[0], k)
 
     schema = "part long, side int, id long, ids array<long>, row binary"
-    questions = rows.where("asks").select("id", "x").distinct()
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(int(first[-1]), 4_096))
     best = (
         postings.mapInArrow(dealt, schema).unionAll(questions.mapInArrow(asking, schema))
         .repartition(tasks, "part").sortWithinPartitions("part", "side")
         .mapInArrow(answered, "query_id long, vec_id long, score double")
     ).distinct()
+    return _ranked(best, k)
+
+
+def _ranked(answers: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return answers.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _near(far: np.ndarray, ratio: float) -> np.ndarray:
+    return np.sqrt(far) <= ratio * np.sqrt(far[0]) + 1e-9 if np.isfinite(ratio) else np.ones(len(far), bool)
+
+
+def _budget(
+    stored: DataFrame, postings: DataFrame, points: np.ndarray, who: np.ndarray, asked: np.ndarray,
+    k: int, probes: int, ratio: float, recall: float,
+) -> tuple[int, float]:
+    """The lists to read and the ratio that give ``recall`` on the queries ``who``, from ``probes`` and ``ratio`` on."""
+    probes = min(probes, len(points))
+    if not len(who) or (probes == len(points) and not np.isfinite(ratio)):
+        return probes, ratio
+    width = asked.shape[1]
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield from _list_answers(
+                    who, asked, batch.column("ids").to_pylist(), _matrix(batch.column("x").to_pylist(), width), k
+                )
+
+    answers = _ranked(stored.select("ids", "x").mapInArrow(exact, "query_id long, vec_id long, score double").distinct(), k)
+    held = (
+        postings.select("list", F.explode("ids").alias("vec_id"))
+        .join(F.broadcast(cut_lineage(answers)), "vec_id")  # k rows of each query tried
+        .groupBy("query_id", "vec_id").agg(F.collect_set("list").alias("lists")).collect()
+    )
+    centroids = Centroids(points)
+    full = np.concatenate([asked, np.zeros((len(asked), 1))], axis=1)
+    while True:
+        found = [centroids.nearest(row, probes) for row in full]
+        for bound in (ratio, np.inf):
+            read: dict[int, set[int]] = {}
+            for q, (own, far) in zip(who.tolist(), found):
+                read.setdefault(q, set()).update(own[_near(far, bound)].tolist())
+            if sum(not read[row["query_id"]].isdisjoint(row["lists"]) for row in held) >= recall * len(held):
+                return probes, bound
+        if probes == len(points):
+            return probes, np.inf
+        probes = min(probes + max(1, probes // 4), len(points))
 
 
 def _boundary(centroids: Centroids, x: np.ndarray) -> np.ndarray:
-    """The nearest lists of a vector; a farther one only if it is not closer to a list chosen before."""
+    """The nearest lists of a vector whose distance is nearly as small as the smallest; of equal centroids one.
+
+    Leaving out a list that is closer to a chosen one than to the vector, as is
+    usual, would leave one copy of nearly every vector in clouds of many
+    dimensions, and queries would have to read four times as many lists.
+    """
     own, far = centroids.nearest(x, 2 * COPIES)
     chosen = [int(own[0])]
     for c, d in zip(own[1:].tolist(), far[1:].tolist()):

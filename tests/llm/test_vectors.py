@@ -98,6 +98,18 @@ def test_recall_with_many_lists(spark, monkeypatch):
     assert hits >= 0.9 * 10 * len(wanted)
 
 
+def test_lists_read_grow_with_their_number(spark, monkeypatch):
+    """A cloud without clusters in about a thousand lists: a fixed number of lists would lose answers."""
+    monkeypatch.setattr(ann, "LIST_ROWS", 8)
+    x = np.random.default_rng(6).normal(size=(8_000, 32))
+    rows = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    for ratio in (ann.PROBE_RATIO, 1.01):
+        got = ranked(ann.search(rows, F.col("id") % 40 == 0, k=10, probe_ratio=ratio).collect())
+        wanted = brute(np.arange(8_000), x, np.arange(0, 8_000, 40), 10)
+        hits = sum(len({v for _r, v, _s in got[q]} & {v for _r, v, _s in wanted[q]}) for q in wanted)
+        assert hits >= 0.9 * 10 * len(wanted)
+
+
 def test_posting_lists_of_odd_vectors(spark):
     got = ranked(ann.search(odd_vectors(spark), F.col("id") % 10 == 0, k=20).collect())
     assert {q: [v for _r, v, _s in rows] for q, rows in got.items()} == {
