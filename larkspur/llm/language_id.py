@@ -31,8 +31,7 @@ from larkspur.session import cut_lineage
 ORDER = 5
 SAMPLE_DOCS = 300  # labelled rows per language that models and calibration are fitted on, at most
 CALIBRATION_EVERY = 5  # every fifth of them calibrates
-LEAST_Z = 8.0  # how far from its language, in deviations, a text must be to be rejected
-SLACK_BITS = 2.0  # and in bits per character besides: about as many again as a text of its language needs
+LEAST_Z, MOST_Z = 8.0, 12.0  # how far from its language, in deviations, a text must be to be rejected
 UNKNOWN = "und"
 KEPT_GRAMS = 500_000  # scored n-grams a task remembers
 SLICE_BYTES = 1 << 19  # text scored at once: some 150 bytes of arrays per character
@@ -93,6 +92,8 @@ class Models:
     characters: int = 1
     mean: np.ndarray | None = None  # bits per character of texts in the language
     deviation: np.ndarray | None = None  # of one character
+    spread: np.ndarray | None = None  # of texts, however long
+    slack: np.ndarray | None = None  # bits allowed besides where no text could be held back
     z: float = LEAST_Z
     sharpness: float = 1.0
 
@@ -106,6 +107,11 @@ class Models:
             p = np.where(hit[:, None], self.mass[n][at], 0.0) + weight * p
         return np.log2(p)
 
+    def distance(self, bits: np.ndarray, n: np.ndarray, lang: np.ndarray) -> np.ndarray:
+        """How far above its language the entropy of a text of n characters is, in deviations of such texts."""
+        deviation = np.sqrt(self.spread[lang] ** 2 + self.deviation[lang] ** 2 / np.maximum(n, 1))
+        return (bits - self.mean[lang] - self.slack[lang]) / deviation
+
 
 def fit_models(counts: pd.DataFrame) -> Models:
     """Models from ``lang``, ``gram`` (ORDER code points, as bytes) and ``n``."""
@@ -213,8 +219,7 @@ class Scorer:
         lowest = bits.min(axis=1)
         odds = np.exp2(-np.minimum((bits - lowest[:, None]) * n[:, None] * models.sharpness, 1000.0))
         score = np.where(letters > 0, 1.0 / odds.sum(axis=1), 0.0)
-        limit = models.mean[best] + SLACK_BITS + models.z * models.deviation[best] / np.sqrt(np.maximum(n, 1))
-        accepted = (letters > 0) & (lowest <= limit)
+        accepted = (letters > 0) & (models.distance(lowest, n, best) <= models.z)
         names = [models.languages[k] if has else UNKNOWN for k, has in zip(best.tolist(), letters.tolist())]
         return names, score, lowest, accepted
 
@@ -287,7 +292,14 @@ def _gram_batches(points: np.ndarray, names: np.ndarray, lang: np.ndarray) -> It
 
 
 def _calibrate(models: Models, held: DataFrame, sample: DataFrame, runs: list[tuple[int, int]]) -> None:
-    """Mean and spread of cross entropies per language, the rejection level and the sharpness of scores."""
+    """Centre and spread of cross entropies per language, the rejection level and the sharpness of scores.
+
+    Medians, so that a few odd or mislabelled texts do not count.  The rejection
+    level lies between the distances of held-back texts from their language and
+    their distances from the best other one, which is where they would go had
+    their language not been learned.  A language of which nothing could be held
+    back accepts texts up to midway to the bits of an even guess.
+    """
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(models, runs)
@@ -301,21 +313,36 @@ def _calibrate(models: Models, held: DataFrame, sample: DataFrame, runs: list[tu
     schema = "lang string, bits array<double>, n long, letters long"
     rows = held.mapInArrow(scored, schema).toPandas()  # bounded by the sample
     rows = rows[(rows["letters"] > 0) & rows["lang"].isin(models.languages)]
-    if not len(rows):  # too few labelled rows to hold any back
+    blind = not len(rows)
+    if blind:  # too few labelled rows to hold any back
         rows = sample.mapInArrow(scored, schema).toPandas()
         rows = rows[(rows["letters"] > 0) & rows["lang"].isin(models.languages)]
     bits, n = np.stack(rows["bits"]), rows["n"].to_numpy(np.float64)
     own = np.searchsorted(models.languages, rows["lang"].to_numpy())
     value = bits[np.arange(len(own)), own]
-    pooled = np.average(value, weights=n)
-    mean = np.array([np.average(value[own == k], weights=n[own == k]) if (own == k).any() else pooled
-                     for k in range(len(models.languages))])
-    spread = n * (value - mean[own]) ** 2
-    deviation = np.sqrt(np.maximum(np.array(
-        [spread[own == k].mean() if (own == k).any() else spread.mean() for k in range(len(mean))]), 1.0))
-    seen = (value - mean[own] - SLACK_BITS) * np.sqrt(n) / deviation[own]
-    models.mean, models.deviation = mean, deviation
-    models.z = max(LEAST_Z, 2.0 * float(seen.max()))
+    size = len(models.languages)
+    pooled = _median(value, n)
+    models.mean = np.array([_median(value[own == k], n[own == k]) if (own == k).any() else pooled for k in range(size)])
+    off = np.abs(value - models.mean[own])
+
+    def widest(values: np.ndarray) -> np.ndarray:  # median deviations of few texts are often too small
+        every = 1.4826 * float(np.median(values))
+        return np.array([max(every, 1.4826 * float(np.median(values[own == k]))) if (own == k).any() else every
+                         for k in range(size)])
+
+    models.deviation = np.maximum(widest(off * np.sqrt(n)), 1.0)
+    texts, characters = np.bincount(own, minlength=size), np.bincount(own, n, size)
+    unsure = 1 / np.maximum(texts, 1)  # of the centre itself
+    models.spread = np.sqrt(widest(off) ** 2 * (1 + unsure) + models.deviation ** 2 / np.maximum(characters, 1))
+    models.slack = np.where((texts == 0) | blind, max(np.log2(models.characters) - pooled, 0.0) / 2, 0.0)
+    models.z = LEAST_Z
+    if size > 1:
+        others = bits.copy()
+        others[np.arange(len(own)), own] = np.inf
+        other = others.argmin(axis=1)
+        inside = np.quantile(models.distance(value, n, own), 0.99)
+        outside = np.quantile(models.distance(others.min(axis=1), n, other), 0.05)
+        models.z = float(np.clip((inside + outside) / 2, LEAST_Z, MOST_Z))
     gap = (bits - value[:, None]) * n[:, None]
     losses = {
         s: np.log2(np.exp2(-np.clip(gap * s, -500, 500)).sum(axis=1)).mean() for s in (0.02, 0.05, 0.1, 0.2, 0.5, 1.0)
@@ -323,6 +350,12 @@ def _calibrate(models: Models, held: DataFrame, sample: DataFrame, runs: list[tu
     models.sharpness = min(losses, key=losses.get)
 
 
+def _median(values: np.ndarray, weights: np.ndarray) -> float:
+    order = np.argsort(values)
+    total = np.cumsum(weights[order])
+    return float(values[order][np.searchsorted(total, total[-1] / 2)])
+
+
 def identify(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``lang_pred``, ``score``, ``bits_per_char`` and ``accepted`` of every row.
 

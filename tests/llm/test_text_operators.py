@@ -70,6 +70,22 @@ def test_clean_documents_are_kept(documents, models):
     assert language_id.keep_accepted(documents, models).count() >= documents.count() - 2
 
 
+def test_unlearned_languages_and_short_gibberish_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    odd = docs.where("lang = 'es'").limit(1).select((F.col("doc_id") * 0 - 3).alias("doc_id"), F.repeat(F.lit("wqx kjz "), 40).alias("text"), "lang")
+    some = docs.select("doc_id", "text", "lang")
+    models = language_id.train(some.unionAll(odd))
+    assert language_id.LEAST_Z <= models.z <= language_id.MOST_Z
+    assert language_id.keep_accepted(docs, models).count() >= 0.99 * docs.where("text rlike '[a-z]'").count()
+    letters, random = list("abcdefghijklmnopqrstuvwxyz "), np.random.default_rng(0)
+    junk = spark.createDataFrame([("".join(random.choice(letters, 100)),) for _ in range(50)], "text string")
+    assert language_id.keep_accepted(junk, models).count() == 0
+    for lang in ("en", "es"):
+        without = language_id.train(some.where(F.col("lang") != lang))
+        long = docs.where((F.col("lang") == lang) & (F.length("text") > 300))
+        assert language_id.keep_accepted(long, without).count() <= 0.05 * long.count()
+
+
 def test_without_labels_nothing_is_known(documents):
     models = language_id.train(documents.limit(0))
     assert {r.lang_pred for r in language_id.identify(documents.limit(5), models).collect()} == {"und"}
