@@ -149,34 +149,76 @@ def repeat_to_weights(
     """``docs`` as the mixture takes them: whole rows, repeated by epoch, the others left out.
 
     The row at a source's cut is taken if at least half of it is inside, so a
-    source is off by half a row at most.  Rows that are equal in source, key
-    and size share one decision.  Rows without words stay once.  The columns
-    are those of ``docs``; rows are decided by a comparison with their source's
-    cut, so whole rows are not shuffled.
+    source is off by half a row at most.  Of rows that are equal in source, key
+    and size, as many are taken once more as fit.  Rows without words stay once.
+    The columns are those of ``docs``; rows are decided by a comparison with
+    their source's cut, so whole rows are not shuffled.  Only rows of equal ones
+    that are taken in part are stored with a number, to be told apart by it.
     """
     placed = cut_lineage(place(docs, id_col, text_col, source_col, **options))
-    inside = F.col("rest") - F.col("begin")
-    half = (F.col("size") > 0) & (2 * inside >= F.col("size") * F.col("copies")) & (F.col("rest") > 0)
+    inside, size, copies = F.col("rest") - F.col("begin"), F.col("size"), F.col("copies")
+    fitting = F.least(copies, F.greatest(F.lit(0), F.floor((2 * inside + size) / (2 * size))))
+    placed = placed.withColumn("more", F.when((size > 0) & (F.col("rest") > 0), fitting).otherwise(0))
+    whole = (size > 0) & (F.col("more") == copies)
     order = F.struct("key", F.col("id").isNull().alias("no_id"), "id", "size", "run")
     cuts = placed.groupBy("source").agg(
-        F.first("epochs").alias("epochs"), F.max(F.when(half, order)).alias("cut")
+        F.first("epochs").alias("epochs"), F.max(F.when(whole, order)).alias("cut")
     )
     cuts = cut_lineage(cuts.select(F.struct("source", "epochs", "cut").alias("_cut")))
+    # a source's cut divides one run; besides, equal rows of several runs may lie on both sides of it
+    several = (F.col("run") > 0) | (copies == RUN_COPIES) | ((F.col("more") > 0) & (F.col("more") < copies))
+    divided = (
+        placed.where(several).groupBy("source", "id", "size").agg(F.sum("more").alias("more"), F.sum("copies").alias("of"))
+        .where("more > 0 AND more < of").withColumn("group", F.monotonically_increasing_id())
+    )
+    divided = cut_lineage(divided.select(F.struct("source", "id", "size", "more", "group").alias("_part")))
     names = docs.columns
-    size = word_count(F.col(f"_row.{text_col}"))
-    keyed = docs.select(F.struct(*names).alias("_row")).select("_row", size.alias("_size"))
-    joined = keyed.join(
-        broadcast_if_small(cuts, cuts.count(), 512), F.col(f"_row.{source_col}").eqNullSafe(F.col("_cut.source"))
+    words = word_count(F.col(f"_row.{text_col}"))
+    keyed = docs.select(F.struct(*names).alias("_row")).select("_row", words.alias("_size"))
+    key, source = F.col(f"_row.{id_col}"), F.col(f"_row.{source_col}")
+    equal = (
+        source.eqNullSafe(F.col("_part.source")) & key.eqNullSafe(F.col("_part.id"))
+        & (F.col("_size") == F.col("_part.size"))
+    )
+    joined = (
+        keyed.join(broadcast_if_small(cuts, cuts.count(), 512), source.eqNullSafe(F.col("_cut.source")))
+        .join(broadcast_if_small(divided, divided.count(), 128), equal, "left")
     )
-    key = F.col(f"_row.{id_col}")
     own = F.struct(
         F.xxhash64(key, F.col("_size"), F.lit(0).cast("long")).alias("key"), key.isNull().alias("no_id"),
         key.alias("id"), F.col("_size").alias("size"), F.lit(0).cast("long").alias("run"),
     )
     taken = F.col("_cut.epochs") + F.when(own <= F.col("_cut.cut"), 1).otherwise(0)
     times = F.when(F.col("_size") == 0, 1).otherwise(taken).cast("int")
+    alone = joined.where(F.col("_part").isNull()).select("_row", times.alias("_times"))
+    shared = cut_lineage(
+        joined.where(F.col("_part").isNotNull()).select(
+            "_row", F.col("_cut.epochs").alias("_epochs"), F.col("_part.group").alias("_group"),
+            F.col("_part.more").alias("_more"), F.monotonically_increasing_id().alias("_at"),
+        )
+    )
+    lasts = _last_taken(shared.select("_group", "_more", "_at"))
+    turns = shared.join(broadcast_if_small(lasts, lasts.count(), 32), "_group").select(
+        "_row", (F.col("_epochs") + F.when(F.col("_at") <= F.col("_last"), 1).otherwise(0)).cast("int").alias("_times")
+    )
     return (
-        joined.withColumn("_times", times).where("_times > 0")
+        alone.unionAll(turns).where("_times > 0")
         .select("_row", F.explode(F.array_repeat(F.lit(0), F.col("_times"))).alias("_copy"))
         .select(*[F.col("_row").getField(name).alias(name) for name in names])
     )
+
+
+def _last_taken(rows: DataFrame) -> DataFrame:
+    """``_last``, the ``_more``-th smallest ``_at`` of every ``_group``; only one block of a group is sorted."""
+    blocked = rows.withColumn("_block", F.floor(F.col("_at") / RUN_COPIES))
+    before = Window.partitionBy("_group").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = (
+        blocked.groupBy("_group", "_more", "_block").agg(F.count("*").alias("_n"))
+        .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        .where("_before < _more AND _more <= _before + _n").select("_group", "_block", "_before")
+    )
+    turn = F.row_number().over(Window.partitionBy("_group").orderBy("_at"))
+    return cut_lineage(
+        blocked.join(blocks, ["_group", "_block"]).withColumn("_turn", turn)
+        .where("_turn = _more - _before").select("_group", F.col("_at").alias("_last"))
+    )

@@ -177,6 +177,26 @@ def test_repeated_documents_come_near_the_targets(documents, odd_documents):
     assert mixing.repeat_to_weights(documents.limit(0)).collect() == []
 
 
+def test_equal_rows_are_repeated_to_the_cut(spark, monkeypatch):
+    """Equal rows of several runs, of one run, and without a key; each source comes out to half a row."""
+    rows = (
+        [(7, "w w w", "a", i) for i in range(25_000)] + [(8, "v", "b", 0)]
+        + [(None, "n n", "c", i) for i in range(900)] + [(i, "x y z x", "c", i) for i in range(300)]
+    )
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n long")
+    targets = plain_targets({"a": 75_000, "b": 1, "c": 3_000})
+    two = spark.createDataFrame(rows[:25_001], docs.schema)
+    for own, wanted in ((docs, targets), (two, plain_targets({"a": 75_000, "b": 1}))):
+        for run in (10_000, 300):
+            monkeypatch.setattr(mixing, "RUN_COPIES", run)
+            out = mixing.repeat_to_weights(own).collect()
+            taken = collections.Counter()
+            for r in out:
+                taken[r.source] += words(r.text)
+            assert all(abs(taken[s] - target) <= {"a": 1.5, "b": 0.5, "c": 2}[s] + 0.5 for s, target in wanted.items())
+            assert max(collections.Counter(out).values()) <= 2
+
+
 # ------------------------------------------------------------ pipeline
 
 
