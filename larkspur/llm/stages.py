@@ -22,18 +22,20 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each near-duplicate group: that with the smallest ``doc_id``, one row of it.
 
-    ``docs`` must come from stored files, so that row numbers are the same in
-    both reads.  A NULL ``doc_id`` comes last in its group.  The kept rows are
+    Rows are numbered once and stored with their numbers: those of two reads
+    would differ where files are packed into tasks in another way.  A NULL ``doc_id`` comes last in its group.  The kept rows are
     found by a merge join at every size: their numbers grow with the input, so
     they are not broadcast, and the plan of a small run is that of a large one.
     """
     ship_package(spark)
     row = F.monotonically_increasing_id()
-    numbered = docs.select(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", row.alias("row")).alias("key"), "text")
+    rows = cut_lineage(docs.select(F.struct(*docs.columns).alias("document"), row.alias("row")))
+    own = F.col("document.doc_id")
+    key = F.struct(own.isNull().alias("no_id"), own.alias("doc_id"), "row")
+    numbered = rows.select(key.alias("key"), F.col("document.text").alias("text"))
     groups = simhash.near_duplicate_groups(numbered, "key")
     kept = groups.where(F.col("key") == F.col("component")).select(F.col("key.row").alias("row"))
     kept = cut_lineage(kept)
-    rows = docs.select(F.struct(*docs.columns).alias("document"), row.alias("row"))
     return rows.join(kept.hint("merge"), "row", "left_semi").select(
         *[F.col("document").getField(name).alias(name) for name in docs.columns]
     )

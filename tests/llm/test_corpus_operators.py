@@ -246,3 +246,15 @@ def test_one_row_of_each_group_stays(spark, odd_documents, tmp_path):
     prints = [plain_fingerprint(r.text or "") for r in kept]
     assert len(prints) == len(set(prints)) and len(kept) == 5
     assert {r.doc_id for r in kept} == {1, 4, 6, 7, 8}
+
+
+def test_kept_rows_do_not_depend_on_how_files_are_read(spark, documents, tmp_path):
+    documents.repartition(24).write.parquet(str(tmp_path / "d"))
+    stored = spark.read.parquet(str(tmp_path / "d"))
+    wanted = sorted(r.doc_id for r in stages.keep_one_of_each_group(spark, stored, SF).collect())
+    kept = stages.keep_one_of_each_group(spark, stored, SF)
+    spark.conf.set("spark.sql.files.minPartitionNum", "1")  # as if executors had been lost since
+    try:
+        assert sorted(r.doc_id for r in kept.collect()) == wanted
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
