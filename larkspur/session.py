@@ -68,14 +68,14 @@ def work_root(spark: SparkSession) -> str:
     """The shared folder named by the cluster in ``spark.checkpoint.dir``.
 
     Only a local-mode session without that setting falls back to a temporary
-    folder; on a cluster a machine-local folder would be lost with its host,
-    so the setting is then required.
+    folder; on a cluster, and in local-cluster mode, a folder of one process
+    would be lost with it, so the setting is then required.
     """
     named = spark.conf.get(CHECKPOINT_KEY, None)
     if named:
         return named.rstrip("/")
     context = spark.sparkContext
-    if not context.master.startswith("local"):
+    if context.master != "local" and not context.master.startswith("local["):
         raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
     if not _local_roots:
         _local_roots.append(tempfile.mkdtemp(prefix="larkspur-"))
@@ -91,6 +91,14 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
     return _made[-1]
 
 
+def remove_work(spark: SparkSession, path: str) -> bool:
+    """Delete one folder made by ``work_dir`` that nothing will read again; whether it existed."""
+    if path in _made:
+        _made.remove(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True))
+
+
 def clear_work(spark: SparkSession) -> int:
     """Delete the intermediate folders of this process; the number of those that existed.
 
@@ -99,8 +107,7 @@ def clear_work(spark: SparkSession) -> int:
     """
     removed = 0
     while _made:
-        place = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
-        removed += bool(place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True))
+        removed += remove_work(spark, _made[-1])
     return removed
 
 
