@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import ann, bpe, exact_topk, html_text, language_id, mixing, packing, secret_scan, simhash, token_counts
+from larkspur.llm import (
+    ann, bpe, exact_topk, html_text, language_id, mixing, packing, secret_scan, simhash, token_counts, vector_codes,
+)
+from larkspur.llm.oracles import codes_sql
 from larkspur.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +116,12 @@ def op9_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(vocabulary("byte_bpe_multi_50k.tiktoken"))
     return bpe.digests(table(spark, sf_dir, "documents"), ranks)
+
+
+@query("op11_vector_codes", codes_sql())
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    return vector_codes.with_label_error(codes.rows).select(
+        F.col("id").alias("vec_id"), "code", "error", "label_error",
+        F.lit(vector_codes.codebook_digest(codes.codebooks)).alias("codebooks_sha256"),
+    )
