@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm import (
-    ann, bpe, exact_topk, html_text, language_id, mixing, packing, secret_scan, simhash, token_counts, vector_codes,
+    ann, bpe, exact_topk, hard_negatives, html_text, language_id, mixing, packing, secret_scan, simhash, token_counts, vector_codes,
 )
-from larkspur.llm.oracles import codes_sql
+from larkspur.llm.oracles import NEGATIVES_SQL, codes_sql
 from larkspur.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +125,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("vec_id"), "code", "error", "label_error",
         F.lit(vector_codes.codebook_digest(codes.codebooks)).alias("codebooks_sha256"),
     )
+
+
+@query("op13_hard_negatives", NEGATIVES_SQL)
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", label), F.col("id") % 100 == 0)
