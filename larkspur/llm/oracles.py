@@ -72,3 +72,22 @@ WITH whole AS (
 SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
 FROM ranked WHERE rank <= 10
 """
+
+LINES_SQL = """
+WITH lines AS MATERIALIZED (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS line,
+    list_transform(string_split(coalesce(text, ''), chr(10)), lambda l: translate(
+      trim(l, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS key
+  FROM documents
+), repeated AS MATERIALIZED (
+  SELECT list(key) AS keys FROM (
+    SELECT key FROM (SELECT DISTINCT doc_id, unnest(key) AS key FROM lines) WHERE key <> '' GROUP BY key HAVING count(*) >= 10
+  )
+), kept AS (
+  SELECT doc_id, len(line) AS n_lines,
+    list_transform(list_filter(list_zip(line, key), lambda p: NOT list_contains(coalesce(keys, []), p[2])), lambda p: p[1]) AS line
+  FROM lines, repeated
+)
+SELECT doc_id, n_lines, n_lines - len(line) AS n_dropped, sha256(coalesce(array_to_string(line, chr(10)), '')) AS kept_sha256
+FROM kept
+"""

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm import (
-    ann, bpe, exact_topk, hard_negatives, html_text, language_id, mixing, packing, secret_scan, simhash, token_counts, vector_codes,
+    ann, bpe, exact_topk, hard_negatives, html_text, language_id, line_dedup,
+    mixing, packing, secret_scan, simhash, token_counts, vector_codes,
 )
-from larkspur.llm.oracles import NEGATIVES_SQL, codes_sql
+from larkspur.llm.oracles import LINES_SQL, NEGATIVES_SQL, codes_sql
 from larkspur.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,6 +128,13 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op12_line_dedup", LINES_SQL)
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    stripped = line_dedup.LineIndex(spark).insert(docs).strip(docs)
+    return stripped.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 @query("op13_hard_negatives", NEGATIVES_SQL)
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
