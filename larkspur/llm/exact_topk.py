@@ -7,8 +7,11 @@ lower bound on the distance is an upper bound on the score.  A query takes its
 candidates in the order of their bounds and stops when no bound left reaches its
 k-th score, so the answer is exact.
 
-Queries are grouped in blocks, vectors in blocks; each pair of blocks meets in
-one task, which emits the best k of its block per query.
+Vectors are stored in blocks and every query streams through every block.  A
+query first asks a few blocks; its k-th score there is a limit below which the
+other blocks need not search nor emit.
+
+Bounds are doubles that allow for rounding; scores are exact whole numbers.
 """
 
 from __future__ import annotations
@@ -17,32 +20,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from larkspur.llm.arrow import groups_in, matrix_of
+from larkspur.llm.whole import LONG_MIN, packed, products, real_vectors, whole_matrix
 from larkspur.session import cut_lineage
 
 PIVOTS = 32
 PIVOT_SAMPLE = 2_000  # vectors that pivots are chosen from, about
 CHUNK = 256  # candidates evaluated at once
-FINE_ROWS, BLOCK_ROWS = 2_048, 65_536  # vectors of a block: few when the table is small, never more than the latter
-QUERY_ROWS = 16_384  # queries of a block
-_SLACK = 1e-9  # for rounding in the distances
-
-
-def quantized(vectors: DataFrame, id_col: str, vector_col: str, scale: int = 256) -> DataFrame:
-    """``id`` and ``x``: floor(scale * component) of every vector that can take part.
-
-    Left out: NULL vectors and those with a NULL, NaN or infinite component.
-    """
-    finite = F.forall(
-        F.col(vector_col),
-        lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) != float("inf")),
-    )
-    whole = F.transform(F.col(vector_col), lambda c: F.floor(c.cast("double") * scale).cast("long"))
-    return vectors.where(F.col(vector_col).isNotNull() & finite).select(F.col(id_col).cast("long").alias("id"), whole.alias("x"))
+FINE_ROWS, BLOCK_ROWS = 2_048, 131_072  # vectors of a block: few when the table is small, never more than the latter
+BLOCK_BYTES = 128 << 20  # of vectors and their pivot distances; wide vectors make smaller blocks
+FIRST_SHARE, FIRST_BLOCKS = 16, 4  # one block in so many is asked first, at least so many
+_SLACK = 1e-9  # for rounding in squares and bounds
+_FAR_SLACK = 1e-13  # for rounding in distances
 
 
 def choose_pivots(sample: np.ndarray, count: int) -> np.ndarray:
@@ -58,88 +52,99 @@ def choose_pivots(sample: np.ndarray, count: int) -> np.ndarray:
 
 
 def pivot_distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    squares = (x * x).sum(axis=1)[:, None] + (pivots * pivots).sum(axis=1) - 2.0 * (x @ pivots.T)
-    return np.sqrt(np.maximum(squares, 0.0))
+    """Computed from differences, so that no large squares cancel."""
+    return np.stack([np.sqrt(((x - p) ** 2).sum(axis=1)) for p in pivots], axis=1) if len(pivots) else np.empty((len(x), 0))
 
 
 def top_k(
     vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding",
-    pivots: int = PIVOTS,
+    pivots: int = PIVOTS, scale: int = 256,
 ) -> DataFrame:
     """``query_id``, ``rank`` (from 1), ``vec_id``, ``score`` (long): the best k other rows of each query row.
 
-    ``is_query`` is a condition on column ``id``.  Ties go to the smaller id.  A
-    row is no candidate of itself, but rows that repeat its id count once each
-    for other queries; equal ids never answer each other.  Shorter vectors count
-    as filled up with zeros.  Rows with a NULL id, and vectors that are NULL or
-    have a NULL, NaN or infinite component, take no part.
+    ``is_query`` is a condition on column ``id``.  Components become
+    floor(scale * component).  Ties go to the smaller id.  A row is no candidate
+    of itself, but rows that repeat its id count once each for other queries;
+    equal ids never answer each other.  Shorter vectors count as filled up with
+    zeros.  Rows with a NULL id, and vectors that are NULL or have a NULL, NaN or
+    infinite component, take no part.  A score beyond a long counts as the greatest
+    or least long, and such scores tie.
     """
-    spark = vectors.sparkSession
-    rows = quantized(vectors, id_col, vector_col).where(F.col("id").isNotNull())
-    rows = cut_lineage(rows.withColumn("asks", F.coalesce(is_query, F.lit(False))))
-    found = rows.agg(F.count("*"), F.count_if("asks"), F.max(F.size("x"))).first()
-    n, queries, width = found[0], found[1], found[2] or 0
+    rows = real_vectors(vectors.select(id_col, vector_col), id_col, vector_col).where(F.col("id").isNotNull())
+    rows = cut_lineage(rows.select("id", "x").withColumn("asks", F.coalesce(is_query, F.lit(False))))
+    n, width = rows.agg(F.count("*"), F.max(F.size("x"))).first()
+    width = width or 0
     every = max(1, n // PIVOT_SAMPLE)
     sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).limit(4 * PIVOT_SAMPLE).select("x").toArrow()
-    points = choose_pivots(_matrix(sample.column("x").to_pylist(), width), pivots)
-    blocks = max(1, -(-n // BLOCK_ROWS), min(-(-n // FINE_ROWS), 32))
-    query_blocks = max(1, -(-queries // QUERY_ROWS))
+    points = choose_pivots(whole_matrix(sample.column("x"), width, scale), pivots)
+    most = max(1, min(BLOCK_ROWS, BLOCK_BYTES // (8 * (width + len(points) + 1))))
+    blocks = max(1, -(-n // most), min(-(-n // FINE_ROWS), 32))
 
     def tabled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = _matrix(batch.column("x").to_pylist(), width)
-            table = np.concatenate([x, pivot_distances(x, points)], axis=1)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("asks"), pa.array([row.tobytes() for row in table], pa.binary())],
-                ["id", "asks", "row"],
-            )
+            if batch.num_rows:
+                x = whole_matrix(batch.column("x"), width, scale)
+                table = packed(np.concatenate([x, pivot_distances(x, points)], axis=1))
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("asks"), table], ["id", "asks", "row"])
 
     tables = rows.mapInArrow(tabled, "id long, asks boolean, row binary")
     block = F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(blocks))
-    group = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(query_blocks))
-    every_group = F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))
-    every_block = F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))
-    stored = tables.withColumn("block", block).select(
-        F.explode(F.transform(every_group, lambda g: F.col("block") * query_blocks + g)).alias("part"), F.lit(0).alias("side"), "id", "row"
-    )
-    asked = tables.where("asks").withColumn("query_group", group).select(
-        F.explode(F.transform(every_block, lambda b: b * query_blocks + F.col("query_group"))).alias("part"), F.lit(1).alias("side"), "id", "row"
+    stored = cut_lineage(tables.withColumn("part", block).select("part", "id", "asks", "row"))
+    asked = cut_lineage(stored.where("asks").select("id", "row", F.monotonically_increasing_id().alias("number")))
+    first = min(blocks, max(FIRST_BLOCKS, blocks // FIRST_SHARE))
+    floor = F.lit(LONG_MIN).cast("long")
+    best = _ranked(_searched(stored, asked.withColumn("floor", floor), 0, first, width, k), k)
+    if first < blocks:
+        best = cut_lineage(best)
+        limits = best.where(F.col("rank") == k).select("number", F.col("score").alias("limit"))
+        limited = asked.join(limits, "number", "left").withColumn("floor", F.coalesce("limit", floor)).drop("limit")
+        best = _ranked(best.drop("rank").unionAll(_searched(stored, limited, first, blocks, width, k)), k)
+    return best.select("query_id", "rank", "vec_id", "score")
+
+
+def _ranked(answers: DataFrame, k: int) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    return answers.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _searched(stored: DataFrame, asked: DataFrame, start: int, stop: int, width: int, k: int) -> DataFrame:
+    """``number, query_id, vec_id, score``: the best ``k`` not below the floor, of each block from ``start`` to ``stop``."""
+    every_block = F.sequence(F.lit(start).cast("long"), F.lit(stop - 1).cast("long"))
+    questions = asked.select(F.explode(every_block).alias("part"), F.lit(1).alias("side"), "number", "id", "row", "floor")
+    nothing = F.lit(None).cast("long")
+    vectors = stored.where(F.col("part").between(start, stop - 1)).select(
+        "part", F.lit(0).alias("side"), nothing.alias("number"), "id", "row", nothing.alias("floor")
     )
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _part, runs in groups_in(batches, "part"):
             held, index = [], None
             for run in runs:
-                asking = run.column("side").to_numpy() == 1
-                ids, data = run.column("id").to_numpy(), _floats(run.column("row"))
-                if not asking.all():
-                    held.append((ids[~asking], data[~asking]))
-                if not asking.any() or not held:
+                asking = pa.array(run.column("side").to_numpy() == 1)
+                own, questions = run.filter(pc.invert(asking)), run.filter(asking)
+                if own.num_rows:
+                    held.append((own.column("id").to_numpy(), _floats(own)))
+                if not questions.num_rows or not held:
                     continue
                 if index is None:
                     index = PivotTable(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), width)
-                yield from index.answers(ids[asking], data[asking], k)
-
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(blocks * query_blocks, 4_096))
-    best = (
-        stored.unionAll(asked).repartition(tasks, "part").sortWithinPartitions("part", "side")
-        .mapInArrow(searched, "query_id long, vec_id long, score long")
+                    held = [()]
+                yield from index.answers(
+                    questions.column("number").to_numpy(), questions.column("id").to_numpy(), _floats(questions),
+                    questions.column("floor").to_numpy(), k,
+                )
+
+    spark = stored.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(stop - start, 4_096))
+    return (
+        vectors.unionAll(questions).repartition(tasks, "part").sortWithinPartitions("part", "side")
+        .mapInArrow(searched, "number long, query_id long, vec_id long, score long")
     )
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
 
-def _matrix(rows: list[list[int]], width: int) -> np.ndarray:
-    matrix = np.zeros((len(rows), width))
-    for i, row in enumerate(rows):
-        matrix[i, :len(row)] = row
-    return matrix
 
-
-def _floats(column: pa.Array) -> np.ndarray:
-    return matrix_of(column).view(np.float64) if len(column) else np.empty((0, 0))
+def _floats(batch: pa.RecordBatch) -> np.ndarray:
+    rows = matrix_of(batch.column("row"))
+    return rows.view(np.float64) if rows.size else np.empty((batch.num_rows, 0))
 
 
 class PivotTable:
@@ -149,37 +154,44 @@ class PivotTable:
         self.ids, self.width = ids, width
         self.x, self.distances = data[:, :width], np.ascontiguousarray(data[:, width:].T)
         self.squares = (self.x * self.x).sum(axis=1)
-
-    def answers(self, ids: np.ndarray, data: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
-        found = [self._best(int(q), row[:self.width], row[self.width:], k) for q, row in zip(ids, data)]
+        self.lengths = np.sqrt(self.squares)
+
+    def answers(
+        self, number: np.ndarray, ids: np.ndarray, data: np.ndarray, floors: np.ndarray, k: int
+    ) -> Iterator[pa.RecordBatch]:
+        found = [
+            self._best(int(q), row[:self.width], row[self.width:], int(floor), k) for q, row, floor in zip(ids, data, floors)
+        ]
         lengths = [len(scores) for _who, scores in found]
         if sum(lengths):
             yield pa.RecordBatch.from_arrays(
                 [
+                    pa.array(np.repeat(number, lengths)),
                     pa.array(np.repeat(ids, lengths)),
                     pa.array(np.concatenate([who for who, _scores in found])),
-                    pa.array(np.concatenate([scores for _who, scores in found]).astype(np.int64)),
+                    pa.array(np.concatenate([scores for _who, scores in found])),
                 ],
-                ["query_id", "vec_id", "score"],
+                ["number", "query_id", "vec_id", "score"],
             )
 
-    def _best(self, query: int, x: np.ndarray, distances: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def _best(self, query: int, x: np.ndarray, distances: np.ndarray, floor: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         least = np.zeros(len(self.ids))
         for own, pivot in zip(self.distances, distances):
-            np.maximum(least, np.abs(own - pivot), out=least)
+            np.maximum(least, np.abs(own - pivot) - _FAR_SLACK * (own + pivot), out=least)
         bound = ((x @ x) + self.squares - least * least) / 2.0
-        bound += _SLACK * (np.abs(bound) + self.squares + x @ x + 1.0)
-        bound[self.ids == query] = -np.inf
-        who, scores = np.empty(0, np.int64), np.empty(0)
-        left = np.arange(len(self.ids))
+        bound += _SLACK * (self.squares + x @ x + 1.0)
+        bound = np.maximum(bound, LONG_MIN)  # as the scores
+        left = np.flatnonzero((self.ids != query) & (bound >= floor))
+        who, scores = np.empty(0, np.int64), np.empty(0, np.int64)
         size = min(CHUNK, len(left))
         while len(left):
             top = np.argpartition(-bound[left], size - 1)[:size] if size < len(left) else np.arange(len(left))
             chosen = left[top]
-            real = chosen[bound[chosen] > -np.inf]
-            who = np.concatenate([who, self.ids[real]])
-            scores = np.concatenate([scores, np.rint(self.x[real] @ x)])
-            order = np.lexsort((who, -scores))[:k]
+            found = products(self.x[chosen], x, self.lengths[chosen])
+            high = found >= floor
+            who = np.concatenate([who, self.ids[chosen[high]]])
+            scores = np.concatenate([scores, found[high]])
+            order = np.lexsort((who, ~scores))[:k]  # ~: descending, for every long
             who, scores = who[order], scores[order]
             keep = np.ones(len(left), bool)
             keep[top] = False

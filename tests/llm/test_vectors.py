@@ -51,7 +51,7 @@ def test_exact_top_k_equals_brute_force(spark, table):
 
 def test_exact_top_k_of_odd_vectors(spark, monkeypatch):
     monkeypatch.setattr(exact_topk, "FINE_ROWS", 3)
-    monkeypatch.setattr(exact_topk, "QUERY_ROWS", 1)
+    monkeypatch.setattr(exact_topk, "FIRST_BLOCKS", 1)
     got = ranked(exact_topk.top_k(odd_vectors(spark), F.col("id") % 50 == 0, k=3).collect())
     # 0: [256, 128]; 6, 7, 7 the same; 20: [64, 64]; 50: [128, 0]; 8: [-256]; 5 and 9: zeros
     same, half = 256 * 256 + 128 * 128, 256 * 128
@@ -68,6 +68,33 @@ def test_exact_top_k_with_clusters_and_ties(spark):
     assert got == brute(np.arange(800), x, np.arange(0, 800, 7), 9)
 
 
+@pytest.mark.parametrize("greatest", [1e6, 1e8, 1e17, 1e20, 1e300])
+def test_exact_top_k_of_large_components(spark, monkeypatch, greatest):
+    """Scores beyond the whole numbers of doubles, and beyond a long, in several blocks."""
+    monkeypatch.setattr(exact_topk, "FINE_ROWS", 16)
+    monkeypatch.setattr(exact_topk, "FIRST_BLOCKS", 2)
+    random = np.random.default_rng(3)
+    x = random.uniform(-greatest, greatest, (150, 6)) * random.choice([1, 1, 1e-6, 1e-12], (150, 1))
+    x[20:30] = x[19]
+    rows = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    whole = [[min(max(int(c * 256 // 1) if abs(c) < 1e15 else int(c) * 256, -2 ** 400), 2 ** 400) for c in row] for row in x.tolist()]
+    wanted = {}
+    for q in range(0, 150, 10):
+        scores = [min(max(sum(a * b for a, b in zip(whole[q], other)), -2 ** 63), 2 ** 63 - 1) for other in whole]
+        order = sorted((i for i in range(150) if i != q), key=lambda i: (-scores[i], i))[:7]
+        wanted[q] = [(n + 1, i, scores[i]) for n, i in enumerate(order)]
+    assert ranked(exact_topk.top_k(rows, F.col("id") % 10 == 0, k=7, pivots=5).collect()) == wanted
+
+
+def test_blocks_asked_later_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(exact_topk, "FINE_ROWS", 50)
+    monkeypatch.setattr(exact_topk, "FIRST_BLOCKS", 1)
+    x = np.random.default_rng(7).integers(-3, 4, (700, 5))
+    rows = spark.createDataFrame([(i, [float(c) / 256 for c in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ranked(exact_topk.top_k(rows, F.col("id") % 9 == 0, k=6, pivots=3).collect())
+    assert got == brute(np.arange(700), x, np.arange(0, 700, 9), 6)
+
+
 def test_recall_of_posting_lists(spark, table):
     ids, x = table
     got = ranked(QUERIES["op5_posting_lists"](spark, SF).collect())
