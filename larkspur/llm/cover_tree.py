@@ -25,8 +25,8 @@ import numpy as np
 
 from larkspur.llm.whole import LONG_MAX, LONG_MIN, products
 
-LEAF, FANOUT = 48, 16  # vectors of a leaf; children of a node
-OPEN_AT_ONCE = 24  # nodes opened together
+LEAF, FANOUT = 128, 16  # vectors of a leaf; children of a node
+ROWS_AT_ONCE = 1_024  # nodes are opened together up to so many vectors in their leaves
 _LINEAR_SLACK, _ANGLE_SLACK = 1e-11, 2e-7  # for rounding, in units of |q| times the lengths compared
 
 
@@ -119,6 +119,7 @@ class CoverTree:
         if len(x):
             self.least_label = np.array([self.labels[a:b].min() for a, b in zip(edges.tolist(), self.ends.tolist())])
             self.most_label = np.array([self.labels[a:b].max() for a, b in zip(edges.tolist(), self.ends.tolist())])
+        self.is_leaf, self.sizes = self.first == self.last, self.ends - self.starts
         self.evaluated = 0
 
     def best(
@@ -145,29 +146,26 @@ class CoverTree:
             open_nodes, least, most = open_nodes[useful], least[useful], most[useful]
             if not len(open_nodes):
                 return found
-            if len(open_nodes) > OPEN_AT_ONCE:
-                reach = np.minimum(most, ceiling.max())
-                chosen = np.argpartition(-reach, OPEN_AT_ONCE - 1)[:OPEN_AT_ONCE]
-            else:
-                chosen = np.arange(len(open_nodes))
-            now = open_nodes[chosen]
-            rest = np.ones(len(open_nodes), bool)
-            rest[chosen] = False
-            open_nodes, least, most = open_nodes[rest], least[rest], most[rest]
-            is_leaf = self.first[now] == self.last[now]
+            order = np.argsort(-np.minimum(most, ceiling.max()), kind="stable")
+            sizes = np.where(self.is_leaf[open_nodes[order]], self.sizes[open_nodes[order]], LEAF // 4)
+            taken = int(np.searchsorted(np.cumsum(sizes), ROWS_AT_ONCE)) + 1
+            now, later = open_nodes[order[:taken]], order[taken:]
+            open_nodes, least, most = open_nodes[later], least[later], most[later]
+            is_leaf = self.is_leaf[now]
             if is_leaf.any():
-                leaves = now[is_leaf]
-                rows = np.concatenate([np.arange(a, b) for a, b in zip(self.starts[leaves].tolist(), self.ends[leaves].tolist())])
+                rows = _ranges(self.starts[now[is_leaf]], self.ends[now[is_leaf]])
                 mine = (self.labels[rows] == label) == same
                 rows = rows[mine & (self.ids[rows] != query_id)]
                 scores, ids = products(self.x[rows], q, self.lengths[rows]), self.ids[rows]
                 self.evaluated += len(rows)
                 for j, (own_ids, own_scores) in enumerate(found):
-                    inside = (scores >= max(windows[j].low, LONG_MIN)) & (scores <= min(windows[j].high, LONG_MAX))
-                    if len(own_scores) == k:
-                        inside &= scores >= own_scores[-1]
-                    if not inside.any():
+                    edge = own_scores[-1] if len(own_scores) == k else max(windows[j].low, LONG_MIN)
+                    inside = np.flatnonzero((scores >= edge) & (scores <= min(windows[j].high, LONG_MAX)))
+                    if not len(inside):
                         continue
+                    if len(inside) > 4 * k:  # ties at the edge stay
+                        own_edge = np.partition(scores[inside], len(inside) - k)[len(inside) - k]
+                        inside = inside[scores[inside] >= own_edge]
                     all_ids = np.concatenate([own_ids, ids[inside]])
                     all_scores = np.concatenate([own_scores, scores[inside]])
                     order = np.lexsort((all_ids, _down(all_scores)))[:k]
@@ -176,7 +174,7 @@ class CoverTree:
                         floor[j] = max(floor[j], float(all_scores[order[-1]]))
             inner = now[~is_leaf]
             if len(inner):
-                fresh = np.concatenate([np.arange(a, b) for a, b in zip(self.first[inner].tolist(), self.last[inner].tolist())])
+                fresh = _ranges(self.first[inner], self.last[inner])
                 fresh_least, fresh_most = self._bounds(q, fresh)
                 open_nodes = np.concatenate([open_nodes, fresh])
                 least, most = np.concatenate([least, fresh_least]), np.concatenate([most, fresh_most])
@@ -191,6 +189,12 @@ class CoverTree:
         )
 
 
+def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """All numbers from each start to its end."""
+    sizes = ends - starts
+    return np.arange(sizes.sum()) + np.repeat(starts - np.r_[0, np.cumsum(sizes)[:-1]], sizes)
+
+
 def _down(scores: np.ndarray) -> np.ndarray:
     """Ascending in the order of descending scores, for every long."""
     return ~scores
