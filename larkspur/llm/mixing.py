@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from larkspur.operators.skew import broadcast_if_small
+from larkspur.operators.skew import BROADCAST_BYTES, broadcast_if_small, join_hot_keys
 from larkspur.session import cut_lineage
 
 WEIGHTS = (5, 2, 1)  # by order of the sources, repeating
@@ -45,24 +45,40 @@ def source_targets(
     totals = cut_lineage(
         sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     )
-    # a table of sources: one row each, so these windows are small
-    every = Window.partitionBy()
-    turn = F.row_number().over(every.orderBy(F.encode("source", "utf-8").asc_nulls_last())) - 1
-    numbered = totals.withColumn("number", turn)
+    order = [F.encode("source", "utf-8").asc_nulls_last()]
+    numbered = _before(totals, order, {"number": F.lit(1).cast("long")})
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("number") % len(weights) + 1).cast("int"))
-    weighted = numbered.withColumn("weight", weight)
-    limited = weighted.withColumn("limit", (F.lit(most_epochs) * F.col("source_size")).cast("double"))
-    order = every.orderBy(F.col("limit") / F.col("weight"), "number")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    level = (
-        F.sum("source_size").over(every) * F.lit(share) - F.coalesce(F.sum("limit").over(before), F.lit(0.0))
-    ) / (F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
-    leveled = limited.withColumn("level", level).withColumn(
-        "open", F.col("level") * F.col("weight") <= F.col("limit")
+    limit = (F.lit(most_epochs) * F.col("source_size")).cast("double")
+    weighted = numbered.withColumn("weight", weight).withColumn("limit", limit)
+    filled = _before(
+        weighted, [F.col("limit") / F.col("weight"), F.col("number")],
+        {"limits": F.col("limit"), "weights": F.col("weight").cast("long")},
+    )
+    whole = filled.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    level = (F.lit(float(whole["size"] or 0) * share) - F.col("limits")) / (F.lit(whole["weight"] or 0) - F.col("weights"))
+    # of sources with equal limit / weight the first that is open has filled all others before it
+    first = F.min(F.when(level * F.col("weight") <= F.col("limit"), F.struct(F.col("limit") / F.col("weight"), "number", level.alias("level"))))
+    final = filled.agg(first.alias("first")).first()["first"]
+    target = F.col("limit") if final is None else F.least(F.lit(final["level"]) * F.col("weight"), F.col("limit"))
+    return filled.select("source", "number", "source_size", "n", target.alias("target"))
+
+
+def _before(rows: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """``rows`` with each sum over the rows that come before in the order, which must be total; stored.
+
+    Rows are range-sorted into slices; the sums of whole slices are added up, then rows inside their slice.
+    """
+    sliced = cut_lineage(rows.repartitionByRange(*order).withColumn("_slice", F.spark_partition_id()))
+    by_slice = Window.partitionBy().orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)  # a row per slice
+    starts = sliced.groupBy("_slice").agg(*[F.sum(c).alias(f"_{name}") for name, c in sums.items()]).select(
+        "_slice", *[F.coalesce(F.sum(f"_{name}").over(by_slice), F.lit(0)).alias(f"_{name}") for name in sums]
+    )
+    inside = Window.partitionBy("_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return cut_lineage(
+        sliced.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(name) for name, c in sums.items()])
+        .join(F.broadcast(starts), "_slice")  # as many rows as range partitions
+        .select(*rows.columns, *[(F.col(name) + F.col(f"_{name}")).alias(name) for name in sums])
     )
-    final = F.min(F.when(F.col("open"), F.struct(F.col("limit") / F.col("weight"), "level"))).over(every)["level"]
-    target = F.when(final.isNull(), F.col("limit")).otherwise(F.least(final * F.col("weight"), F.col("limit")))
-    return leveled.select("source", "number", "source_size", "n", target.alias("target"))
 
 
 def prefix_sums(rows: DataFrame, totals: DataFrame) -> DataFrame:
@@ -76,12 +92,12 @@ def prefix_sums(rows: DataFrame, totals: DataFrame) -> DataFrame:
         F.ceil(F.col("n") / SLICE_ROWS), F.least(F.ceil(F.col("n") / FINE_ROWS), F.lit(FINE_SLICES)), F.lit(1)
     )
     part = F.floor((F.shiftrightunsigned(F.col("key"), 33).cast("double") / float(1 << 31)) * slices).cast("long")
-    keyed = (
-        rows.withColumn("key", key)
-        .join(broadcast_if_small(totals, totals.count(), 256), rows.source.eqNullSafe(totals.source))
-        .drop(totals.source)
-        .withColumn("slice", part)
-    )
+    keyed = rows.withColumn("key", key)
+    if (sources := totals.count()) * 256 <= BROADCAST_BYTES:
+        keyed = keyed.join(broadcast_if_small(totals, sources, 256), rows.source.eqNullSafe(totals.source)).drop(totals.source)
+    else:
+        keyed = join_hot_keys(keyed, totals, "source", "n", [F.col("key")])
+    keyed = keyed.withColumn("slice", part)
     words = F.col("size") * F.col("copies")
     by_slice = Window.partitionBy("number").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = (

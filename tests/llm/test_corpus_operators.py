@@ -154,6 +154,43 @@ def test_mixture_meets_its_targets(documents, odd_documents):
     assert mixing.mix(documents.limit(0)).collect() == []
 
 
+def test_targets_of_sources_that_tie(spark):
+    """Equal sizes, empty sources and full ones; most of them share a ratio of limit and weight."""
+    draw = random.Random(3)
+    cases = [[100] * 6, [0, 0, 0], [5, 2, 1] * 4, [10, 4, 2, 10, 4, 2, 500], [7]]
+    cases += [[draw.choice((0, 1, 5, 10, 50)) for _s in range(draw.randint(1, 14))] for _case in range(12)]
+    for case in cases:
+        sizes = {None if i == 3 else f"s{i:02d}": n for i, n in enumerate(case)}
+        rows = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, size long")
+        got = {r.source: r.target for r in mixing.source_targets(rows).collect()}
+        wanted = plain_targets(sizes)
+        assert got.keys() == wanted.keys()
+        assert all(abs(got[s] - wanted[s]) < 1e-6 for s in wanted), (case, got, wanted)
+    equal = {r.source: r.target for r in mixing.source_targets(
+        spark.createDataFrame([(f"s{i}", 100) for i in range(6)], "source string, size long")).collect()}
+    assert [round(equal[f"s{i}"], 2) for i in range(6)] == [200, 166.67, 83.33] * 2
+
+
+def test_tied_sources_in_the_mixture_and_the_stage(spark, monkeypatch):
+    rows = [(i, "w " * (1 + i % 4), f"s{i % 6}") for i in range(1_200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sizes = collections.Counter()
+    for _i, text, source in rows:
+        sizes[source] += words(text)
+    targets = plain_targets(sizes)
+    for limit in (mixing.BROADCAST_BYTES, 0):  # few sources, and as if there were very many
+        monkeypatch.setattr(mixing, "BROADCAST_BYTES", limit)
+        source_of = {i: s for i, _t, s in rows}
+        taken = collections.Counter()
+        for r in mixing.mix(docs).collect():
+            taken[source_of[r.doc_id]] += r.taken
+        assert all(abs(taken[s] - targets[s]) <= 1 for s in targets)
+    repeated = collections.Counter()
+    for r in mixing.repeat_to_weights(docs).collect():
+        repeated[r.source] += words(r.text)
+    assert all(abs(repeated[s] - targets[s]) <= 4 for s in targets)
+
+
 def test_equal_rows_take_turns(spark):
     rows = [(7, "w w w", "a")] * 25_000 + [(8, "v", "b")]
     got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))
