@@ -21,12 +21,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from larkspur.llm.arrow import text_slices, texts_of
 from larkspur.llm.pretokens import LETTER, pattern_classes
-from larkspur.operators.skew import broadcast_if_small
-from larkspur.session import cut_lineage
+from larkspur.llm.sampling import distinct_texts
 
 ORDER = 5
 SAMPLE_DOCS = 300  # labelled rows per language that models and calibration are fitted on, at most
@@ -233,23 +231,15 @@ def train(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
     sample_docs: int = SAMPLE_DOCS,
 ) -> Models:
-    """Fit and calibrate on at most ``sample_docs`` labelled rows per language, chosen by a hash of the key.
+    """Fit and calibrate on at most ``sample_docs`` labelled texts per language, those with the smallest hashes.
 
     Learns from rows with a key, a text and a language whose key is not held out
-    (``learned_rows``).  Whole texts of the chosen rows are used.  Without any
-    such row there is no language and every text is ``und``.
+    (``learned_rows``).  A text counts once per language however often it is repeated;
+    whole texts are used.  Without any such row there is no language and every text
+    is ``und``.
     """
-    labelled = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    labelled = labelled.where(learned_rows(F.col("id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    labelled = labelled.withColumn("draw", F.xxhash64("id"))
-    counts = cut_lineage(labelled.groupBy("lang").count())
-    share = F.least(F.lit(1.0), F.lit(4.0 * sample_docs) / F.col("count"))
-    few = (
-        labelled.join(broadcast_if_small(counts.select("lang", share.alias("share")), counts.count(), 64), "lang")
-        .where(F.shiftrightunsigned("draw", 33).cast("double") < F.col("share") * float(1 << 31))
-    )
-    turn = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "id"))
-    sample = cut_lineage(few.withColumn("turn", turn).where(F.col("turn") <= sample_docs).select("lang", "text", "turn"))
+    labelled = docs.where(learned_rows(F.col(id_col))).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    sample = distinct_texts(labelled, "text", sample_docs, "lang")
     runs = pattern_classes()
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
