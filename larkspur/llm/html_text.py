@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from larkspur.llm import boosting
 from larkspur.llm.arrow import text_slices, texts_of
-from larkspur.session import cut_lineage
+from larkspur.llm.sampling import distinct_texts
 
 SAMPLE_PAGES = 300  # pages that the trees are fitted on, at most
 LAYOUTS = 600  # pages of other layouts that their texts are set into
@@ -40,7 +40,8 @@ BLOCK_TAGS = frozenset(
     "select summary table tbody td tfoot th thead tr ul".split()
 )
 EMPTY_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TAGS = frozenset("script style textarea title noscript iframe template svg math object xmp".split())
+RAW_TAGS = frozenset("script style textarea title iframe xmp".split())  # text up to their end tag, or the page's end
+ASIDE_TAGS = frozenset("noscript template svg annotation annotation-xml".split())  # left out from tag to end tag
 NEVER_TEXT = frozenset("head button select option label legend".split())
 CLOSES = {  # an opening tag ends these open elements, up to the barrier
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -72,6 +73,7 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*+(?:>|\Z)", re.I) for tag in RAW_TAGS}
+_ASIDE = {tag: re.compile(rf"<(/?){tag}(?![\w-])[^>]*+>", re.I) for tag in ASIDE_TAGS}
 _POINTS = re.compile(r"[.,;:!?]")
 KEEP_FROM, KEEP_TO = "keep", "/keep"  # comments that mark the article in pages made for training
 
@@ -86,13 +88,41 @@ class Node:
         self.text, self.links, self.tags = "", 0, 0
 
 
+def aside_ends(page: str, tag: str) -> dict[int, int]:
+    """Where each element of ``tag`` that is closed ends, by the end of its opening tag."""
+    ends, stack = {}, []
+    for token in _ASIDE[tag].finditer(page):
+        if token[1]:
+            if stack:
+                ends[stack.pop()] = token.end()
+        elif not token[0].endswith("/>"):
+            stack.append(token.end())
+    return ends
+
+
+def _crosses(page: str, start: int, end: int, tag: str) -> bool:
+    """Whether more elements of ``tag`` are closed than opened in this part."""
+    depth = 0
+    for token in re.finditer(rf"<(/?){re.escape(tag)}(?![\w-])", page[start:end], re.I):
+        depth += -1 if token[1] else 1
+        if depth < 0:
+            return True
+    return False
+
+
 def parse(page: str) -> list[Node]:
-    """Nodes in page order; a parent stands before its children, node 0 is the page."""
+    """Nodes in page order; a parent stands before its children, node 0 is the page.
+
+    Scripts, styles, drawings and the like are left out up to their end tag.  A
+    drawing, template or noscript that is never closed, or only after the block
+    it stands in, is no element: what follows it is text of the page.
+    """
     nodes = [Node("#page", -1, (), 0, False)]
     children = [0]  # children of each node so far
     stack = [0]
     pieces: list[str] = []
     state = {"links": 0, "tags": 0, "in_link": 0, "label": False}
+    asides: dict[str, dict[int, int]] = {}
 
     def add(tag: str, words: tuple[str, ...] = ()) -> Node:
         parent = stack[-1]
@@ -141,11 +171,17 @@ def parse(page: str) -> list[Node]:
         tag, ends = tag.lower(), bool(token[2])
         state["tags"] += 1
         if tag in RAW_TAGS and not ends:
-            if not token[4].endswith("/") or tag not in ("svg", "math"):
-                end = _RAW_END[tag].search(page, at)
-                at = end.end() if end else len(page)
+            end = _RAW_END[tag].search(page, at)
+            at = end.end() if end else len(page)
             if tag in ("textarea", "title"):
                 flush()
+        elif tag in ASIDE_TAGS:
+            if not ends:
+                if tag not in asides:
+                    asides[tag] = aside_ends(page, tag)
+                end = asides[tag].get(at)
+                if end and not _crosses(page, at, end, nodes[stack[-1]].tag):
+                    at = end
         elif tag == "br":
             pieces.append(" ")
         elif tag == "hr":
@@ -426,13 +462,9 @@ def fit_model(sample: list[str], layouts: int = LAYOUTS) -> boosting.Boosted:
     return boosting.fit(np.concatenate([x for x, _y in rows]), np.concatenate([y for _x, y in rows]))
 
 
-def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample_pages: int = SAMPLE_PAGES) -> boosting.Boosted:
-    """Fit on at most ``sample_pages`` pages, those with the smallest hash of their key."""
-    chosen = (
-        pages.select(F.xxhash64(id_col).alias("draw"), F.col(html_col).alias("html")).where("html IS NOT NULL")
-        .orderBy("draw", "html").limit(sample_pages)
-    )
-    return fit_model([row.html for row in cut_lineage(chosen).select("html").collect()])
+def train(pages: DataFrame, html_col: str = "html", sample_pages: int = SAMPLE_PAGES) -> boosting.Boosted:
+    """Fit on at most ``sample_pages`` different pages, those with the smallest hashes."""
+    return fit_model([row[html_col] for row in distinct_texts(pages, html_col, sample_pages).collect()])
 
 
 def extract(
