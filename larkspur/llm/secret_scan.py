@@ -4,19 +4,24 @@ Three fixed patterns give the base spans.  On top of them the text is lexed into
 name-literal pairs (``name = "x"``, ``"name": "x"``, ``NAME=x``, ``--name x``,
 ``<name>x</name>``); constants are followed through later assignments and
 concatenations, and a literal is scored by the most sensitive name it reaches.
-All matching is linear in the length of the text.
+
+A value is a graph of the pieces it is summed from; a constant is a reference to
+its value, not a copy.  What scoring needs of a value is a summary of fixed size,
+made from the summaries of its pieces when the value is read, and literals are
+marked by one walk from the sensitive names.  So time and memory are linear in
+the length of the text, however often constants are used again.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from bisect import bisect_left
-from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 from itertools import accumulate
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -95,31 +100,85 @@ def name_weight(name: str) -> float:
     return 0.0
 
 
-def literal_weight(value: str, quoted: bool) -> float:
+class Summary(NamedTuple):
+    """What scoring needs of a value.
+
+    ``counts`` are characters by code point modulo 128; ``start`` and ``end`` are
+    the ends of the value.  Sums that double over and over keep their proportions.
+    """
+
+    length: float
+    counts: np.ndarray
+    start: str
+    end: str
+    kinds: int  # bits: lower, upper, digit, other, white space
+    address: bool  # "://" inside
+
+    @classmethod
+    def of(cls, text: str) -> Summary:
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        kinds = sum(bit for bit, test in _KINDS if any(map(test, text)))
+        counts = np.bincount(points & 127, minlength=128).astype(np.float32)
+        return cls(float(len(text)), counts, text[:_START], text[-2:], kinds, "://" in text)
+
+    def plus(self, other: Summary) -> Summary:
+        length, counts = self.length + other.length, self.counts + other.counts
+        if length > 1e12:
+            length, counts = length / 1024, counts / 1024
+        return Summary(
+            length, counts, (self.start + other.start)[:_START], (self.end + other.end)[-2:], self.kinds | other.kinds,
+            self.address or other.address or "://" in self.end + other.start[:2],
+        )
+
+
+_START = max(map(len, PLACEHOLDERS)) + 1
+_LOWER, _UPPER, _DIGIT, _OTHER, _SPACE = 1, 2, 4, 8, 16
+_KINDS = [
+    (_LOWER, str.islower), (_UPPER, str.isupper), (_DIGIT, str.isdigit), (_OTHER, lambda c: not c.isalnum()), (_SPACE, str.isspace),
+]
+
+
+def value_weight(value: Summary, quoted: bool) -> float:
     """From -2 (surely no secret) to 0.5 (looks random)."""
-    if len(value) < LITERAL_LENGTH or any(c.isspace() for c in value) or value.lower() in PLACEHOLDERS:
+    if value.length < LITERAL_LENGTH or value.kinds & _SPACE or (value.length < _START and value.start.lower() in PLACEHOLDERS):
         return -2.0
-    if value[0] in "$<%{" or len(set(value)) <= 3 or "://" in value:
+    present = value.counts[value.counts > 0]
+    if value.start[0] in "$<%{" or len(present) <= 3 or value.address:
         return -2.0  # references to other stores, fillers and addresses
-    kinds = sum(any(test(c) for c in value) for test in (str.islower, str.isupper, str.isdigit))
-    kinds += any(not c.isalnum() for c in value)
+    kinds = bin(value.kinds & ~_SPACE).count("1")
     if not quoted and kinds < 2:
         return -2.0  # a plain word
-    total = len(value)
-    entropy = -sum(n / total * math.log2(n / total) for n in Counter(value).values())
-    return 0.5 if entropy >= 3.0 and kinds >= 2 else -0.25
+    share = present / present.sum()
+    entropy = -float((share * np.log2(share)).sum())
+    return 0.5 if entropy >= 3.0 - 1e-9 and kinds >= 2 else -0.25
+
+
+class Value:
+    """The sum of some pieces: spans of literals and other values."""
+
+    __slots__ = ("pieces", "quoted", "summary", "seen")
 
+    def __init__(self, pieces: list, quoted: bool, text: str):
+        own = [p.summary if isinstance(p, Value) else Summary.of(text[p[0]:p[1]]) for p in pieces]
+        self.pieces, self.quoted, self.summary, self.seen = pieces, quoted, reduce(Summary.plus, own), False
 
-class Pair(NamedTuple):
-    name: str
-    literals: list[tuple[int, int]]  # all spans that the value is made of
-    value: str
-    quoted: bool
+    def unseen_literals(self) -> Iterator[tuple[int, int]]:
+        """Spans that the value is made of, without those of values that were walked before."""
+        stack = [self]
+        while stack:
+            value = stack.pop()
+            if not value.seen:
+                value.seen = True
+                for piece in value.pieces:
+                    if isinstance(piece, Value):
+                        stack.append(piece)
+                    else:
+                        yield piece
 
 
-def pairs(text: str) -> Iterator[Pair]:
-    """Name-literal pairs in order; a name on the right stands for its latest literal before."""
-    known: dict[str, tuple[list[tuple[int, int]], str, bool]] = {}
+def pairs(text: str) -> Iterator[tuple[str, Value]]:
+    """Names with their values in order; a name on the right stands for its latest value before."""
+    known: dict[str, Value] = {}
     found = sorted(
         (m.end(), m[1]) for pattern in (_PAIR, _FLAG, _TAG) for m in pattern.finditer(text)
     )
@@ -127,36 +186,32 @@ def pairs(text: str) -> Iterator[Pair]:
     for at, name in found:
         if at < bare_end:
             continue  # inside an unquoted value
-        spans: list[tuple[int, int]] = []
-        values, quoted = [], False
+        pieces, quoted = [], False
         while True:
             term = _QUOTED.match(text, at)
             if term:
-                group = term.lastindex
-                spans.append(term.span(group))
-                values.append(term[group])
+                pieces.append(term.span(term.lastindex))
                 quoted = True
             else:
                 term = _BARE.match(text, at)
                 if not term:
                     break
                 if term[0] in known:
-                    own, value, was_quoted = known[term[0]]
-                    spans += own
-                    values.append(value)
-                    quoted |= was_quoted
+                    pieces.append(known[term[0]])
+                    quoted |= known[term[0]].quoted
                 else:
-                    spans.append(term.span())
-                    values.append(term[0])
+                    pieces.append(term.span())
                 bare_end = term.end()
             join = _JOIN.match(text, term.end())
-            if not join or len(spans) > 64:
+            if not join:
                 break
             at = join.end()
-        if spans:
-            value = "".join(values)
-            known[name] = (spans, value, quoted)
-            yield Pair(name, spans, value, quoted)
+        if pieces:
+            value = Value(pieces, quoted, text)
+            yield name, value
+            if name in known:
+                known[name].summary = None  # no later value refers to it
+            known[name] = value
 
 
 def literal_spans(text: str) -> list[Span]:
@@ -164,20 +219,17 @@ def literal_spans(text: str) -> list[Span]:
     lower = text.lower()
     if not any(stem in lower for stem in STEMS):
         return []
+    reached, weights = [], {}
+    for name, value in pairs(text):
+        if name not in weights:
+            weights[name] = name_weight(name)
+        if weights[name] and (score := weights[name] + value_weight(value.summary, value.quoted)) >= LITERAL_SCORE:
+            reached.append((score, value))
     best: dict[tuple[int, int], float] = {}
-    weights: dict[tuple, float] = {}  # a constant may reach many names
-    for pair in pairs(text):
-        weight = name_weight(pair.name)
-        if not weight:
-            continue
-        key = (*pair.literals, pair.quoted)
-        if key not in weights:
-            weights[key] = literal_weight(pair.value, pair.quoted)
-        score = weight + weights[key]
-        if score >= LITERAL_SCORE:
-            for span in pair.literals:
-                if span[1] > span[0]:
-                    best[span] = max(score, best.get(span, 0.0))
+    for score, value in sorted(reached, key=lambda r: -r[0]):  # the best score comes first
+        for span in value.unseen_literals():
+            if span[1] > span[0]:
+                best[span] = max(score, best.get(span, 0.0))
     return [Span("literal", a, b, score) for (a, b), score in best.items()]
 
 

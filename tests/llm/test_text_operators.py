@@ -1,14 +1,17 @@
 """Language identification, secrets and main text."""
 
+import collections
 import hashlib
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from larkspur.llm import html_text, language_id, secret_scan
 from larkspur.llm.queries import QUERIES
+from larkspur.llm.sampling import distinct_texts
 
 from .conftest import SF
 
@@ -54,6 +57,79 @@ def test_probabilities_of_each_context_sum_to_one(models):
         assert (total > 0).all() and (total <= 1.0 + 1e-9).all() and seen >= len(alphabet)
 
 
+def plain_kneser_ney(texts):
+    """P(character | context) of one language by the published recursion over dictionaries."""
+    order = language_id.ORDER
+    counts = {order: collections.Counter()}
+    for text in texts:
+        padded = ["\0"] * order + list(text)
+        for i in range(order, len(padded)):
+            counts[order][tuple(padded[i - order + 1:i + 1])] += 1
+    for n in range(order - 1, 0, -1):
+        counts[n] = collections.Counter(gram[1:] for gram in counts[n + 1])  # distinct characters before it
+
+    def probability(context, c, uniform):
+        p = uniform
+        for n in range(1, order + 1):
+            ones, twos = (sum(v == k for v in counts[n].values()) for k in (1, 2))
+            discount = min(max((ones + 0.5) / (ones + 2 * twos + 1), 0.1), 0.9)
+            before = tuple(context[len(context) - n + 1:])
+            followers = [v for gram, v in counts[n].items() if gram[:-1] == before]
+            if followers:
+                seen = counts[n].get((*before, c), 0)
+                p = max(seen - discount, 0) / sum(followers) + discount * len(followers) / sum(followers) * p
+        return p
+
+    return probability
+
+
+def test_probabilities_equal_plain_interpolated_kneser_ney():
+    """The stored models against the recursion; over all characters and one unseen they sum to 1."""
+    order = language_id.ORDER
+    texts = {"xx": ["abab abba", "baab", "abc abc", "a"], "yy": ["ccab", "bcbc cab", "cab", "cab d"]}
+    rows = collections.Counter()
+    for lang, own in texts.items():
+        for text in own:
+            padded = [0] * order + [ord(c) for c in text]
+            for i in range(order, len(padded)):
+                rows[lang, np.array(padded[i - order + 1:i + 1], np.uint32).tobytes()] += 1
+    models = language_id.fit_models(pd.DataFrame([(*key, n) for key, n in rows.items()], columns=["lang", "gram", "n"]))
+    alphabet = sorted({c for own in texts.values() for text in own for c in text})
+    assert models.characters == len(alphabet) + 1
+    letters = language_id.Letters(language_id.pattern_classes())
+    for k, lang in enumerate(models.languages):
+        plain = plain_kneser_ney(texts[lang])
+        for context in ("", "a", "ab", "c", "bc", "abab a", "cab", "zz", "b c"):
+            total = 0.0
+            for c in [*alphabet, "z"]:
+                if c == " " and context in ("", " "):
+                    continue  # no text begins with a blank
+                points, _owner = letters([context + c])
+                hashes = language_id.gram_hashes(points)
+                log = models.log2_probability(
+                    [h[-1:] for h in hashes], [np.zeros(1, np.uint64), *[h[-2:-1] for h in hashes[:-1]]]
+                )[0, k]
+                wanted = plain(["\0"] * order + list(context), c, 1 / models.characters)
+                assert np.exp2(log) == pytest.approx(wanted, rel=1e-9)
+                total += wanted
+            assert context == "" or total == pytest.approx(1.0, rel=1e-9)
+
+
+def test_a_language_is_learned_beside_a_row_of_many_copies(spark):
+    """A third of all rows are one German text, under one id and under many."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    row = docs.where((F.col("lang") == "de") & language_id.learned_rows(F.col("doc_id"))).orderBy("doc_id").limit(1)
+    for key in (F.col("doc_id"), F.col("n") * 3 + 1_000_000):
+        copies = row.drop("n_chars").crossJoin(spark.range(30_000).withColumnRenamed("id", "n"))
+        copies = copies.select(key.alias("doc_id"), "text", "lang", "source", F.lit(0).cast("long").alias("n_chars"))
+        models = language_id.train(docs.unionAll(copies))
+        assert models.languages == ["de", "en", "es", "fr"]
+        held = docs.where(~language_id.learned_rows(F.col("doc_id")) & F.col("lang").isNotNull())
+        found = language_id.identify(held, models).join(held.select("doc_id", "lang"), "doc_id").where("lang_pred <> 'und'")
+        wrong = found.where("lang_pred <> lang").count()
+        assert wrong <= 0.02 * found.count()
+
+
 def test_undetermined_and_rejected_texts(spark, odd_documents, models):
     rows = language_id.identify(odd_documents.withColumn("score", F.lit("x")), models).collect()
     assert len(rows) == odd_documents.count()
@@ -168,6 +244,75 @@ def test_long_hostile_texts_end(text):
     secret_scan.spans_of(text)
 
 
+def test_long_sums_are_reported_and_masked_whole():
+    alphabet = "aB3dE6gH9jK2mN5pQ8sT"
+    text = "x = 1\ntoken = " + " + ".join(f'"{alphabet[i % 20]}"' for i in range(5_000)) + "\nrest"
+    spans = secret_scan.spans_of(text)
+    assert len(spans) == 5_000 and {s.kind for s in spans} == {"literal"}
+    assert secret_scan.masked(text, spans).count(secret_scan.MASK) == 5_000
+    assert not any(f'"{c}"' in secret_scan.masked(text, spans) for c in alphabet)
+
+
+@pytest.mark.parametrize("text, found", [
+    ('token = "aB3dE6gH9" + token\n' * 30_000, 30_001),
+    ('a = "aB3dE6gH9"\n' + "a = a + a\n" * 60_000 + "token = a", 1),
+    ("\n".join(f'k{i} = "{chr(0x4e00 + i)}" + k{i - 1}\ntoken = k{i}' for i in range(20_000)), 20_001),
+])
+def test_constants_used_again_cost_linear_memory(text, found):
+    import tracemalloc
+
+    tracemalloc.start()
+    assert len(secret_scan.literal_spans(text)) == found
+    assert tracemalloc.get_traced_memory()[1] < 120 * len(text)
+    tracemalloc.stop()
+
+
+def test_propagation_equals_plain_substitution():
+    """Random programs of assignments and sums; every value is written out as a string."""
+    import math
+    import random
+
+    def plain_weight(value, quoted):
+        kinds = [any(map(t, value)) for t in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum())]
+        if len(value) < 8 or any(map(str.isspace, value)) or value.lower() in secret_scan.PLACEHOLDERS:
+            return -2.0
+        if value[0] in "$<%{" or len(set(value)) <= 3 or "://" in value or (not quoted and sum(kinds) < 2):
+            return -2.0
+        n = collections.Counter(value)
+        entropy = -sum(c / len(value) * math.log2(c / len(value)) for c in n.values())
+        return 0.5 if entropy >= 3.0 - 1e-9 and sum(kinds) >= 2 else -0.25
+
+    draw = random.Random(8)
+    names = ["a", "b", "cfg.x", "password", "apiKey", "token_count", "userSecret"]
+    pieces = ["Zx81kQpL", "92mmVv", "x", "", "://", ":", "//h", "changeme", "has space", "abc", "$ref", "aaaaaaaaaa", "7"]
+    for _program in range(400):
+        text, known, best = "", {}, {}
+        for _line in range(draw.randint(1, 9)):
+            name = draw.choice(names)
+            text += f"{name} = "
+            spans, value, quoted = [], "", False
+            for i in range(draw.randint(1, 4)):
+                text += " + " if i else ""
+                term = draw.choice(names[:4])
+                if draw.random() < 0.4 and term in known:
+                    text += term
+                    own, piece, was = known[term]
+                    spans, value, quoted = spans + own, value + piece, quoted or was
+                else:
+                    piece = draw.choice(pieces)
+                    text += '"'
+                    spans, value, quoted = spans + [(len(text), len(text) + len(piece))], value + piece, True
+                    text += piece + '"'
+            text += "\n"
+            known[name] = spans, value, quoted
+            score = secret_scan.name_weight(name) + plain_weight(value, quoted)
+            if secret_scan.name_weight(name) and score >= secret_scan.LITERAL_SCORE:
+                for span in spans:
+                    if span[1] > span[0]:
+                        best[span] = max(score, best.get(span, 0.0))
+        assert {(s.start, s.end): s.score for s in secret_scan.literal_spans(text)} == best, text
+
+
 # ------------------------------------------------------------ main text
 
 
@@ -231,6 +376,31 @@ def test_no_kept_block_stands_under_a_dropped_element():
     assert html_text.decode(nodes, odds) == ["c"]
 
 
+def test_formulas_and_unclosed_elements_keep_their_text():
+    def text(page):
+        return [node.text for node in html_text.parse(page) if node.text]
+
+    assert text("<p>Let <math><mi>x</mi></math> be</p>") == ["Let x be"]
+    assert text("<p>Let <math><semantics><mi>x</mi><annotation>\\x</annotation></semantics></math> be</p>") == ["Let x be"]
+    assert text("<p>a <object data=x>b</object> c</p>") == ["a b c"]
+    for tag in ("svg", "noscript", "template"):
+        assert text(f"<p>one <{tag}>no</{tag}> two</p><p>three</p>") == ["one two", "three"]
+        assert text(f"<p>one <{tag}></p><p>two</p><p>three</p>") == ["one", "two", "three"]
+        assert text(f"<p>one <{tag}></p><p>two</p><p>a <{tag}>no</{tag}> b</p>") == ["one", "two", "a b"]
+        assert text(f"<div><p>one <{tag}></p><p>two</p></div></{tag}><p>three</p>") == ["one", "two", "three"]
+        assert text(f"<div><{tag}><div>no</div><{tag}>no</{tag}>no</{tag}>yes</div>") == ["yes"]
+        assert text(f"<p>one<{tag}/> two</p>") == ["one two"]
+    assert text("<p>a</p><script>b<p>c") == ["a"]
+    html_text.parse("<svg><p>" * 50_000 + "</svg>" * 10)
+
+
+def test_copies_do_not_fill_the_sample(spark):
+    pages = spark.createDataFrame([("<p>same</p>",)] * 500 + [(f"<p>{i}</p>",) for i in range(20)] + [(None,)], "html string")
+    assert distinct_texts(pages, "html", 300).count() == 21
+    assert distinct_texts(pages, "html", 5).count() == 5
+    assert distinct_texts(pages.limit(0), "html", 5).count() == 0
+
+
 def test_odd_pages(spark, trees):
     rows = [(1, None, None), (2, "u", ""), (None, "v", "<p>"), (3, "w", "<div>" * 5_000 + "x"), (3, "w", "&amp")]
     pages = spark.createDataFrame(rows, "page_id int, url string, html string").withColumn("text", F.lit("x"))
