@@ -10,16 +10,17 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from larkspur.functions import text as tx
 from larkspur.operators import topk
+from larkspur.operators.inverted import BM25_B, BM25_K1, InvertedIndex
 from larkspur.operators.skew import broadcast_if_small, join_hot_keys
 from larkspur.operators.windows import top_k
 from larkspur.session import cut_lineage
 
-# The published BM25 and rank-fusion constants.
-BM25_K1 = 1.2
-BM25_B = 0.75
+# Fixed value: the published rank-fusion constant.
 FUSION_K = 60
 MAX_HYBRID_RESULTS = 200
 
@@ -200,7 +201,7 @@ def rerank(
     )
 
 
-SHORT_BYTES = 1 << 20  # passages without an inner word, which are looked up in every text
+SHORT_BYTES = 16 << 20  # passages without an inner word that are looked for together
 
 
 def documents_containing(
@@ -213,13 +214,10 @@ def documents_containing(
     whole words.  The inner word that the fewest documents have is the join
     key; only ids go through that join, a key that very many documents have is
     spread, and the text is fetched for surviving pairs, which ``contains``
-    checks.  Passages of one or two words have no inner word; they are looked
-    up in every text, up to 1 MB of them.
+    checks.  Passages of one or two words have no inner word; blocks of them are
+    looked for in every text, one automaton per block.
     """
-    w = F.array_distinct(F.slice(tx.words(passage_text), F.lit(2), F.greatest(F.size(tx.words(passage_text)) - 2, F.lit(0))))
-    held = cut_lineage(
-        passages.where(F.col(passage_text).isNotNull()).select(passage, F.col(passage_text).alias("_passage"), w.alias("_inner"))
-    )
+    held = _with_inner(passages, passage, passage_text, tx.words)
     long = held.select(passage, "_passage", F.explode("_inner").alias("_key"))
     vocabulary = cut_lineage(long.select("_key").distinct())
     size = vocabulary.agg(F.sum(F.octet_length("_key") + 48)).first()[0] or 0
@@ -227,12 +225,47 @@ def documents_containing(
     known = broadcast_if_small(vocabulary, 1, size)
     holders = cut_lineage(words.join(known, "_key", "left_semi"))
     counts = cut_lineage(holders.groupBy("_key").agg(F.count("*").alias("_docs")))
-    # a word that no document has is the rarest: its passage is in none
-    rarest = (
+    rarest = _rarest(long, counts, passage)
+    return _checked(documents, held, rarest, holders, doc, text, passage)
+
+
+def indexed_documents_containing(
+    index: InvertedIndex, documents: DataFrame, passages: DataFrame, doc: str = "doc_id", text: str = "text",
+    passage: str = "item_id", passage_text: str = "text",
+) -> DataFrame:
+    """As ``documents_containing``, with the documents' full-text index: only the postings of rare words are read.
+
+    The inner terms of a passage (all but its first and last letter-digit run)
+    are terms of every document that contains it.
+    """
+    held = _with_inner(passages, passage, passage_text, tx.tokens)
+    long = held.select(passage, "_passage", F.explode("_inner").alias("_key"))
+    df, _documents, _mean = index.statistics(cut_lineage(long.select(F.col("_key").alias("term")).distinct()))
+    counts = df.select(F.col("term").alias("_key"), F.col("df").alias("_docs"))
+    rarest = cut_lineage(_rarest(long, counts, passage))
+    holders = index.holders(cut_lineage(rarest.select(F.col("_key").alias("term")).distinct()), doc).withColumnRenamed("term", "_key")
+    return _checked(documents, held, rarest, holders, doc, text, passage)
+
+
+def _with_inner(passages: DataFrame, passage: str, passage_text: str, words) -> DataFrame:
+    inner = F.array_distinct(F.slice(words(passage_text), F.lit(2), F.greatest(F.size(words(passage_text)) - 2, F.lit(0))))
+    return cut_lineage(
+        passages.where(F.col(passage_text).isNotNull()).select(passage, F.col(passage_text).alias("_passage"), inner.alias("_inner"))
+    )
+
+
+def _rarest(long: DataFrame, counts: DataFrame, passage: str) -> DataFrame:
+    """The word of each passage that the fewest documents have; a word that none has is the rarest: its passage is in none."""
+    return (
         long.join(counts, "_key", "left").groupBy(passage, "_passage")
         .agg(F.min(F.struct(F.coalesce("_docs", F.lit(0)).alias("_docs"), "_key")).alias("_r"))
         .select(passage, F.col("_r._key").alias("_key"), F.col("_r._docs").alias("_docs")).where("_docs > 0")
     )
+
+
+def _checked(
+    documents: DataFrame, held: DataFrame, rarest: DataFrame, holders: DataFrame, doc: str, text: str, passage: str
+) -> DataFrame:
     lists = rarest.groupBy("_key", "_docs").agg(F.collect_set(passage).alias("_ids"))
     pairs = cut_lineage(
         join_hot_keys(holders, lists, "_key", "_docs", [F.col(doc)]).select(doc, F.explode("_ids").alias(passage)).distinct()
@@ -245,15 +278,52 @@ def documents_containing(
 
 
 def _holding_short(documents: DataFrame, short: DataFrame, doc: str, text: str, passage: str) -> DataFrame:
-    size = short.agg(F.sum(F.octet_length("_passage") + 64)).first()[0] or 0
-    if size > SHORT_BYTES:
-        raise ValueError("too many passages of one or two words")
-    kind = short.schema[passage].dataType.simpleString()
-    rows = [F.struct(F.lit(r[passage]).cast(kind).alias("id"), F.lit(r["_passage"]).alias("p")) for r in short.collect()]
-    if not rows:
-        return documents.select(F.lit(None).cast(kind).alias(passage), doc).where(F.lit(False))
-    hits = F.filter(F.array(*rows), lambda r: F.contains(F.col(text), r["p"]))
-    return documents.select(doc, F.explode(hits).alias("_hit")).select(F.col("_hit.id").alias(passage), doc)
+    """Each block of short passages is looked for in all texts, in one scan."""
+    short = cut_lineage(short.select(passage, "_passage"))
+    out = T.StructType([short.schema[passage], documents.schema[doc]])
+    found = short.sparkSession.createDataFrame([], out)
+    size = short.agg(F.sum(F.octet_length("_passage") + 64)).first()[0]
+    if not size:
+        return found
+    blocks = -(-size // SHORT_BYTES)
+    for number in range(blocks):
+        own = short.where(F.pmod(F.xxhash64("_passage"), F.lit(blocks)) == number)
+        ids: dict[str, list] = {}
+        for row in own.collect():  # a block: SHORT_BYTES
+            ids.setdefault(row["_passage"], []).append(row[passage])
+        found = found.unionAll(documents.select(doc, text).mapInArrow(_finder(ids, to_arrow_schema(out)), out))
+    return found
+
+
+def _finder(ids: dict[str, list], schema: pa.Schema):
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        in_text = _matcher(list(ids))
+        for batch in batches:
+            passages, docs = [], []
+            for number, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for passage in in_text(text) if text is not None else ():
+                    passages += ids[passage]
+                    docs += [number] * len(ids[passage])
+            yield pa.RecordBatch.from_arrays([pa.array(passages, schema.field(0).type), pa.array(docs, schema.field(1).type)], schema=schema)
+
+    return find
+
+
+def _matcher(passages: list[str]):
+    """The passages that a text contains; one pass over the text where an automaton library is installed."""
+    empty = [p for p in passages if not p]
+    rest = [p for p in passages if p]
+    try:
+        import ahocorasick
+    except ImportError:
+        return lambda text: {p for p in rest if p in text}.union(empty)
+    automaton = ahocorasick.Automaton()
+    for p in rest:
+        automaton.add_word(p, p)
+    if not rest:
+        return lambda text: set(empty)
+    automaton.make_automaton()
+    return lambda text: {p for _end, p in automaton.iter(text)}.union(empty)
 
 
 def retrieval_metrics(hits: DataFrame, gold: DataFrame, query_key: str, item: str, k: int) -> DataFrame:

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from larkspur.functions import similarity as sim
 from larkspur.operators import keyword as kw
 from larkspur.operators import vectors as vec
+from larkspur.operators.inverted import InvertedIndex
 from larkspur.queries.registry import query
 from larkspur.session import cut_lineage, work_dir
-from larkspur.queries.shared import tokens
+from larkspur.queries.shared import stored_once, tokens
 from larkspur.sources import changes
 
 VECTORS = "v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)"
@@ -164,8 +165,16 @@ def benchmark_queries(t):
     return t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
 
 
+def document_index(t) -> InvertedIndex:
+    """The full-text index of the documents: built once per session and table, then read."""
+    path = stored_once(
+        t, "documents", "text-index", lambda root: InvertedIndex(t.spark, root).add(t.documents, "doc_id", "text")
+    )
+    return InvertedIndex(t.spark, path)
+
+
 def keyword_hits(t, k):
-    return kw.keyword_search(kw.text_index(t.documents, "doc_id", "text"), benchmark_queries(t), k)
+    return document_index(t).search(benchmark_queries(t), k)
 
 
 @query("l9_keyword_search", f"WITH {BM25} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM bmr WHERE rank <= 10")
@@ -222,7 +231,8 @@ GOLD = "gold AS (SELECT b.item_id AS query_id, d.doc_id FROM benchmark b JOIN do
 
 def gold_pairs(t):
     """Documents that contain a benchmark passage are its relevant documents."""
-    return kw.documents_containing(t.documents, t.benchmark).withColumnRenamed("item_id", "query_id")
+    found = kw.indexed_documents_containing(document_index(t), t.documents, t.benchmark)
+    return found.withColumnRenamed("item_id", "query_id")
 
 
 @query("c11_relevance_labels", f"""

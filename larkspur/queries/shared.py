@@ -1,4 +1,11 @@
-"""SQL fragments the oracles share, stated apart from the Spark code."""
+"""SQL fragments the oracles share, stated apart from the Spark code, and stored indexes."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from larkspur.session import work_dir
+from larkspur.sources import storage
 
 # one request per event, in the request-metrics contract
 REQUESTS = """requests AS (
@@ -25,3 +32,17 @@ def words(column: str) -> str:
 
 
 OTHER_TOPIC = "view"
+
+
+_stored: dict[tuple, str] = {}  # folders of indexes by application, table and purpose
+
+
+def stored_once(t, table: str, purpose: str, build: Callable[[str], object]) -> str:
+    """The folder of what ``build`` writes from a table, written once while table and folder stay as they are."""
+    path = t.path(table)
+    key = (t.spark.sparkContext.applicationId, path, purpose, storage.changed(t.spark, path))
+    if key not in _stored or not storage.exists(t.spark, _stored[key]):
+        root = work_dir(t.spark, purpose)
+        build(root)
+        _stored[key] = root
+    return _stored[key]

@@ -21,7 +21,7 @@ from larkspur.sources import changes, files
 from larkspur.streaming import index as ix
 from larkspur.streaming import ingest as ig
 from larkspur.streaming import requests as rq
-from larkspur.streaming.changelog import ChangeLog, TallyLog, kept_short
+from larkspur.streaming.changelog import ChangeLog, kept_short
 
 
 def stream_of(t, name: str):
@@ -134,12 +134,10 @@ def _(t):
 WITH {REQUESTS} SELECT topic, CAST(date_trunc('hour', ts) AS VARCHAR) AS window_start, count(*) AS calls, CAST(sum(total_tokens) AS BIGINT) AS tokens,
   greatest(count(*) - 3, 0) AS refused FROM requests GROUP BY 1, 2""")
 def _(t):
-    log = TallyLog(work_dir(t.spark, "limits"), ("window_start", "topic"), ("calls", "tokens"))
+    log = ChangeLog(work_dir(t.spark, "limits"), ("window_start", "topic"))
     stream = tm.requests_from_events(stream_of(t, "events"))
-    late, marks, state = (work_dir(t.spark, f"limits-{part}") for part in ("late", "marks", "state"))
-    rq.run_limit_stream(stream, log, late, marks, state, ["topic"], "ts", "1 hour").awaitTermination()
-    out = rq.refused_calls(log.current(t.spark), 3)
-    return out.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss")).select(
+    rq.run_limit_stream(stream, log, work_dir(t.spark, "limits-work"), ["topic"], "ts", 3, "1 hour")
+    return log.current(t.spark).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss")).select(
         "topic", "window_start", "calls", "tokens", "refused"
     )
 
@@ -147,9 +145,8 @@ def _(t):
 @query("i6_daily_guard_counts", """
 SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type AS rule, count(*) AS hits FROM events GROUP BY 1, 2""")
 def _(t):
-    log = TallyLog(work_dir(t.spark, "guard"), ("day", "rule"), ("hits",))
-    late, marks, state = (work_dir(t.spark, f"guard-{part}") for part in ("late", "marks", "state"))
-    rq.run_daily_counts(stream_of(t, "events"), log, late, marks, state, "ts", F.col("event_type")).awaitTermination()
+    log = ChangeLog(work_dir(t.spark, "guard"), ("day", "rule"))
+    rq.run_daily_counts(stream_of(t, "events"), log, work_dir(t.spark, "guard-work"), "ts", F.col("event_type"))
     return log.current(t.spark)
 
 
@@ -158,9 +155,7 @@ WITH {REQUESTS} SELECT status, count(*) AS n, CAST(sum(latency_ms) AS BIGINT) AS
 def _(t):
     log = ChangeLog(work_dir(t.spark, "metrics"), ("request_id",), "ts")
     stream = tm.requests_from_events(stream_of(t, "events"))
-    rq.run_metrics_upsert(
-        stream, log, work_dir(t.spark, "late"), work_dir(t.spark, "marks"), work_dir(t.spark, "metrics-state"), "ts"
-    ).awaitTermination()
+    rq.run_metrics_upsert(stream, log, work_dir(t.spark, "metrics-work"), "ts")
     return log.current(t.spark).groupBy("status").agg(F.count("*").alias("n"), F.sum("latency_ms").alias("latency"))
 
 

@@ -1,4 +1,4 @@
-"""Keyed tables fed by micro-batches: append-only change files, latest row wins or sums add up.
+"""Keyed tables fed by micro-batches: append-only change files, the latest row wins.
 
 Each micro-batch writes its own ``batch=<id>`` folder in overwrite mode, so a
 batch that is run again after a failure replaces its own files and nothing is
@@ -55,22 +55,3 @@ def kept_short(log: ChangeLog, spark: SparkSession, path: str, most_batches: int
         return log
     log.compact(spark, path)
     return ChangeLog(path, log.keys, log.order)
-
-
-@dataclass(frozen=True)
-class TallyLog:
-    """Sums fed by micro-batches: every batch stores its own, readers add them up.
-
-    As in a change log, a batch that is run again replaces its own files.
-    """
-
-    path: str
-    keys: tuple[str, ...]
-    sums: tuple[str, ...]
-
-    def append(self, rows: DataFrame, batch_id: int) -> None:
-        rows.select(*self.keys, *self.sums).write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
-
-    def current(self, spark: SparkSession) -> DataFrame | None:
-        stored = read_table(spark, self.path)
-        return None if stored is None else stored.groupBy(*self.keys).agg(*[F.sum(c).alias(c) for c in self.sums])

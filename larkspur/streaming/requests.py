@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -10,13 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from larkspur.operators.windows import running_totals
-from larkspur.sources.writes import read_table
-from larkspur.streaming.changelog import ChangeLog, TallyLog
-from larkspur.streaming.ingest import start
+from larkspur.streaming import state as st
+from larkspur.streaming.changelog import ChangeLog
+from larkspur.streaming.state import DEFAULT_DELAY
 
 # a window of each unit is counted in slices of the finer unit
 FINER = {"MINUTE": "SECOND", "HOUR": "MINUTE", "DAY": "HOUR"}
-DEFAULT_DELAY = "1 hour"
 
 
 def rate_limit(
@@ -49,94 +47,73 @@ def rate_limit(
     return out.withColumn("response_code", F.when(over, 429).otherwise(200)).drop("_window", *counted)
 
 
+def limit_measures(calls: int) -> dict[str, Column]:
+    """Calls, tokens and the calls beyond ``calls`` of a group."""
+    refused = F.greatest(F.count("*") - calls, F.lit(0).cast("bigint"))
+    return {"calls": F.count("*"), "tokens": F.sum("total_tokens"), "refused": refused}
+
+
 def limit_report(requests: DataFrame, keys: list[str], ts: str, calls: int, window: str = "1 minute") -> DataFrame:
-    """Calls, tokens and refused calls per key and tumbling window; batch or stream."""
+    """Calls, tokens and refused calls per key and tumbling window of a batch."""
     counted = requests.groupBy(F.window(ts, window).alias("_w"), *keys).agg(
-        F.count("*").alias("calls"), F.sum("total_tokens").alias("tokens")
-    )
-    return counted.select(
-        F.col("_w.start").alias("window_start"), *keys, "calls", "tokens",
-        F.greatest(F.col("calls") - calls, F.lit(0)).alias("refused"),
+        *[c.alias(n) for n, c in limit_measures(calls).items()]
     )
-
-
-def refused_calls(tally: DataFrame, calls: int) -> DataFrame:
-    """The limit report from stored sums of calls and tokens."""
-    return tally.withColumn("refused", F.greatest(F.col("calls") - calls, F.lit(0)))
-
-
-def is_late(batch: DataFrame, batch_id: int, marks: str, ts: str, delay: str) -> Column:
-    """Rows older than the newest time of earlier batches less the delay; NULL times are not late.
-
-    ``marks`` stores the newest event time of each batch as one small row.
-    """
-    seen = read_table(batch.sparkSession, marks)
-    newest = None
-    if seen is not None:
-        newest = seen.where(F.col("batch") < batch_id).agg(F.max("newest")).first()[0]
-    if newest is None:
-        return F.lit(False)
-    return F.coalesce(F.col(ts) < F.lit(newest) - F.expr(f"INTERVAL {delay}"), F.lit(False))
-
-
-def mark(batch: DataFrame, batch_id: int, marks: str, ts: str) -> None:
-    batch.agg(F.max(ts).alias("newest")).write.mode("overwrite").parquet(f"{marks}/batch={batch_id}")
-
-
-def _run_tally(
-    requests: DataFrame, log: TallyLog, count: Callable[[DataFrame], DataFrame], late: str, marks: str, state: str,
-    ts: str, delay: str, every: str | None,
-) -> StreamingQuery:
-    """Store the sums of each batch; late rows and rows without a time go to the late table."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        outside = is_late(batch, batch_id, marks, ts, delay) | F.col(ts).isNull()
-        log.append(count(batch.where(~outside)), batch_id)
-        batch.where(outside).write.mode("overwrite").parquet(f"{late}/batch={batch_id}")
-        mark(batch, batch_id, marks, ts)
-
-    return start(requests, state, write, every)
+    return counted.select(F.col("_w.start").alias("window_start"), *keys, "calls", "tokens", "refused")
 
 
 def run_limit_stream(
-    requests: DataFrame, log: TallyLog, late: str, marks: str, state: str, keys: list[str], ts: str,
+    requests: DataFrame, log: ChangeLog, work: str, keys: list[str], ts: str, calls: int,
     window: str = "1 minute", delay: str = DEFAULT_DELAY, every: str | None = None,
-) -> StreamingQuery:
-    """Calls and tokens per key and window as a running table; see ``refused_calls``.
+) -> list[StreamingQuery]:
+    """The limit report as a running table, counted in stream state.
 
-    Every row is counted once or is in the late table.
+    ``log`` has the keys ``window_start`` and ``keys``.  Every row is counted once
+    or is in the late table; rows without a time are late.
     """
-    return _run_tally(
-        requests, log, lambda rows: limit_report(rows, keys, ts, 0, window), late, marks, state, ts, delay, every
+    columns = {k: F.col(k) for k in keys}
+    return st.run_both(
+        requests, work, ts, delay, True, every,
+        lambda rows: st.run_stateful(st.windowed(rows, ts, window, columns, limit_measures(calls), delay), log, work, every),
     )
 
 
 def run_daily_counts(
-    requests: DataFrame, log: TallyLog, late: str, marks: str, state: str, ts: str, rule: Column,
-    delay: str = DEFAULT_DELAY, every: str | None = None,
-) -> StreamingQuery:
-    """Guard hits per day and rule as a running table; every row is counted once or is in the late table."""
+    requests: DataFrame, log: ChangeLog, work: str, ts: str, rule: Column, delay: str = DEFAULT_DELAY,
+    every: str | None = None,
+) -> list[StreamingQuery]:
+    """Guard hits per day and rule as a running table; every row is counted once or is in the late table.
+
+    ``log`` has the keys ``day`` and ``rule``.
+    """
 
     def daily(rows: DataFrame) -> DataFrame:
-        return rows.groupBy(F.to_date(ts).alias("day"), rule.alias("rule")).agg(F.count("*").alias("hits"))
+        counted = st.windowed(rows, ts, "1 day", {"rule": rule}, {"hits": F.count("*")}, delay)
+        return counted.select(F.to_date("window_start").alias("day"), "rule", "hits")
 
-    return _run_tally(requests, log, daily, late, marks, state, ts, delay, every)
+    return st.run_both(
+        requests, work, ts, delay, True, every, lambda rows: st.run_stateful(daily(rows), log, work, every)
+    )
 
 
 def run_metrics_upsert(
-    requests: DataFrame, log: ChangeLog, late: str, marks: str, state: str, ts: str, delay: str = DEFAULT_DELAY,
-    every: str | None = None,
-) -> StreamingQuery:
+    requests: DataFrame, log: ChangeLog, work: str, ts: str, delay: str = DEFAULT_DELAY, every: str | None = None
+) -> list[StreamingQuery]:
     """Upsert requests by key; rows later than the delay go to the late table.
 
-    A log with ``order`` keeps the newest version of a row whatever the order
-    of arrival.  Rows without a time are never late.
+    A request that is delivered again within the delay (same key and, where the
+    log has an order, the same version) is dropped by the stream's state, which
+    forgets it when the watermark has passed.  A log with ``order`` keeps the newest
+    version of a row whatever the order of arrival.  Rows without a time have no
+    place in that state: they are never late and the log alone tells them apart.
     """
+    version = [*log.keys, *([log.order] if log.order else [])]
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        late_rows = is_late(batch, batch_id, marks, ts, delay)
-        log.append(batch.where(~late_rows), batch_id)
-        batch.where(late_rows).write.mode("overwrite").parquet(f"{late}/batch={batch_id}")
-        mark(batch, batch_id, marks, ts)
+    def distinct(rows: DataFrame) -> DataFrame:
+        names = rows.columns
+        timed = rows.where(F.col(ts).isNotNull()).withColumn("_at", F.col(ts).cast("timestamp")).withWatermark("_at", delay)
+        undated = rows.where(F.col(ts).isNull())
+        return timed.dropDuplicatesWithinWatermark(version).select(*names).unionAll(undated)
 
-    return start(requests, state, write, every)
+    return st.run_both(
+        requests, work, ts, delay, False, every, lambda rows: st.run_stateful(distinct(rows), log, work, every, mode="append")
+    )

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import similarity as sim
 from larkspur.operators import keyword as kw
+from larkspur.operators.inverted import InvertedIndex
 from larkspur.operators import topk
 from larkspur.operators import vectors as vec
 
@@ -127,6 +128,26 @@ def test_passages_inside_words_and_short_ones(spark):
     assert {tuple(r) for r in got} == {(1, 1), (2, 3000)}
 
 
+@pytest.mark.parametrize("indexed", [False, True])
+def test_any_number_of_short_passages(spark, tmp_path, monkeypatch, indexed):
+    """Passages of at most two words in many blocks, next to long ones, against plain containment."""
+    monkeypatch.setattr(kw, "SHORT_BYTES", 300)
+    docs = [(i, f"red{i} fox {i % 7} -- İx the end of {i} all") for i in range(60)] + [(100, None), (101, "")]
+    passages = [(i, f"ed{i} fo") for i in range(25)] + [
+        (200, ""), (201, "--"), (202, " "), (203, "x the end o"), (204, "d of 5 al"), (205, None), (206, "fox 3 --"), (207, "x the end o"),
+        (208, "- İx th"), (209, "no such thing here"),
+    ]
+    frame = spark.createDataFrame(docs, "doc_id int, text string")
+    asked = spark.createDataFrame(passages, "item_id int, text string")
+    if indexed:
+        index = InvertedIndex(spark, str(tmp_path)).add(frame, "doc_id", "text")
+        got = kw.indexed_documents_containing(index, frame, asked)
+    else:
+        got = kw.documents_containing(frame, asked)
+    wanted = {(p, d) for p, own in passages for d, text in docs if own is not None and text is not None and own in text}
+    assert {tuple(r) for r in got.collect()} == wanted and got.count() == len(wanted)
+
+
 def test_rerank_moves_the_specific_clause_up(spark):
     docs = spark.createDataFrame(
         [(1, "refund refund fare fare rules for every fare and refund"), (2, "a basic economy fare is non refundable within hours")],

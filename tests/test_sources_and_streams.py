@@ -1,5 +1,6 @@
 import datetime as dt
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,11 +8,12 @@ from pyspark.sql import functions as F
 from larkspur import session
 from larkspur.operators import telemetry as tm
 from larkspur.operators.vectors import TextEmbedder
-from larkspur.sources import changes, files, writes
+from larkspur.sources import changes, files, storage, writes
 from larkspur.streaming import index as ix
 from larkspur.streaming import ingest as ig
 from larkspur.streaming import requests as rq
-from larkspur.streaming.changelog import ChangeLog, TallyLog
+from larkspur.streaming import state as st
+from larkspur.streaming.changelog import ChangeLog, kept_short
 
 
 def rows(df, *columns):
@@ -157,61 +159,106 @@ def events(spark, *items):
     )
 
 
-def test_late_rows_go_to_the_late_table(spark, tmp_path):
-    feed = str(tmp_path / "feed")
-    log = ChangeLog(str(tmp_path / "log"), ("request_id",))
-    late, marks, state = (str(tmp_path / n) for n in ("late", "marks", "state"))
+def feed_stream(spark, path, rowset):
+    return files.table_stream(spark, path, rowset.schema)
 
-    def run():
-        stream = files.table_stream(spark, feed, events(spark).schema)
-        rq.run_metrics_upsert(stream, log, late, marks, state, "ts").awaitTermination()
 
-    events(spark, (1, 0, 1), (2, 300, 1)).coalesce(1).write.parquet(feed)
-    run()
-    events(spark, (3, 290, 2), (4, 10, 2), (2, 301, 9)).coalesce(1).write.mode("append").parquet(feed)
-    run()
-    assert rows(log.current(spark), "request_id", "user_id") == [(1, 1), (2, 9), (3, 2)]
-    assert rows(spark.read.parquet(late), "request_id") == [(4,)]
+def test_late_and_repeated_rows_of_the_upsert(spark, tmp_path):
+    """A request delivered again counts once, a newer version wins, one beyond the delay is late, undated ones are kept."""
+    feed, work = str(tmp_path / "feed"), str(tmp_path / "work")
+    log = ChangeLog(str(tmp_path / "log"), ("request_id",), "ts")
+    undated = events(spark, (9, 0, 1)).withColumn("ts", F.lit(None).cast("timestamp_ntz"))
+    drops = [
+        events(spark, (1, 0, 1), (2, 200, 1), (2, 200, 1)).unionAll(undated),
+        events(spark, (2, 200, 1), (3, 190, 1), (4, 150, 1), (1, 210, 7)).unionAll(undated),
+        events(spark, (2, 200, 1), (5, 500, 1), (3, 120, 1)),
+    ]
+    for rowset in drops:
+        rowset.coalesce(1).write.mode("append").parquet(feed)
+        queries = rq.run_metrics_upsert(feed_stream(spark, feed, rowset), log, work, "ts")
+    assert rows(log.current(spark), "request_id", "user_id") == [(1, 7), (2, 1), (3, 1), (4, 1), (5, 1), (9, 1)]
+    assert rows(st.late_rows(spark, work), "request_id") == [(3,)]
+    written = log.rows(spark).groupBy("request_id").count()
+    assert {r[0]: r[1] for r in written.collect()} == {1: 2, 2: 1, 3: 1, 4: 1, 5: 1, 9: 2}
+    assert queries[1].lastProgress["stateOperators"][0]["numRowsTotal"] <= 6
+
+
+def test_duplicate_state_is_bounded(spark, tmp_path):
+    """Requests far apart in time: the state forgets those that the watermark has passed."""
+    feed, work = str(tmp_path / "feed"), str(tmp_path / "work")
+    log = ChangeLog(str(tmp_path / "log"), ("request_id",))
+    held = []
+    for drop in range(4):
+        rowset = events(spark, *[(1000 * drop + i, 1000 * drop + i, 1) for i in range(50)])
+        rowset.coalesce(1).write.mode("append").parquet(feed)
+        _intake, counting = rq.run_metrics_upsert(feed_stream(spark, feed, rowset), log, work, "ts")
+        held.append(counting.lastProgress["stateOperators"][0]["numRowsTotal"])
+    assert max(held) <= 100 and log.current(spark).count() == 200
 
 
 def test_limit_stream_equals_batch(spark, tmp_path):
-    feed = str(tmp_path / "feed")
+    feed, work = str(tmp_path / "feed"), str(tmp_path / "work")
     rowset = events(spark, *[(i, i % 3 + 100 * (i // 30), i % 2) for i in range(60)])
-    rowset.where("request_id < 30").coalesce(1).write.parquet(feed)
-    log = TallyLog(str(tmp_path / "log"), ("window_start", "user_id"), ("calls", "tokens"))
-    late, marks, state = (str(tmp_path / n) for n in ("late", "marks", "state"))
+    log = ChangeLog(str(tmp_path / "log"), ("window_start", "user_id"))
 
-    def run():
-        stream = files.table_stream(spark, feed, rowset.schema)
-        rq.run_limit_stream(stream, log, late, marks, state, ["user_id"], "ts").awaitTermination()
+    def run(part):
+        part.coalesce(1).write.mode("append").parquet(feed)
+        return rq.run_limit_stream(feed_stream(spark, feed, rowset), log, work, ["user_id"], "ts", 8)
 
-    run()
-    dated = rowset.where("request_id >= 30")
+    run(rowset.where("request_id < 30"))
     undated = events(spark, (70, 0, 1)).withColumn("ts", F.lit(None).cast("timestamp_ntz"))
-    behind = events(spark, (71, -90, 1))
-    dated.unionAll(undated).unionAll(behind).coalesce(1).write.mode("append").parquet(feed)
-    run()
+    run(rowset.where("request_id >= 30").unionAll(undated).unionAll(events(spark, (71, -90, 1))))
     columns = ("window_start", "user_id", "calls", "refused")
-    got = rq.refused_calls(log.current(spark), 8)
-    assert rows(got, *columns) == rows(rq.limit_report(rowset, ["user_id"], "ts", 8), *columns)
-    assert rows(spark.read.parquet(late), "request_id") == [(70,), (71,)]
+    assert rows(log.current(spark), *columns) == rows(rq.limit_report(rowset, ["user_id"], "ts", 8), *columns)
+    assert rows(st.late_rows(spark, work), "request_id") == [(70,), (71,)]
+    counting = run(events(spark, (80, 10_000, 1)))[1]
+    run(events(spark, (81, 20_000, 1)))
+    assert len(storage.names(spark, f"{work}/marks")) == 2
+    assert counting.lastProgress["stateOperators"][0]["numRowsTotal"] <= 6  # old windows have left the state
+    compacted = kept_short(log, spark, str(tmp_path / "short"), 2)
+    assert compacted.path != log.path
+    assert rows(compacted.current(spark), *columns) == rows(log.current(spark), *columns)
 
 
 def test_daily_counts_lose_no_row(spark, tmp_path):
-    feed = str(tmp_path / "feed")
-    events(spark, (1, 0, 1), (2, 3000, 2)).coalesce(1).write.parquet(feed)
-    log = TallyLog(str(tmp_path / "log"), ("day", "rule"), ("hits",))
-    late, marks, state = (str(tmp_path / n) for n in ("late", "marks", "state"))
-
-    def run():
-        stream = files.table_stream(spark, feed, events(spark).schema)
-        rq.run_daily_counts(stream, log, late, marks, state, "ts", F.col("user_id")).awaitTermination()
-
-    run()
-    events(spark, (3, 2990, 2), (4, 10, 1)).coalesce(1).write.mode("append").parquet(feed)
-    run()
-    assert log.current(spark).agg(F.sum("hits")).first()[0] == 3
-    assert rows(spark.read.parquet(late), "request_id") == [(4,)]
+    feed, work = str(tmp_path / "feed"), str(tmp_path / "work")
+    log = ChangeLog(str(tmp_path / "log"), ("day", "rule"))
+    for part in (events(spark, (1, 0, 1), (2, 3000, 2)), events(spark, (3, 2990, 2), (4, 10, 1)), events(spark, (5, 3001, 2))):
+        part.coalesce(1).write.mode("append").parquet(feed)
+        rq.run_daily_counts(feed_stream(spark, feed, part), log, work, "ts", F.col("user_id"))
+    assert log.current(spark).agg(F.sum("hits")).first()[0] == 4
+    assert rows(st.late_rows(spark, work), "request_id") == [(4,)]
+
+
+def test_repeated_intake_batch_changes_nothing(spark, tmp_path):
+    """A batch that is settled again, after a crash at any step, leaves its rows once."""
+    work = str(tmp_path / "work")
+    st.settle(events(spark, (1, 100, 1), (2, 300, 1)), 0, work, "ts", "1 hour")
+    second = events(spark, (3, 10, 1), (4, 290, 1))
+    st.settle(second, 1, work, "ts", "1 hour")
+    st.settle(second, 1, work, "ts", "1 hour")
+    storage.remove(spark, f"{work}/marks/1")  # as if the job had ended before its mark
+    st.settle(second, 1, work, "ts", "1 hour")
+    stored = spark.read.option("recursiveFileLookup", "true").parquet(f"{work}/accepted")
+    assert rows(stored, "request_id") == [(1,), (2,), (4,)]
+    assert rows(st.late_rows(spark, work), "request_id") == [(3,)]
+    assert st.newest_before(spark, work, 2) == st.newest_before(spark, work, 1)
+
+
+def test_standing_streams_count_side_by_side(spark, tmp_path):
+    feed, work = str(tmp_path / "feed"), str(tmp_path / "work")
+    rowset = events(spark, (1, 0, 1), (2, 1, 1), (3, 70, 2))
+    rowset.coalesce(1).write.parquet(feed)
+    log = ChangeLog(str(tmp_path / "log"), ("window_start", "user_id"))
+    queries = rq.run_limit_stream(feed_stream(spark, feed, rowset), log, work, ["user_id"], "ts", 8, every="1 second")
+    try:
+        deadline = time.time() + 90
+        while time.time() < deadline and not storage.exists(spark, f"{log.path}/batch=0/_SUCCESS"):
+            time.sleep(1)
+        assert log.current(spark).agg(F.sum("calls")).first()[0] == 3
+    finally:
+        for query in queries:
+            query.stop()
 
 
 def test_streams_read_folders_and_single_files(spark, tmp_path):
