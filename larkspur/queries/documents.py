@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from larkspur.functions import text as tx
 from larkspur.operators import chunking as ch
 from larkspur.operators import documents as dc
+from larkspur.operators import near_duplicates as nd
 from larkspur.operators.relational import split_quarantine
 from larkspur.queries.registry import query
 from larkspur.queries.shared import tokens, words
@@ -203,6 +204,26 @@ def _(t):
     return dc.drop_similar_hits(texts, "query_id", "rank", "content", 0.8).select("query_id", "doc_id", "rank")
 
 
+@query("k7_chunk_groups", f"""
+WITH RECURSIVE c AS ({exploded(windows(words("text"), 120, 30))}),
+t AS (SELECT doc_id * 100000 + chunk_index AS id, {tokens('content')} AS t FROM c),
+g AS (SELECT id, list_sort(list_distinct(CASE WHEN len(t) < 5 THEN [array_to_string(t, ' ')]
+  ELSE list_transform(range(1, len(t) - 3), lambda i: array_to_string(t[i:i + 4], ' ')) END)) AS g FROM t WHERE len(t) > 0),
+u AS MATERIALIZED (SELECT min(id) AS sid, g, len(g) AS n FROM g GROUP BY g),
+s AS MATERIALIZED (SELECT sid, n, unnest(g) AS w FROM u),
+p AS (SELECT a.sid AS a, b.sid AS b, a.n AS na, b.n AS nb, count(*) AS i FROM s a JOIN s b ON a.w = b.w AND a.sid < b.sid GROUP BY 1, 2, 3, 4),
+e AS MATERIALIZED (SELECT a, b FROM p WHERE 10 * i >= 8 * (na + nb - i)),
+e2 AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT DISTINCT a AS node, a AS seen FROM e2 UNION SELECT r.node, e2.b FROM r JOIN e2 ON e2.a = r.seen),
+l AS (SELECT node, min(seen) AS root FROM r GROUP BY 1)
+SELECT t.id AS chunk, coalesce(l.root, u.sid, t.id) AS "group" FROM t LEFT JOIN g USING (id) LEFT JOIN u ON u.g = g.g LEFT JOIN l ON l.node = u.sid""")
+def _(t):
+    """Near copies among the chunks of all documents."""
+    chunks = rows_of(t, ch.token_chunks("text", 120, 30))
+    numbered = chunks.select((F.col("doc_id") * 100_000 + F.col("chunk_index")).alias("chunk"), "content")
+    return nd.near_duplicate_groups(numbered, "chunk", "content")
+
+
 def chunk_facts(chunks, text, size: int):
     """Of the chunks of one row: none over the size, all of them parts of the text, and the text covered."""
     letters = F.length(F.regexp_replace(text, r"(?U)\s+", ""))
