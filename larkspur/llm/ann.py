@@ -1,12 +1,17 @@
 """Approximate nearest neighbours by balanced posting lists.
 
 Centroids come from splitting a sample at medians until every part is small, so
-lists are balanced.  A vector goes to its nearest centroid and, if it lies near
-a boundary, to others too whose distance is nearly as small.  The centroids are
-searched by a best-first walk over their neighbour graph, held in memory; a
-query reads the lists whose centroid distance is within a ratio of the nearest,
-up to a number that is measured on each table: some queries are answered by brute
-force, and the number grows until the lists read hold enough of those answers.
+lists are balanced, and moving a few rounds to the mean direction of the sample
+vectors nearest to them.  A vector goes to its nearest centroid and, if it lies near a
+boundary, to others too: those whose distance exceeds the smallest by no more
+than a margin that a quarter of a sample stays below with their second centroid.
+
+A query searches the centroids by a best-first walk over their neighbour graph,
+held in memory.  It reads the lists whose distance exceeds the nearest by no more
+than a ratio of its own spread, the gap from its nearest to its ``SPREAD``-th
+centroid.  Distances in many dimensions are nearly alike, so a ratio of distances
+would prune nothing.  The ratio is measured on each table: some queries are
+answered by brute force, and it is the one that holds enough of those answers.
 Scores are exact inner products in double precision of the original vectors.
 
 Largest inner product becomes smallest distance by one more component that fills
@@ -31,10 +36,12 @@ from larkspur.session import cut_lineage
 LIST_ROWS = 256  # vectors of a posting list, about
 SAMPLE = 100_000  # vectors that centroids are fitted on, at most
 MAX_LISTS = 16_384  # centroids held by every task: a bound on what is sent
-COPIES, COPY_RATIO = 4, 1.15  # lists a vector may be in; how much farther the others may be
-PROBES, PROBE_RATIO = 48, 1.6  # lists a query may read, at least; how much farther than the nearest
-RECALL, RECALL_QUERIES = 0.95, 128  # share of exact answers that the lists read must hold; queries it is measured on
-GRAPH_DEGREE = 24
+COPIES, COPY_SHARE = 4, 0.25  # lists a vector may be in; share of vectors that are near a boundary
+SPREAD = 16  # distances are compared in units of the gap between the nearest centroid and this one
+MARGIN_SAMPLE = 8_192  # vectors that the copying margin is measured on
+RECALL, RECALL_QUERIES = 0.93, 128  # share of exact answers that the lists read must hold; queries it is measured on
+GRAPH_DEGREE, SMALL = 24, 64  # neighbours of a centroid; so few centroids are simply compared
+REFINED = 4  # rounds in which centroids move to the mean direction of their sample vectors
 LIST_PART = 4_096  # a list is dealt over tasks beyond so many vectors
 
 
@@ -46,7 +53,7 @@ class Centroids:
         self.squares = (self.points ** 2).sum(axis=1)
         n = len(points)
         degree = min(GRAPH_DEGREE, n - 1)
-        self.links = np.empty((n, degree), np.int64)
+        self.links = np.empty((n, degree), np.int32)
         for at in range(0, n, 1024):
             own = self.points[at:at + 1024]
             far = self.squares - 2 * own @ self.points.T
@@ -56,17 +63,30 @@ class Centroids:
         random = np.random.default_rng(3)
         self.entries = random.choice(n, min(n, max(16, int(np.sqrt(n)))), replace=False)
 
-    def nearest(self, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k nearest centroids found and their squared distances, nearest first.
+    def compared(self, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k nearest centroids of each row and their squared distances, all centroids compared."""
+        x = x.astype(np.float32)
+        k = min(k, len(self.points))
+        near, far = np.empty((len(x), k), np.int64), np.empty((len(x), k))
+        step = max(1, (1 << 22) // len(self.points))
+        for at in range(0, len(x), step):
+            own = x[at:at + step]
+            all_far = self.squares - 2 * own @ self.points.T
+            top = np.argpartition(all_far, k - 1, axis=1)[:, :k]
+            values = np.take_along_axis(all_far, top, axis=1)
+            order = np.argsort(values, axis=1, kind="stable")
+            near[at:at + step] = np.take_along_axis(top, order, axis=1)
+            squares = (own.astype(np.float64) ** 2).sum(axis=1)[:, None]
+            far[at:at + step] = np.maximum(np.take_along_axis(values, order, axis=1) + squares, 0.0)
+        return near, far
 
-        All are compared where a walk would compute as many distances.
-        """
+    def nearest(self, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k nearest centroids found by the walk and their squared distances, nearest first."""
+        if len(self.points) <= SMALL:
+            near, far = self.compared(x[None], k)
+            return near[0], far[0]
         x = x.astype(np.float32)
         square = float(x @ x)
-        if 2 * k * GRAPH_DEGREE >= len(self.points):
-            far = self.squares - 2 * self.points @ x
-            order = np.argsort(far, kind="stable")[:k]
-            return order, np.maximum(far[order].astype(np.float64) + square, 0.0)
         seen = np.zeros(len(self.points), bool)
         far = self.squares[self.entries] - 2 * self.points[self.entries] @ x
         seen[self.entries] = True
@@ -119,6 +139,22 @@ def balanced_centroids(sample: np.ndarray, lists: int) -> np.ndarray:
     return np.stack([sample[own].mean(axis=0) for own in done])
 
 
+def refined(points: np.ndarray, sample: np.ndarray, norm: float) -> np.ndarray:
+    """Centroids on the sphere after some rounds of moving to the mean of the sample vectors nearest to them."""
+    points = on_sphere(points, norm)
+    for _round in range(REFINED):
+        sums, n = np.zeros_like(points), np.zeros(len(points))
+        turned = points.T.astype(np.float32)
+        step = max(1, (1 << 22) // len(points))
+        for at in range(0, len(sample), step):
+            own = sample[at:at + step]
+            near = (own.astype(np.float32) @ turned).argmax(axis=1)
+            np.add.at(sums, near, own)
+            n += np.bincount(near, minlength=len(points))
+        points = on_sphere(np.where(n[:, None] > 0, sums, points), norm)
+    return points
+
+
 def valid_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """``id`` and ``x`` (array of double); NULL, zero and non-finite vectors and NULL ids are left out."""
     x = F.transform(F.col(vector_col), lambda c: c.cast("double"))
@@ -132,18 +168,16 @@ def valid_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame
 
 def search(
     vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding",
-    probes: int = PROBES, probe_ratio: float = PROBE_RATIO, recall: float = RECALL,
+    recall: float = RECALL,
 ) -> DataFrame:
     """``query_id``, ``rank`` (from 1), ``vec_id``, ``score`` (double): the nearest k other rows found.
 
     ``is_query`` is a condition on column ``id``.  Ties go to the smaller id.
     Rows with the query's own id are no candidates; repeated rows count once.
     Shorter vectors count as filled up with zeros.  Every vector is indexed; with
-    at most k + 1 valid vectors every one is found.  ``probe_ratio`` and
-    ``probes`` are where the search for a budget begins: the number of lists grows
-    with the table, so both are widened until the lists read hold the share
-    ``recall`` of the exact answers of ``RECALL_QUERIES`` queries, those of the
-    smallest hashes of their ids.
+    at most k + 1 valid vectors every one is found.  How far a query reads is the
+    smallest ratio with which the lists read hold the share ``recall`` of the exact
+    answers of ``RECALL_QUERIES`` queries, those of the smallest hashes of their ids.
     """
     spark = vectors.sparkSession
     rows = cut_lineage(valid_vectors(vectors, id_col, vector_col).withColumn("asks", F.coalesce(is_query, F.lit(False))))
@@ -170,16 +204,18 @@ def search(
     lists = min(max(1, -(-distinct // LIST_ROWS)), MAX_LISTS)
     if not len(sample):
         sample = np.zeros((1, width))
-    points = balanced_centroids(_filled(sample, norm), lists)
+    filled = _filled(sample, norm)
+    points = refined(balanced_centroids(filled, lists), filled, norm)
+    centroids = Centroids(points)  # built once; tasks get it with its graph
+    margin = copying_margin(centroids, filled[:MARGIN_SAMPLE])
 
     def located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centroids = Centroids(points)
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = _matrix(batch.column("x").to_pylist(), width)
             full = _filled(x, norm)
-            at = [_boundary(centroids, row) for row in full]
+            at = boundary(centroids, full, margin)
             counts = [len(own) for own in at]
             copy = np.repeat(np.arange(len(x)), counts)
             ids = batch.column("ids").take(pa.array(copy))
@@ -195,13 +231,11 @@ def search(
     first = np.cumsum(np.r_[0, parts])
     questions = rows.where("asks").select("id", "x").distinct()
     tried = questions.orderBy(F.xxhash64("id"), "id", "x").limit(RECALL_QUERIES).toArrow()
-    probes, probe_ratio = _budget(
-        stored, postings, points, tried.column("id").to_numpy(), _matrix(tried.column("x").to_pylist(), width),
-        k, probes, probe_ratio, recall,
+    probes, ratio = _budget(
+        stored, postings, centroids, tried.column("id").to_numpy(), _matrix(tried.column("x").to_pylist(), width), k, recall
     )
 
     def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centroids = Centroids(points)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -209,9 +243,7 @@ def search(
             full = np.concatenate([x, np.zeros((len(x), 1))], axis=1)
             part, who = [], []
             for i, row in enumerate(full):
-                own, far = centroids.nearest(row, probes)
-                own = own[_near(far, probe_ratio)]
-                for c in own.tolist():
+                for c in lists_to_read(centroids, row, probes, ratio).tolist():
                     part += range(first[c], first[c + 1])
                     who += [i] * parts[c]
             packed = pa.array([row.tobytes() for row in x], pa.binary()).take(pa.array(who, pa.int64()))
@@ -265,18 +297,52 @@ def _ranked(answers: DataFrame, k: int) -> DataFrame:
     return answers.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _near(far: np.ndarray, ratio: float) -> np.ndarray:
-    return np.sqrt(far) <= ratio * np.sqrt(far[0]) + 1e-9 if np.isfinite(ratio) else np.ones(len(far), bool)
+def on_sphere(points: np.ndarray, norm: float) -> np.ndarray:
+    """Points scaled to the vectors' length, as far as they have a direction."""
+    lengths = np.sqrt((points * points).sum(axis=1))[:, None]
+    return np.where(lengths > 0, points * (np.sqrt(norm) / np.where(lengths > 0, lengths, 1.0)), points)
+
+
+def _gaps(far: np.ndarray) -> np.ndarray:
+    """How much farther than the first each distance is, in units of the row's own spread; ``far``: squared, nearest first."""
+    far = np.sqrt(far)
+    spread = far[..., min(SPREAD, far.shape[-1]) - 1] - far[..., 0]
+    return (far - far[..., :1]) / np.maximum(spread, 1e-12)[..., None]
+
+
+def copying_margin(centroids: Centroids, sample: np.ndarray) -> float:
+    """The gap to the second centroid that ``COPY_SHARE`` of the sample stays below."""
+    _near, far = centroids.compared(sample, SPREAD)
+    return float(np.quantile(_gaps(far)[:, 1], COPY_SHARE)) if far.shape[1] > 1 else 0.0
+
+
+def boundary(centroids: Centroids, x: np.ndarray, margin: float) -> list[np.ndarray]:
+    """The lists of each vector: the nearest, and others within the margin; of equal centroids one."""
+    near, far = centroids.compared(x, SPREAD)
+    gaps = _gaps(far)
+    out = []
+    for own, gap in zip(near, gaps):
+        chosen = [int(own[0])]
+        for c in own[1:COPIES][gap[1:COPIES] <= margin].tolist():
+            if (((centroids.points[chosen] - centroids.points[c]) ** 2).sum(axis=1) > 0).all():
+                chosen.append(c)
+        out.append(np.array(chosen))
+    return out
+
+
+def lists_to_read(centroids: Centroids, x: np.ndarray, probes: int, ratio: float) -> np.ndarray:
+    """The lists found by the walk whose gap is within the ratio; ``probes`` of them are looked at."""
+    own, far = centroids.nearest(x, max(probes, min(SPREAD, len(centroids.points))))
+    return own[_gaps(far) <= ratio + 1e-9]
 
 
 def _budget(
-    stored: DataFrame, postings: DataFrame, points: np.ndarray, who: np.ndarray, asked: np.ndarray,
-    k: int, probes: int, ratio: float, recall: float,
+    stored: DataFrame, postings: DataFrame, centroids: Centroids, who: np.ndarray, asked: np.ndarray, k: int, recall: float
 ) -> tuple[int, float]:
-    """The lists to read and the ratio that give ``recall`` on the queries ``who``, from ``probes`` and ``ratio`` on."""
-    probes = min(probes, len(points))
-    if not len(who) or (probes == len(points) and not np.isfinite(ratio)):
-        return probes, ratio
+    """How many lists the walk looks for, and the ratio that gives ``recall`` on the queries ``who``."""
+    lists = len(centroids.points)
+    if not len(who) or lists == 1:
+        return lists, np.inf
     width = asked.shape[1]
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,37 +358,34 @@ def _budget(
         .join(F.broadcast(cut_lineage(answers)), "vec_id")  # k rows of each query tried
         .groupBy("query_id", "vec_id").agg(F.collect_set("list").alias("lists")).collect()
     )
-    centroids = Centroids(points)
     full = np.concatenate([asked, np.zeros((len(asked), 1))], axis=1)
+    return measured_ratio(centroids, full, who.tolist(), [(row["query_id"], row["lists"]) for row in held], recall)
+
+
+def measured_ratio(
+    centroids: Centroids, full: np.ndarray, who: list[int], held: list[tuple[int, list[int]]], recall: float
+) -> tuple[int, float]:
+    """From the lists that hold each exact answer (query, lists): the smallest sufficient ratio, walk included."""
+    lists = len(centroids.points)
+    order, far = centroids.compared(full, lists)
+    gaps = _gaps(far)
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.arange(lists)[None], axis=1)
+    at = {q: i for i, q in enumerate(who)}
+    needed = np.sort([min(gaps[at[q], place[at[q], c]] for c in own) for q, own in held]) if held else np.zeros(1)
+    share = recall
     while True:
-        found = [centroids.nearest(row, probes) for row in full]
-        for bound in (ratio, np.inf):
-            read: dict[int, set[int]] = {}
-            for q, (own, far) in zip(who.tolist(), found):
-                read.setdefault(q, set()).update(own[_near(far, bound)].tolist())
-            if sum(not read[row["query_id"]].isdisjoint(row["lists"]) for row in held) >= recall * len(held):
-                return probes, bound
-        if probes == len(points):
-            return probes, np.inf
-        probes = min(probes + max(1, probes // 4), len(points))
-
-
-def _boundary(centroids: Centroids, x: np.ndarray) -> np.ndarray:
-    """The nearest lists of a vector whose distance is nearly as small as the smallest; of equal centroids one.
-
-    Leaving out a list that is closer to a chosen one than to the vector, as is
-    usual, would leave one copy of nearly every vector in clouds of many
-    dimensions, and queries would have to read four times as many lists.
-    """
-    own, far = centroids.nearest(x, 2 * COPIES)
-    chosen = [int(own[0])]
-    for c, d in zip(own[1:].tolist(), far[1:].tolist()):
-        if len(chosen) == COPIES or d > COPY_RATIO ** 2 * far[0]:
-            break
-        between = ((centroids.points[chosen] - centroids.points[c]) ** 2).sum(axis=1)
-        if (between > 0).all():
-            chosen.append(c)
-    return np.array(chosen)
+        ratio = float(needed[min(int(np.ceil(share * len(needed))), len(needed)) - 1])
+        probes = int(np.quantile((gaps <= ratio + 1e-9).sum(axis=1), 0.98, method="higher"))
+        read: dict[int, set[int]] = {}
+        for q, row in zip(who, full):
+            read.setdefault(q, set()).update(lists_to_read(centroids, row, probes, ratio).tolist())
+        found = sum(not read[q].isdisjoint(own) for q, own in held)
+        if found >= recall * len(held):
+            return probes, ratio
+        if share >= 1.0:
+            return lists, np.inf
+        share = min(1.0, share + 0.01)
 
 
 def _list_answers(

@@ -130,11 +130,36 @@ def test_lists_read_grow_with_their_number(spark, monkeypatch):
     monkeypatch.setattr(ann, "LIST_ROWS", 8)
     x = np.random.default_rng(6).normal(size=(8_000, 32))
     rows = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
-    for ratio in (ann.PROBE_RATIO, 1.01):
-        got = ranked(ann.search(rows, F.col("id") % 40 == 0, k=10, probe_ratio=ratio).collect())
-        wanted = brute(np.arange(8_000), x, np.arange(0, 8_000, 40), 10)
-        hits = sum(len({v for _r, v, _s in got[q]} & {v for _r, v, _s in wanted[q]}) for q in wanted)
-        assert hits >= 0.9 * 10 * len(wanted)
+    got = ranked(ann.search(rows, F.col("id") % 40 == 0, k=10).collect())
+    wanted = brute(np.arange(8_000), x, np.arange(0, 8_000, 40), 10)
+    hits = sum(len({v for _r, v, _s in got[q]} & {v for _r, v, _s in wanted[q]}) for q in wanted)
+    assert hits >= 0.9 * 10 * len(wanted)
+
+
+def test_ratio_prunes_and_boundary_vectors_are_copied():
+    """In clusters: queries read few of the lists they look at, some vectors have copies and most have not."""
+    random = np.random.default_rng(8)
+    centres = random.normal(size=(60, 24))
+    x = centres[random.integers(0, 60, 6_000)] + 0.35 * random.normal(size=(6_000, 24))
+    norm = float((x * x).sum(axis=1).max())
+    filled = ann._filled(x, norm)
+    centroids = ann.Centroids(ann.refined(ann.balanced_centroids(filled, 200), filled, norm))
+    assert len(centroids.points) > ann.SMALL
+    at = ann.boundary(centroids, filled, ann.copying_margin(centroids, filled))
+    copied = np.mean([len(own) > 1 for own in at])
+    assert 0.15 < copied < 0.4
+    queries = list(range(0, 6_000, 50))
+    held = []
+    for q in queries:
+        scores = x @ x[q]
+        held += [(q, at[v].tolist()) for v in np.argsort(-scores)[:20].tolist()]
+    full = np.concatenate([x[queries], np.zeros((len(queries), 1))], axis=1)
+    probes, ratio = ann.measured_ratio(centroids, full, queries, held, 0.93)
+    read = [ann.lists_to_read(centroids, row, probes, ratio) for row in full]
+    assert np.mean([len(own) for own in read]) < 0.5 * len(centroids.points)
+    assert min(len(own) for own in read) < probes  # the ratio prunes
+    by_query = dict(zip(queries, map(set, (own.tolist() for own in read))))
+    assert sum(not by_query[q].isdisjoint(own) for q, own in held) >= 0.93 * len(held)
 
 
 def test_posting_lists_of_odd_vectors(spark):
