@@ -14,6 +14,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.operators import sketches
+
 
 class MetricViewError(ValueError):
     """A definition or a query that breaks a rule of metric views."""
@@ -42,6 +44,8 @@ class Measure:
 
     A measure without parts is one additive aggregate (SUM or COUNT) when
     ``additive`` is set; only such measures can be answered from a slice.
+    Parts that do not add up, such as sketches, name the aggregate that merges
+    them in ``merge``, with {} for the stored part.
     """
 
     name: str
@@ -50,6 +54,25 @@ class Measure:
     additive: bool = False
     parts: dict[str, str] = field(default_factory=dict)
     combine: str = ""
+    merge: dict[str, str] = field(default_factory=dict)
+
+
+def distinct_measure(name: str, expr: str, comment: str = "") -> Measure:
+    """A distinct count that a slice keeps as a sketch."""
+    part, merge = sketches.distinct_part(expr)
+    return Measure(
+        name, f"theta_sketch_estimate({part})", comment, parts={"distinct": part}, combine="theta_sketch_estimate(distinct)",
+        merge={"distinct": merge},
+    )
+
+
+def percentile_measure(name: str, expr: str, p: float, comment: str = "") -> Measure:
+    """A percentile that a slice keeps as a sketch."""
+    part, merge = sketches.quantile_part(expr)
+    return Measure(
+        name, f"kll_sketch_get_quantile_double({part}, {p}D)", comment, parts={"values": part},
+        combine=f"kll_sketch_get_quantile_double(values, {p}D)", merge={"values": merge},
+    )
 
 
 @dataclass(frozen=True)
@@ -227,7 +250,8 @@ class MetricView:
                 rows.schema
             except AnalysisException as error:
                 raise MetricViewError(f"the slice cannot apply {where!r}") from error
-        return rows, [F.sum(f"`{p}`").alias(p) for p in dict.fromkeys(parts)]
+        merges = {f"{m.name}::{p}": how for m in asked for p, how in m.merge.items()}
+        return rows, [F.expr(merges.get(p, "SUM({})").format(f"`{p}`")).alias(p) for p in dict.fromkeys(parts)]
 
     def _combine(self, out: DataFrame, dims: list[str], asked: list[Measure]) -> DataFrame:
         columns = [F.col(f"`{d}`") for d in dims]

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.operators import aggregates as agg
+from larkspur.operators import sketches as sk
 from larkspur.operators import telemetry as tm
 from larkspur.operators import windows as win
 from larkspur.queries.registry import query
 from larkspur.queries.shared import REQUESTS
+from larkspur.session import work_dir
 
 
 @query("d1_table_audit", """
@@ -158,24 +163,56 @@ def _(t):
     return shares.select("event_type", F.round("total", 2).alias("total"), "pct", (F.col("total") == top).alias("top"))
 
 
+HOURLY = sk.Slices(
+    distinct={"users": "user_id"}, quantiles={"value": "value"}, heavy={"heavy": "user_id"}, sums={"n": "count(*)"}
+)
+
+
+def hourly_slices(t):
+    """Sketches per event type and hour: the earlier half of the events, the later half appended to it."""
+    path = work_dir(t.spark, "hourly")
+    early = F.col("event_id") % 2 == 0
+    for part in (t.events.where(early), t.events.where(~early)):
+        HOURLY.of(part, {"event_type": F.col("event_type"), "hour": F.date_trunc("HOUR", "ts")}).write.mode("append").parquet(path)
+    return t.spark.read.parquet(path)
+
+
 @query("d17_approximate_distinct", """
-SELECT event_type, true AS close, true AS heavy FROM events GROUP BY 1""")
+WITH u AS (SELECT event_type, user_id, count(*) AS n FROM events GROUP BY 1, 2),
+h AS (SELECT event_type, n, row_number() OVER (PARTITION BY event_type ORDER BY n DESC) AS place FROM u)
+SELECT event_type, (SELECT count(DISTINCT user_id) FROM events e WHERE e.event_type = h.event_type) AS users,
+  string_agg(CAST(n AS VARCHAR), ',' ORDER BY place) AS most FROM h WHERE place <= 3 GROUP BY 1""")
 def _(t):
-    """The sketch next to the exact count: within its error; its heaviest users are as heavy as any."""
-    counts = t.events.groupBy("event_type", "user_id").agg(F.count("*").alias("n"))
-    exact = counts.groupBy("event_type").agg(
-        F.count("user_id").alias("users"), F.slice(F.sort_array(F.collect_list("n"), False), 1, 3).alias("most")
-    )
-    sketch = t.events.groupBy("event_type").agg(
-        F.approx_count_distinct("user_id", 0.02).alias("about"), F.expr("approx_top_k(user_id, 3, 10000)").alias("top")
-    )
-    heavy = F.sort_array(F.transform("top", lambda x: x["count"]), False)
-    return sketch.join(exact, "event_type").select(
-        "event_type", (F.abs(F.col("about") - F.col("users")) <= 0.1 * F.col("users")).alias("close"),
-        (heavy == F.col("most")).alias("heavy"),
+    """Distinct users and the counts of the heaviest ones, from stored hourly slices."""
+    merged = HOURLY.merged(hourly_slices(t), {"event_type": F.col("event_type")})
+    counts = F.sort_array(F.transform(sk.heavy_items("heavy", 3), lambda x: x["count"]), False)
+    return merged.select(
+        "event_type", sk.distinct_count("users").alias("users"), F.array_join(counts.cast("array<string>"), ",").alias("most")
     )
 
 
+@query("d17_distinct_at_each_grain", """
+SELECT 'type' AS grain, event_type AS key, count(DISTINCT user_id) AS users, count(*) AS n FROM events GROUP BY 2
+UNION ALL SELECT 'day', strftime(ts, '%Y-%m-%d'), count(DISTINCT user_id), count(*) FROM events GROUP BY 2
+UNION ALL SELECT 'all', 'all', count(DISTINCT user_id), count(*) FROM events""")
+def _(t):
+    """The same stored slices merged to three grains."""
+    slices = hourly_slices(t)
+    keys = {"type": F.col("event_type"), "day": F.date_format("hour", "yyyy-MM-dd"), "all": F.lit("all")}
+    merged = [
+        HOURLY.merged(slices, {"key": key}).select(F.lit(grain).alias("grain"), "key", sk.distinct_count("users").alias("users"), "n")
+        for grain, key in keys.items()
+    ]
+    return reduce(DataFrame.unionAll, merged)
+
+
+@query("d8_percentiles_from_slices", """
+SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY 1""")
+def _(t):
+    merged = HOURLY.merged(hourly_slices(t), {"event_type": F.col("event_type")})
+    return merged.select("event_type", sk.quantile("value", 0.5).alias("p50"), sk.quantile("value", 0.95).alias("p95"))
+
+
 @query("e1_trailing_baseline", """
 WITH daily AS (SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1, 2)
 SELECT event_type, CAST(day AS VARCHAR) AS day, n,

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from larkspur.operators import sketches as sk
 from larkspur.operators import telemetry as tm
 from larkspur.queries.registry import query
 from larkspur.queries.shared import OTHER_TOPIC, REQUESTS
+from larkspur.session import cut_lineage
 
 SPANS = f"""WITH {REQUESTS},
 base AS (SELECT *, floor(latency_ms * total_tokens / 400) AS r, floor(latency_ms * 5 / 100) AS c FROM requests),
@@ -62,6 +64,25 @@ def _(t):
     return tm.daily_metrics(tm.requests_from_events(t.events))
 
 
+@query("p5_daily_from_slices", f"""
+WITH {REQUESTS}
+SELECT topic, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS request_count, CAST(quantile_disc(latency_ms, 0.5) AS DOUBLE) AS p50_latency_ms,
+  CAST(quantile_disc(latency_ms, 0.95) AS DOUBLE) AS p95_latency_ms, round(avg(CASE WHEN status = 'ERROR' THEN 1 ELSE 0 END), 4) AS error_rate
+FROM requests GROUP BY 1, 2""")
+def _(t):
+    """Daily report from hourly slices, which any other grain could use too."""
+    kept = sk.Slices(
+        quantiles={"latency": "latency_ms"}, sums={"request_count": "count(*)", "errors": "count_if(status = 'ERROR')"}
+    )
+    requests = tm.requests_from_events(t.events)
+    hourly = cut_lineage(kept.of(requests, {"topic": F.col("topic"), "hour": F.date_trunc("HOUR", "ts")}))
+    daily = kept.merged(hourly, {"topic": F.col("topic"), "day": F.to_date("hour")})
+    return daily.select(
+        "topic", "day", "request_count", sk.quantile("latency", 0.5).alias("p50_latency_ms"),
+        sk.quantile("latency", 0.95).alias("p95_latency_ms"), F.round(F.col("errors") / F.col("request_count"), 4).alias("error_rate"),
+    )
+
+
 @query("p5_telemetry_lookback", f"""
 WITH {REQUESTS}
 SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS request_count,
