@@ -8,8 +8,11 @@ from larkspur.functions import text as tx
 from larkspur.operators import chunking as ch
 from larkspur.operators import documents as dc
 from larkspur.operators import near_duplicates as nd
+from larkspur.operators import spelling
+from larkspur.operators.spelling import SpellingIndex
 from larkspur.operators.relational import split_quarantine
 from larkspur.queries.registry import query
+from larkspur.session import work_dir
 from larkspur.queries.shared import tokens, words
 
 BROKEN = "lower(html) NOT LIKE '%<body%' OR lower(html) NOT LIKE '%</html>%'"
@@ -358,6 +361,23 @@ def _(t):
     return t.benchmark.select("item_id", dc.expand_terms("text", rules, whole_words=True).alias("expanded"))
 
 
+# DuckDB counts edits in bytes: every accented letter of these texts becomes one byte that no word has
+ONE_BYTE = "translate({}, 'áàâäçéèêëíîïñóôöúùûüßœæ', 'ABCDEFGHIJKLMNOPQRSTUVW')"
+
+
+@query("k20_spelling", f"""
+WITH v AS MATERIALIZED (SELECT w AS word, count(*) AS n FROM (SELECT unnest({tokens('text')}) AS w FROM documents) GROUP BY 1 HAVING count(*) >= 5),
+a AS MATERIALIZED (SELECT DISTINCT w AS word FROM (SELECT unnest({tokens('text')}) AS w FROM conversations WHERE role = 'user') WHERE w NOT IN (SELECT word FROM v)),
+p AS (SELECT a.word, v.word AS c, v.n, levenshtein({ONE_BYTE.format('a.word')}, {ONE_BYTE.format('v.word')}) AS d FROM a JOIN v ON abs(length(a.word) - length(v.word)) <= 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY d, n DESC, c) AS place, count(*) OVER (PARTITION BY word) AS m FROM p WHERE d <= 2)
+SELECT a.word, r.c AS correction, CAST(r.d AS BIGINT) AS edits, coalesce(r.m, 0) AS candidates FROM a LEFT JOIN r ON r.word = a.word AND place = 1""")
+def _(t):
+    """Words of the questions that the documents hardly have, and the nearest words that they do have."""
+    index = SpellingIndex(t.spark, work_dir(t.spark, "spelling")).write(spelling.vocabulary(t.documents, "text"))
+    asked = t.conversations.where(F.col("role") == "user").select(F.explode(tx.tokens("text")).alias("word"))
+    return index.corrections(asked)
+
+
 @query("k20_normalize_questions", r"""
 SELECT conv_id, turn, md5(replace(replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), ' th ', ' the '), 'tion', 'tions')) AS digest
 FROM conversations WHERE role = 'user'""")
