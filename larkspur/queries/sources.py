@@ -8,6 +8,7 @@ from larkspur.queries.registry import query
 from larkspur.queries.shared import REQUESTS
 from larkspur.session import work_dir
 from larkspur.sources import changes, files, seeds, writes
+from larkspur.sources.keyed import KeyedTable
 from larkspur.operators import telemetry as tm
 
 
@@ -173,7 +174,7 @@ def _(t):
     return stored.groupBy("kind").agg(F.count("*").alias("n"), F.sum("key").alias("key_sum"))
 
 
-@query("a12_upsert", """
+UPSERTED = """
 WITH updates AS (
   SELECT o_orderkey, 'X' AS o_orderstatus, o_totalprice * 2 AS o_totalprice, o_orderdate + INTERVAL 1 DAY AS o_orderdate FROM orders WHERE o_orderstatus = 'P'
   UNION ALL SELECT o_orderkey, 'Y', o_totalprice * 3, o_orderdate + INTERVAL 2 DAY FROM orders WHERE o_orderstatus = 'P'
@@ -182,8 +183,11 @@ WITH updates AS (
 both_sides AS (SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderdate FROM orders UNION ALL SELECT * FROM updates),
 last AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY o_orderdate DESC) AS rn FROM both_sides)
 SELECT o_orderkey, o_orderstatus, round(o_totalprice, 2) AS o_totalprice, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS o_orderdate
-FROM last WHERE rn = 1""")
-def _(t):
+FROM last WHERE rn = 1"""
+
+
+def order_updates(t):
+    """Orders and changes to them: newer, twice, older and new ones."""
     target = t.orders.select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate")
 
     def change(status: str, mark: str, days: int, factor: int, key_shift: int = 0):
@@ -196,10 +200,26 @@ def _(t):
 
     updates = change("P", "X", 1, 2).union(change("P", "Y", 2, 3)).union(change("F", "Z", -2, 1))
     updates = updates.union(change("O", "N", 0, 1, 1_000_000_000))
-    merged = changes.upsert(target, updates, ["o_orderkey"], "o_orderdate")
-    return merged.withColumn("o_totalprice", F.round("o_totalprice", 2)).withColumn(
-        "o_orderdate", F.to_date("o_orderdate")
-    )
+    return target, updates
+
+
+def shown(merged):
+    return merged.withColumn("o_totalprice", F.round("o_totalprice", 2)).withColumn("o_orderdate", F.to_date("o_orderdate"))
+
+
+@query("a12_upsert", UPSERTED)
+def _(t):
+    return shown(changes.upsert(*order_updates(t), ["o_orderkey"], "o_orderdate"))
+
+
+@query("a12_bucketed_merge", UPSERTED)
+def _(t):
+    """The same merge into a table in buckets, one kind of change after the other."""
+    target, updates = order_updates(t)
+    table = KeyedTable(t.spark, work_dir(t.spark, "keyed")).create(target, ["o_orderkey"])
+    for marks in (["X", "Z"], ["Y", "N"]):
+        table = table.merge(updates.where(F.col("o_orderstatus").isin(marks)), "o_orderdate")
+    return shown(table.rows())
 
 
 @query("a13_overwrite_schema", "SELECT doc_id, lang, n_chars > 1000 AS is_long FROM documents")
@@ -211,17 +231,33 @@ def _(t):
     )
 
 
-@query("a14_change_feed", """
+FEED = """
 SELECT o_orderkey, 'update' AS op FROM orders WHERE o_orderstatus = 'P'
 UNION ALL SELECT o_orderkey, 'delete' FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus <> 'P'
-UNION ALL SELECT o_orderkey + 1000000000, 'insert' FROM orders WHERE o_orderstatus = 'O'""")
-def _(t):
+UNION ALL SELECT o_orderkey + 1000000000, 'insert' FROM orders WHERE o_orderstatus = 'O'"""
+
+
+def order_versions(t):
     old = t.orders.select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
     status = F.col("o_orderstatus")
     price = F.when(status == "P", F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
     kept = old.where((F.col("o_orderpriority") != "1-URGENT") | (status == "P")).withColumn("o_totalprice", price)
     added = old.where(status == "O").withColumn("o_orderkey", F.col("o_orderkey") + 1_000_000_000)
-    return changes.diff_snapshots(old, kept.unionByName(added), ["o_orderkey"], ["o_totalprice", "o_orderpriority"])
+    return old, kept.unionByName(added)
+
+
+@query("a14_change_feed", FEED)
+def _(t):
+    return changes.diff_snapshots(*order_versions(t), ["o_orderkey"], ["o_totalprice", "o_orderpriority"])
+
+
+@query("a14_feed_between_versions", FEED)
+def _(t):
+    """Two snapshots loaded into one bucketed table; only buckets with different digests are compared."""
+    old, new = order_versions(t)
+    before = KeyedTable(t.spark, work_dir(t.spark, "snapshots")).create(old, ["o_orderkey"])
+    after = before.create(new, ["o_orderkey"])
+    return before.changes_to(after, ["o_totalprice", "o_orderpriority"])
 
 
 @query("a16_clustered_layout", "SELECT source, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1")
