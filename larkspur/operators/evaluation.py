@@ -162,13 +162,13 @@ def bleu(pairs: DataFrame, key: str, hypothesis: str, reference: str, orders: in
     return sums.select(F.when(least > 0, F.exp(penalty + mean_log)).otherwise(0.0).alias("bleu"))
 
 
-TERM_BYTES = 64  # room for one vocabulary entry in a broadcast
+ENTRY_BYTES = 48  # of one vocabulary entry in a broadcast, besides its term
 
 
 def unigram_perplexity(documents: DataFrame, corpus: DataFrame, key: str, text: str) -> DataFrame:
     """Perplexity of each document under an add-one unigram model of the corpus.
 
-    The term counts are stored first; their number decides the way back.  A
+    The term counts are stored first; their measured size decides the way back.  A
     vocabulary that fits a checked broadcast is looked up token by token and
     nothing but one sum per document is shuffled.  For a larger one, tokens
     are counted per document, so that a term joins once per document, and
@@ -176,10 +176,12 @@ def unigram_perplexity(documents: DataFrame, corpus: DataFrame, key: str, text:
     """
     tokens = F.explode(tx.tokens(text)).alias("term")
     model = cut_lineage(corpus.select(tokens).groupBy("term").agg(F.count("*").alias("cf")))
-    size = model.agg(F.sum("cf").alias("n"), F.count("*").alias("v")).first()
+    size = model.agg(
+        F.sum("cf").alias("n"), F.count("*").alias("v"), F.sum(F.octet_length("term") + ENTRY_BYTES).alias("bytes")
+    ).first()
     total = (size["n"] or 0) + size["v"] + 1
     surprise = -F.log((F.coalesce("cf", F.lit(0)) + 1) / F.lit(total))
-    if size["v"] * TERM_BYTES <= BROADCAST_BYTES:
+    if (size["bytes"] or 0) <= BROADCAST_BYTES:
         found = documents.select(key, tokens).join(F.broadcast(model), "term", "left")
         return found.groupBy(key).agg(F.exp(F.avg(surprise)).alias("perplexity"))
     mine = documents.select(key, tokens).groupBy(key, "term").agg(F.count("*").alias("tf"))

@@ -11,6 +11,7 @@ from larkspur.operators.enrichment import classify, sentiment, summarize
 from larkspur.operators.evaluation import token_support
 from larkspur.operators.guard import toxic_words
 from larkspur.operators.windows import latest_by_key, period_measures, sigma_flag, trailing_baseline
+from larkspur.session import cut_lineage
 from larkspur.sources.changes import merge_records
 
 OPS = {
@@ -119,11 +120,15 @@ def flatten_spans(traces: DataFrame) -> DataFrame:
     return rows.where(F.col("s").isNotNull()).select("trace_id", "s.*")
 
 
+SPANS_IN_ROW = 64  # spans of a trace whose children are looked for inside the row
+
+
 def exclusive_times(traces: DataFrame) -> DataFrame:
     """Spans with their own time: duration less the duration of direct children.
 
-    A trace carries its spans in one row, so children are summed inside the
-    row and nothing is shuffled.
+    A trace carries its spans in one row, so the children of a short trace are
+    summed inside the row and nothing is shuffled.  That takes the square of the
+    spans; longer traces are exploded, and children are summed by their parent.
     """
 
     def own(s: Column) -> Column:
@@ -131,7 +136,51 @@ def exclusive_times(traces: DataFrame) -> DataFrame:
         used = F.aggregate(children, F.lit(0).cast("bigint"), lambda acc, c: acc + c["duration_ms"])
         return s.withField("exclusive_ms", s["duration_ms"] - used)
 
-    return flatten_spans(traces.withColumn("spans", F.transform("spans", own)))
+    short = traces.where(F.size("spans") <= SPANS_IN_ROW)
+    in_row = flatten_spans(short.withColumn("spans", F.transform("spans", own)))
+    long = flatten_spans(traces.where(F.size("spans") > SPANS_IN_ROW))
+    used = long.where("parent_id IS NOT NULL").groupBy(F.col("trace_id").alias("_trace"), F.col("parent_id").alias("_span")).agg(
+        F.sum("duration_ms").alias("_used")
+    )
+    same = (F.col("trace_id") == F.col("_trace")) & (F.col("span_id") == F.col("_span"))
+    joined = long.join(used, same, "left").withColumn(
+        "exclusive_ms", F.col("duration_ms") - F.coalesce("_used", F.lit(0).cast("bigint"))
+    )
+    return in_row.unionByName(joined.drop("_trace", "_span", "_used"))
+
+
+def critical_path(traces: DataFrame) -> DataFrame:
+    """``trace_id``, ``depth`` (0: the root), ``span_id``, ``span_type``, ``duration_ms`` and ``exclusive_ms`` of the slowest path.
+
+    The path starts at the longest root span and goes on to the longest child,
+    ties to the smaller span, down to a span without children.  Every span points
+    to its longest child; the path grows by pointer doubling, so the number of
+    joins follows the logarithm of the depth, and a trace of any size is spread
+    over tasks.  Spans that no root leads to, such as loops, are on no path.
+    """
+    spans = cut_lineage(exclusive_times(traces))
+    longest = F.max(F.struct("duration_ms", (-F.col("span_id")).alias("order"))).alias("_best")
+    heads = spans.where("parent_id IS NULL").groupBy("trace_id").agg(longest)
+    path = cut_lineage(heads.select("trace_id", (-F.col("_best.order")).alias("span_id"), F.lit(0).alias("depth")))
+    children = spans.where("parent_id IS NOT NULL").groupBy("trace_id", "parent_id").agg(longest)
+    step = cut_lineage(
+        children.select("trace_id", F.col("parent_id").alias("span_id"), (-F.col("_best.order")).alias("_next"))
+    )
+    stride = 1
+    while True:
+        further = path.join(step, ["trace_id", "span_id"]).select(
+            "trace_id", F.col("_next").alias("span_id"), (F.col("depth") + stride).alias("depth")
+        )
+        further = cut_lineage(further)
+        if further.isEmpty():
+            break
+        path = cut_lineage(path.unionAll(further))
+        beyond = step.select("trace_id", F.col("span_id").alias("_next"), F.col("_next").alias("_far"))
+        step = cut_lineage(step.join(beyond, ["trace_id", "_next"]).select("trace_id", "span_id", F.col("_far").alias("_next")))
+        stride *= 2
+    return path.join(spans, ["trace_id", "span_id"]).select(
+        "trace_id", "depth", "span_id", "span_type", "duration_ms", "exclusive_ms"
+    )
 
 
 def stage_profile(spans: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ the emitted rows finishes.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,8 @@ from larkspur.operators.windows import top_k
 from larkspur.session import cut_lineage
 
 BLOCK_BYTES = 64 * 1024 * 1024  # size limit of one block of queries
-PART_ROWS = 16_384  # corpus rows of a part, where queries come in blocks
+PART_ROWS = 16_384  # corpus rows of a part at most, where queries come in blocks
+PART_BYTES = 64 * 1024 * 1024  # corpus bytes of a part, about
 MOST_TASKS = 4_096  # corpus tasks of one scan: each emits up to k rows per query
 CELLS_PER_STEP = 4_000_000  # score cells held at a time in one task
 SCORE_DIGITS = 9  # equal items must tie exactly, so scores are rounded
@@ -134,11 +136,24 @@ def _in_place(
     return rows.coalesce(MOST_TASKS).mapInArrow(best, out)
 
 
+def _bytes(kind: T.DataType, value: Column) -> Column:
+    """About the bytes of a payload in a task: arrays by their elements, structs by their fields."""
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, T.StringType):
+            return F.aggregate(value, F.lit(16), lambda n, t: n + F.octet_length(t) + 16)
+        return F.size(value) * 8 + 16
+    if isinstance(kind, T.StructType):
+        return reduce(lambda a, b: a + b, [_bytes(f.dataType, value[f.name]) for f in kind.fields])
+    return F.octet_length(value) + 16 if isinstance(kind, (T.StringType, T.BinaryType)) else F.lit(16)
+
+
 def _by_parts(
     rows: DataFrame, item: str, asked: DataFrame, query_key: str, blocks: int, make_scorers: Callable[[list], Scorers],
     k: int, out: T.StructType, arrow: pa.Schema,
 ) -> DataFrame:
-    parts = max(-(-rows.count() // PART_ROWS), 1)
+    payload = rows.columns[1]
+    size = rows.agg(F.count("*").alias("n"), F.sum(_bytes(rows.schema[payload].dataType, F.col(payload))).alias("bytes")).first()
+    parts = max(-(-size["n"] // PART_ROWS), -(-(size["bytes"] or 0) // PART_BYTES), 1)
 
     def numbers(n: int) -> Column:
         return F.sequence(F.lit(0), F.lit(n - 1))

@@ -180,6 +180,7 @@ class CellIndex:
         return CellIndex(self.centres, self.rows.sparkSession.read.parquet(path), self.item, self.vector)
 
 
+NAMED_CELLS = 1_000  # probed cells that are put into the plan as literals
 MOST_CELLS = 65_536  # centres that every task holds
 
 
@@ -257,8 +258,14 @@ def search_cells(
             )
 
     probing = cut_lineage(asked.mapInArrow(choose, schema))
-    probed = probing.select(F.explode("_probes").alias("cell")).distinct().collect()  # at most one row per cell
-    rows = index.rows.where(F.col("cell").isin([r["cell"] for r in probed])).select(
+    # cells are a partition column where the index is stored: few are named in the scan, more are joined
+    probed = cut_lineage(probing.select(F.explode("_probes").alias("cell")).distinct())
+    named = probed.limit(NAMED_CELLS + 1).collect()
+    held = (
+        index.rows.where(F.col("cell").isin([r["cell"] for r in named])) if len(named) <= NAMED_CELLS
+        else index.rows.join(F.broadcast(probed), "cell", "left_semi")  # at most MOST_CELLS numbers
+    )
+    rows = held.select(
         index.item, F.struct(F.col("cell"), F.col(index.vector).alias("vector")).alias("_row")
     )
 

@@ -251,6 +251,12 @@ def _(t):
     return checked.select("doc_id", "f.*", "single")
 
 
+@query("k8_recursive_chunk_rows")
+def _(t):
+    """The chunks themselves, as digests."""
+    return digest(rows_of(t, ch.recursive_chunks(1200, 200)(F.col("text"))))
+
+
 @query("k9_fixed_chunks", DIGEST.format(exploded(
     "(SELECT [substring(text, CAST(i + 1 AS BIGINT), 1200) FOR i IN s] FROM (SELECT " + starts("length(text)", 1200, 200) + " AS s))")))
 def _(t):
@@ -418,3 +424,19 @@ def _(t):
     split = ch.recursive_chunks(900, 150)
     rows = t.documents.select("doc_id", tx.clean_text("text").alias("text")).withColumn("c", split(F.col("text")))
     return rows.select("doc_id", chunk_facts(F.col("c"), F.col("text"), 900).alias("f")).select("doc_id", "f.*")
+
+
+@query("j1_chunk_rows")
+def _(t):
+    """The chunks of the clean texts, as digests."""
+    clean = t.documents.select("doc_id", tx.clean_text("text").alias("text"))
+    rows = clean.select("doc_id", F.posexplode(ch.recursive_chunks(900, 150)(F.col("text"))).alias("chunk_index", "content"))
+    return rows.select("doc_id", "chunk_index", F.length("content").alias("chars"), F.md5("content").alias("digest"))
+
+
+@query("k22_search_chunk_rows")
+def _(t):
+    """The search-ready chunks, as digests."""
+    texts = dc.document_text(dc.parse_pages(t.pages)).withColumn("doc_text", tx.clean_text("doc_text"))
+    rows = ch.chunk_rows(texts, "page_id", ch.recursive_chunks(900, 150)(F.col("doc_text")))
+    return rows.select("chunk_id", "source_doc", "chunk_index", F.md5("content").alias("digest"))

@@ -61,6 +61,13 @@ def _(t):
     return scored.select("labelled", (F.col("right") >= majority).alias("at_least_majority"), "predicted")
 
 
+@query("m3_predictions")
+def _(t):
+    """The label that the trained classifier gives to each document."""
+    model = en.train_classifier(t.documents.join(t.labels, "doc_id"), "text", "toxic")
+    return en.predict(model, t.documents.select("doc_id", "text"), "text").select("doc_id", "prediction")
+
+
 @query("m4_sentiment", f"SELECT doc_id, {MOOD} AS sentiment FROM ({SCORES})")
 def _(t):
     return t.documents.select("doc_id", en.sentiment("text", POSITIVE, NEGATIVE).alias("sentiment"))
@@ -79,6 +86,12 @@ def _(t):
     return rows.select("doc_id", summary_facts(F.col("summary"), F.col("text"), 20).alias("fits"))
 
 
+@query("m5_summaries")
+def _(t):
+    """The summaries themselves."""
+    return t.documents.select("doc_id", en.summarize(20)(F.col("text")).alias("summary"))
+
+
 @query("m6_mask_entities", r"""
 SELECT doc_id, md5(regexp_replace(regexp_replace(text, '[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.-]+', '[MASKED]', 'g'),
   '\+?\d[\d\s().-]{7,}\d', '[MASKED]', 'g')) AS digest FROM documents""")
@@ -220,6 +233,18 @@ def _(t):
     )
 
 
+@query("m16_similarities")
+def _(t):
+    """The similarity of every question and its answer."""
+    model = vec.TextEmbedder.fit(t.documents, "text", 256)
+    asked = t.conversations.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("question"))
+    answers = t.conversations.where(F.col("role") == "assistant").select(
+        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer")
+    )
+    out = en.similarity(model, asked.join(answers, ["conv_id", "turn"]), "question", "answer", "similarity")
+    return out.select("conv_id", "turn", F.round("similarity", 6).alias("similarity"))
+
+
 @query("m17_forecast", """
 WITH daily AS (SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1, 2),
 sp AS (SELECT event_type, min(day) AS f, max(day) AS l FROM daily GROUP BY 1),

@@ -267,6 +267,23 @@ def _(t):
     return stored.groupBy("source").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
 
 
+@query("a16_curve_layout", """
+SELECT l_returnflag, count(*) AS n, CAST(sum(l_orderkey) AS BIGINT) AS keys, true AS few FROM lineitem
+WHERE l_partkey BETWEEN (SELECT quantile_disc(l_partkey, 0.4) FROM lineitem) AND (SELECT quantile_disc(l_partkey, 0.5) FROM lineitem)
+  AND l_extendedprice BETWEEN 20000 AND 30000 GROUP BY 1""")
+def _(t):
+    """A filter on two columns of a table laid along a curve over both, and whether it opened less than half of the files."""
+    rows = t.lineitem.select("l_orderkey", "l_partkey", "l_extendedprice", "l_returnflag")
+    columns = ["l_partkey", "l_extendedprice"]
+    stored = writes.write_curve(rows, work_dir(t.spark, "curve"), columns, files=32)
+    index = writes.write_file_index(stored, columns, work_dir(t.spark, "curve-files"))
+    low, high = t.lineitem.select(F.percentile_approx("l_partkey", [0.4, 0.5], 1_000_000)).first()[0]
+    found, files = writes.read_ranges(stored, index, {"l_partkey": (low, high), "l_extendedprice": (20_000, 30_000)})
+    return found.groupBy("l_returnflag").agg(
+        F.count("*").alias("n"), F.sum("l_orderkey").alias("keys"), F.lit(2 * files < index.count()).alias("few")
+    )
+
+
 @query("a17_merge_records", f"""
 WITH {REQUESTS},
 existing AS (SELECT conv_id AS question_id, 1 AS version FROM conversations GROUP BY 1),

@@ -54,6 +54,17 @@ def _(t):
     return tm.stage_profile(tm.exclusive_times(tm.traces_from_requests(tm.requests_from_events(t.events))))
 
 
+@query("p3_critical_path", SPANS.replace("WITH requests", "WITH RECURSIVE requests", 1) + """
+, best AS (SELECT *, row_number() OVER (PARTITION BY trace_id, parent_id ORDER BY duration_ms DESC, span_id) AS place FROM own),
+walk AS (SELECT trace_id, 0 AS depth, span_id, span_type, duration_ms, exclusive_ms FROM best WHERE parent_id IS NULL AND place = 1
+  UNION ALL SELECT b.trace_id, w.depth + 1, b.span_id, b.span_type, b.duration_ms, b.exclusive_ms
+  FROM walk w JOIN best b ON b.trace_id = w.trace_id AND b.parent_id = w.span_id AND b.place = 1)
+SELECT trace_id, CAST(depth AS BIGINT) AS depth, CAST(span_id AS BIGINT) AS span_id, span_type, duration_ms, exclusive_ms FROM walk""")
+def _(t):
+    """The slowest way through every trace."""
+    return tm.critical_path(tm.traces_from_requests(tm.requests_from_events(t.events)))
+
+
 @query("p5_telemetry_daily", f"""
 WITH {REQUESTS}
 SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS request_count,

@@ -200,3 +200,47 @@ def test_slices_are_picked_where_they_fit(star):
     same(["Cabin"], ["Mean Fare"])  # cannot be added up
     with pytest.raises(mv.MetricViewError):
         TRIPS.answer(star, slices, ["Cabin"], ["Nope"])
+
+
+def plain_path(spans):
+    """Root to leaf through the longest child, one step after the other."""
+    children = {}
+    for s in spans:
+        children.setdefault(s[1], []).append(s)
+    out, depth, at = [], 0, None
+    while children.get(at):
+        best = min(children[at], key=lambda s: (-s[3], s[0]))
+        used = sum(c[3] for c in children.get(best[0], []))
+        out.append((depth, best[0], best[2], best[3], best[3] - used))
+        depth, at = depth + 1, best[0]
+    return out
+
+
+def test_critical_paths_equal_a_plain_walk(spark):
+    """Random trees, a chain of 3,000 spans, a trace of 10,000 spans, and traces without a root, with a loop, or empty."""
+    import random
+
+    draw = random.Random(6)
+    traces = {}
+    for t in range(30):
+        traces[f"t{t}"] = [(i, draw.randrange(i) if i else None, f"K{i % 4}", draw.randint(1, 9)) for i in range(draw.randint(1, 100))]
+    traces["chain"] = [(i, i - 1 if i else None, "C", 5000 - i) for i in range(3_000)]
+    traces["wide"] = [(i, draw.randrange(max(i // 2, 1)) if i else None, "W", draw.randint(1, 1000)) for i in range(10_000)]
+    traces["loop"] = [(0, None, "R", 5), (1, 2, "A", 3), (2, 1, "B", 3), (3, 0, "C", 1)]
+    traces["no root"] = [(1, 7, "A", 3)]
+    traces["two roots"] = [(1, None, "A", 3), (2, None, "B", 4), (3, 2, "C", 4), (4, 2, "D", 4)]
+    traces["empty"] = []
+    schema = "trace_id string, spans array<struct<span_id:bigint,parent_id:bigint,span_type:string,duration_ms:bigint>>"
+    got = {}
+    for r in tm.critical_path(spark.createDataFrame(list(traces.items()), schema)).collect():
+        got.setdefault(r["trace_id"], []).append((r["depth"], r["span_id"], r["span_type"], r["duration_ms"], r["exclusive_ms"]))
+    assert {t: sorted(p) for t, p in got.items()} == {t: p for t, spans in traces.items() if (p := plain_path(spans))}
+
+
+def test_exclusive_times_of_long_and_short_traces_agree(spark, monkeypatch):
+    schema = "trace_id string, spans array<struct<span_id:bigint,parent_id:bigint,span_type:string,duration_ms:bigint>>"
+    spans = [(i, (i - 1) // 3 if i else None, "S", 100 - i) for i in range(60)]
+    traces = spark.createDataFrame([("a", spans), ("b", spans[:5]), ("c", None)], schema)
+    inside = sorted(map(tuple, tm.exclusive_times(traces).collect()), key=str)
+    monkeypatch.setattr(tm, "SPANS_IN_ROW", 3)
+    assert sorted(map(tuple, tm.exclusive_times(traces).collect()), key=str) == inside and len(inside) == 65
