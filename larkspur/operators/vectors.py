@@ -239,13 +239,8 @@ class CellScorer:
             yield step, scores
 
 
-def search_cells(
-    index: CellIndex, queries: DataFrame, k: int, nprobe: int | None = 4,
-    query_key: str = "query_id", query_vector: str = "query_vector",
-) -> DataFrame:
-    """Approximate top-k: only the ``nprobe`` cells nearest to each query are read (None: all, which is exact)."""
-    centres = index.centres
-    probes = len(centres) if nprobe is None else min(nprobe, len(centres))
+def probed_queries(centres: np.ndarray, queries: DataFrame, probes: int, query_key: str, query_vector: str) -> DataFrame:
+    """Queries with a vector and the ``_probes`` nearest cells of each; stored."""
     asked = queries.where(F.col(query_vector).isNotNull()).select(query_key, query_vector)
     place = asked.columns.index(query_vector)
     schema = T.StructType([*asked.schema.fields, T.StructField("_probes", T.ArrayType(T.IntegerType()))])
@@ -257,15 +252,26 @@ def search_cells(
                 [*batch.columns, pa.array(near.tolist(), pa.list_(pa.int32()))], names=[*batch.schema.names, "_probes"]
             )
 
-    probing = cut_lineage(asked.mapInArrow(choose, schema))
-    # cells are a partition column where the index is stored: few are named in the scan, more are joined
+    return cut_lineage(asked.mapInArrow(choose, schema))
+
+
+def rows_of_cells(rows: DataFrame, probing: DataFrame) -> DataFrame:
+    """Rows of the probed cells; the cell is a partition column where the index is stored."""
     probed = cut_lineage(probing.select(F.explode("_probes").alias("cell")).distinct())
     named = probed.limit(NAMED_CELLS + 1).collect()
-    held = (
-        index.rows.where(F.col("cell").isin([r["cell"] for r in named])) if len(named) <= NAMED_CELLS
-        else index.rows.join(F.broadcast(probed), "cell", "left_semi")  # at most MOST_CELLS numbers
-    )
-    rows = held.select(
+    if len(named) <= NAMED_CELLS:
+        return rows.where(F.col("cell").isin([r["cell"] for r in named]))
+    return rows.join(F.broadcast(probed), "cell", "left_semi")  # at most MOST_CELLS numbers
+
+
+def search_cells(
+    index: CellIndex, queries: DataFrame, k: int, nprobe: int | None = 4,
+    query_key: str = "query_id", query_vector: str = "query_vector",
+) -> DataFrame:
+    """Approximate top-k: only the ``nprobe`` cells nearest to each query are read (None: all, which is exact)."""
+    probes = len(index.centres) if nprobe is None else min(nprobe, len(index.centres))
+    probing = probed_queries(index.centres, queries, probes, query_key, query_vector)
+    rows = rows_of_cells(index.rows, probing).select(
         index.item, F.struct(F.col("cell"), F.col(index.vector).alias("vector")).alias("_row")
     )
 

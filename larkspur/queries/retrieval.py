@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from larkspur.functions import similarity as sim
+from larkspur.operators import compressed as cp
 from larkspur.operators import keyword as kw
 from larkspur.operators import vectors as vec
 from larkspur.operators.inverted import InvertedIndex
@@ -115,6 +116,29 @@ def _(t):
     return hits.withColumn("score", F.round("score", 6))
 
 
+def compressed_hits(t):
+    index = cp.build(t.embeddings, "vec_id", "embedding", work_dir(t.spark, "codes"))
+    return index, cp.search(index, label_queries(t), 10, nprobe=max(3 * len(index.centres) // 4, 1))
+
+
+@query("l6_compressed_search")
+def _(t):
+    """Hits found through codes, with their exact scores."""
+    return compressed_hits(t)[1].withColumn("score", F.round("score", 6))
+
+
+@query("l6_compressed_recall", "SELECT CAST(label AS BIGINT) AS query_id, true AS enough, 16::BIGINT AS read_bytes, 256::BIGINT AS vector_bytes FROM embeddings GROUP BY 1")
+def _(t):
+    """Whether the mean recall over all queries is 0.9 or more, and the bytes that a probe reads of a vector."""
+    index, found = compressed_hits(t)
+    recall = vec.recall_at_k(vec.search(t.embeddings, label_queries(t), 10), found, "query_id", "vec_id")
+    mean = cut_lineage(recall.agg(F.avg("recall").alias("mean")))
+    read, whole = index.bytes_per_vector()
+    return recall.crossJoin(F.broadcast(mean)).select(
+        "query_id", (F.col("mean") >= 0.9).alias("enough"), F.lit(read).alias("read_bytes"), F.lit(whole).alias("vector_bytes")
+    )
+
+
 @query("l7_filtered_search", f"""
 WITH {CENTRES},
 s AS (SELECT query_id, vec_id, round(list_cosine_similarity(q, e), 9) AS score FROM centres, v
