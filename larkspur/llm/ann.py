@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from larkspur.llm.arrow import groups_in, matrix_of
+from larkspur.llm.whole import packed
 from larkspur.session import cut_lineage
 
 LIST_ROWS = 256  # vectors of a posting list, about
@@ -42,6 +43,7 @@ MARGIN_SAMPLE = 8_192  # vectors that the copying margin is measured on
 RECALL, RECALL_QUERIES = 0.93, 128  # share of exact answers that the lists read must hold; queries it is measured on
 GRAPH_DEGREE, SMALL = 24, 64  # neighbours of a centroid; so few centroids are simply compared
 REFINED = 4  # rounds in which centroids move to the mean direction of their sample vectors
+FIRST_LISTS = 4  # lists read first; the k-th score found there is a limit for the others
 LIST_PART = 4_096  # a list is dealt over tasks beyond so many vectors
 
 
@@ -229,31 +231,36 @@ def search(
     sizes = {row["list"]: row["n"] for row in postings.groupBy("list").agg(F.count("*").alias("n")).collect()}  # MAX_LISTS rows
     parts = np.array([max(1, -(-sizes.get(i, 0) // LIST_PART)) for i in range(len(points))])
     first = np.cumsum(np.r_[0, parts])
-    questions = rows.where("asks").select("id", "x").distinct()
+    questions = cut_lineage(rows.where("asks").select("id", "x").distinct())
     tried = questions.orderBy(F.xxhash64("id"), "id", "x").limit(RECALL_QUERIES).toArrow()
     probes, ratio = _budget(
         stored, postings, centroids, tried.column("id").to_numpy(), _matrix(tried.column("x").to_pylist(), width), k, recall
     )
 
-    def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = _matrix(batch.column("x").to_pylist(), width)
-            full = np.concatenate([x, np.zeros((len(x), 1))], axis=1)
-            part, who = [], []
-            for i, row in enumerate(full):
-                for c in lists_to_read(centroids, row, probes, ratio).tolist():
-                    part += range(first[c], first[c + 1])
-                    who += [i] * parts[c]
-            packed = pa.array([row.tobytes() for row in x], pa.binary()).take(pa.array(who, pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(part, pa.int64()), pa.array(np.ones(len(part), np.int32)),
-                    batch.column("id").take(pa.array(who, pa.int64())), pa.nulls(len(part), pa.list_(pa.int64())), packed,
-                ],
-                ["part", "side", "id", "ids", "row"],
-            )
+    def asking(start: int, stop: int | None):
+        """A task function: questions to the parts of the lists that they read, nearest first, from the start-th on."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x = _matrix(batch.column("x").to_pylist(), width)
+                full = np.concatenate([x, np.zeros((len(x), 1))], axis=1)
+                part, who = [], []
+                for i, row in enumerate(full):
+                    for c in lists_to_read(centroids, row, probes, ratio)[start:stop].tolist():
+                        part += range(first[c], first[c + 1])
+                        who += [i] * parts[c]
+                at = pa.array(who, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(part, pa.int64()), pa.array(np.ones(len(part), np.int32)), batch.column("id").take(at),
+                        pa.nulls(len(part), pa.list_(pa.int64())), packed(x).take(at), batch.column("floor").take(at),
+                    ],
+                    ["part", "side", "id", "ids", "row", "floor"],
+                )
+
+        return run
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -262,9 +269,9 @@ def search(
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(first[own] + mixed % parts[own]), pa.array(np.zeros(len(own), np.int32)),
-                    pa.nulls(len(own), pa.int64()), batch.column("ids"), batch.column("row"),
+                    pa.nulls(len(own), pa.int64()), batch.column("ids"), batch.column("row"), pa.nulls(len(own), pa.float64()),
                 ],
-                ["part", "side", "id", "ids", "row"],
+                ["part", "side", "id", "ids", "row", "floor"],
             )
 
     def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,17 +286,28 @@ def search(
                 if queries_here.any() and ids:
                     if len(x) > 1:
                         x = [np.concatenate(x)]
-                    who = run.column("id").filter(pa.array(queries_here)).to_numpy(zero_copy_only=False)
-                    yield from _list_answers(who.astype(np.int64), data[queries_here], ids, x[0], k)
+                    mine = run.filter(pa.array(queries_here))
+                    who = mine.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
+                    floors = mine.column("floor").to_numpy(zero_copy_only=False)
+                    yield from _list_answers(who, data[queries_here], ids, x[0], k, floors)
 
-    schema = "part long, side int, id long, ids array<long>, row binary"
+    schema = "part long, side int, id long, ids array<long>, row binary, floor double"
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(int(first[-1]), 4_096))
-    best = (
-        postings.mapInArrow(dealt, schema).unionAll(questions.mapInArrow(asking, schema))
-        .repartition(tasks, "part").sortWithinPartitions("part", "side")
-        .mapInArrow(answered, "query_id long, vec_id long, score double")
-    ).distinct()
-    return _ranked(best, k)
+
+    def found(asked: DataFrame, start: int, stop: int | None) -> DataFrame:
+        return (
+            postings.mapInArrow(dealt, schema).unionAll(asked.mapInArrow(asking(start, stop), schema))
+            .repartition(tasks, "part").sortWithinPartitions("part", "side")
+            .mapInArrow(answered, "query_id long, vec_id long, score double")
+        ).distinct()
+
+    nearest = _ranked(found(questions.withColumn("floor", F.lit(float("-inf"))), 0, FIRST_LISTS), k)
+    if lists <= FIRST_LISTS:
+        return nearest
+    nearest = cut_lineage(nearest)
+    limits = nearest.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("limit"))
+    limited = questions.join(limits, "id", "left").select("id", "x", F.coalesce("limit", F.lit(float("-inf"))).alias("floor"))
+    return _ranked(nearest.drop("rank").unionAll(found(limited, FIRST_LISTS, None)).distinct(), k)
 
 
 def _ranked(answers: DataFrame, k: int) -> DataFrame:
@@ -389,13 +407,15 @@ def measured_ratio(
 
 
 def _list_answers(
-    who: np.ndarray, asked: np.ndarray, ids: list[list[int]], x: np.ndarray, k: int
+    who: np.ndarray, asked: np.ndarray, ids: list[list[int]], x: np.ndarray, k: int, floors: np.ndarray | None = None
 ) -> Iterator[pa.RecordBatch]:
     for at in range(0, len(who), 512):
         scores = np.stack([x @ row for row in asked[at:at + 512]])  # one query at a time: the same sums in every list
         take = min(k + 1, scores.shape[1])
         top = np.argpartition(-scores, take - 1, axis=1)[:, :take]
         edge = np.take_along_axis(scores, top, axis=1).min(axis=1)
+        if floors is not None:  # an equal score may still win by its id
+            edge = np.maximum(edge, floors[at:at + 512])
         query, vec, score = [], [], []
         for i, q in enumerate(who[at:at + 512].tolist()):
             rows = np.flatnonzero(scores[i] >= edge[i])
