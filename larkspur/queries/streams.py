@@ -75,6 +75,15 @@ def _(t):
     )
 
 
+@query("i1_stream_chunk_rows")
+def _(t):
+    """The chunks that the stream wrote, as digests."""
+    out, state = work_dir(t.spark, "pages"), work_dir(t.spark, "pages-state")
+    ig.run_document_stream(stream_of(t, "pages"), out, state, size=900, overlap=150).awaitTermination()
+    chunks = t.spark.read.parquet(f"{out}/chunks")
+    return chunks.select("chunk_id", "source_doc", "chunk_index", F.md5("content").alias("digest"))
+
+
 @query("i2_fan_out", f"""
 SELECT CASE WHEN {BROKEN} THEN 'quarantine' ELSE 'clean' END AS route, count(*) AS n, CAST(sum(page_id) AS BIGINT) AS ids FROM pages GROUP BY 1""")
 def _(t):
