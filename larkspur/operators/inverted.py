@@ -105,9 +105,11 @@ class SegmentPostings:
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
             order = a + np.argsort(base[a:b], kind="stable")
             self.by_term[terms[a]] = (order, base[order], high[order], n[order])
-        self.size = SEGMENT_DOCS
+        lasts = [rows["base"][order[-1]] + int(np.frombuffer(rows["offsets"][order[-1]], np.uint16).sum(dtype=np.int64)) for order, *_rest in self.by_term.values()]
+        self.size = max([*lasts, *removed.tolist()], default=-1) + 1
         self.removed = removed
         self.held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.whole: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
     def block(self, row: int) -> tuple[np.ndarray, np.ndarray]:
         if row not in self.held:
@@ -118,6 +120,21 @@ class SegmentPostings:
             self.held[row] = docs, impact(counts, lengths, self.mean)
         return self.held[row]
 
+    def term(self, term: str) -> tuple[np.ndarray, np.ndarray]:
+        """Documents and impacts of all blocks of a term, decoded together."""
+        if term not in self.whole:
+            order, base, _high, n = self.by_term[term]
+            self.decoded += len(order)
+
+            def joined(name: str, kind) -> np.ndarray:
+                return np.frombuffer(b"".join([self.rows[name][row] for row in order.tolist()]), kind)
+
+            steps = np.cumsum(joined("offsets", np.uint16), dtype=np.int64)
+            starts = np.r_[0, np.cumsum(n)[:-1]]
+            docs = steps + np.repeat(base - steps[starts], n)  # a block's first offset is 0
+            self.whole[term] = docs, impact(joined("counts", np.uint32).astype(float), joined("lengths", np.uint32).astype(float), self.mean)
+        return self.whole[term]
+
     def best(self, terms: list[str], weights: list[float], k: int) -> tuple[np.ndarray, np.ndarray]:
         """Offsets and rounded scores of the best ``k`` documents, ties by offset."""
         asked = sorted(((w, t) for t, w in zip(terms, weights) if t in self.by_term), reverse=True)
@@ -137,13 +154,13 @@ class SegmentPostings:
                     seen = total[docs] > 0
                     total[docs[seen]] += weight * part[seen]
             else:
-                for row in rows.tolist():
-                    docs, part = self.block(row)
-                    total[docs] += weight * part
+                docs, part = self.term(term)
+                total[docs] += weight * part
             total[self.removed] = 0.0
-            positive = total[total > 0]
-            if len(positive) >= k:
-                edge = np.partition(positive, len(positive) - k)[len(positive) - k]
+            if rest[i + 1] < total.max(initial=0.0):  # otherwise no score is an edge yet that could be missed
+                positive = total[total > 0]
+                if len(positive) >= k:
+                    edge = np.partition(positive, len(positive) - k)[len(positive) - k]
         docs = np.flatnonzero(total)
         scores = np.round(total[docs], topk.SCORE_DIGITS)
         order = np.lexsort((docs, -scores))[:k]
@@ -414,8 +431,13 @@ class InvertedIndex:
         removed = self._all("removed")
         if removed is None:
             removed = self.spark.createDataFrame([], "part int, segment long, doc int")
+        # the postings are small, scoring them is not: as many tasks as there are segments, however few bytes they have
+        cores = self.spark.sparkContext.defaultParallelism
+        documents = sum(c.get("documents", 0) for c in self.commits)
+        tasks = max(4 * cores, min(-(-documents // SEGMENT_DOCS), topk.MOST_TASKS))
         left = blocks.select("part", "segment", "term", "base", "n", "most", "least", "offsets", "counts", "lengths")
-        right = removed.select("part", "segment", "doc")
+        left = left.repartition(tasks, "part", "segment")
+        right = removed.select("part", "segment", "doc").repartition(tasks, "part", "segment")
         return left.groupBy("part", "segment").cogroup(right.groupBy("part", "segment")).applyInArrow(best, out)
 
 
