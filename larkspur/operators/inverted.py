@@ -316,10 +316,13 @@ class InvertedIndex:
             return blocks.where(F.col("term").isin([r["term"] for r in vocabulary.collect()]))
         return blocks.join(broadcast_if_small(vocabulary, 1, found["bytes"] or 0), "term", "left_semi")
 
-    def statistics(self, vocabulary: DataFrame) -> tuple[DataFrame, int, float]:
-        """``term`` and ``df`` of the vocabulary (stored), the number of documents and their mean length."""
+    def statistics(self, vocabulary: DataFrame, blocks: DataFrame | None = None) -> tuple[DataFrame, int, float]:
+        """``term`` and ``df`` of the vocabulary (stored), the number of documents and their mean length.
+
+        ``blocks`` are the postings of the vocabulary, where they are at hand.
+        """
         documents, length = (sum(c.get(name, 0) for c in self.commits) for name in ("documents", "length"))
-        blocks, removed = self.postings(vocabulary), self._all("removed")
+        blocks, removed = self.postings(vocabulary) if blocks is None else blocks, self._all("removed")
         counted = blocks.select("term", F.col("n").cast("bigint").alias("n")) if blocks is not None else None
         if counted is None:
             return self.spark.createDataFrame([], "term string, df long"), 0, 1.0
@@ -365,7 +368,8 @@ class InvertedIndex:
         asked = queries.select(query_key, F.array_distinct(tx.tokens(query_text)).alias("_terms"))
         terms = cut_lineage(asked.select(query_key, F.explode("_terms").alias("term")))
         vocabulary = cut_lineage(terms.select("term").distinct())
-        df, documents, mean = self.statistics(vocabulary)
+        postings = self.postings(vocabulary)
+        df, documents, mean = self.statistics(vocabulary, postings)
         weight = F.log1p((F.lit(documents) - F.col("df") + 0.5) / (F.col("df") + 0.5))
         size = df.agg(F.sum(F.octet_length("term") + 64)).first()[0] or 0
         pairs = F.sort_array(F.collect_list(F.struct("term", weight.alias("weight"))))
@@ -379,7 +383,7 @@ class InvertedIndex:
         found = None
         for number in range(blocks):
             own = weighted.where(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == number) if blocks > 1 else weighted
-            hits = self._scored(own.collect(), vocabulary, query_key, weighted.schema[query_key], k, mean)
+            hits = self._scored(own.collect(), postings, query_key, weighted.schema[query_key], k, mean)
             if hits is not None:
                 found = hits if found is None else found.unionAll(hits)
         if found is None:
@@ -393,8 +397,9 @@ class InvertedIndex:
         named = held.join(broadcast_if_small(found, found.count(), 64), ["_part", "_segment", "_doc"])
         return top_k(named.select(query_key, item, "score"), [query_key], [F.col("score").desc(), F.col(item)], k)
 
-    def _scored(self, rows: list, vocabulary: DataFrame, query_key: str, key_field: T.StructField, k: int, mean: float) -> DataFrame | None:
-        blocks = self.postings(vocabulary)
+    def _scored(
+        self, rows: list, blocks: DataFrame | None, query_key: str, key_field: T.StructField, k: int, mean: float
+    ) -> DataFrame | None:
         if blocks is None or not rows:
             return None
         shared = self.spark.sparkContext.broadcast(
