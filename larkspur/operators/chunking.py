@@ -6,14 +6,15 @@ needs no shuffle.  A text is one row and is always processed whole.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkspur.functions import text as tx
+from larkspur.functions.batches import byte_runs
 from larkspur.functions.similarity import set_cosine
 
 # Boundaries from coarse to fine.
@@ -164,13 +165,19 @@ def pack_pieces(pieces: list[str], size: int, overlap: int) -> list[str]:
 
 
 def recursive_chunks(size: int = 1200, overlap: int = 200) -> Callable[[Column], Column]:
-    """The recursive splitter as an Arrow-batched function of a text column."""
+    """The recursive splitter as an Arrow-batched function of a text column.
+
+    Chunks are given back after every run of a few megabytes of text, so a task
+    holds the strings of one run, however many rows a batch has.
+    """
     if overlap >= size:
         raise ValueError("overlap must be smaller than the size")
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def split(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda s: split_recursively(s, size, overlap) if s else [])
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def split(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for run in byte_runs(batch):
+                yield pa.array([split_recursively(s, size, overlap) if s else [] for s in run.to_pylist()], pa.list_(pa.string()))
 
     return split
 

@@ -1,9 +1,11 @@
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from larkspur.functions import text as tx
+from larkspur.functions.batches import RUN_BYTES
 from larkspur.operators import chunking as ch
 from larkspur.operators import documents as dc
 from larkspur.operators.relational import expect_or_drop, split_quarantine
@@ -200,3 +202,13 @@ def test_expand_terms(spark):
 def test_noise_rules_with_carriage_returns(spark):
     text = "Last updated: 2026-03-01\r\nkeep\r\nThis document is confidential, all of it\r\nalso\r\nlast updated: x"
     assert one(spark, text, tx.clean_text) == "keep\nalso"
+
+
+def test_recursive_splitter_gives_chunks_back_in_runs_of_bytes(spark):
+    texts = [("word " * (i % 700)).strip() or None for i in range(4_000)] + ["x" * (3 * RUN_BYTES), ""]
+    runs = list(ch.recursive_chunks(900, 150).func(iter([pa.array(texts), pa.array([], pa.string())])))
+    assert [c for run in runs for c in run.to_pylist()] == [ch.split_recursively(s, 900, 150) if s else [] for s in texts]
+    assert max(run.nbytes for run in runs[:-3]) < 2 * RUN_BYTES and len(runs) >= 4
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(texts[:900])], "id int, t string").coalesce(1)
+    got = {r["id"]: r["c"] for r in df.select("id", ch.recursive_chunks(900, 150)(F.col("t")).alias("c")).collect()}
+    assert got == {i: ch.split_recursively(s, 900, 150) if s else [] for i, s in enumerate(texts[:900])}
