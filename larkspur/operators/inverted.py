@@ -20,10 +20,11 @@ that every document has is spread over all segments.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,6 +43,7 @@ BM25_K1, BM25_B = 1.2, 0.75
 BUCKETS = 128  # partitions of the postings, by term
 BLOCK = 128  # documents of a block
 SEGMENT_DOCS, SEGMENT_POSTINGS = 8_192, 4_000_000  # a segment ends at either
+RUN_TOKENS, RUN_BLOCKS = 500_000, 20_000  # tokens coded, or blocks and documents' terms given back, at a time
 FEW_TERMS = 500  # up to so many terms are named in the scan's filter
 
 _POSTINGS = (
@@ -50,42 +52,99 @@ _POSTINGS = (
 
 
 class Segment:
-    """Documents gathered in a task until they make a segment."""
-
-    def __init__(self, items: list, lengths: list[int], tokens: list[list[str]]):
-        order = sorted(range(len(items)), key=lambda i: (items[i] is None, items[i]))
-        self.items = [items[i] for i in order]
-        self.lengths = np.array([lengths[i] for i in order], np.int32)
-        names: dict[str, int] = {}
-        codes = [np.fromiter((names.setdefault(t, len(names)) for t in tokens[i]), np.int64, len(tokens[i])) for i in order]
-        owner = np.repeat(np.arange(len(order)), [len(c) for c in codes])
-        cells, self.counts = np.unique(
-            (np.concatenate(codes) if codes else np.empty(0, np.int64)) * max(len(order), 1) + owner, return_counts=True
-        )
-        self.names = list(names)
-        self.code, self.doc = cells // max(len(order), 1), cells % max(len(order), 1)
-
-    def terms_by_document(self) -> list[list[str]]:
+    """Documents gathered in a task until they make a segment; their tokens are held as numbers.
+
+    ``close`` orders the documents by their items and counts; what is read afterwards
+    is arrays over all postings, in the order of terms and documents.
+    """
+
+    def __init__(self, items: Iterable = (), lengths: Iterable[int] = (), tokens: Iterable[list[str]] = ()):
+        self.items: list = []
+        self.names: dict[str, int] = {}
+        self.postings = 0
+        self.codes: list[np.ndarray] = []
+        self.sizes: list[np.ndarray] = []
+        items = list(items)
+        if items:
+            self.add(items, np.array(lengths, np.int64), pa.array(tokens, pa.list_(pa.string())).flatten())
+            self.close()
+
+    def add(self, items: list, lengths: np.ndarray, tokens: pa.Array) -> None:
+        """More documents with their lengths and, one after the other, their tokens."""
+        coded = tokens.dictionary_encode()
+        place = np.fromiter((self.names.setdefault(t, len(self.names)) for t in coded.dictionary.to_pylist()), np.int32, len(coded.dictionary))
+        self.codes.append(place[coded.indices.to_numpy(zero_copy_only=False)] if len(tokens) else np.empty(0, np.int32))
+        self.items += items
+        self.sizes.append(lengths)
+        self.postings += len(tokens)
+
+    def full(self) -> bool:
+        return len(self.items) >= SEGMENT_DOCS or self.postings >= SEGMENT_POSTINGS
+
+    def close(self) -> None:
+        n = max(len(self.items), 1)
+        order = sorted(range(len(self.items)), key=lambda i: (self.items[i] is None, self.items[i]))
+        sizes = np.concatenate(self.sizes)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        cells = np.concatenate(self.codes).astype(np.int64)
+        self.codes = []
+        cells *= n
+        cells += np.repeat(rank, sizes)
+        cells.sort()
+        starts = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]]) if len(cells) else np.empty(0, np.int64)
+        self.counts = np.diff(starts, append=len(cells)).astype(np.uint32)
+        cells = cells[starts]
+        self.code, self.doc = (cells // n).astype(np.int32), (cells % n).astype(np.uint16)
+        self.items = [self.items[i] for i in order]
+        self.lengths = sizes[order].astype(np.uint32)
+        self.terms = pa.array(list(self.names), pa.string())
+
+    def documents(self) -> Iterator[tuple[int, int, pa.Array, np.ndarray, np.ndarray]]:
+        """(first, end, terms, counts, offsets) of runs of documents: the terms of each and how often it has them."""
         order = np.argsort(self.doc, kind="stable")
-        ends = np.searchsorted(self.doc[order], np.arange(len(self.items) + 1))
-        names = np.array(self.names, object)[self.code[order]]
-        return [names[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])]
+        ends = np.searchsorted(self.doc, np.arange(len(self.items) + 1), sorter=order)
+        first = 0
+        while first < len(self.items):
+            end = max(first + 1, int(np.searchsorted(ends, ends[first] + RUN_TOKENS, "right")) - 1)
+            own = order[ends[first]:ends[end]]
+            yield first, end, self.terms.take(pa.array(self.code[own])), self.counts[own], ends[first:end + 1] - ends[first]
+            first = end
+
+    def block_columns(self) -> Iterator[dict[str, pa.Array]]:
+        """Columns term, base, n, most, least, offsets, counts, lengths of runs of blocks, in the order of terms and documents."""
+        if not len(self.code):
+            return
+        at = np.arange(len(self.code))
+        new = np.r_[True, self.code[1:] != self.code[:-1]]
+        starts = np.flatnonzero((at - np.maximum.accumulate(np.where(new, at, 0))) % BLOCK == 0)
+        for i in range(0, len(starts), RUN_BLOCKS):
+            own = starts[i:i + RUN_BLOCKS]
+            end = starts[i + RUN_BLOCKS] if i + RUN_BLOCKS < len(starts) else len(self.code)
+            run, first = slice(own[0], end), own - own[0]
+            edges = np.r_[first, end - own[0]]
+            docs, counts = self.doc[run], self.counts[run]
+            lengths = self.lengths[docs]
+            offsets = np.diff(docs, prepend=docs[:1])
+            offsets[first] = 0
+            yield {
+                "term": self.terms.take(pa.array(self.code[own])), "base": pa.array(docs[first], pa.int32()),
+                "n": pa.array(np.diff(edges), pa.int32()), "most": pa.array(np.maximum.reduceat(counts, first), pa.int32()),
+                "least": pa.array(np.minimum.reduceat(lengths, first), pa.int32()), "offsets": _cut(offsets, edges),
+                "counts": _cut(counts, edges), "lengths": _cut(lengths, edges),
+            }
 
     def blocks(self) -> Iterator[tuple]:
-        """(term, base, n, most, least, offsets, counts, lengths) in the order of terms and documents."""
-        starts = np.flatnonzero(np.r_[True, self.code[1:] != self.code[:-1]]) if len(self.code) else np.empty(0, np.int64)
-        ends = np.r_[starts[1:], len(self.code)]
-        for a, b in zip(starts.tolist(), ends.tolist()):
-            term = self.names[self.code[a]]
-            for at in range(a, b, BLOCK):
-                docs = self.doc[at:min(at + BLOCK, b)]
-                counts = self.counts[at:at + len(docs)].astype(np.uint32)
-                lengths = self.lengths[docs].astype(np.uint32)
-                offsets = np.diff(docs, prepend=docs[0]).astype(np.uint16)
-                yield (
-                    term, int(docs[0]), len(docs), int(counts.max()), int(lengths.min()), offsets.tobytes(), counts.tobytes(),
-                    lengths.tobytes(),
-                )
+        """(term, base, n, most, least, offsets, counts, lengths) of each block."""
+        for columns in self.block_columns():
+            yield from zip(*(c.to_pylist() for c in columns.values()))
+
+
+def _cut(values: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """The bytes of runs of values as binary values."""
+    values = np.ascontiguousarray(values)
+    places = (edges * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(places), pa.py_buffer(values)])
 
 
 def impact(counts, lengths, mean: float):
@@ -214,47 +273,43 @@ class InvertedIndex:
         )
         arrow = to_arrow_schema(out)
 
-        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            items, tokens, ids, postings = [], [], [], 0
-
-            def closed() -> Iterator[pa.RecordBatch]:
-                if not items:
-                    return
-                one = Segment(items, [len(t) for t in tokens], tokens)
-                number, n = ids[0], len(items)
-                counts, terms = one.counts, one.terms_by_document()
-                by_doc = np.argsort(one.doc, kind="stable")
-                split = np.split(counts[by_doc], np.searchsorted(one.doc[by_doc], np.arange(1, n)))
+        def closed(one: Segment, number: int) -> Iterator[pa.RecordBatch]:
+            one.close()
+            for first, end, terms, counts, offsets in one.documents():
+                places = pa.array(offsets, pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([number] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(one.items, arrow.field("item").type),
-                        pa.array(one.lengths, pa.int32()), pa.array(terms, arrow.field("terms").type),
-                        pa.array([c.tolist() for c in split], arrow.field("counts").type), pa.nulls(n, arrow.field("posting").type),
+                        pa.array([number] * (end - first), pa.int64()), pa.array(range(first, end), pa.int32()),
+                        pa.array(one.items[first:end], arrow.field("item").type), pa.array(one.lengths[first:end], pa.int32()),
+                        pa.ListArray.from_arrays(places, terms, type=arrow.field("terms").type),
+                        pa.ListArray.from_arrays(places, pa.array(counts, pa.int32()), type=arrow.field("counts").type),
+                        pa.nulls(end - first, arrow.field("posting").type),
                     ],
                     schema=arrow,
                 )
-                batch = []
-                for block in one.blocks():
-                    batch.append({
-                        "bucket": None, "term": block[0], "segment": number, "base": block[1], "n": block[2], "most": block[3],
-                        "least": block[4], "offsets": block[5], "counts": block[6], "lengths": block[7],
-                    })
-                    if len(batch) == 20_000:
-                        yield _posting_batch(batch, arrow)
-                        batch = []
-                if batch:
-                    yield _posting_batch(batch, arrow)
+            for columns in one.block_columns():
+                yield _posting_batch(columns, number, arrow)
 
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            one, number = Segment(), None
             for batch in batches:
-                for i, t, number in zip(batch.column("item").to_pylist(), batch.column("tokens").to_pylist(), batch.column("id").to_pylist()):
-                    items.append(i)
-                    tokens.append(t)
-                    ids.append(number)
-                    postings += len(t)
-                    if len(items) == SEGMENT_DOCS or postings >= SEGMENT_POSTINGS:
-                        yield from closed()
-                        items, tokens, ids, postings = [], [], [], 0
-            yield from closed()
+                tokens, ids = batch.column("tokens"), batch.column("id")
+                sizes = pc.list_value_length(tokens).to_numpy(zero_copy_only=False).astype(np.int64)
+                ends = np.r_[0, np.cumsum(sizes)]
+                start = 0
+                while start < batch.num_rows:
+                    filled = int(np.searchsorted(ends, ends[start] + SEGMENT_POSTINGS - one.postings))  # the row that fills it included
+                    run = max(start + 1, int(np.searchsorted(ends, ends[start] + RUN_TOKENS, "right")) - 1)
+                    stop = min(batch.num_rows, max(filled, start + 1), run, start + SEGMENT_DOCS - len(one.items))
+                    number = ids[start].as_py() if number is None else number
+                    own = slice(start, stop)
+                    one.add(batch.column("item").slice(start, stop - start).to_pylist(), sizes[own], tokens.slice(start, stop - start).flatten())
+                    start = stop
+                    if one.full():
+                        yield from closed(one, number)
+                        one, number = Segment(), None
+            if one.items:
+                yield from closed(one, number)
 
         numbered = rows.withColumn("id", F.monotonically_increasing_id())
         staged = cut_lineage(numbered.mapInArrow(pack, out))
@@ -446,7 +501,11 @@ class InvertedIndex:
         return left.groupBy("part", "segment").cogroup(right.groupBy("part", "segment")).applyInArrow(best, out)
 
 
-def _posting_batch(rows: list[dict], arrow: pa.Schema) -> pa.RecordBatch:
-    n = len(rows)
+def _posting_batch(columns: dict[str, pa.Array], number: int, arrow: pa.Schema) -> pa.RecordBatch:
+    kind = arrow.field("posting").type
+    n = len(columns["term"])
+    held = {**columns, "bucket": pa.nulls(n, pa.int32()), "segment": pa.array(np.full(n, number, np.int64))}
+    fields = [kind.field(i) for i in range(kind.num_fields)]
+    postings = pa.StructArray.from_arrays([held[f.name] for f in fields], fields=fields)
     nothing = [pa.nulls(n, arrow.field(i).type) for i in range(len(arrow) - 1)]
-    return pa.RecordBatch.from_arrays([*nothing, pa.array(rows, arrow.field("posting").type)], schema=arrow)
+    return pa.RecordBatch.from_arrays([*nothing, postings], schema=arrow)

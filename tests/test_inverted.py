@@ -1,6 +1,7 @@
 """The stored inverted index against the scan of all token arrays."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,3 +119,28 @@ def test_blocks_without_a_candidate_are_skipped():
     assert [(d, s) for d, s in zip(docs.tolist(), scores.tolist())] == best
     total = sum(r[0] in ("the", "rare") for r in rows)
     assert one.decoded < total / 3
+
+
+def test_a_segment_holds_tokens_as_numbers_and_gives_runs_back(monkeypatch):
+    """Runs of any size make the same segment as all documents at once, and no run exceeds its bound by more than a document."""
+    draw = np.random.default_rng(2)
+    tokens = [[f"w{int(w)}" for w in draw.zipf(1.3, int(draw.integers(0, 60))) % 500] for _doc in range(700)]
+    items = draw.permutation(700).tolist()
+    whole = Segment(items, [len(t) for t in tokens], tokens)
+    parts = Segment()
+    for a in range(0, 700, 90):
+        own = tokens[a:a + 90]
+        parts.add(items[a:a + 90], np.array([len(t) for t in own]), pa.array(own, pa.list_(pa.string())).flatten())
+    assert all(c.dtype == np.int32 for c in parts.codes)  # no strings are held, one number a token
+    parts.close()
+    assert sorted(parts.blocks()) == sorted(whole.blocks())
+    monkeypatch.setattr(inverted, "RUN_TOKENS", 300)
+    monkeypatch.setattr(inverted, "RUN_BLOCKS", 7)
+    assert list(parts.blocks()) == list(whole.blocks())
+    held = {}
+    for first, end, terms, counts, offsets in parts.documents():
+        assert len(terms) <= 300 + 60
+        for i in range(first, end):
+            own = slice(offsets[i - first], offsets[i - first + 1])
+            held[parts.items[i]] = dict(zip(terms.to_pylist()[own], counts[own].tolist()))
+    assert held == {item: {w: t.count(w) for w in t} for item, t in zip(items, tokens)}
