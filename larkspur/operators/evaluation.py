@@ -168,27 +168,38 @@ ENTRY_BYTES = 48  # of one vocabulary entry in a broadcast, besides its term
 def unigram_perplexity(documents: DataFrame, corpus: DataFrame, key: str, text: str) -> DataFrame:
     """Perplexity of each document under an add-one unigram model of the corpus.
 
-    The term counts are stored first; their measured size decides the way back.  A
-    vocabulary that fits a checked broadcast is looked up token by token and
-    nothing but one sum per document is shuffled.  For a larger one, tokens
-    are counted per document, so that a term joins once per document, and
-    terms that nearly every document has are spread by the hot-key join.
+    The term counts are stored first; their measured size decides the way back.  The
+    most frequent terms, as many as a checked broadcast holds, are looked up token
+    by token and nothing but one sum per document is shuffled.  Tokens of the other
+    terms, which are few because those terms are rare, are stored and
+    joined by term; terms that very many of them have are spread by the hot-key join.
     """
     tokens = F.explode(tx.tokens(text)).alias("term")
     model = cut_lineage(corpus.select(tokens).groupBy("term").agg(F.count("*").alias("cf")))
-    size = model.agg(
+    level = F.floor(F.log2("cf")).cast("int")
+    sizes = model.groupBy(level.alias("level")).agg(
         F.sum("cf").alias("n"), F.count("*").alias("v"), F.sum(F.octet_length("term") + ENTRY_BYTES).alias("bytes")
-    ).first()
-    total = (size["n"] or 0) + size["v"] + 1
+    ).collect()  # at most 64 rows
+    total = sum(r["n"] + r["v"] for r in sizes) + 1
     surprise = -F.log((F.coalesce("cf", F.lit(0)) + 1) / F.lit(total))
-    if (size["bytes"] or 0) <= BROADCAST_BYTES:
-        found = documents.select(key, tokens).join(F.broadcast(model), "term", "left")
+    least, held = 64, 0  # terms of this level and above are broadcast
+    for r in sorted(sizes, key=lambda r: -r["level"]):
+        held += r["bytes"]
+        if held > BROADCAST_BYTES:
+            break
+        least = r["level"]
+    every = documents.select(key, tokens)
+    if held <= BROADCAST_BYTES:
+        found = every.join(F.broadcast(model), "term", "left")
         return found.groupBy(key).agg(F.exp(F.avg(surprise)).alias("perplexity"))
-    mine = documents.select(key, tokens).groupBy(key, "term").agg(F.count("*").alias("tf"))
-    # the weight is the number of (document, term) rows to be joined
-    docs = mine.groupBy("term").agg(F.count("*").alias("docs"))
-    joined = join_hot_keys(mine, docs.join(model, "term", "left"), "term", "docs", [F.col(key)], weights=docs)
-    return joined.groupBy(key).agg(F.exp(F.sum(F.col("tf") * surprise) / F.sum("tf")).alias("perplexity"))
+    parts = [F.sum(surprise).alias("s"), F.count("*").alias("n")]
+    frequent = F.broadcast(model.where(level >= least))
+    known = every.join(frequent, "term").groupBy(key).agg(*parts)
+    rest = cut_lineage(every.join(frequent.select("term"), "term", "left_anti"))
+    times = rest.groupBy("term").agg(F.count("*").alias("times"))
+    rare = cut_lineage(times.join(model.where(level < least), "term", "left"))
+    joined = join_hot_keys(rest, rare, "term", "times", [F.col(key), F.monotonically_increasing_id()]).groupBy(key).agg(*parts)
+    return known.unionAll(joined).groupBy(key).agg(F.exp(F.sum("s") / F.sum("n")).alias("perplexity"))
 
 
 def run_means(scores: DataFrame, run: str, scorers: list[str]) -> DataFrame:

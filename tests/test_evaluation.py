@@ -63,6 +63,21 @@ def test_perplexity_paths_agree(spark, tables, monkeypatch):
     assert run() == pytest.approx(small)
 
 
+def test_perplexity_joins_only_tokens_of_rare_terms(spark, monkeypatch):
+    """Frequent terms are looked up, whatever the size of the vocabulary; words that the corpus lacks count too."""
+    rows = [(i, " ".join(["the", "of"] * 20 + [f"own{i}", f"pair{i // 2}"])) for i in range(200)] + [(200, ""), (201, None)]
+    corpus = spark.createDataFrame(rows, "id int, t string")
+    asked = corpus.unionAll(spark.createDataFrame([(202, "the unseen unseen own1"), (203, "unseen")], corpus.schema))
+    wanted = {r["id"]: r["perplexity"] for r in ev.unigram_perplexity(asked, corpus, "id", "t").collect()}
+    joined = []
+    real = ev.join_hot_keys
+    monkeypatch.setattr(ev, "join_hot_keys", lambda left, *a, **b: joined.append(left.count()) or real(left, *a, **b))
+    monkeypatch.setattr(ev, "BROADCAST_BYTES", 200)  # two words
+    got = {r["id"]: r["perplexity"] for r in ev.unigram_perplexity(asked, corpus, "id", "t").collect()}
+    assert got == pytest.approx(wanted) and set(got) == {*range(200), 202, 203}
+    assert joined == [404]  # of 8,405 tokens; all (document, term) pairs are 804
+
+
 def means(spark, **scores):
     rows = [(run, scorer, value) for scorer, pair in scores.items() for run, value in zip(("v1", "v2"), pair) if value is not None]
     return spark.createDataFrame(rows, "run string, scorer string, mean double")
