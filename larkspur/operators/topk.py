@@ -17,6 +17,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -71,6 +72,21 @@ class BestPerQuery:
 Scorers = list[tuple[range, Callable[[pa.RecordBatch], Iterator[tuple[slice, np.ndarray]]]]]
 
 
+def _query_rows(table: pa.Table) -> list[dict]:
+    """A block of queries as dicts; vectors are views of one buffer, not a Python number per component."""
+    columns = {}
+    for name in table.column_names:
+        column = table.column(name)
+        lists = column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays(column.chunks) if column.num_chunks else None
+        numbers = isinstance(column.type, pa.ListType) and pa.types.is_floating(column.type.value_type)
+        if lists is None or not numbers or lists.null_count or lists.flatten().null_count:
+            columns[name] = column.to_pylist()
+        else:
+            ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+            columns[name] = np.split(lists.flatten().to_numpy(zero_copy_only=False), ends[:-1])
+    return [dict(zip(columns, row)) for row in zip(*columns.values())]
+
+
 def _best_rows(
     batches: Iterator[pa.RecordBatch], rows: list, query_key: str, scorers: Scorers, k: int, schema: pa.Schema
 ) -> Iterator[pa.RecordBatch]:
@@ -126,10 +142,10 @@ def _in_place(
     rows: DataFrame, asked: DataFrame, query_key: str, make_scorers: Callable[[list], Scorers], k: int,
     out: T.StructType, arrow: pa.Schema,
 ) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast([r.asDict() for r in asked.collect()])  # one block, measured
+    shared = rows.sparkSession.sparkContext.broadcast(asked.toArrow())  # one block, measured
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = shared.value
+        block = _query_rows(shared.value)
         if block:
             yield from _best_rows(batches, block, query_key, make_scorers(block), k, arrow)
 
@@ -164,7 +180,7 @@ def _by_parts(
     right = asked.withColumn("_block", block).withColumn("_part", F.explode(numbers(parts)))
 
     def best(items: pa.Table, block_rows: pa.Table) -> pa.Table:
-        block = block_rows.to_pylist()
+        block = _query_rows(block_rows)
         found = []
         if block and items.num_rows:
             found = list(_best_rows(iter(items.combine_chunks().to_batches()), block, query_key, make_scorers(block), k, arrow))

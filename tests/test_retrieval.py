@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -195,3 +196,13 @@ def test_queries_in_many_blocks_keep_one_plan(spark, monkeypatch):
         return vec.search(corpus, asked, 2)._jdf.queryExecution().optimizedPlan().toString().count("\n")
 
     assert plan(300) == plan(3000)
+
+
+def test_query_vectors_are_views_of_one_buffer():
+    """A block of queries costs its vectors' bytes, not a Python number per component; other columns are plain values."""
+    vectors = pa.chunked_array([pa.array([[0.5, 1.0], [2.0]], pa.list_(pa.float32())), pa.array([[3.0, 4.0]], pa.list_(pa.float32()))])
+    rows = topk._query_rows(pa.table({"q": [1, 2, 3], "v": vectors, "t": [["a"], [], None], "n": [[1.0, None], None, []]}))
+    assert [r["v"].tolist() for r in rows] == [[0.5, 1.0], [2.0], [3.0, 4.0]]
+    assert all(not r["v"].flags.owndata and r["v"].dtype == np.float32 for r in rows)
+    assert [(r["q"], r["t"], r["n"]) for r in rows] == [(1, ["a"], [1.0, None]), (2, [], None), (3, None, [])]
+    assert topk._query_rows(pa.table({"q": pa.array([], pa.int64()), "v": pa.array([], pa.list_(pa.float32()))})) == []
