@@ -1,12 +1,15 @@
 """Groups of near-duplicate chunks over a whole corpus: MinHash bands, exact check, smallest id as label.
 
-Chunks with equal sets of word shingles are one set with one representative from
-the start, so copies cost nothing further.  Each set has a MinHash signature that
-is cut into bands; sets that share a band meet in one task, where a pair counts
+The JVM hashes the words of a chunk; numpy makes the shingle hashes, the MinHash
+signature and its bands of a run of chunks at once, where they are read.  Shingles
+are stored once, packed, and leave that place only for sets that share a band.
+Chunks with equal sets are one set with one representative, so copies cost
+nothing further.  Sets that share a band meet in one task, where a pair counts
 only if its exact Jaccard similarity reaches the threshold.  Most bands hold one
 set and go no further than a count; bands with the same sets are looked into
 once.  Inside a band a set is compared until it is known to be connected, so near
-copies of one chunk cost one comparison each, and a task emits a spanning forest.
+copies of one chunk cost one comparison each, and a task emits a spanning forest
+of each of its bands, which it takes from one sorted stream.
 A band with very many sets is dealt: every two deals of it meet in some task.
 
 Two sets of similarity s share a band with probability 1 - (1 - s^5)^25, that is
@@ -19,48 +22,149 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from larkspur.functions import text as tx
-from larkspur.operators.skew import broadcast_if_small, join_hot_keys
+from larkspur.operators.skew import BROADCAST_BYTES, broadcast_if_small, join_hot_keys
 from larkspur.session import cut_lineage
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 BANDS, BAND_ROWS = 25, 5
+BAND_BYTES = 40  # of a broadcast band and its number of sets
 DEAL = 1_024  # sets of one deal of a band; two deals meet in a task
+RUN_TOKENS = 1 << 21  # tokens whose shingles a task holds at a time
+RUN_VALUES = 1 << 15  # shingles whose band hashes are computed together
 _SEED = 20_240
 
 
+def token_hashes(text: Column | str) -> Column:
+    return F.transform(tx.tokens(text), lambda token: F.xxhash64(token))
+
+
 def shingles(text: Column | str, words: int = SHINGLE_WORDS) -> Column:
     """Sorted distinct hashes of the word shingles; a text of fewer words is one shingle, without words there is none."""
 
-    def of(tokens: Column) -> Column:
-        whole = F.when(F.size(tokens) < words, F.array(F.array_join(tokens, " "))).otherwise(tx.ngrams(tokens, words))
-        hashed = F.array_sort(F.array_distinct(F.transform(whole, lambda s: F.xxhash64(s))))
-        return F.when(F.size(tokens) > 0, hashed)
-
-    return tx.let(tx.tokens(text), of)
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def sets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for run in token_runs(batches):
+            values, ends = shingle_sets(run, words)
+            yield pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(values), mask=empty(ends))
+
+    return sets(token_hashes(text))
+
+
+def signed_shingles(text: Column | str, words: int = SHINGLE_WORDS) -> Column:
+    """``shingles`` packed into one binary value, and the ``bands`` of the set; both NULL for a text without words."""
+
+    @F.arrow_udf(T.StructType().add("shingles", "binary").add("bands", T.ArrayType(T.LongType())))
+    def signed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for run in token_runs(batches):
+            values, ends = shingle_sets(run, words)
+            none = empty(ends)
+            some = ~none.to_numpy(zero_copy_only=False)
+            keys = pa.array(band_keys_of(values, ends[some]).ravel())
+            bands = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(some * BANDS)], pa.int32()), keys, mask=none)
+            offsets = pa.array(np.r_[0, ends * 8], pa.int32())
+            packed = pa.Array.from_buffers(
+                pa.binary(), len(run), [pa.array(some).buffers()[1], offsets.buffers()[1], pa.py_buffer(values)]
+            )
+            yield pa.StructArray.from_arrays([packed, bands], ["shingles", "bands"])
+
+    return signed(token_hashes(text))
+
+
+def token_runs(batches: Iterator[pa.ListArray]) -> Iterator[pa.ListArray]:
+    """Lists cut into runs of about ``RUN_TOKENS`` numbers, in order; a longer list is a run of its own."""
+    for lists in batches:
+        if not len(lists):
+            yield lists
+            continue
+        _values, ends = flat(lists)
+        start = 0
+        while start < len(lists):
+            before = int(ends[start - 1]) if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + RUN_TOKENS, "right")))
+            yield lists.slice(start, stop - start)
+            start = stop
+
+
+def empty(ends: np.ndarray) -> pa.BooleanArray:
+    return pa.array(np.diff(ends, prepend=0) == 0)
+
+
+def shingle_sets(tokens: pa.ListArray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct shingle hashes of every list of token hashes, in one array, and where each list's end in it."""
+    values, ends = flat(tokens)
+    values = values.view(np.uint64)
+    sizes = np.diff(ends, prepend=0)
+    counts = np.where(sizes < words, np.minimum(sizes, 1), sizes - words + 1)
+    offsets = np.r_[0, np.cumsum(counts)]
+    # where each shingle starts among the tokens
+    at = np.arange(offsets[-1]) + np.repeat(ends - sizes - offsets[:-1], counts)
+    length = np.repeat(np.minimum(sizes, words), counts)
+    hashed = length.astype(np.uint64)
+    for i in range(words):
+        inside = slice(None) if len(length) and length.min() > i else length > i
+        part = (hashed[inside] ^ values[at[inside] + i]) * np.uint64(0x9E3779B97F4A7C15)
+        hashed[inside] = part ^ (part >> np.uint64(32))
+    hashed = hashed.view(np.int64)
+    for start, end in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+        hashed[start:end].sort()
+    fresh = np.ones(len(hashed), bool)
+    fresh[1:] = hashed[1:] != hashed[:-1]
+    fresh[offsets[:-1][counts > 0]] = True
+    return hashed[fresh], np.r_[0, np.cumsum(fresh)][offsets[1:]]
+
+
+def flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all lists in one array, and where each list ends in it; NULL is an empty list."""
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    return lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes, dtype=np.int64)
+
+
+def unpacked(sets: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """``flat`` of packed shingles, none of them NULL."""
+    _valid, offsets, data = sets.buffers()
+    size = np.int64 if pa.types.is_large_binary(sets.type) else np.int32
+    at = np.frombuffer(offsets, size)[sets.offset : sets.offset + len(sets) + 1].astype(np.int64)
+    return np.frombuffer(data, np.int64, int(at[-1] - at[0]) // 8, int(at[0])), (at[1:] - at[0]) // 8
 
 
 def band_keys(sets: list[np.ndarray]) -> np.ndarray:
     """A row of BANDS hashes per set; sets share one with a probability that grows with their similarity."""
+    return band_keys_of(np.concatenate(sets), np.cumsum([len(s) for s in sets]))
+
+
+def band_keys_of(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """``band_keys`` of sets that lie one after the other in ``values``, none of them empty.
+
+    The hashes that are ordered have 32 bits: a band's rows mix the values each in
+    its own way, and every band multiplies that by a number of its own.
+    """
     random = np.random.default_rng(_SEED)
-    odd, add = random.integers(0, 1 << 63, (2, BANDS * BAND_ROWS), np.uint64)
-    odd = odd * np.uint64(2) + np.uint64(1)
-    ends = np.cumsum([len(s) for s in sets])
-    values = np.concatenate(sets).view(np.uint64)
-    values = values ^ (values >> np.uint64(32))
-    least = np.empty((len(sets), BANDS * BAND_ROWS), np.uint64)
-    starts = np.r_[0, ends[:-1]]
-    for i in range(BANDS * BAND_ROWS):
-        mixed = values * odd[i] + add[i]
-        mixed ^= mixed >> np.uint64(29)
-        least[:, i] = np.minimum.reduceat(mixed * np.uint64(0xBF58476D1CE4E5B9), starts)
-    out = np.zeros((len(sets), BANDS), np.uint64)
-    for i in range(BAND_ROWS):
-        out = (out ^ least[:, i::BAND_ROWS]) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(31)
+    mix = random.integers(0, 1 << 63, BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+    odd = random.integers(0, 1 << 31, (BAND_ROWS, BANDS), np.uint32) * np.uint32(2) + np.uint32(1)
+    out = np.zeros((len(ends), BANDS), np.uint64)
+    begin = 0
+    while begin < len(ends):  # runs that stay in the processor's cache
+        first = int(ends[begin - 1]) if begin else 0
+        stop = max(begin + 1, int(np.searchsorted(ends, first + RUN_VALUES, "right")))
+        run = values[first : int(ends[stop - 1])].view(np.uint64)
+        starts = np.r_[0, ends[begin : stop - 1] - first]
+        run = run ^ (run >> np.uint64(32))
+        keys = out[begin:stop]
+        for i in range(BAND_ROWS):
+            mixed = run * mix[i]
+            mixed ^= mixed >> np.uint64(29)
+            mixed = ((mixed * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32)).astype(np.uint32)
+            least = np.stack([np.minimum.reduceat(mixed * odd[i, band], starts) for band in range(BANDS)], axis=1)
+            keys ^= least
+            keys *= np.uint64(0x9E3779B97F4A7C15)
+            keys ^= keys >> np.uint64(31)
+        begin = stop
     return (out ^ np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
@@ -102,23 +206,22 @@ def forest(first: list[np.ndarray], second: list[np.ndarray] | None, threshold:
     return links
 
 
-def similar_links(sets: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """Links ``a``, ``b`` between ids of ``sets`` (id, shingles; stored) that connect what similar pairs connect."""
-    kind = sets.schema["id"].dataType.simpleString()
-
-    def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                keys = band_keys([np.array(s, np.int64) for s in batch.column("shingles").to_pylist()])
-                at = pa.array(np.repeat(np.arange(batch.num_rows), BANDS))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), batch.column("id").take(at)], ["band", "id"])
+def similar_links(sets: DataFrame, bodies: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+    """Links ``a``, ``b`` between ids of ``sets`` (id, bands; stored) that connect what similar pairs connect.
 
-    bands = cut_lineage(sets.mapInArrow(banded, f"band long, id {kind}"))
+    ``bodies`` (id, shingles; stored) has the sets themselves, and may have more.
+    """
+    kind = sets.schema["id"].dataType.simpleString()
+    bands = sets.select("id", F.explode("bands").alias("band"))
     shared = bands.groupBy("band").agg(
-        F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("ids"), F.min("id").alias("least")
+        F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("ids"), F.min("id").alias("least")
     ).where("n > 1")
     once = cut_lineage(shared.groupBy("n", "ids", "least").agg(F.min("band").alias("band")).select("band", "n"))
-    members = join_hot_keys(bands, once, "band", "n", [F.col("id")])
+    named = once.count()
+    if named * BAND_BYTES <= BROADCAST_BYTES:
+        members = bands.join(F.broadcast(once), "band")
+    else:
+        members = join_hot_keys(bands, once, "band", "n", [F.col("id")])
     deals = F.ceil(F.col("n") / DEAL).cast("long")
     own = F.pmod(F.xxhash64("id", F.lit(7)), deals)
     met = F.transform(
@@ -128,26 +231,59 @@ def similar_links(sets: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     meeting = members.select("band", "id", own.alias("deal"), F.explode(met).alias("at"))
     # one deal alone needs a task of its own only if it is the band's only deal; otherwise pairs of deals cover it
     keyed = cut_lineage(meeting.select("band", F.col("at.low").alias("low"), F.col("at.high").alias("high"), "deal", "id"))
-    needed = keyed.select("id").distinct()
-    bodies = sets.join(needed, "id", "left_semi")
-    full = keyed.join(bodies, "id")
-    out = f"a {kind}, b {kind}"
-
-    def linked(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        _band, low, high = (k.as_py() for k in key)
-        deal = rows.column("deal").to_numpy()
-        ids = rows.column("id").to_pylist()
-        bodies = [np.array(s, np.int64) for s in rows.column("shingles").to_pylist()]
-        order = sorted(range(len(ids)), key=lambda i: ids[i])
-        first = [i for i in order if deal[i] == low]
-        second = [i for i in order if deal[i] == high] if high != low else None
-        found = forest([bodies[i] for i in first], None if second is None else [bodies[i] for i in second], threshold)
-        named = first + (second or [])
-        pairs = [(ids[named[a]], ids[named[b]]) for a, b in found]
-        id_type = rows.schema.field("id").type
-        return pa.table([pa.array([a for a, _b in pairs], id_type), pa.array([b for _a, b in pairs], id_type)], names=["a", "b"])
-
-    return full.groupBy("band", "low", "high").applyInArrow(linked, out)
+    needed = bodies.join(keyed.select("id").distinct(), "id", "left_semi")
+    full = keyed.join(needed.select("id", "shingles"), "id").select("band", "low", "high", "deal", "id", "shingles")
+    place = ["band", "low", "high"]
+    together = full.repartition(*place).sortWithinPartitions(*place, "id")
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The links of one group of rows with the same place after the other; a group may go on in the next batch."""
+        rest: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.concat_batches([*rest, batch])
+            ends = group_ends(rows, place)
+            yield group_links(rows, ends[:-1], threshold)
+            rest = [rows.slice(ends[-2] if len(ends) > 1 else 0)]
+        if rest:
+            yield group_links(rest[0], group_ends(rest[0], place), threshold)
+
+    return together.mapInArrow(linked, f"a {kind}, b {kind}")
+
+
+def group_ends(rows: pa.RecordBatch, place: list[str]) -> list[int]:
+    """Where each group of neighbouring rows with the same ``place`` ends."""
+    changes = np.zeros(rows.num_rows - 1, bool)
+    for name in place:
+        column = rows.column(name).to_numpy(zero_copy_only=False)
+        changes |= column[1:] != column[:-1]
+    return [*(np.flatnonzero(changes) + 1).tolist(), rows.num_rows]
+
+
+def group_links(rows: pa.RecordBatch, ends: list[int], threshold: float) -> pa.RecordBatch:
+    """Links of the groups that end at ``ends``; rows of a group are in the order of their ids."""
+    values, stops = unpacked(rows.column("shingles"))
+    stops = [0, *stops.tolist()]
+    low, high, deal = (rows.column(name).to_numpy() for name in ("low", "high", "deal"))
+    a: list[int] = []
+    b: list[int] = []
+    start = 0
+    for end in ends:
+        bodies = [values[stops[i] : stops[i + 1]] for i in range(start, end)]
+        if low[start] == high[start]:
+            named, found = range(start, end), forest(bodies, None, threshold)
+        else:
+            mine = deal[start:end] == low[start]
+            named = [*(np.flatnonzero(mine) + start).tolist(), *(np.flatnonzero(~mine) + start).tolist()]
+            count = int(mine.sum())
+            bodies = [bodies[i - start] for i in named]
+            found = forest(bodies[:count], bodies[count:], threshold)
+        a += [named[x] for x, _y in found]
+        b += [named[y] for _x, y in found]
+        start = end
+    ids = rows.column("id")
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(a, pa.int64())), ids.take(pa.array(b, pa.int64()))], ["a", "b"])
 
 
 def smallest_reachable(links: DataFrame) -> DataFrame:
@@ -185,14 +321,22 @@ def near_duplicate_groups(
     Texts without a word are copies of nothing: their group is their id.  Repeated
     ids and NULL ids come out as often as they went in; a group without any id is NULL.
     """
-    rows = cut_lineage(chunks.select(F.col(id_col).alias("id"), shingles(text_col, words).alias("shingles")))
-    key = F.struct(F.xxhash64("shingles").alias("h"), F.xxhash64(F.reverse("shingles"), F.size("shingles")).alias("g"))
-    keyed = rows.withColumn("key", F.when(F.col("shingles").isNotNull(), key))
-    sets = keyed.where("key IS NOT NULL").groupBy("key").agg(
-        F.min("id").alias("least"), F.count("*").alias("n"), F.first("shingles").alias("shingles")
+    signed = chunks.select(
+        F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), signed_shingles(text_col, words).alias("set")
+    ).select("id", "row", "set.shingles", "set.bands")
+    digests = (F.xxhash64("shingles").alias("h"), F.xxhash64(F.lit(1), "shingles").alias("g"))
+    key = F.when(F.col("shingles").isNotNull(), F.struct(*digests)).alias("key")
+    # what needs the shingles is made where they are; later steps read the narrow columns
+    rows = cut_lineage(signed.select("id", "row", key, "shingles", "bands"))
+    keyed = rows.where("key IS NOT NULL").select("id", "key")
+    sets = cut_lineage(
+        rows.where("key IS NOT NULL").groupBy("key")
+        .agg(F.min("id").alias("least"), F.count("*").alias("n"), F.min("row").alias("set"))
     )
-    sets = cut_lineage(sets.withColumn("set", F.monotonically_increasing_id()))  # numbered once
-    links = cut_lineage(similar_links(sets.select(F.col("set").alias("id"), "shingles"), threshold))
+    stored = rows.withColumnRenamed("id", "name").withColumnRenamed("row", "id")
+    named_once = sets.select(F.col("set").alias("id"))
+    banded = cut_lineage(stored.select("id", "bands").join(named_once, "id", "left_semi"))
+    links = cut_lineage(similar_links(banded, stored.select("id", "shingles"), threshold))
     roots = smallest_reachable(links)
     rooted = cut_lineage(
         sets.select("key", "least", "n", "set").join(broadcast_if_small(roots, roots.count(), 24), F.col("set") == F.col("node"), "left")
@@ -200,6 +344,6 @@ def near_duplicate_groups(
     )
     labels = cut_lineage(rooted.groupBy("root").agg(F.min("least").alias("group"), F.count("*").alias("sets")))
     named = cut_lineage(join_hot_keys(rooted, labels, "root", "sets", [F.col("key")]).select("key", "n", "group"))
-    found = join_hot_keys(keyed.where("key IS NOT NULL").select("id", "key"), named, "key", "n", [F.xxhash64("id")])
-    alone = keyed.where("key IS NULL").select("id", F.col("id").alias("group"))
+    found = join_hot_keys(keyed, named, "key", "n", [F.xxhash64("id")])
+    alone = rows.where("key IS NULL").select("id", F.col("id").alias("group"))
     return found.select("id", "group").unionAll(alone).withColumnRenamed("id", id_col)

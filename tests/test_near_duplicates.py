@@ -92,3 +92,63 @@ def test_shingles_of_short_and_empty_texts(spark):
     rows = spark.createDataFrame([("a b c d e f",), ("a b",), ("",), (None,), ("a b c d e a b c d e",)], "text string")
     sizes = [r[0] for r in rows.select(F.size(nd.shingles("text"))).collect()]
     assert sizes[:2] == [2, 1] and sizes[2] in (-1, None) and sizes[3] in (-1, None) and sizes[4] == 5
+
+
+def test_shingles_are_stored_once(spark, monkeypatch):
+    """Copies are found, labelled and handed back by digests; only sets that share a band take their shingles along."""
+    stored = []
+
+    def recorded(df, cut=nd.cut_lineage):
+        stored.append(df.columns)
+        return cut(df)
+
+    monkeypatch.setattr(nd, "cut_lineage", recorded)
+    texts = texts_with_copies(80, 9)
+    got = nd.near_duplicate_groups(spark.createDataFrame(texts, "id int, text string"), "id", "text")
+    assert {r["id"]: r["group"] for r in got.collect()} == plain_groups(texts)
+    assert sum("shingles" in columns for columns in stored) == 1
+
+
+@pytest.mark.parametrize("deal", [1_024, 3])
+def test_bands_that_go_on_in_the_next_batch(spark, monkeypatch, deal):
+    monkeypatch.setattr(nd, "DEAL", deal)
+    monkeypatch.setattr(nd, "RUN_TOKENS", 100)
+    monkeypatch.setattr(nd, "RUN_VALUES", 150)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        texts = texts_with_copies(160, 5) + [(300, ""), (301, None), (302, "one two"), (303, "One TWO")]
+        got = nd.near_duplicate_groups(spark.createDataFrame(texts, "id int, text string"), "id", "text")
+        assert {r["id"]: r["group"] for r in got.collect()} == plain_groups(texts)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_many_bands_are_joined_without_a_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(nd, "BROADCAST_BYTES", 0)
+    texts = texts_with_copies(160, 6)
+    got = nd.near_duplicate_groups(spark.createDataFrame(texts, "id int, text string"), "id", "text")
+    assert {r["id"]: r["group"] for r in got.collect()} == plain_groups(texts)
+
+
+def test_shingle_hashes_stand_for_the_shingles(spark):
+    """As many distinct hashes as distinct shingles, over all texts and shared by any two."""
+    texts = texts_with_copies(60, 8) + [(100, "a b a b a b a b a b a b"), (101, "a b"), (102, "b a"), (103, "a b c"), (104, "a"), (105, "a a"), (106, "a b c d e")]
+    rows = spark.createDataFrame(texts, "id int, text string").select("id", nd.shingles("text").alias("s")).collect()
+    got, want = {r["id"]: set(r["s"]) for r in rows}, plain_sets(texts)
+    assert all(list(r["s"]) == sorted(set(r["s"])) for r in rows)
+    assert len(set().union(*got.values())) == len(set().union(*want.values()))
+    assert all(len(got[a] & got[b]) == len(want[a] & want[b]) for a in got for b in got)
+
+
+def test_recall_at_any_similarity():
+    """Bands are shared as often as independent MinHash rows are."""
+    draw = np.random.default_rng(3)
+    for shared, other in ((160, 20), (140, 30), (100, 50), (60, 70)):
+        pairs = 400
+        common = draw.integers(-2**62, 2**62, (pairs, shared))
+        sets = [np.r_[c, draw.integers(-2**62, 2**62, other)] for c in common for _side in range(2)]
+        keys = nd.band_keys(sets)
+        rate = (keys[0::2] == keys[1::2]).mean()
+        expected = (shared / (shared + 2 * other)) ** nd.BAND_ROWS
+        assert abs(rate - expected) < 5 * (expected * (1 - expected) / (pairs * nd.BANDS)) ** 0.5 + 0.004
