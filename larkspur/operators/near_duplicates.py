@@ -8,8 +8,8 @@ nothing further.  Sets that share a band meet in one task, where a pair counts
 only if its exact Jaccard similarity reaches the threshold.  Most bands hold one
 set and go no further than a count; bands with the same sets are looked into
 once.  Inside a band a set is compared until it is known to be connected, so near
-copies of one chunk cost one comparison each, and a task emits a spanning forest
-of each of its bands, which it takes from one sorted stream.
+copies of one chunk cost one comparison each, and a task, which takes its bands
+from one sorted stream, links what is connected to the smallest of it.
 A band with very many sets is dealt: every two deals of it meet in some task.
 
 Two sets of similarity s share a band with probability 1 - (1 - s^5)^25, that is
@@ -33,7 +33,8 @@ from larkspur.session import cut_lineage
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 BANDS, BAND_ROWS = 25, 5
-BAND_BYTES = 40  # of a broadcast band and its number of sets
+TASK_BANDS = 1 << 20  # band hashes that a task sorts
+BAND_BYTES = 40  # of a broadcast band
 DEAL = 1_024  # sets of one deal of a band; two deals meet in a task
 RUN_TOKENS = 1 << 21  # tokens whose shingles a task holds at a time
 RUN_VALUES = 1 << 15  # shingles whose band hashes are computed together
@@ -169,22 +170,22 @@ def band_keys_of(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def similar(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
-    small, large = sorted((len(a), len(b)))
-    if small < threshold * large - 1e-9:
+    """Whether two sorted sets have the similarity."""
+    small, large = (a, b) if len(a) <= len(b) else (b, a)
+    if len(small) < threshold * len(large) - 1e-9:
         return False
-    shared = len(np.intersect1d(a, b, assume_unique=True))
-    return shared >= threshold * (small + large - shared) - 1e-9
+    shared = np.count_nonzero(large.take(np.searchsorted(large, small), mode="clip") == small)
+    return shared >= threshold * (len(small) + len(large) - shared) - 1e-9
 
 
-def forest(first: list[np.ndarray], second: list[np.ndarray] | None, threshold: float) -> list[tuple[int, int]]:
-    """Links between sets that connect what the similar pairs connect; numbers of ``second`` follow those of ``first``.
+def connected(first: list[np.ndarray], second: list[np.ndarray] | None, threshold: float) -> list[list[int]]:
+    """What similar pairs connect, two sets and more; numbers of ``second`` follow those of ``first``.
 
     Pairs within ``first``, or between ``first`` and ``second`` if given.
     """
     sets = first + (second or [])
     root = list(range(len(sets)))
     members = [[i] for i in root]
-    links = []
 
     def join(a: int, b: int) -> None:
         keep, gone = (root[a], root[b]) if len(members[root[a]]) >= len(members[root[b]]) else (root[b], root[a])
@@ -192,7 +193,6 @@ def forest(first: list[np.ndarray], second: list[np.ndarray] | None, threshold:
             root[m] = keep
         members[keep] += members[gone]
         members[gone] = []
-        links.append((a, b))
 
     start, others = (0, range(len(sets))) if second is None else (len(first), range(len(first)))
     for i in range(start, len(sets)):
@@ -203,7 +203,7 @@ def forest(first: list[np.ndarray], second: list[np.ndarray] | None, threshold:
             if similar(sets[i], sets[j], threshold):
                 join(i, j)
                 done.add(root[i])
-    return links
+    return [m for m in members if len(m) > 1]
 
 
 def similar_links(sets: DataFrame, bodies: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
@@ -211,17 +211,12 @@ def similar_links(sets: DataFrame, bodies: DataFrame, threshold: float = SIMILAR
 
     ``bodies`` (id, shingles; stored) has the sets themselves, and may have more.
     """
-    kind = sets.schema["id"].dataType.simpleString()
-    bands = sets.select("id", F.explode("bands").alias("band"))
-    shared = bands.groupBy("band").agg(
-        F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("ids"), F.min("id").alias("least")
-    ).where("n > 1")
+    shared = cut_lineage(shared_bands(sets))
     once = cut_lineage(shared.groupBy("n", "ids", "least").agg(F.min("band").alias("band")).select("band", "n"))
-    named = once.count()
-    if named * BAND_BYTES <= BROADCAST_BYTES:
-        members = bands.join(F.broadcast(once), "band")
+    if once.count() * BAND_BYTES <= BROADCAST_BYTES:
+        members = shared.join(F.broadcast(once.select("band")), "band")
     else:
-        members = join_hot_keys(bands, once, "band", "n", [F.col("id")])
+        members = join_hot_keys(shared.select("band", "id"), once, "band", "n", [F.col("id")])
     deals = F.ceil(F.col("n") / DEAL).cast("long")
     own = F.pmod(F.xxhash64("id", F.lit(7)), deals)
     met = F.transform(
@@ -231,8 +226,7 @@ def similar_links(sets: DataFrame, bodies: DataFrame, threshold: float = SIMILAR
     meeting = members.select("band", "id", own.alias("deal"), F.explode(met).alias("at"))
     # one deal alone needs a task of its own only if it is the band's only deal; otherwise pairs of deals cover it
     keyed = cut_lineage(meeting.select("band", F.col("at.low").alias("low"), F.col("at.high").alias("high"), "deal", "id"))
-    needed = bodies.join(keyed.select("id").distinct(), "id", "left_semi")
-    full = keyed.join(needed.select("id", "shingles"), "id").select("band", "low", "high", "deal", "id", "shingles")
+    full = keyed.join(bodies, "id").select("band", "low", "high", "deal", "id", "shingles")
     place = ["band", "low", "high"]
     together = full.repartition(*place).sortWithinPartitions(*place, "id")
 
@@ -249,7 +243,43 @@ def similar_links(sets: DataFrame, bodies: DataFrame, threshold: float = SIMILAR
         if rest:
             yield group_links(rest[0], group_ends(rest[0], place), threshold)
 
-    return together.mapInArrow(linked, f"a {kind}, b {kind}")
+    return together.mapInArrow(linked, "a long, b long")
+
+
+def shared_bands(sets: DataFrame) -> DataFrame:
+    """``band`` and ``id`` of bands that two ``sets`` (id, bands; stored) or more have, with a digest of the band's ids.
+
+    The digest is their number ``n``, the smallest, and the exclusive or of hashes of
+    all.  Bands are dealt to tasks by their hash; a task sorts about a million numbers.
+    """
+    tasks = max(-(-sets.count() * BANDS // TASK_BANDS), int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = sets.select("id", F.explode("bands").alias("band")).repartition(tasks, "band")
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = [(b.column("band").to_numpy(), b.column("id").to_numpy()) for b in batches if b.num_rows]
+        if not columns:
+            return
+        band, ids = (np.concatenate(c) for c in zip(*columns))
+        del columns
+        order = np.argsort(band)
+        band, ids = band[order], ids[order]
+        starts = np.r_[0, np.flatnonzero(band[1:] != band[:-1]) + 1]
+        n = np.diff(starts, append=len(band))
+        rows = np.repeat(n > 1, n)
+        band, ids, n = band[rows], ids[rows], n[n > 1]
+        if not len(n):
+            return
+        starts = np.cumsum(n) - n
+        hashed = (ids.view(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        hashed ^= hashed >> np.uint64(29)
+        hashed *= np.uint64(0xBF58476D1CE4E5B9)
+        hashed ^= hashed >> np.uint64(32)
+        digest = np.bitwise_xor.reduceat(hashed, starts).view(np.int64)
+        least = np.minimum.reduceat(ids, starts)
+        out = pa.table([band, ids, np.repeat(n, n), np.repeat(digest, n), np.repeat(least, n)], names=["band", "id", "n", "ids", "least"])
+        yield from out.to_batches(max_chunksize=1 << 16)
+
+    return dealt.mapInArrow(shared, "band long, id long, n long, ids long, least long")
 
 
 def group_ends(rows: pa.RecordBatch, place: list[str]) -> list[int]:
@@ -266,21 +296,23 @@ def group_links(rows: pa.RecordBatch, ends: list[int], threshold: float) -> pa.R
     values, stops = unpacked(rows.column("shingles"))
     stops = [0, *stops.tolist()]
     low, high, deal = (rows.column(name).to_numpy() for name in ("low", "high", "deal"))
-    a: list[int] = []
+    a: list[int] = []  # the smallest of what is connected
     b: list[int] = []
     start = 0
     for end in ends:
         bodies = [values[stops[i] : stops[i + 1]] for i in range(start, end)]
         if low[start] == high[start]:
-            named, found = range(start, end), forest(bodies, None, threshold)
+            named, found = range(start, end), connected(bodies, None, threshold)
         else:
             mine = deal[start:end] == low[start]
             named = [*(np.flatnonzero(mine) + start).tolist(), *(np.flatnonzero(~mine) + start).tolist()]
             count = int(mine.sum())
             bodies = [bodies[i - start] for i in named]
-            found = forest(bodies[:count], bodies[count:], threshold)
-        a += [named[x] for x, _y in found]
-        b += [named[y] for _x, y in found]
+            found = connected(bodies[:count], bodies[count:], threshold)
+        for numbers in found:
+            least, *others = sorted(named[i] for i in numbers)
+            a += [least] * len(others)
+            b += others
         start = end
     ids = rows.column("id")
     return pa.RecordBatch.from_arrays([ids.take(pa.array(a, pa.int64())), ids.take(pa.array(b, pa.int64()))], ["a", "b"])
@@ -328,15 +360,15 @@ def near_duplicate_groups(
     key = F.when(F.col("shingles").isNotNull(), F.struct(*digests)).alias("key")
     # what needs the shingles is made where they are; later steps read the narrow columns
     rows = cut_lineage(signed.select("id", "row", key, "shingles", "bands"))
-    keyed = rows.where("key IS NOT NULL").select("id", "key")
+    narrow = cut_lineage(rows.select("id", "row", "key"))
+    keyed = narrow.where("key IS NOT NULL").select("id", "key")
     sets = cut_lineage(
-        rows.where("key IS NOT NULL").groupBy("key")
+        narrow.where("key IS NOT NULL").groupBy("key")
         .agg(F.min("id").alias("least"), F.count("*").alias("n"), F.min("row").alias("set"))
     )
-    stored = rows.withColumnRenamed("id", "name").withColumnRenamed("row", "id")
     named_once = sets.select(F.col("set").alias("id"))
-    banded = cut_lineage(stored.select("id", "bands").join(named_once, "id", "left_semi"))
-    links = cut_lineage(similar_links(banded, stored.select("id", "shingles"), threshold))
+    banded = cut_lineage(rows.select(F.col("row").alias("id"), "bands").join(named_once, "id", "left_semi"))
+    links = cut_lineage(similar_links(banded, rows.select(F.col("row").alias("id"), "shingles"), threshold))
     roots = smallest_reachable(links)
     rooted = cut_lineage(
         sets.select("key", "least", "n", "set").join(broadcast_if_small(roots, roots.count(), 24), F.col("set") == F.col("node"), "left")
@@ -345,5 +377,5 @@ def near_duplicate_groups(
     labels = cut_lineage(rooted.groupBy("root").agg(F.min("least").alias("group"), F.count("*").alias("sets")))
     named = cut_lineage(join_hot_keys(rooted, labels, "root", "sets", [F.col("key")]).select("key", "n", "group"))
     found = join_hot_keys(keyed, named, "key", "n", [F.xxhash64("id")])
-    alone = rows.where("key IS NULL").select("id", F.col("id").alias("group"))
+    alone = narrow.where("key IS NULL").select("id", F.col("id").alias("group"))
     return found.select("id", "group").unionAll(alone).withColumnRenamed("id", id_col)
