@@ -25,10 +25,13 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from larkspur.operators.windows import top_k
 from larkspur.session import cut_lineage
+from larkspur.tables import spread_small_scan
 
 BLOCK_BYTES = 64 * 1024 * 1024  # size limit of one block of queries
+SPREAD_BYTES = 1024 * 1024  # queries in one block beyond which a scan of few tasks is spread over the cores
 PART_ROWS = 16_384  # corpus rows of a part at most, where queries come in blocks
 PART_BYTES = 64 * 1024 * 1024  # corpus bytes of a part, about
+DEALT_PAIRS = 1_024  # pairs of a part and a block up to which their number sets the tasks
 MOST_TASKS = 4_096  # corpus tasks of one scan: each emits up to k rows per query
 CELLS_PER_STEP = 4_000_000  # score cells held at a time in one task
 SCORE_DIGITS = 9  # equal items must tie exactly, so scores are rounded
@@ -49,11 +52,14 @@ class BestPerQuery:
             cut = scores.shape[0] - self.k
             self.floor = np.maximum(self.floor, np.partition(scores, cut, axis=0)[cut])
         rows, queries = np.nonzero((scores >= self.floor) & np.isfinite(scores))
-        if not len(rows):
+        self.add_pairs(items[rows], queries, scores[rows, queries])
+
+    def add_pairs(self, items: np.ndarray, queries: np.ndarray, scores: np.ndarray) -> None:
+        if not len(items):
             return
         self.query = np.concatenate([self.query, queries])
-        self.score = np.concatenate([self.score, scores[rows, queries]])
-        self.item = items[rows] if self.item is None else np.concatenate([self.item, items[rows]])
+        self.score = np.concatenate([self.score, scores])
+        self.item = items if self.item is None else np.concatenate([self.item, items])
         self.compact()
 
     def compact(self) -> None:
@@ -67,9 +73,19 @@ class BestPerQuery:
         self.query, self.score, self.item = self.query[kept], self.score[kept], self.item[kept]
 
 
-#: Scorers of a block: the queries that each one scores, and the function that turns a
-#: record batch (item, payload) into (row slice, score matrix) steps.
-Scorers = list[tuple[range, Callable[[pa.RecordBatch], Iterator[tuple[slice, np.ndarray]]]]]
+class PairScorer:
+    """A scorer that looks at the floors itself and gives only pairs that may be among the best."""
+
+    def pairs(
+        self, batch: pa.RecordBatch, items: np.ndarray, best: BestPerQuery
+    ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Steps of (rows of the batch, queries, scores); ``best`` has the step before when the next is asked for."""
+        raise NotImplementedError
+
+
+#: Scorers of a block: the queries that each one scores, and a pair scorer or the function
+#: that turns a record batch (item, payload) into (row slice, score matrix) steps.
+Scorers = list[tuple[range, PairScorer | Callable[[pa.RecordBatch], Iterator[tuple[slice, np.ndarray]]]]]
 
 
 def _query_rows(table: pa.Table) -> list[dict]:
@@ -96,6 +112,10 @@ def _best_rows(
         items = batch.column(0).to_numpy(zero_copy_only=False)
         items = items.astype(str) if items.dtype == object else items
         for best, (_own, score) in zip(kept, scorers):
+            if isinstance(score, PairScorer):
+                for place, queries, scores in score.pairs(batch, items, best):
+                    best.add_pairs(items[place], queries, np.round(scores, SCORE_DIGITS))
+                continue
             for step, scores in score(batch):
                 best.add(items[step], np.round(scores, SCORE_DIGITS))
     for best, (own, _score) in zip(kept, scorers):
@@ -116,24 +136,28 @@ def scan_top_k(
     query_bytes: Column,
     make_scorers: Callable[[list], Scorers],
     k: int,
+    part_rows: int | None = None,
 ) -> DataFrame:
     """Rows (query, item, score, rank) of the best ``k`` items per query.
 
     ``make_scorers`` runs where the scoring runs and gets the query rows of one
     block; ``query_bytes`` is the size of a query row there.  A score of minus
-    infinity means no hit.  Ties go to the smaller item.
+    infinity means no hit.  Ties go to the smaller item.  ``part_rows``: other than
+    ``PART_ROWS``, for scorers that hold little per row.
     """
     asked = cut_lineage(queries)
     size = asked.agg(F.sum(query_bytes)).first()[0] or 0
     blocks = -(-size // BLOCK_BYTES)
     rows = corpus.select(item, payload)
+    if blocks == 1 and size > SPREAD_BYTES:
+        rows = spread_small_scan(rows)
     out = T.StructType(
         [asked.schema[query_key], T.StructField(item, corpus.schema[item].dataType), T.StructField("score", T.DoubleType())]
     )
     arrow = to_arrow_schema(out)
     hits = (
         _in_place(rows, asked, query_key, make_scorers, k, out, arrow) if blocks <= 1
-        else _by_parts(rows, item, asked, query_key, int(blocks), make_scorers, k, out, arrow)
+        else _by_parts(rows, item, asked, query_key, int(blocks), make_scorers, k, out, arrow, part_rows or PART_ROWS)
     )
     return top_k(hits, [query_key], [F.col("score").desc(), F.col(item)], k)
 
@@ -165,11 +189,11 @@ def _bytes(kind: T.DataType, value: Column) -> Column:
 
 def _by_parts(
     rows: DataFrame, item: str, asked: DataFrame, query_key: str, blocks: int, make_scorers: Callable[[list], Scorers],
-    k: int, out: T.StructType, arrow: pa.Schema,
+    k: int, out: T.StructType, arrow: pa.Schema, part_rows: int,
 ) -> DataFrame:
     payload = rows.columns[1]
     size = rows.agg(F.count("*").alias("n"), F.sum(_bytes(rows.schema[payload].dataType, F.col(payload))).alias("bytes")).first()
-    parts = max(-(-size["n"] // PART_ROWS), -(-(size["bytes"] or 0) // PART_BYTES), 1)
+    parts = max(-(-size["n"] // part_rows), -(-(size["bytes"] or 0) // PART_BYTES), 1)
 
     def numbers(n: int) -> Column:
         return F.sequence(F.lit(0), F.lit(n - 1))
@@ -186,4 +210,7 @@ def _by_parts(
             found = list(_best_rows(iter(items.combine_chunks().to_batches()), block, query_key, make_scorers(block), k, arrow))
         return pa.Table.from_batches(found, arrow)
 
+    pairs = int(parts * blocks)
+    if pairs <= DEALT_PAIRS:  # few and long: in as many tasks as before, several would share one
+        left, right = (x.repartition(4 * pairs, "_part", "_block") for x in (left, right))
     return left.groupBy("_part", "_block").cogroup(right.groupBy("_part", "_block")).applyInArrow(best, out)

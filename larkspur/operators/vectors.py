@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -85,22 +86,87 @@ def dense(lists: pa.ListArray, dim: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class VectorScorer:
-    """Scores record batches (id, vector) against a matrix of query vectors."""
+    """Scores record batches (id, vector) against a matrix of query vectors by their dot products."""
 
     queries: np.ndarray
-    metric: str
 
     def __call__(self, batch: pa.RecordBatch) -> Iterator[tuple[slice, np.ndarray]]:
         dim = self.queries.shape[1]
         matrix = dense(batch.column(1), dim)
-        if self.metric == "cosine":
-            matrix = unit_rows(matrix)
         rows = max(topk.CELLS_PER_STEP // len(self.queries), 1)
         for start in range(0, len(matrix), rows):
             step = slice(start, start + rows)
             yield step, matrix[step] @ self.queries.T
 
 
+TILE_QUERIES = 512  # queries of a tile: their best items and scores stay in the processor's cache
+TILE_ROWS = 2_048  # rows scored with a tile at a time
+FIRST_ROWS = 256  # rows that give the first floors
+PAIRS = 16_384  # pairs scored exactly at a time
+
+
+def rows_without_copies(vectors: np.ndarray, items: np.ndarray, k: int) -> np.ndarray:
+    """Row numbers without those that ``k`` equal vectors with smaller ids precede: they can't be among the best ``k``."""
+    bits = np.ascontiguousarray(vectors, dtype=np.float64).view(np.uint64)
+    odd = np.random.default_rng(7).integers(1 << 63, size=bits.shape[1], dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    sums = (bits * odd).sum(axis=1, dtype=np.uint64)
+    if len(np.unique(sums)) == len(sums):
+        return np.arange(len(sums))
+    whole = bits.view(np.dtype((np.void, bits.shape[1] * 8))).ravel()
+    group = np.unique(whole, return_inverse=True)[1].ravel()
+    order = np.lexsort((items, group))
+    place = np.arange(len(order)) - np.searchsorted(group[order], group[order], side="left")
+    return np.sort(order[place < k])
+
+
+class UnitBatch:
+    """The vectors of the batch at hand as unit rows, made once for all tiles of queries."""
+
+    def __init__(self, dim: int, k: int):
+        self.dim, self.k, self.batch = dim, k, None
+
+    def __call__(self, batch: pa.RecordBatch, items: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row numbers, unit vectors, the same in single precision)"""
+        if batch is not self.batch:
+            unit = unit_rows(dense(batch.column(1), self.dim))
+            rows = rows_without_copies(unit, items, self.k)
+            unit = unit if len(rows) == len(unit) else unit[rows]
+            self.batch, self.made = batch, (rows, unit, unit.astype(np.float32))
+        return self.made
+
+
+class CosineTile(topk.PairScorer):
+    """Cosines of a tile of unit queries: single precision decides what cannot be among the best, the rest is scored exactly.
+
+    A dot product of unit vectors in single precision is off by at most about
+    (dim + 2) / 2**24, so what lies further below the floor is out for certain.
+    """
+
+    def __init__(self, queries: np.ndarray, unit: UnitBatch):
+        self.queries, self.unit = queries, unit
+        self.rough = np.ascontiguousarray(queries.T, dtype=np.float32)
+        self.margin = (queries.shape[1] + 16) * 2.0**-24 + 10.0**-topk.SCORE_DIGITS
+        self.seen = 0
+
+    def pairs(self, batch, items, best):
+        rows, unit, single = self.unit(batch, items)
+        step = max(min(topk.CELLS_PER_STEP // len(self.queries), TILE_ROWS), 1)
+        first = min(max(FIRST_ROWS, 8 * best.k), step) if self.seen < best.k else step
+        for start, end in pairwise([0, *range(first, len(rows), step), len(rows)]):
+            scores = single[start:end] @ self.rough
+            least = best.floor - self.margin
+            if self.seen < best.k <= len(scores):  # no floor yet
+                known = np.where(np.isfinite(scores), scores, -np.inf)
+                least = np.maximum(least, np.partition(known, len(known) - best.k, axis=0)[-best.k] - 2 * self.margin)
+            self.seen += len(scores)
+            near = np.flatnonzero(scores >= least.astype(np.float32))
+            for n in range(0, len(near), PAIRS):
+                row, query = np.divmod(near[n : n + PAIRS], len(self.queries))
+                exact = np.einsum("ij,ij->i", unit[start + row], self.queries[query])
+                kept = np.isfinite(exact) & (np.round(exact, topk.SCORE_DIGITS) >= best.floor[query])
+                yield rows[start + row[kept]], query[kept], exact[kept]
+
+
 def search(
     corpus: DataFrame,
     queries: DataFrame,
@@ -123,9 +189,14 @@ def search(
 
     def scorers(rows):
         matrix = np.asarray([r[query_vector] for r in rows], dtype=np.float64)
-        return [(range(len(rows)), VectorScorer(unit_rows(matrix) if metric == "cosine" else matrix, metric))]
-
-    return topk.scan_top_k(good, item, vector, asked, query_key, 8 * F.size(query_vector) + 64, scorers, k)
+        if metric == "dot":
+            return [(range(len(rows)), VectorScorer(matrix))]
+        tiles = [range(n, min(n + TILE_QUERIES, len(rows))) for n in range(0, len(rows), TILE_QUERIES)]
+        matrix, unit = unit_rows(matrix), UnitBatch(matrix.shape[1], k)
+        return [(own, CosineTile(matrix[own.start : own.stop], unit)) for own in tiles]
+
+    size, part_rows = 8 * F.size(query_vector) + 64, 4 * topk.PART_ROWS  # fewer parts give fewer answers to rank
+    return topk.scan_top_k(good, item, vector, asked, query_key, size, scorers, k, part_rows)
 
 
 def search_rows(

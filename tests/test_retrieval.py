@@ -206,3 +206,31 @@ def test_query_vectors_are_views_of_one_buffer():
     assert all(not r["v"].flags.owndata and r["v"].dtype == np.float32 for r in rows)
     assert [(r["q"], r["t"], r["n"]) for r in rows] == [(1, ["a"], [1.0, None]), (2, [], None), (3, None, [])]
     assert topk._query_rows(pa.table({"q": pa.array([], pa.int64()), "v": pa.array([], pa.list_(pa.float32()))})) == []
+
+
+def test_single_precision_only_leaves_out_what_cannot_be_among_the_best(monkeypatch):
+    """Few pairs are scored exactly, however many equal vectors there are, and the answer is that of all pairs in doubles."""
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(6_000, 16)).astype(np.float32)
+    vectors[2_000:3_000] = vectors[7]  # copies
+    vectors[3_000:3_200] = vectors[8] + rng.normal(size=(200, 16)).astype(np.float32) * 1e-7  # equal in single precision
+    vectors[4_000] = np.nan
+    items = rng.permutation(len(vectors))
+    asked = vec.unit_rows(vectors[:40].astype(float))
+    unit = vec.unit_rows(vectors.astype(float))
+    scores = np.round(asked @ unit.T, 9)
+    want = {(q, items[i]) for q in range(40) for i in np.lexsort((items, -np.nan_to_num(scores[q], nan=-9)))[:5]}
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(vectors) + 1, dtype=np.int32) * 16), pa.array(vectors.ravel()))
+    whole = pa.RecordBatch.from_arrays([pa.array(items), lists], names=["vec_id", "embedding"])
+    schema = pa.schema([("q", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+    rows = [{"q": q} for q in range(40)]
+    given, add_pairs = [], topk.BestPerQuery.add_pairs
+    monkeypatch.setattr(topk.BestPerQuery, "add_pairs", lambda self, *a: given.append(len(a[0])) or add_pairs(self, *a))
+    for size in (6_000, 700, 3):
+        given.clear()
+        shared = vec.UnitBatch(16, 5)
+        tiles = [(range(n, n + 20), vec.CosineTile(asked[n : n + 20], shared)) for n in (0, 20)]
+        batches = iter([whole.slice(n, size) for n in range(0, len(vectors), size)])
+        found = list(topk._best_rows(batches, rows, "q", tiles, 5, schema))
+        assert {(r["q"], r["vec_id"]) for b in found for r in b.to_pylist()} == want
+        assert size == 3 or sum(given) < 40 * len(vectors) / 10
